@@ -22,6 +22,12 @@ def vocabulary(name: str) -> str:
         return f"{TOKENIZERS}/{name}"
 
 
+def op2_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from harrow.llm import fingerprint
+
+    return fingerprint.edited_prints(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from harrow.llm import packing
 
@@ -29,15 +35,60 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from harrow.llm import line_dedup
+
+    made = line_dedup.dedup_table(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("_kept", 256).alias("kept_sha256"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from harrow.llm import bpe
 
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), bpe.SPACED_PATTERN)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from harrow.llm import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    made = quality.score(docs, model)
+    return made.select("doc_id", (quality.fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 QUERIES = {
+    "op2_merkle_fingerprint": op2_merkle_fingerprint,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_line_dedup": op4_line_dedup,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_quality": op9_quality,
 }
 
-ORACLES: dict[str, str] = {}
+#: The white space and the letters of a line key, for SQL.
+_WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+ORACLES: dict[str, str] = {
+    "op2_merkle_fingerprint": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS u FROM d),
+e AS (SELECT doc_id, t, u, length(t) AS n, left(t, length(t) - length(t) // 2) || left(u, length(t) // 2) AS v FROM n),
+texts AS (SELECT DISTINCT t AS x FROM e UNION SELECT v FROM e),
+nodes AS (SELECT x, list_transform(string_split(x, chr(10)), lambda p: left(sha256(p), 32) || '(' ||
+    array_to_string(list_transform(regexp_extract_all(p, '[^.!?]{1,64}[.!?]*'), lambda s: left(md5(s), 8)), '.') || ')') AS a FROM texts),
+bodies AS (SELECT x, regexp_replace(array_to_string(list_transform(a, lambda q: q || CASE WHEN left(q, 1) IN ('0', '1') THEN ';' ELSE ',' END), ''), '[,;]$', '') AS b FROM nodes),
+trees AS (SELECT x, array_to_string(list_transform(string_split(b, ';'), lambda s: left(sha256(s), 32) || '[' || s || ']'), ';') AS tree FROM bodies),
+prints AS (SELECT x, sha256(tree) || ':' || tree AS f,
+    list_filter(list_distinct(string_split(array_to_string(regexp_extract_all(tree, '\\(([0-9a-f.]+)\\)', 1), '.'), '.')), lambda s: s <> '') AS s FROM trees)
+SELECT e.doc_id, n AS n_chars, sha256(v) AS edited_sha256, p.f AS fingerprint, q.f AS edited_fingerprint,
+    CASE WHEN p.f = q.f THEN 1.0::DOUBLE WHEN len(p.s) + len(q.s) = 0 THEN 0.0 ELSE 2 * len(list_intersect(p.s, q.s))::DOUBLE / (len(p.s) + len(q.s)) END AS near_edited,
+    CASE WHEN p.f = r.f THEN 1.0::DOUBLE WHEN len(p.s) + len(r.s) = 0 THEN 0.0 ELSE 2 * len(list_intersect(p.s, r.s))::DOUBLE / (len(p.s) + len(r.s)) END AS near_next
+FROM e JOIN prints p ON p.x = t JOIN prints q ON q.x = v JOIN prints r ON r.x = u""",
+    "op4_line_dedup": f"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (SELECT *, translate(trim(line, {_WHITE}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE r.key IS NOT NULL AND doc_id <> last) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT (r.key IS NOT NULL AND doc_id <> last)), '')) AS kept_sha256
+FROM k LEFT JOIN r ON k.key = r.key GROUP BY doc_id""",
+}

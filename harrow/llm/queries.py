@@ -48,6 +48,12 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), bpe.SPACED_PATTERN)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from harrow.llm import pii
+
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from harrow.llm import quality
 
@@ -62,6 +68,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_line_dedup": op4_line_dedup,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_pii": op8_pii,
     "op9_quality": op9_quality,
 }
 

@@ -42,6 +42,13 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from harrow.llm import minhash
+
+    made = minhash.classes(table(spark, sf_dir, "documents"))
+    return made.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from harrow.llm import bpe
 
@@ -67,6 +74,7 @@ QUERIES = {
     "op2_merkle_fingerprint": op2_merkle_fingerprint,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_line_dedup": op4_line_dedup,
+    "op6_order_minhash": op6_order_minhash,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,

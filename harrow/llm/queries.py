@@ -48,6 +48,14 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
+def op5_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from harrow.llm import chat
+
+    made = chat.perspectives(table(spark, sf_dir, "conversations"))
+    mask = F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m["start"].cast("string"), m["end"].cast("string"))), ",")
+    return made.withColumn("mask", mask)
+
+
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from harrow.llm import minhash
 
@@ -76,15 +84,30 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", (quality.fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from harrow.llm import warc
+
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_embedding_neardup": op1_embedding_neardup,
     "op2_merkle_fingerprint": op2_merkle_fingerprint,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_line_dedup": op4_line_dedup,
+    "op5_chat_perspectives": op5_chat_perspectives,
     "op6_order_minhash": op6_order_minhash,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
+    "op10_warc": op10_warc,
+    "pipeline": pipeline,
 }
 
 #: The white space and the letters of a line key, for SQL.
@@ -121,4 +144,15 @@ r AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY ke
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE r.key IS NOT NULL AND doc_id <> last) AS n_dropped,
     sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT (r.key IS NOT NULL AND doc_id <> last)), '')) AS kept_sha256
 FROM k LEFT JOIN r ON k.key = r.key GROUP BY doc_id""",
+    "op5_chat_perspectives": """
+WITH t AS (SELECT conv_id, turn, coalesce(CAST(floor(turn / 64) AS BIGINT), -1) AS block, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+s AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
+p AS (SELECT t.*, perspective, speaker = perspective AS own,
+    '<|im_start|>' || CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user name=' || speaker END || chr(10) AS lead
+    FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+q AS (SELECT *, lead || text || '<|im_end|>' || chr(10) AS part, row_number() OVER (PARTITION BY conv_id, perspective, block ORDER BY turn NULLS FIRST, speaker, text) AS n FROM p),
+w AS (SELECT *, sum(length(part)) OVER (PARTITION BY conv_id, perspective, block ORDER BY n) AS upto FROM q)
+SELECT conv_id, perspective, block, count(*) AS n_turns, string_agg(part, '' ORDER BY n) AS rendered,
+    coalesce(string_agg(CAST(CAST(upto - length(part) + length(lead) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(upto - 1 AS BIGINT) AS VARCHAR), ',' ORDER BY n) FILTER (WHERE own), '') AS mask
+FROM w GROUP BY conv_id, perspective, block""",
 }

@@ -252,7 +252,7 @@ def trees(spark: SparkSession) -> Trees:
     """The trained trees, once for each driver."""
     if "trees" not in _TRAINED:
         frame = spark.createDataFrame(_sentences(SYNTHETIC), "text string, what array<string>")
-        each = frame.select("text", "what", F.explode(candidates(F.col("text"))).alias("c"))
+        each = frame.select("text", "what", F.explode_outer(candidates(F.col("text"))).alias("c")).filter(F.col("c").isNotNull())
         rows = each.select("text", "c.start", features(F.col("text"), F.col("c")).alias("x"), F.array_contains("what", F.trim("c.found")).cast("int").alias("y")).collect()
         rows.sort(key=lambda r: (r["text"], r["start"], r["x"]))
         _TRAINED["trees"] = Trees(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows]))

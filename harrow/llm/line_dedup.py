@@ -35,10 +35,11 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def key_of(line: Column) -> Column:
-    bare = F.btrim(line, F.lit(WHITE))
+def keys_of(text: Column) -> Column:
+    """The key of each line of a text. Trimming is a pass of its own, so that lowering repeats none of it."""
+    bare = F.transform(lines_of(text), lambda line: F.btrim(line, F.lit(WHITE)))
     # lower() equals A-Z lower-casing where every character is one byte, and is the faster.
-    return F.when(F.octet_length(bare) == F.length(bare), F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
+    return F.transform(bare, lambda x: F.when(F.octet_length(x) == F.length(x), F.lower(x)).otherwise(F.translate(x, UPPER, LOWER)))
 
 
 def hash_of(key: Column) -> Column:
@@ -47,7 +48,7 @@ def hash_of(key: Column) -> Column:
 
 def _hashes(text: Column, min_chars: int) -> Column:
     """Distinct hashes of a text's keys: sorted, then those that differ from the one before."""
-    keys = F.filter(F.transform(lines_of(text), key_of), lambda k: F.length(k) >= min_chars)
+    keys = F.filter(keys_of(text), lambda k: F.length(k) >= min_chars)
     return F.array_sort(F.transform(keys, hash_of))
 
 
@@ -63,7 +64,9 @@ class LineRuns:
     def _keys(self, batch: DataFrame, key: str, text: str) -> DataFrame:
         each = batch.select(F.col(key).alias("_id"), _hashes(F.col(text), self.min_chars).alias("_all"))
         once = each.select("_id", F.filter("_all", lambda x, i: (i == 0) | (x != F.get("_all", i - 1))).alias("_all"))
-        return once.select("_id", F.explode("_all").alias("_h")).select("_id", "_h.h1", "_h.h2")
+        # An outer explode: for an inner one the optimizer tests beforehand that the array has elements, which
+        # would compute it twice.
+        return once.select("_id", F.explode_outer("_all").alias("_h")).filter(F.col("_h").isNotNull()).select("_id", "_h.h1", "_h.h2")
 
     def _store(self, run: DataFrame, level: int) -> None:
         label = f"run{self.made}"
@@ -126,7 +129,7 @@ def drop_repeated(docs: DataFrame, repeated: DataFrame | None, key: str = "doc_i
     if repeated is None:
         gone = None
     else:
-        at = docs.select(F.col(key).alias("_id"), F.xxhash64(text).alias("_text"), F.posexplode(F.transform(lines_of(F.col(text)), key_of)).alias("_pos", "_key"))
+        at = docs.select(F.col(key).alias("_id"), F.xxhash64(text).alias("_text"), F.posexplode_outer(keys_of(F.col(text))).alias("_pos", "_key"))
         at = at.filter(F.length("_key") >= min_chars).select("_id", "_text", "_pos", hash_of(F.col("_key")).alias("_h")).select("_id", "_text", "_pos", "_h.h1", "_h.h2")
         lost = at.join(repeated, ["h1", "h2"]).filter(F.coalesce(F.col("_id") != F.col("last"), F.lit(True)) & F.col("last").isNotNull())
         gone = lost.groupBy("_id", "_text").agg(F.collect_list("_pos").alias("_gone")).select("_id", F.col("_text").alias("_text2"), "_gone")

@@ -1,4 +1,48 @@
-"""Registered queries."""
+"""Streams replayed over the events table; the check SQL is the same aggregate over all of it."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from harrow.streaming import tabs
+
+
+def source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events files as a stream."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
+
+
+def _replayed(plan: Callable[[DataFrame], DataFrame], mode: str, name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = tabs.replay(spark, tabs.trace(source(spark, sf_dir)), plan, mode, name)
+        return rows.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else c for c, t in rows.dtypes])
+
+    return query
+
+
+def stream_falling_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    looks = source(spark, sf_dir).select((F.col("user_id") % 50).alias("key"), (F.floor("value") % 60).cast("int").alias("seconds"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("place"))
+    return tabs.replay(spark, looks, tabs.falling, "append", "stream_falling_timers").select("key")
+
+
+QUERIES = {
+    "stream_rule_counts": _replayed(tabs.rule_counts, "complete", "stream_rule_counts"),
+    "stream_latest_by_kind": _replayed(tabs.latest_by_kind, "complete", "stream_latest_by_kind"),
+    "stream_windows": _replayed(tabs.windows, "complete", "stream_windows"),
+    "stream_bursts": _replayed(tabs.bursts, "complete", "stream_bursts"),
+    "stream_falling_timers": stream_falling_timers,
+}
+
+_TRACE = """SELECT user_id % 20 AS tab_id, concat('rule-', CAST(event_id % 6 AS VARCHAR)) AS rule_id, CASE event_type WHEN 'error' THEN 'segment' WHEN 'view' THEN 'navigation' ELSE 'rule-application' END AS type, event_id, ts AS "at" FROM events"""
+ORACLES = {
+    "stream_rule_counts": f"SELECT tab_id, rule_id, count(*) AS n FROM ({_TRACE}) WHERE type = 'rule-application' GROUP BY tab_id, rule_id",
+    "stream_latest_by_kind": f'''SELECT tab_id, type, arg_max(rule_id, ("at", event_id)) AS rule_id, max("at") AS "at" FROM ({_TRACE}) GROUP BY tab_id, type''',
+    "stream_windows": f'''SELECT CAST(date_trunc('day', "at") AS TIMESTAMP) AS started, type, count(*) AS n FROM ({_TRACE}) GROUP BY 1, 2''',
+    "stream_bursts": f"""SELECT tab_id, min("at") AS started, max("at") + INTERVAL 1 HOUR AS settled, count(*) AS n FROM (SELECT *, sum(CASE WHEN before IS NULL OR "at" > before + INTERVAL 1 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY tab_id ORDER BY "at", event_id) AS burst
+    FROM (SELECT *, lag("at") OVER (PARTITION BY tab_id ORDER BY "at", event_id) AS before FROM ({_TRACE}))) GROUP BY tab_id, burst""",
+    "stream_falling_timers": """SELECT DISTINCT key FROM (SELECT user_id % 50 AS key, CAST(floor(value) AS BIGINT) % 60 AS s, lag(CAST(floor(value) AS BIGINT) % 60) OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) AS b FROM events) WHERE s < b""",
+}

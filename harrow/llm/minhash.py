@@ -6,11 +6,13 @@ text; the hash of that tuple is a bucket. Two texts meet if they share a bucket,
 a common order. A pair is linked if an alignment of the k-mer sequences, in a band as wide as the threshold lets
 them shift, has common / (n_a + n_b - common) >= SIMILARITY, common being the longest common subsequence.
 
-Texts with equal words are one node. A bucket is not turned into all its pairs: its member of least number is
-the leader and is paired with the others; then classes are formed, and a bucket goes on with one member of
-each class that it still holds, without leaders that have met all, and with four times as many leaders a round,
-until no bucket holds two classes. From the second round on, a pair is aligned only if it shares a second
-sketch, as nearly all pairs above the threshold do. So a bucket of thousands of copies costs a pair for each.
+Texts with equal words are one node. A bucket is not turned into all its pairs: the member whose buckets hold
+most others leads it and is paired with the rest, and classes are formed. A bucket that still holds members of
+several classes goes on without the leaders that have met all: members outside its largest class lead next, and
+are paired with those of other classes, four times as many leaders each round, until one class is left. So a
+bucket of thousands of copies costs a pair for each, and no pair of a bucket is left unjudged that could join
+two classes. From the second round on, a pair is aligned only if it shares a second sketch, as nearly all pairs
+above the threshold do.
 
 Defined cases: texts without a word (null, empty, blank) are equal to each other; a text shorter than a k-mer
 is one k-mer; class ids are the least id of the class; a class of null ids alone has a null class id; repeated
@@ -34,6 +36,8 @@ from harrow.llm._storage import Scratch
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, TAKEN, SEED = 16, 3, 5
+#: Leaders of a bucket in the second round.
+LEADERS = 4
 KNOWN, KNOWN_CHARS = 400_000, 48
 _MASK = (1 << 64) - 1
 
@@ -209,8 +213,14 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     nodes = rows.groupBy("h1", "h2").agg(F.min(key).alias("_id"), F.first("n").alias("n"), F.first("sketches").alias("sketches"))
     nodes = scratch.write(nodes.withColumn("u", F.monotonically_increasing_id()), "nodes")
     entries = nodes.filter("n > 0").select("u", "n", F.posexplode("sketches").alias("j", "value")).withColumn("bucket", F.xxhash64("j", "value")).select("bucket", "u", "n")
-    crowded = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("u").alias("leader"), F.min_by("n", "u").alias("leader_n")).filter("size > 1").drop("size")
-    held = scratch.write(entries.join(scratch.write(crowded, "crowded"), "bucket"), "held")
+    crowded = scratch.write(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "crowded")
+    held = scratch.write(entries.join(crowded, "bucket"), "held0")
+    # A node whose buckets are crowded is close to many others, as the text is that copies were made from.
+    central = scratch.write(held.groupBy("u").agg(F.sum("size").alias("fame")), "central")
+    held = scratch.write(held.join(central, "u").select("bucket", "u", "n", "fame"), "held")
+    first = F.struct("fame", (-F.col("u")).alias("v"), "n")
+    leader = held.groupBy("bucket").agg(F.max(first).alias("f")).select("bucket", (-F.col("f.v")).alias("leader"), F.col("f.n").alias("leader_n"))
+    led = scratch.write(held.join(scratch.write(leader, "leader"), "bucket"), "led").filter("u <> leader")
 
     # The texts of the nodes that share a bucket, once.
     wanted = held.select("u").distinct().join(nodes.select("u", "h1", "h2", "_id"), "u")
@@ -218,29 +228,30 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     texts = scratch.write(_texts(texts, scratch.write(wanted, "wanted")), "texts")
 
     fits = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y)
-    pairs = held.filter(F.col("u") != F.col("leader")).filter(fits(F.col("n"), F.col("leader_n"))).select(F.col("u").alias("a"), F.col("leader").alias("b")).distinct()
+    pairs = led.filter(fits(F.col("n"), F.col("leader_n"))).select(F.col("u").alias("a"), F.col("leader").alias("b")).distinct()
     links = [_linked(scratch, pairs, texts, threshold, 0)]
-    active = held.filter(F.col("u") != F.col("leader")).select("bucket", "u", "n").unionByName(held.filter(F.col("u") == F.col("leader")).select("bucket", "u", "n"))
-    round_, leaders, roots = 1, 1, None
+    active, round_, leaders = led.select("bucket", "u", "n", "fame"), 1, LEADERS
+    known = nodes.select("u", "sketches")
     while True:
         roots = components(_union(links), scratch, f"classes{round_}")
-        # One member of each class in each bucket; the first round's leaders have met all others.
-        now = active if roots is None else active.join(roots.withColumnRenamed("node", "u"), "u", "left")
-        now = now.withColumn("class", F.coalesce("root", "u") if roots is not None else F.col("u"))
-        one = now.groupBy("bucket", "class").agg(F.min("u").alias("u"), F.min_by("n", "u").alias("n"))
-        alone = one.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
-        one = scratch.write(one.join(alone, "bucket", "left_semi"), f"open{round_}")
-        if one.isEmpty():
+        now = active.withColumn("class", F.col("u")) if roots is None else active.join(roots.withColumnRenamed("node", "u"), "u", "left").withColumn("class", F.coalesce("root", "u")).drop("root")
+        now = scratch.write(now, f"now{round_}")
+        shares = scratch.write(now.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("size")), f"shares{round_}")
+        mixed = shares.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("size", "class")).alias("most")).filter("k > 1").select("bucket", F.col("most.class").alias("most"))
+        mixed = scratch.write(mixed, f"mixed{round_}")
+        if mixed.isEmpty():
             break
-        ranked = scratch.write(one.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("u"))), f"ranked{round_}")
-        lead = ranked.filter(F.col("rank") <= leaders).select("bucket", F.col("u").alias("b"), F.col("n").alias("m"), F.col("rank").alias("first"))
-        pairs = ranked.join(lead, "bucket").filter(F.col("rank") > F.col("first")).filter(fits(F.col("n"), F.col("m")))
-        pairs = pairs.select(F.col("u").alias("a"), "b").distinct()
-        known = nodes.select("u", "sketches")
+        # Leaders come from all classes of a bucket but its largest, smallest first; when they have met all, one class is left.
+        few = now.join(mixed, "bucket").filter(F.col("class") != F.col("most")).join(shares, ["bucket", "class"])
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("size", F.desc("fame"), "u"))
+        lead = few.withColumn("rank", rank).filter(F.col("rank") <= leaders).select("bucket", F.col("u").alias("b"), F.col("n").alias("m"), F.col("class").alias("own"))
+        lead = scratch.write(lead, f"lead{round_}")
+        others = scratch.write(now.join(mixed.select("bucket"), "bucket", "left_semi"), f"others{round_}")
+        pairs = others.join(lead, "bucket").filter((F.col("class") != F.col("own")) & fits(F.col("n"), F.col("m"))).select(F.least("u", "b").alias("a"), F.greatest("u", "b").alias("b")).distinct()
         pairs = pairs.join(known.select(F.col("u").alias("a"), F.col("sketches").alias("s")), "a").join(known.select(F.col("u").alias("b"), F.col("sketches").alias("t")), "b")
         pairs = pairs.filter(F.aggregate(F.zip_with("s", "t", lambda s, t: (s == t).cast("int")), F.lit(0), lambda x, y: x + y) >= 2).select("a", "b")
         links.append(_linked(scratch, pairs, texts, threshold, round_))
-        active = ranked.filter(F.col("rank") > leaders).select("bucket", "u", "n")
+        active = others.join(lead.select("bucket", F.col("b").alias("u")), ["bucket", "u"], "left_anti").select("bucket", "u", "n", "fame")
         round_, leaders = round_ + 1, leaders * 4
 
     whole = nodes.select("u", "h1", "h2", F.col("_id").alias("_least"))

@@ -8,7 +8,8 @@ selects. The trees are trained on generated sentences whose answers are known (S
 features computed by the same columns, and compiled to CASE expressions, so scoring stays in the JVM.
 
 Offsets are code points, ends exclusive. Defined cases: a null text is the empty text, with no spans; equal
-spans of one kind count once; other columns pass through. The quantified groups of all patterns are possessive,
+spans of one kind count once; repeated rows are treated alike; other columns pass through, but _base and _spans are
+replaced; an empty table gives no rows. The quantified groups of all patterns are possessive,
 which Java matches in a loop, so texts of any length need no deep stack.
 """
 
@@ -34,7 +35,7 @@ BASE = {
 SIGN = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 #: Generators of candidates: kind, pattern, sign.
 GENERATORS = (
-    ("email", rf"(?<![{LOCAL}])[{LOCAL}]{{1,64}}+ ?(?:\(at\)|\[at\]| at |@) ?[A-Za-z0-9-]{{1,63}}+(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z0-9-]{{2,24}}+){{1,4}}+", r"[(\[]at[)\]]| at [A-Za-z0-9-]+ ?(?:dot|[(\[]dot)"),
+    ("email", rf"(?<![{LOCAL}])[{LOCAL}]{{1,64}}+ ?(?:\(at\)|\[at\]| at |@) ?[A-Za-z0-9-]{{1,63}}+(?:(?: ?(?:\(dot\)|\[dot\]| dot ) ?|\.)[A-Za-z0-9-]{{2,24}}+){{1,4}}+", r"[(\[]at[)\]]| at [A-Za-z0-9-]+ ?(?:dot|[(\[]dot)"),
     ("ip", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}+[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])", r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"),
     ("card", r"(?<![0-9])(?:[0-9]{14,19}+|[0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{2,4}+)(?![0-9])", r"[0-9]{4}[\x20-]?[0-9]{4}"),
     ("phone", r"\+[0-9]{1,3}+[\x20.-]?(?:\([0-9]{1,4}\)[\x20.-]?)?[0-9]{2,4}+(?:[\x20.-][0-9]{2,4}+(?![0-9])){1,3}+", r"\+[0-9]"),
@@ -278,7 +279,7 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     # Most texts hold none of the signs: one look tells.
     some = t.rlike(r"[0-9@]|[(\[]at[)\]]| dot ")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    based = docs.withColumn("_base", F.when(some, base_spans(t)).otherwise(none))
+    based = docs.drop("_base", "_spans").withColumn("_base", F.when(some, base_spans(t)).otherwise(none))
     return based.withColumn("_spans", F.when(some, F.array_sort(F.concat("_base", added_spans(t, F.col("_base"), model)))).otherwise(none))
 
 

@@ -12,7 +12,8 @@ row a task; the joins are plain sort-merge joins that adaptive execution can spl
 
 Defined cases: a null or empty text is one empty line; a key is the line without [\\x20\\x09-\\x0D] at its ends,
 A-Z lower-cased; every row counts as a document, and all rows of the largest id keep the line; a null id is
-below all others; repeated rows are treated alike; other columns pass through.
+below all others; repeated rows are treated alike; other columns
+pass through, but for those of RESERVED names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ FANOUT = 4
 #: Batches that a whole table is read in.
 BATCHES = 4
 WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
+#: Columns of these names are replaced.
+RESERVED = ("_id", "_text", "_text2", "_gone", "_lines", "_kept", "_n_lines", "_n_dropped")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -125,6 +128,7 @@ def drop_repeated(docs: DataFrame, repeated: DataFrame | None, key: str = "doc_i
 
     A document is told by its id and a hash of its text, so rows that share an id are judged by their own lines.
     """
+    docs = docs.drop(*RESERVED)
     each = docs.withColumn("_text", F.xxhash64(text))
     if repeated is None:
         gone = None

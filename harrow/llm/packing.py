@@ -161,7 +161,7 @@ def pack(table: DataFrame, length: str = "length", capacity: int = CAPACITY, gro
     any column decides the group, so none can overfill one.
     """
     scratch = scratch or Scratch(table.sparkSession, "packing")
-    base = table.select(*[c for c in table.columns if c not in ("sequence_id", "offset")])
+    base = table.select(*[c for c in table.columns if c not in ("sequence_id", "offset", "_row")])
     at = scratch.write(base.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     total = at.count()
     slim = at.select("_row", F.col(length).cast("long").alias("_len")).withColumn("_salt", F.xxhash64("_row"))

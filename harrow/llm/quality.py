@@ -9,7 +9,8 @@ count to a document; scoring remembers them for each word, and every word of eve
 Only the text is an input of a score. Defined cases: a null or empty text has no features and scores by the
 bias alone; labels that are null or other than 0 and 1, and labels without a document, are not learned from;
 with no labelled rows at all, or one class alone, every document scores the share of label 1, or 1 without any
-label; repeated labels count once for each row.
+label; repeated labels count once for each row; other columns pass through, but one
+of the output's name is replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ class WordSums(dict):
         return got
 
 
-@dataclass
+@dataclass(eq=False)
 class Model:
     """Weight of each bucket after the output layer, the bias, and what calibration does to the sum."""
 
@@ -213,4 +214,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
 
 def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents of ``docs`` that score at least ``threshold``; columns as they were."""
-    return score(docs, model, text, "_quality").filter(F.col("_quality") >= threshold).drop("_quality")
+    return score(docs.drop("_quality"), model, text, "_quality").filter(F.col("_quality") >= threshold).drop("_quality")

@@ -48,12 +48,13 @@ class Tree(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in IMPLIED:
             same, stop = IMPLIED[tag]
+            closed = len(self.stack)
             for i in range(len(self.stack) - 1, -1, -1):
                 if self.stack[i]["tag"] in stop:
                     break
                 if self.stack[i]["tag"] in same:
-                    del self.stack[i:]
-                    break
+                    closed = i
+            del self.stack[closed:]
         elif tag in CLOSES_P:
             open_p = [i for i, n in enumerate(self.stack) if n["tag"] == "p"]
             if open_p:

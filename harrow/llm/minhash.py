@@ -11,8 +11,7 @@ most others leads it and is paired with the rest, and classes are formed. A buck
 several classes goes on without the leaders that have met all: members outside its largest class lead next, and
 are paired with those of other classes, four times as many leaders each round, until one class is left. So a
 bucket of thousands of copies costs a pair for each, and no pair of a bucket is left unjudged that could join
-two classes. From the second round on, a pair is aligned only if it shares a second sketch, as nearly all pairs
-above the threshold do.
+two classes. A pair is aligned only if it shares SHARED sketches.
 
 Defined cases: texts without a word (null, empty, blank) are equal to each other; a text shorter than a k-mer
 is one k-mer; class ids are the least id of the class; a class of null ids alone has a null class id; repeated
@@ -35,7 +34,11 @@ from harrow.llm._components import components
 from harrow.llm._storage import Scratch
 
 WORDS, SIMILARITY = 5, 0.8
-SKETCHES, TAKEN, SEED = 16, 3, 5
+SKETCHES, TAKEN, SEED = 24, 3, 5
+#: Sketches that a pair must share to be aligned. At the threshold a pair shares each with chance 0.8 ** 3, so 12 of
+#: 24 on average, and fewer than 4 in one case of 10,000; copies above it share more. Of texts that have a third of their
+#: k-mers in common, one pair in 80 shares 4.
+SHARED = 4
 #: Leaders of a bucket in the second round.
 LEADERS = 4
 KNOWN, KNOWN_CHARS = 400_000, 48
@@ -212,12 +215,12 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     rows = scratch.write(sketched(docs, key, text), "rows")
     nodes = rows.groupBy("h1", "h2").agg(F.min(key).alias("_id"), F.first("n").alias("n"), F.first("sketches").alias("sketches"))
     nodes = scratch.write(nodes.withColumn("u", F.monotonically_increasing_id()), "nodes")
-    entries = nodes.filter("n > 0").select("u", "n", F.posexplode("sketches").alias("j", "value")).withColumn("bucket", F.xxhash64("j", "value")).select("bucket", "u", "n")
+    entries = nodes.filter("n > 0").select("u", "n", F.posexplode("sketches").alias("j", "value")).withColumn("bucket", F.xxhash64("j", "value")).select("bucket", "u", "n", F.col("j").cast("int").alias("j"))
     crowded = scratch.write(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "crowded")
     held = scratch.write(entries.join(crowded, "bucket"), "held0")
     # A node whose buckets are crowded is close to many others, as the text is that copies were made from.
     central = scratch.write(held.groupBy("u").agg(F.sum("size").alias("fame")), "central")
-    held = scratch.write(held.join(central, "u").select("bucket", "u", "n", "fame"), "held")
+    held = scratch.write(held.join(central, "u").select("bucket", "j", "u", "n", "fame"), "held")
     first = F.struct("fame", (-F.col("u")).alias("v"), "n")
     leader = held.groupBy("bucket").agg(F.max(first).alias("f")).select("bucket", (-F.col("f.v")).alias("leader"), F.col("f.n").alias("leader_n"))
     led = scratch.write(held.join(scratch.write(leader, "leader"), "bucket"), "led").filter("u <> leader")
@@ -227,11 +230,16 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     texts = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
     texts = scratch.write(_texts(texts, scratch.write(wanted, "wanted")), "texts")
 
+    same = F.zip_with("s", "t", lambda s, t: s == t)
+    earliest = (F.array_position(same, True) - 1).cast("int")
+    alike = lambda p: p.filter(F.size(F.filter(F.zip_with("s", "t", lambda s, t: s == t), lambda x: x)) >= SHARED)
     fits = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y)
+    # How many buckets lead a node to the same leader is the number of sketches that they share, or less.
     pairs = led.filter(fits(F.col("n"), F.col("leader_n"))).select(F.col("u").alias("a"), F.col("leader").alias("b")).distinct()
+    known = scratch.write(held.select("u").distinct().join(nodes.select("u", "sketches"), "u"), "known")
+    pairs = alike(pairs.join(known.select(F.col("u").alias("a"), F.col("sketches").alias("s")), "a").join(known.select(F.col("u").alias("b"), F.col("sketches").alias("t")), "b")).select("a", "b")
     links = [_linked(scratch, pairs, texts, threshold, 0)]
-    active, round_, leaders = led.select("bucket", "u", "n", "fame"), 1, LEADERS
-    known = nodes.select("u", "sketches")
+    active, round_, leaders = led.select("bucket", "j", "u", "n", "fame"), 1, LEADERS
     while True:
         roots = components(_union(links), scratch, f"classes{round_}")
         now = active.withColumn("class", F.col("u")) if roots is None else active.join(roots.withColumnRenamed("node", "u"), "u", "left").withColumn("class", F.coalesce("root", "u")).drop("root")
@@ -245,13 +253,13 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
         few = now.join(mixed, "bucket").filter(F.col("class") != F.col("most")).join(shares, ["bucket", "class"])
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("size", F.desc("fame"), "u"))
         lead = few.withColumn("rank", rank).filter(F.col("rank") <= leaders).select("bucket", F.col("u").alias("b"), F.col("n").alias("m"), F.col("class").alias("own"))
-        lead = scratch.write(lead, f"lead{round_}")
-        others = scratch.write(now.join(mixed.select("bucket"), "bucket", "left_semi"), f"others{round_}")
-        pairs = others.join(lead, "bucket").filter((F.col("class") != F.col("own")) & fits(F.col("n"), F.col("m"))).select(F.least("u", "b").alias("a"), F.greatest("u", "b").alias("b")).distinct()
-        pairs = pairs.join(known.select(F.col("u").alias("a"), F.col("sketches").alias("s")), "a").join(known.select(F.col("u").alias("b"), F.col("sketches").alias("t")), "b")
-        pairs = pairs.filter(F.aggregate(F.zip_with("s", "t", lambda s, t: (s == t).cast("int")), F.lit(0), lambda x, y: x + y) >= 2).select("a", "b")
+        lead = scratch.write(lead.join(known.select(F.col("u").alias("b"), F.col("sketches").alias("t")), "b"), f"lead{round_}")
+        others = scratch.write(now.join(mixed.select("bucket"), "bucket", "left_semi").join(known.withColumnRenamed("sketches", "s"), "u"), f"others{round_}")
+        # A pair is made in the first bucket that the two share and in no other. A pair of leaders would come twice.
+        pairs = others.join(lead, "bucket").filter((F.col("class") != F.col("own")) & fits(F.col("n"), F.col("m")) & (F.col("j") == earliest))
+        pairs = alike(pairs).select(F.least("u", "b").alias("a"), F.greatest("u", "b").alias("b")).distinct()
         links.append(_linked(scratch, pairs, texts, threshold, round_))
-        active = others.join(lead.select("bucket", F.col("b").alias("u")), ["bucket", "u"], "left_anti").select("bucket", "u", "n", "fame")
+        active = others.join(lead.select("bucket", F.col("b").alias("u")), ["bucket", "u"], "left_anti").select("bucket", "j", "u", "n", "fame")
         round_, leaders = round_ + 1, leaders * 4
 
     whole = nodes.select("u", "h1", "h2", F.col("_id").alias("_least"))

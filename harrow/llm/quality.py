@@ -16,6 +16,7 @@ of the output's name is replaced; an empty table gives no rows.
 from __future__ import annotations
 
 import math
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Labelled documents to learn from at most, and the characters of text they may hold together.
-SAMPLE = 6_000
-SAMPLE_CHARS = 24_000_000
+SAMPLE = 4_000
+SAMPLE_CHARS = 12_000_000
 BUCKETS, DIM, EPOCHS, RATE, SEED = 1 << 15, 8, 4, 0.25, 7
 NGRAMS = (2, 3, 4)
 THRESHOLD = 0.3
@@ -116,18 +117,17 @@ def train(texts: list[str], labels: list[int]) -> Model:
         share = float(y.mean()) if len(y) else 1.0
         return Model(np.zeros(BUCKETS), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     rng = np.random.default_rng(SEED)
-    known: dict[str, list[int]] = {}
+    known: dict[str, bytes] = {}
     bags = []
     for text in texts:
-        at: list[int] = []
         words = text.split()
         for w in words:
             if w not in known:
-                known[w] = features(w)
-            at.extend(known[w])
+                known[w] = np.array(features(w), np.uint16).tobytes()
+        at = np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint16)
         for mark, weight_ in marks(words) if words else ():
-            at.extend([mark_bucket(mark)] * weight_)
-        ids, counts = np.unique(np.array(at, np.int64), return_counts=True)
+            at = np.append(at, np.full(weight_, mark_bucket(mark), np.uint16))
+        ids, counts = np.unique(at, return_counts=True)
         bags.append((ids.astype(np.int32), (counts / max(len(at), 1)).astype(np.float32)))
     known.clear()
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
@@ -181,20 +181,28 @@ def fold(key: str):
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
-    """Train on at most ``sample`` labelled documents outside the held-out fold."""
+    """Train on at most ``sample`` labelled documents outside the held-out fold.
+
+    The sample has a bound, so one task holds it; that task trains and the driver gets the model alone.
+    """
     marked = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & (fold(key) != 0)).select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y"))
     order = [F.xxhash64("_k"), F.col("_k"), F.col("_y")]
     chosen = marked.orderBy(*order).limit(sample)
     # At most ``sample`` ids, so the join's small side has a bound.
     got = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_t")).join(F.broadcast(chosen), "_k")
-    rows = sorted(got.orderBy(*order).limit(sample).toLocalIterator(), key=lambda r: (r["_k"], r["_y"], r["_t"]))
-    texts, y, room = [], [], SAMPLE_CHARS
-    for r in rows:
-        if room > 0:
-            texts.append(r["_t"])
-            y.append(r["_y"])
-            room -= len(r["_t"])
-    return train(texts, y)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for b in batches for r in zip(*(b.column(n).to_pylist() for n in ("_k", "_y", "_t")), strict=True))
+        texts, y, room = [], [], SAMPLE_CHARS
+        for _, mark, t in rows:
+            if room > 0:
+                texts.append(t)
+                y.append(mark)
+                room -= len(t)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, y))], pa.binary())], names=["model"])
+
+    found = got.orderBy(*order).limit(sample).mapInArrow(learn, "model binary").collect()
+    return pickle.loads(bytes(found[0]["model"])) if found else train([], [])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:

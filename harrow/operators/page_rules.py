@@ -166,7 +166,11 @@ def hidden_reason() -> Column:
         ("transform-collapsed", style("transform").rlike(r"scale[xy]?\(0\)|scale\(0[, ]") & ~animated), ("content-visibility-hidden", style("content-visibility") == "hidden"),
         ("max-height-collapsed", style("max-height").rlike("^0") & (style("overflow") == "hidden") & ~animated), ("color-match", colour == ground),
     ]
-    hit = F.coalesce(*[F.when(F.coalesce(p, F.lit(False)), F.lit(r)) for r, p in reasons])
+    return F.coalesce(*[F.when(F.coalesce(p, F.lit(False)), F.lit(r)) for r, p in reasons])
+
+
+def not_exempt(hit: Column) -> Column:
+    """The reason, unless the node is for screen readers, or a landmark and hidden by position alone."""
     positional = ("offscreen-left", "offscreen-top", "text-indent", "clip-to-zero")
     exempt = F.coalesce(D.attr("class"), F.lit("")).rlike(r"(?:^|\s)(?:sr-only|visually-?hidden|screen-reader-text)(?:\s|$)")
     landmark = F.col("tag").isin("nav", "main", "header", "footer", "aside") | (D.attr("aria-hidden") == "true")
@@ -174,7 +178,7 @@ def hidden_reason() -> Column:
 
 
 def hidden_text(n: DataFrame) -> DataFrame:
-    e = styled(n.filter((F.col("kind") == "element") & ~F.col("in_non_content") & D.attr("style").isNotNull() & (F.length("text_content") > 0))).withColumn("evidence", hidden_reason())
+    e = styled(n.filter((F.col("kind") == "element") & ~F.col("in_non_content") & D.attr("style").isNotNull() & (F.length("text_content") > 0))).withColumn("_hit", hidden_reason()).filter("_hit IS NOT NULL").withColumn("evidence", not_exempt(F.col("_hit")))
     return D.outermost(e.filter("evidence IS NOT NULL").select("page_id", "node_id", "pre", "end", "evidence"), "page_id")
 
 

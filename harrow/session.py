@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import atexit
+import contextlib
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "harrow") -> SparkSession:
@@ -20,3 +25,28 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_table(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once as Parquet to the folder in ``spark.checkpoint.dir`` and read back.
+
+    For what many branches of a plan read, such as parsed pages. Only a local session may go without the setting;
+    it then gets a temporary folder. The table is removed when the driver ends.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='harrow-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def remove() -> None:
+        with contextlib.suppress(Exception):
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+    atexit.register(remove)
+    return spark.read.schema(df.schema).parquet(path)

@@ -9,7 +9,7 @@ them shift, has common / (n_a + n_b - common) >= SIMILARITY, common being the lo
 Texts with equal words are one node. A bucket is not turned into all its pairs: the member whose buckets hold
 most others leads it and is paired with the rest, and classes are formed. A bucket that still holds members of
 several classes goes on without the leaders that have met all: members outside its largest class lead next, and
-are paired with those of other classes, four times as many leaders each round, until one class is left. So a
+are paired with those of other classes, LEADERS at first and four times as many each round, until one class is left. So a
 bucket of thousands of copies costs a pair for each, and no pair of a bucket is left unjudged that could join
 two classes. A pair is aligned only if it shares SHARED sketches.
 
@@ -40,7 +40,7 @@ SKETCHES, TAKEN, SEED = 24, 3, 5
 #: k-mers in common, one pair in 80 shares 4.
 SHARED = 4
 #: Leaders of a bucket in the second round.
-LEADERS = 4
+LEADERS = 256
 KNOWN, KNOWN_CHARS = 400_000, 48
 _MASK = (1 << 64) - 1
 

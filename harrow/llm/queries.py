@@ -144,6 +144,13 @@ r AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY ke
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE r.key IS NOT NULL AND doc_id <> last) AS n_dropped,
     sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT (r.key IS NOT NULL AND doc_id <> last)), '')) AS kept_sha256
 FROM k LEFT JOIN r ON k.key = r.key GROUP BY doc_id""",
+    "op10_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes,
+    array_to_string(list_transform(range(32), lambda k: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substring(s, CAST(10 * (k // 8) + 1 AS BIGINT), 10) AS BIGINT) >> CAST(35 - 5 * (k % 8) AS BIGINT)) & 31 AS INT), 1)), '') AS payload_digest,
+    CASE WHEN page_id = first OR first IS NULL THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN f ON p.h = f.h""",
     "op5_chat_perspectives": """
 WITH t AS (SELECT conv_id, turn, coalesce(CAST(floor(turn / 64) AS BIGINT), -1) AS block, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
 s AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),

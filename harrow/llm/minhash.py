@@ -307,6 +307,6 @@ def _linked(scratch: Scratch, pairs: DataFrame, texts: DataFrame, threshold: flo
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """The document of least id of each class; columns as they were."""
+    """The document of least id of each class; columns as they were. Documents without an id can't be told apart and stay."""
     least = classes(docs, key, text, threshold).select("class_id").distinct()
-    return docs.join(least, docs[key] == least["class_id"], "left_semi")
+    return docs.join(least, docs[key] == least["class_id"], "left_semi").unionByName(docs.filter(docs[key].isNull()))

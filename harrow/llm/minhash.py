@@ -82,7 +82,7 @@ def kmers(words: list[str], k: int = WORDS) -> np.ndarray:
 
 
 def labelled(h: np.ndarray) -> np.ndarray:
-    """The hashes with those that repeat told apart by their occurrence."""
+    """The hashes with those that repeat told apart by their occurrence; a first one keeps its hash, as in a text without repeats."""
     order = np.argsort(h, kind="stable")
     s = h[order]
     if not (s[1:] == s[:-1]).any():
@@ -90,7 +90,7 @@ def labelled(h: np.ndarray) -> np.ndarray:
     first = np.r_[True, s[1:] != s[:-1]]
     start = np.maximum.accumulate(np.where(first, np.arange(len(s)), 0))
     out = np.empty_like(h)
-    out[order] = _mix(s + (np.arange(len(s)) - start).astype(np.uint64) * _POWERS[63])
+    out[order] = np.where(first, s, _mix(s + (np.arange(len(s)) - start).astype(np.uint64) * _POWERS[63]))
     return out
 
 

@@ -309,6 +309,14 @@ def test_near_duplicates(spark, docs, odd, none):
     assert got == brute_classes(rows)
 
 
+def test_near_duplicates_repeated_phrase(spark):
+    words = [f"r{i}" for i in range(300)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, *words[20:26]]))]
+    one, two = (minhash.labelled(minhash.kmers(t.split())) for _, t in rows)
+    assert len(np.intersect1d(one, two)) == 296 and len(np.unique(two)) == len(two) == 302
+    assert classes(spark.createDataFrame(rows, "doc_id long, text string")) == [(1, 1), (2, 1)]
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:

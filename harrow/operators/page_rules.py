@@ -82,11 +82,11 @@ def noscript(n: DataFrame) -> DataFrame:
 
 
 def svg_text(n: DataFrame) -> DataFrame:
-    return _found(n, _element("title", "desc", "text") & F.col("in_svg") & R.injected(F.col("text_content")), F.col("tag"))
+    return _found(n, _element("title", "desc", "text") & F.col("in_svg") & R.injected(F.col("whole_text")), F.col("tag"))
 
 
 def meta_injected(n: DataFrame) -> DataFrame:
-    return _found(n, (_element("meta") & F.coalesce(R.injected(D.attr("content")), F.lit(False))) | (_element("title") & ~F.col("in_svg") & R.injected(F.col("text_content"))), F.col("tag"))
+    return _found(n, (_element("meta") & F.coalesce(R.injected(D.attr("content")), F.lit(False))) | (_element("title") & ~F.col("in_svg") & R.injected(F.col("whole_text"))), F.col("tag"))
 
 
 #: Attributes that carry text a reader does not see at once.
@@ -190,7 +190,7 @@ def cross_origin_frames(n: DataFrame) -> DataFrame:
 
 def links(n: DataFrame) -> DataFrame:
     """Links with their absolute URL and text."""
-    return n.filter(_element("a") & D.attr("href").isNotNull()).select("page_id", "node_id", "pre", "end", "url", U.resolve(D.attr("href"), F.col("url")).alias("href"), F.col("text_content").alias("said"))
+    return n.filter(_element("a") & D.attr("href").isNotNull()).select("page_id", "node_id", "pre", "end", "url", U.resolve(D.attr("href"), F.col("url")).alias("href"), F.col("whole_text").alias("said"))
 
 
 def link_spoof(n: DataFrame) -> DataFrame:
@@ -244,7 +244,7 @@ def footer(n: DataFrame) -> DataFrame:
 
 
 def newsletter(n: DataFrame) -> DataFrame:
-    held = _found(n, D.selector(NEWSLETTER) & F.coalesce(F.lower("text_content").rlike("subscribe|sign ?up|newsletter|join our"), F.lit(False)), "newsletter")
+    held = _found(n, D.selector(NEWSLETTER) & F.coalesce(F.lower("whole_text").rlike("subscribe|sign ?up|newsletter|join our"), F.lit(False)), "newsletter")
     mail = n.filter(_element("input") & (D.attr("type") == "email")).select(F.col("page_id").alias("_p"), F.col("pre").alias("_m"))
     has = held.join(mail, (F.col("page_id") == F.col("_p")) & (F.col("_m") > F.col("pre")) & (F.col("_m") <= F.col("end")), "left_semi")
     return D.outermost(has, "page_id")

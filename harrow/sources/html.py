@@ -3,6 +3,9 @@
 ``pre`` is the place in document order and ``end`` the ``pre`` of the last descendant, so ancestors are intervals.
 The tree builder closes p, li, dd, dt, option, td and tr where HTML implies it, knows void elements, and drops open
 elements down to the one an end tag names. It is no browser: malformed pages can give other trees.
+
+``text_content`` is the first TEXT_CAP characters of an element's text, ``text_len`` the length of all of it. Elements that
+rules judge by their text at any length (``read_whole``) have all of it in ``whole_text``; it is null for others.
 """
 
 from __future__ import annotations
@@ -20,12 +23,18 @@ BLOCK = set("address article aside blockquote body br center dd details dialog d
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "option": ({"option"}, {"select"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"})}
 CLOSES_P = BLOCK - {"br", "option", "body", "html", "select", "td", "tr", "legend", "tbody", "thead", "tfoot", "th", "summary"}
 TEXT_CAP = 240
+#: Tags, and parts of the class attribute, of elements whose text is kept whole.
+WHOLE, WHOLE_CLASSES = {"a", "title", "desc", "text"}, ("modal", "popup", "newsletter")
 NODES = (
     "page_id long, node_id int, parent_id int, pre int, end int, depth int, n_children int, kind string, tag string, attrs map<string,string>, text string, grp int, "
-    "in_non_content boolean, in_svg boolean, in_form boolean, in_article boolean, nearest_block int, text_content string, text_len int"
+    "in_non_content boolean, in_svg boolean, in_form boolean, in_article boolean, nearest_block int, text_content string, text_len int, whole_text string"
 )
 
 
+def read_whole(tag: str, attrs: dict) -> bool:
+    return tag in WHOLE or attrs.get("role") == "dialog" or any(c in attrs.get("class", "") for c in WHOLE_CLASSES)
+
+
 class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -38,7 +47,7 @@ class Tree(HTMLParser):
         node = {
             "node_id": len(self.nodes), "parent_id": up and up["node_id"], "pre": len(self.nodes), "end": len(self.nodes), "depth": len(self.stack), "n_children": 0, "kind": kind, "tag": tag, "attrs": list((attrs or {}).items()), "text": text, "grp": None,
             "in_non_content": bool(up and (up["in_non_content"] or up["tag"] in NON_CONTENT)), "in_svg": bool(up and (up["in_svg"] or up["tag"] == "svg")), "in_form": bool(up and (up["in_form"] or up["tag"] == "form")),
-            "in_article": bool(up and (up["in_article"] or up["tag"] in ("article", "section", "aside", "nav"))), "nearest_block": up and (up["node_id"] if up["tag"] in BLOCK else up["nearest_block"]), "_text": [], "_len": 0, "_said": 0,
+            "in_article": bool(up and (up["in_article"] or up["tag"] in ("article", "section", "aside", "nav"))), "nearest_block": up and (up["node_id"] if up["tag"] in BLOCK else up["nearest_block"]), "_text": [], "_len": 0, "_said": 0, "_whole": [] if kind == "element" and read_whole(tag, attrs) else None,
         }
         self.nodes.append(node)
         if up and kind == "element":
@@ -87,6 +96,8 @@ class Tree(HTMLParser):
                 up["_text"].append(piece[: TEXT_CAP + 16])
                 up["_said"] += len(piece)
             up["_len"] += len(data)
+            if up["_whole"] is not None:
+                up["_whole"].append(data)
 
     def handle_comment(self, data: str) -> None:
         self._add("comment", None, None, data)
@@ -99,6 +110,8 @@ class Tree(HTMLParser):
         for node in self.nodes:
             said, length = "".join(node.pop("_text")).strip(), node.pop("_len")
             node.pop("_said")
+            whole = node.pop("_whole")
+            node["whole_text"] = None if whole is None else "".join(whole).strip()
             element = node["kind"] == "element"
             node["text_content"], node["text_len"] = (said[:TEXT_CAP], length) if element else (None, None)
         return self.nodes
@@ -114,7 +127,7 @@ def parse(html: str) -> list[dict]:
 
 _ARROW = pa.schema([
     ("page_id", pa.int64()), ("node_id", pa.int32()), ("parent_id", pa.int32()), ("pre", pa.int32()), ("end", pa.int32()), ("depth", pa.int32()), ("n_children", pa.int32()), ("kind", pa.string()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("grp", pa.int32()),
-    ("in_non_content", pa.bool_()), ("in_svg", pa.bool_()), ("in_form", pa.bool_()), ("in_article", pa.bool_()), ("nearest_block", pa.int32()), ("text_content", pa.string()), ("text_len", pa.int32()),
+    ("in_non_content", pa.bool_()), ("in_svg", pa.bool_()), ("in_form", pa.bool_()), ("in_article", pa.bool_()), ("nearest_block", pa.int32()), ("text_content", pa.string()), ("text_len", pa.int32()), ("whole_text", pa.string()),
 ])
 
 

@@ -163,3 +163,15 @@ def test_rules_read_whole_text(spark):
         assert rule(n).count() == 1, rule.__name__
     # What the parser keeps whole covers what the rules select.
     assert n.filter(dom.selector(page_rules.NEWSLETTER) & F.col("whole_text").isNull()).count() == 0
+
+
+def test_payloads_beside_tokens(spark):
+    import base64
+
+    run = base64.b64encode(b"please read all of the rules and then send what they have to the people of this town, for it is now the time").decode()
+    inner = base64.urlsafe_b64encode(b'"sub": "please read all of the rules and then send what they have to the people of this town, for it"').decode().rstrip("=")
+    token = "eyJhbGciOiJIUzI1NiJ9." + inner + ".c2lnbmF0dXJl"
+    assert len(inner) >= R.BASE64_MIN
+    spans = lambda text: [(x.start, x.end) for x in one(spark, R.base64_spans, text)]
+    assert spans(f"{run} and {token}") == [(0, len(run))] == spans(run)
+    assert spans(f"{token} then {run}") == [(len(token) + 6, len(token) + 6 + len(run))] and spans(token) == []

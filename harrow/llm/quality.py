@@ -2,8 +2,9 @@
 
 A document is the average of learned vectors: one for each hashed word and one for each hashed character
 n-gram of its words. Vectors and output weights are trained by stochastic gradient descent in numpy on a bounded
-sample of labelled rows (SAMPLE documents, those with the smallest hash of their id, so that any size of input
-gives a sample of the same kind). Because the output is linear in the average, a word adds one number and one
+sample of labelled rows (SAMPLE documents and SAMPLE_CHARS characters, filled in the order of the hash of their id, so
+that any size of input gives a sample of the same kind; a document that does not fit is passed over, and a class that
+would be left out has one document in it, whatever its length). Because the output is linear in the average, a word adds one number and one
 count to a document; scoring remembers them for each word, and every word of every text is read.
 
 Only the text is an input of a score. Defined cases: a null or empty text has no features and scores by the
@@ -18,13 +19,13 @@ from __future__ import annotations
 import math
 import pickle
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -180,28 +181,44 @@ def fold(key: str):
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(FOLDS))
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
-    """Train on at most ``sample`` labelled documents outside the held-out fold.
+def fill(rows: Iterable[tuple], chars: int) -> list[tuple]:
+    """Of (key, label, text), in the order given, those that fit into ``chars`` together; of a class without one, its shortest."""
+    out, room, short = [], chars, {}
+    for row in rows:
+        mark, size = row[1], len(row[2])
+        if size <= room:
+            out.append(row)
+            room -= size
+        elif mark not in short or size < len(short[mark][2]):
+            short[mark] = row
+    there = {row[1] for row in out}
+    return out + [row for mark, row in sorted(short.items()) if mark not in there]
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Model:
+    """Train on at most ``sample`` labelled documents outside the held-out fold, of ``sample_chars`` characters together.
 
     The sample has a bound, so one task holds it; that task trains and the driver gets the model alone.
     """
     marked = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & (fold(key) != 0)).select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y"))
     order = [F.xxhash64("_k"), F.col("_k"), F.col("_y")]
+    marked = marked.join(docs.select(F.col(key).alias("_k")), "_k", "left_semi")
     chosen = marked.orderBy(*order).limit(sample)
-    # At most ``sample`` ids, so the join's small side has a bound.
+    # A class that none of them has gives the one of least hash.
+    least = marked.groupBy("_y").agg(F.min(F.struct(*order[:2]))["_k"].alias("_k")).select("_k", "_y")
+    chosen = chosen.unionByName(least.join(chosen.select("_y").distinct(), "_y", "left_anti"))
+    # At most ``sample`` ids and one, so the join's small side has a bound.
     got = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_t")).join(F.broadcast(chosen), "_k")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(r for b in batches for r in zip(*(b.column(n).to_pylist() for n in ("_k", "_y", "_t")), strict=True))
-        texts, y, room = [], [], SAMPLE_CHARS
-        for _, mark, t in rows:
-            if room > 0:
-                texts.append(t)
-                y.append(mark)
-                room -= len(t)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, y))], pa.binary())], names=["model"])
-
-    found = got.orderBy(*order).limit(sample).mapInArrow(learn, "model binary").collect()
+        rows = (tuple(b.column(n)[i].as_py() for n in ("_k", "_y", "_t")) for b in batches for i in range(len(b)))
+        rows = sorted(fill(rows, sample_chars))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([t for _, _, t in rows], [y for _, y, _ in rows]))], pa.binary())], names=["model"])
+
+    # The first of each class comes first, so that rows which share an id can't crowd out a class.
+    order = [*order, F.col("_t")]
+    got = got.withColumn("_n", F.row_number().over(Window.partitionBy("_y").orderBy(*order))).filter(F.col("_n") <= sample)
+    found = got.orderBy(F.col("_n") > 1, *order).limit(sample).select("_k", "_y", "_t").mapInArrow(learn, "model binary").collect()
     return pickle.loads(bytes(found[0]["model"])) if found else train([], [])
 
 

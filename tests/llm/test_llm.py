@@ -437,6 +437,23 @@ def test_quality(spark, docs, odd, none):
     assert 0 <= quality.fit(d, labels.filter("quality = 0")).score("x") < 0.1
 
 
+def test_quality_sample(spark):
+    rows = [(i, i % 2, "x" * (5 + i)) for i in range(40)]
+    assert quality.fill(rows, 12) == [(0, 0, "x" * 5), (1, 1, "x" * 6)]
+    assert quality.fill([(1, 0, "x" * 90), (2, 0, "xx"), (3, 1, "x" * 80), (4, 1, "x" * 70)], 10) == [(2, 0, "xx"), (4, 1, "x" * 70)]
+    # One long document at the smallest id, and all of its class at small ids.
+    made = [(i, "bad " * (5_000 if i == 0 else 20) if i < 150 else "good " * 20) for i in range(300)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 150)) for i in range(300)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, sample_chars=10_000)
+    assert model.score("bad " * 20) < 0.3 < 0.7 < model.score("good " * 20)
+    # One row of a class is among the sample however few are taken, and labels without a document take no room.
+    few = labels.filter("doc_id < 151 OR doc_id > 280").unionByName(spark.createDataFrame([(i, 0) for i in range(1000, 3000)], "doc_id long, quality int"))
+    for sample in (2, 5):
+        model = quality.fit(docs, few, sample=sample)
+        assert model.score("bad " * 20) < model.score("good " * 20)
+
+
 # 10
 
 

@@ -11,7 +11,8 @@ most others leads it and is paired with the rest, and classes are formed. A buck
 several classes goes on without the leaders that have met all: members outside its largest class lead next, and
 are paired with those of other classes, LEADERS at first and four times as many each round, until one class is left. So a
 bucket of thousands of copies costs a pair for each, and no pair of a bucket is left unjudged that could join
-two classes. A pair is aligned only if it shares SHARED sketches.
+two classes. Before texts are shuffled, a pair is left out only if its k-mers, counted in BINS classes of their hash,
+can't have as many in common as the threshold asks for.
 
 Defined cases: texts without a word (null, empty, blank) are equal to each other; a text shorter than a k-mer
 is one k-mer; class ids are the least id of the class; a class of null ids alone has a null class id; repeated
@@ -35,10 +36,8 @@ from harrow.llm._storage import Scratch
 
 WORDS, SIMILARITY = 5, 0.8
 SKETCHES, TAKEN, SEED = 24, 3, 5
-#: Sketches that a pair must share to be aligned. At the threshold a pair shares each with chance 0.8 ** 3, so 12 of
-#: 24 on average, and fewer than 4 in one case of 10,000; copies above it share more. Of texts that have a third of their
-#: k-mers in common, one pair in 80 shares 4.
-SHARED = 4
+#: Classes of k-mers that are counted for each text. Counts stop at FULL, which stands for any number from it on.
+BINS, FULL = 256, 255
 #: Leaders of a bucket in the second round.
 LEADERS = 256
 KNOWN, KNOWN_CHARS = 400_000, 48
@@ -109,6 +108,22 @@ def sketch(h: np.ndarray, sketches: int = SKETCHES, taken: int = TAKEN) -> np.nd
     return out.view(np.int64)
 
 
+def bins(h: np.ndarray) -> bytes:
+    """How many of the hashes fall into each class, a byte for each."""
+    return np.minimum(np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=BINS), FULL).astype(np.uint8).tobytes()
+
+
+def at_most(s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """For rows of bins, a number that the common k-mers, and so any alignment, can't exceed."""
+    sure = np.minimum(s, t)
+    return np.where((sure == FULL).any(axis=1), np.iinfo(np.int64).max, sure.sum(axis=1, dtype=np.int64))
+
+
+def least_common(total, threshold: float):
+    """Common k-mers that a link of two texts with ``total`` k-mers needs."""
+    return np.ceil(threshold * total / (1 + threshold) - 1e-9).astype(np.int64)
+
+
 def common(a: np.ndarray, b: np.ndarray, least: int, band: int) -> int:
     """Length of the longest common subsequence within the band, or -1 if it can't reach ``least``."""
     if min(len(a), len(b)) < least or abs(len(a) - len(b)) > band:
@@ -167,15 +182,15 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = SIMILARITY) -> f
     total = len(a) + len(b)
     if not total:
         return 1.0
-    least = int(np.ceil(threshold * total / (1 + threshold) - 1e-9))
+    least = int(least_common(total, threshold))
     got = common(a, b, least, total - 2 * least)
     return got / (total - got) if got >= least else 0.0
 
 
 def sketched(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, h1 and h2 (hash of the words), n (k-mers) and sketches of each row."""
+    """key, h1 and h2 (hash of the words), n (k-mers), sketches and bins of each row."""
     base = docs.select(docs[key].alias(key), docs[text].alias(text))
-    fields = [base.schema[key], *(T.StructField(n, T.LongType()) for n in ("h1", "h2", "n")), T.StructField("sketches", T.ArrayType(T.LongType()))]
+    fields = [base.schema[key], *(T.StructField(n, T.LongType()) for n in ("h1", "h2", "n")), T.StructField("sketches", T.ArrayType(T.LongType())), T.StructField("bins", T.BinaryType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,13 +199,26 @@ def sketched(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                 words = words_of(column[i].as_py())
                 h1, h2 = np.frombuffer(blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest(), np.int64).tolist()
                 h = kmers(words)
-                rows.append((h1, h2, len(h), sketch(h).tolist()))
-            cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.list_(pa.int64()))], names=[f.name for f in fields])
+                rows.append((h1, h2, len(h), sketch(h).tolist(), bins(h)))
+            cols = list(zip(*rows, strict=True)) if rows else [[], [], [], [], []]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.binary())], names=[f.name for f in fields])
 
     return base.mapInArrow(run, T.StructType(fields))
 
 
+def _possible(pairs: DataFrame, threshold: float) -> DataFrame:
+    """a and b of the pairs (a, b, n, m, bins_a, bins_b) that an alignment could link; none that it links is left out."""
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s, t = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (4, 5))
+            total = batch.column(2).to_numpy(zero_copy_only=False) + batch.column(3).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(at_most(s, t) >= least_common(total, threshold)))
+
+    return pairs.select("a", "b", "n", "m", "bins_a", "bins_b").mapInArrow(run, schema)
+
+
 def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b, text_a, text_b) that the alignment links."""
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -213,7 +241,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     """key and class_id of every row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "near")
     rows = scratch.write(sketched(docs, key, text), "rows")
-    nodes = rows.groupBy("h1", "h2").agg(F.min(key).alias("_id"), F.first("n").alias("n"), F.first("sketches").alias("sketches"))
+    nodes = rows.groupBy("h1", "h2").agg(F.min(key).alias("_id"), F.first("n").alias("n"), F.first("sketches").alias("sketches"), F.first("bins").alias("bins"))
     nodes = scratch.write(nodes.withColumn("u", F.monotonically_increasing_id()), "nodes")
     entries = nodes.filter("n > 0").select("u", "n", F.posexplode("sketches").alias("j", "value")).withColumn("bucket", F.xxhash64("j", "value")).select("bucket", "u", "n", F.col("j").cast("int").alias("j"))
     crowded = scratch.write(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "crowded")
@@ -232,12 +260,10 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
 
     same = F.zip_with("s", "t", lambda s, t: s == t)
     earliest = (F.array_position(same, True) - 1).cast("int")
-    alike = lambda p: p.filter(F.size(F.filter(F.zip_with("s", "t", lambda s, t: s == t), lambda x: x)) >= SHARED)
     fits = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y)
-    # How many buckets lead a node to the same leader is the number of sketches that they share, or less.
-    pairs = led.filter(fits(F.col("n"), F.col("leader_n"))).select(F.col("u").alias("a"), F.col("leader").alias("b")).distinct()
-    known = scratch.write(held.select("u").distinct().join(nodes.select("u", "sketches"), "u"), "known")
-    pairs = alike(pairs.join(known.select(F.col("u").alias("a"), F.col("sketches").alias("s")), "a").join(known.select(F.col("u").alias("b"), F.col("sketches").alias("t")), "b")).select("a", "b")
+    pairs = led.filter(fits(F.col("n"), F.col("leader_n"))).select(F.col("u").alias("a"), F.col("leader").alias("b"), "n", F.col("leader_n").alias("m")).distinct()
+    known = scratch.write(held.select("u").distinct().join(nodes.select("u", "sketches", "bins"), "u"), "known")
+    pairs = _possible(pairs.join(known.select(F.col("u").alias("a"), F.col("bins").alias("bins_a")), "a").join(known.select(F.col("u").alias("b"), F.col("bins").alias("bins_b")), "b"), threshold)
     links = [_linked(scratch, pairs, texts, threshold, 0)]
     active, round_, leaders = led.select("bucket", "j", "u", "n", "fame"), 1, LEADERS
     while True:
@@ -253,11 +279,11 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
         few = now.join(mixed, "bucket").filter(F.col("class") != F.col("most")).join(shares, ["bucket", "class"])
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("size", F.desc("fame"), "u"))
         lead = few.withColumn("rank", rank).filter(F.col("rank") <= leaders).select("bucket", F.col("u").alias("b"), F.col("n").alias("m"), F.col("class").alias("own"))
-        lead = scratch.write(lead.join(known.select(F.col("u").alias("b"), F.col("sketches").alias("t")), "b"), f"lead{round_}")
-        others = scratch.write(now.join(mixed.select("bucket"), "bucket", "left_semi").join(known.withColumnRenamed("sketches", "s"), "u"), f"others{round_}")
+        lead = scratch.write(lead.join(known.select(F.col("u").alias("b"), F.col("sketches").alias("t"), F.col("bins").alias("bins_b")), "b"), f"lead{round_}")
+        others = scratch.write(now.join(mixed.select("bucket"), "bucket", "left_semi").join(known.withColumnsRenamed({"sketches": "s", "bins": "bins_a"}), "u"), f"others{round_}")
         # A pair is made in the first bucket that the two share and in no other. A pair of leaders would come twice.
         pairs = others.join(lead, "bucket").filter((F.col("class") != F.col("own")) & fits(F.col("n"), F.col("m")) & (F.col("j") == earliest))
-        pairs = alike(pairs).select(F.least("u", "b").alias("a"), F.greatest("u", "b").alias("b")).distinct()
+        pairs = _possible(pairs.withColumnRenamed("u", "a"), threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         links.append(_linked(scratch, pairs, texts, threshold, round_))
         active = others.join(lead.select("bucket", F.col("b").alias("u")), ["bucket", "u"], "left_anti").select("bucket", "j", "u", "n", "fame")
         round_, leaders = round_ + 1, leaders * 4

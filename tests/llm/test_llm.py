@@ -317,6 +317,31 @@ def test_near_duplicates_repeated_phrase(spark):
     assert classes(spark.createDataFrame(rows, "doc_id long, text string")) == [(1, 1), (2, 1)]
 
 
+def test_near_duplicates_few_shared_sketches(spark):
+    """Short texts just at the threshold that share one to three sketches are linked like those that share more."""
+    rows, pairs = [], 0
+    for i in range(6000):
+        words = [f"s{i}w{k}" for k in range(9)]
+        one, two = (minhash.sketch(minhash.kmers(w)) for w in (words, words[:8]))
+        if 0 < (one == two).sum() < 4:
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[:8]))]
+            pairs += 1
+    assert pairs > 5
+    got = classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == brute_classes(rows) and len({c for _, c in got}) == pairs
+
+
+def test_bound_of_common():
+    rng = random.Random(6)
+    for size in (3, 2000):
+        for n in (1, 40, 300, 600):
+            a = [rng.randrange(size) for _ in range(n)]
+            b = [x for x in a if rng.random() < 0.8] or a
+            x, y = (minhash._mix(np.array(v, np.uint64)) for v in (a, b))
+            s, t = (np.frombuffer(minhash.bins(v), np.uint8)[None] for v in (x, y))
+            assert minhash.at_most(s, t)[0] >= lcs(a, b)
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:

@@ -1,7 +1,8 @@
 """Queries over pages: the node table, the page rules, URLs and the catalog.
 
-The pages of the test data hold no forms, frames or structured data, so rules about those run over FIXTURE, of
-which the check SQL states what must be found.
+The pages of the test data hold no forms, frames or structured data, so rules about those also run over FIXTURE, and the
+site rules over VISITS, of which the check SQL states what must be found. ``rule_counts_by_page`` applies every rule that
+has ``run`` to the given pages; ``roach_motel_pages``, ``url_recipe_pages`` and ``json_ld_pages`` do the rest.
 """
 
 from __future__ import annotations
@@ -89,7 +90,7 @@ def inline_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rule_counts_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Every rule reads the nodes, so the pages are parsed once.
     nodes = shared_table(with_url(pages(spark, sf_dir)), "nodes")
-    return page_rules.detect(nodes).groupBy("page_id", "rule_id").agg(F.count(F.lit(1)).alias("n"))
+    return page_rules.detect(nodes, [r for r in page_rules.RULES if r.run]).groupBy("page_id", "rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def rule_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,6 +147,18 @@ def url_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_rules.recipes(spark.createDataFrame(site_rules.VISITS, "page_id long, url string"))
 
 
+def roach_motel_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_rules.roach_motel(pages(spark, sf_dir).select("page_id", "url"))
+
+
+def url_recipe_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_rules.recipes(pages(spark, sf_dir).select("page_id", "url"))
+
+
+def json_ld_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_rules.json_ld(html.nodes(pages(spark, sf_dir))).select("page_id", "node_id", F.col("evidence").alias("json"))
+
+
 def page_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_rules.page_trees(html.nodes(pages(spark, sf_dir)))
 
@@ -154,7 +167,7 @@ QUERIES = {
     f.__name__ if not n else n: f
     for f, n in (
         (nodes_by_tag, "page_nodes_by_tag"), (page_comments, ""), (page_titles, ""), (page_links, ""), (footer_regions, ""), (ad_regions, ""), (inline_groups, ""), (rule_counts_by_page, ""), (rule_fixture, ""), (json_ld_cleaned, ""), (outermost, ""), (innermost, ""),
-        (url_parts, ""), (denylist_pages, ""), (rule_catalog, ""), (applicable_rules, ""), (roach_motel, ""), (url_recipe, ""), (page_trees, ""),
+        (url_parts, ""), (denylist_pages, ""), (rule_catalog, ""), (applicable_rules, ""), (roach_motel, ""), (url_recipe, ""), (roach_motel_pages, ""), (url_recipe_pages, ""), (json_ld_pages, ""), (page_trees, ""),
     )
 }
 

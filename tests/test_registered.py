@@ -52,3 +52,15 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() >= 0
+
+
+def test_rules_read_the_given_pages(spark, tmp_path):
+    from harrow.operators import site_rules
+    from harrow.plans import page_queries as P
+
+    rows = [*P.FIXTURE, *[(10 + i, url, "<p>x</p>") for i, url in site_rules.VISITS]]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {n: QUERIES[n](spark, str(tmp_path)).collect() for n in ("rule_counts_by_page", "roach_motel_pages", "url_recipe_pages", "json_ld_pages")}
+    assert {r.rule_id: r.n for r in got["rule_counts_by_page"] if r.page_id == 1} == P.EXPECTED
+    assert sorted(r.page_id for r in got["roach_motel_pages"]) == [11, 13, 16] and sorted(r.page_id for r in got["url_recipe_pages"]) == [1, 15]
+    assert [r.page_id for r in got["json_ld_pages"]] == [1] and P.BAD not in got["json_ld_pages"][0].json

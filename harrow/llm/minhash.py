@@ -7,16 +7,18 @@ a common order. A pair is linked if an alignment of the k-mer sequences, in a ba
 them shift, has common / (n_a + n_b - common) >= SIMILARITY, common being the longest common subsequence.
 
 Texts with equal words are one node. A bucket is not turned into all its pairs: the member whose buckets hold
-most others leads it and is paired with the rest, and classes are formed. A bucket that still holds members of
-several classes goes on without the leaders that have met all: members outside its largest class lead next, and
-are paired with those of other classes, LEADERS at first and four times as many each round, until one class is left. So a
-bucket of thousands of copies costs a pair for each, and no pair of a bucket is left unjudged that could join
-two classes. Before texts are shuffled, a pair is left out only if its k-mers, counted in BINS classes of their hash,
-can't have as many in common as the threshold asks for.
+most others leads it and is paired with the rest, and classes are formed. Members of buckets that still hold several
+classes then count their k-mers that no other class has. Those k-mers can't be common to two classes, so a member with
+too many of them has no link to another class, and a pair of which one has too many for the two lengths has none: both
+are left out exactly. In what is left, members outside a bucket's largest class lead next and are paired
+with those of other classes, LEADERS at first and four times as many each round, until one class is left. So a
+bucket of thousands of copies costs a pair for each, however far the copies are from each other, and no pair of a
+bucket is left unjudged that could join two classes. Before texts are shuffled for the first leaders, a pair is left out
+only if its k-mers, counted in BINS classes of their hash, can't have as many in common as the threshold asks for.
 
 Defined cases: texts without a word (null, empty, blank) are equal to each other; a text shorter than a k-mer
 is one k-mer; class ids are the least id of the class; a class of null ids alone has a null class id; repeated
-rows are copies; an empty table gives no rows.
+rows are copies, of which ``one_of_each`` keeps one; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,8 +40,10 @@ WORDS, SIMILARITY = 5, 0.8
 SKETCHES, TAKEN, SEED = 24, 3, 5
 #: Classes of k-mers that are counted for each text. Counts stop at FULL, which stands for any number from it on.
 BINS, FULL = 256, 255
-#: Leaders of a bucket in the second round.
+#: Leaders of a bucket in the first round after that of one leader.
 LEADERS = 256
+#: One of so many k-mers tells most of the nodes that are out of reach before all k-mers are looked at.
+SHARE = 4
 KNOWN, KNOWN_CHARS = 400_000, 48
 _MASK = (1 << 64) - 1
 
@@ -68,6 +72,11 @@ def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
+def words_hash(words: list[str]) -> list[int]:
+    """128 bits of the words in order, as two numbers."""
+    return np.frombuffer(blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest(), np.int64).tolist()
+
+
 def kmers(words: list[str], k: int = WORDS) -> np.ndarray:
     """Hashes of the k-mers of words in order; one for fewer than k words, none for no word."""
     if not words:
@@ -197,7 +206,7 @@ def sketched(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             column, rows = batch.column(1), []
             for i in range(len(column)):
                 words = words_of(column[i].as_py())
-                h1, h2 = np.frombuffer(blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest(), np.int64).tolist()
+                h1, h2 = words_hash(words)
                 h = kmers(words)
                 rows.append((h1, h2, len(h), sketch(h).tolist(), bins(h)))
             cols = list(zip(*rows, strict=True)) if rows else [[], [], [], [], []]
@@ -237,67 +246,141 @@ def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, schema)
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """key and class_id of every row of ``docs``."""
+def _merge(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join by sorting, whatever the sizes: both sides grow with the documents, and a broadcast would have no bound."""
+    return left.join(right.hint("merge"), on, how)
+
+
+def _labelled_kmers(texts: DataFrame, share: int) -> DataFrame:
+    """u, class and the labelled k-mers of the rows (u, class, text): one of ``share`` by their hash, the same ones in every text."""
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("u", "class", "kmer")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(2)
+            made = [labelled(kmers(words_of(column[i].as_py()))) for i in range(len(column))]
+            made = [h[h % np.uint64(share) == 0] for h in made]
+            which = pa.array(np.repeat(np.arange(len(made)), [len(h) for h in made]))
+            whole = np.concatenate([np.empty(0, np.uint64), *made])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), pa.array(whole.view(np.int64))], names=schema.names)
+
+    return texts.select("u", "class", "text").mapInArrow(run, schema)
+
+
+def _needed(total: Column, threshold: float) -> Column:
+    """``least_common`` as a column."""
+    return F.ceil(total * threshold / (1 + threshold) - 1e-9)
+
+
+def _may_link(threshold: float) -> Column:
+    """Whether ``left`` of n k-mers can be the common ones of a link to a text of any length that fits."""
+    return F.col("left") >= _needed(F.col("n") + F.ceil(F.col("n") * threshold - 1e-9), threshold)
+
+
+def _reachable(scratch: Scratch, nodes: DataFrame, texts: DataFrame, threshold: float, share: int) -> DataFrame:
+    """The nodes (u, class, n) that may be linked to another class, as far as one of ``share`` k-mers tells.
+
+    The k-mers that one class alone has can't be common to two classes; a node with too many of them is left out.
+    """
+    kmers_ = scratch.write(_labelled_kmers(_merge(texts, nodes.select("u", "class"), "u"), share), f"kmers{share}")
+    # Of a k-mer, the least and the largest class tell whether it has one class alone; both are combined before the shuffle.
+    own = kmers_.groupBy("kmer").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low = high").select("kmer")
+    private = _merge(kmers_, own, "kmer", "left_semi").groupBy("u").agg(F.count(F.lit(1)).alias("private"))
+    bound = _merge(nodes, private, "u", "left").withColumn("left", F.col("n") - F.coalesce("private", F.lit(0)))
+    return scratch.write(bound.filter(_may_link(threshold)).select("u", "class", "n"), f"reachable{share}")
+
+
+def _prefixes(scratch: Scratch, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """kmer, u, n and left: of each node (u, class, n) the rare k-mers of which a link to another class has one at least.
+
+    The k-mers of a node stand in the order of how many nodes have them, those of its own class alone first. ``left``
+    counts a k-mer and those after it. Of two linked nodes, the first k-mer that they share has as many left in each
+    as the link needs; so k-mers with fewer left, and those of one class alone, lead to no link.
+    """
+    kmers_ = scratch.write(_labelled_kmers(_merge(texts, nodes.select("u", "class"), "u"), 1), "kmers")
+    shared = kmers_.groupBy("kmer").agg(F.count(F.lit(1)).alias("df"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("kmer", "df")
+    common_ = _merge(_merge(kmers_.select("u", "kmer"), shared, "kmer"), nodes.select("u", "n"), "u")
+    after = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("df"), F.desc("kmer")))
+    return common_.withColumn("left", after).filter(_may_link(threshold)).select("kmer", "u", "n", "left")
+
+
+def _grouped(docs: DataFrame, key: str, text: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(key, h1, h2) of every row, and (h1, h2, root) of every node; the nodes of a class have one root."""
     scratch = Scratch(docs.sparkSession, "near")
     rows = scratch.write(sketched(docs, key, text), "rows")
     nodes = rows.groupBy("h1", "h2").agg(F.min(key).alias("_id"), F.first("n").alias("n"), F.first("sketches").alias("sketches"), F.first("bins").alias("bins"))
     nodes = scratch.write(nodes.withColumn("u", F.monotonically_increasing_id()), "nodes")
-    entries = nodes.filter("n > 0").select("u", "n", F.posexplode("sketches").alias("j", "value")).withColumn("bucket", F.xxhash64("j", "value")).select("bucket", "u", "n", F.col("j").cast("int").alias("j"))
+    entries = nodes.filter("n > 0").select("u", F.posexplode("sketches").alias("j", "value")).select(F.xxhash64("j", "value").alias("bucket"), "u")
     crowded = scratch.write(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "crowded")
-    held = scratch.write(entries.join(crowded, "bucket"), "held0")
+    held = scratch.write(_merge(entries, crowded, "bucket"), "entries")
     # A node whose buckets are crowded is close to many others, as the text is that copies were made from.
-    central = scratch.write(held.groupBy("u").agg(F.sum("size").alias("fame")), "central")
-    held = scratch.write(held.join(central, "u").select("bucket", "j", "u", "n", "fame"), "held")
-    first = F.struct("fame", (-F.col("u")).alias("v"), "n")
-    leader = held.groupBy("bucket").agg(F.max(first).alias("f")).select("bucket", (-F.col("f.v")).alias("leader"), F.col("f.n").alias("leader_n"))
-    led = scratch.write(held.join(scratch.write(leader, "leader"), "bucket"), "led").filter("u <> leader")
+    known = held.groupBy("u").agg(F.sum("size").alias("fame"))
+    known = scratch.write(_merge(known, nodes.select("u", "h1", "h2", "_id", "n", "bins"), "u"), "known")
+    held = scratch.write(_merge(held.select("bucket", "u"), known.select("u", "n", "fame"), "u"), "held")
+    leader = held.groupBy("bucket").agg(F.max(F.struct("fame", (-F.col("u")).alias("v"), "n")).alias("f")).select("bucket", (-F.col("f.v")).alias("b"), F.col("f.n").alias("m"))
 
     # The texts of the nodes that share a bucket, once.
-    wanted = held.select("u").distinct().join(nodes.select("u", "h1", "h2", "_id"), "u")
     texts = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
-    texts = scratch.write(_texts(texts, scratch.write(wanted, "wanted")), "texts")
-
-    same = F.zip_with("s", "t", lambda s, t: s == t)
-    earliest = (F.array_position(same, True) - 1).cast("int")
-    fits = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y)
-    pairs = led.filter(fits(F.col("n"), F.col("leader_n"))).select(F.col("u").alias("a"), F.col("leader").alias("b"), "n", F.col("leader_n").alias("m")).distinct()
-    known = scratch.write(held.select("u").distinct().join(nodes.select("u", "sketches", "bins"), "u"), "known")
-    pairs = _possible(pairs.join(known.select(F.col("u").alias("a"), F.col("bins").alias("bins_a")), "a").join(known.select(F.col("u").alias("b"), F.col("bins").alias("bins_b")), "b"), threshold)
-    links = [_linked(scratch, pairs, texts, threshold, 0)]
-    active, round_, leaders = led.select("bucket", "j", "u", "n", "fame"), 1, LEADERS
+    texts = scratch.write(_texts(texts, known.select("u", "h1", "h2", "_id")), "texts")
+
+    fits = F.least("n", "m") >= threshold * F.greatest("n", "m")
+    led = _merge(held.select("bucket", F.col("u").alias("a"), "n"), leader, "bucket").filter((F.col("a") != F.col("b")) & fits)
+    bins_ = known.select("u", "bins")
+    pairs = _merge(led.select("a", "b", "n", "m").distinct(), bins_.toDF("a", "bins_a"), "a")
+    links = [_linked(scratch, _possible(_merge(pairs, bins_.toDF("b", "bins_b"), "b"), threshold), texts, threshold, 0)]
+    roots = components(links[0], scratch, "classes0")
+
+    # Members of buckets that still hold several classes. First a share of the k-mers tells most of those that no other class can reach.
+    now = _with_class(held.select("bucket", "u", "n"), roots)
+    several = _merge(now, _mixed(now, "bucket"), "bucket", "left_semi").select("u", "class", "n").distinct()
+    several = _reachable(scratch, scratch.write(several, "several"), texts, threshold, SHARE)
+    active = scratch.write(_prefixes(scratch, several, texts, threshold), "active0")
+    round_, leaders = 1, LEADERS
     while True:
-        roots = components(_union(links), scratch, f"classes{round_}")
-        now = active.withColumn("class", F.col("u")) if roots is None else active.join(roots.withColumnRenamed("node", "u"), "u", "left").withColumn("class", F.coalesce("root", "u")).drop("root")
-        now = scratch.write(now, f"now{round_}")
-        shares = scratch.write(now.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("size")), f"shares{round_}")
-        mixed = shares.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("size", "class")).alias("most")).filter("k > 1").select("bucket", F.col("most.class").alias("most"))
-        mixed = scratch.write(mixed, f"mixed{round_}")
+        now = scratch.write(_with_class(active, roots), f"now{round_}")
+        mixed = scratch.write(_mixed(now, "kmer"), f"mixed{round_}")
         if mixed.isEmpty():
             break
-        # Leaders come from all classes of a bucket but its largest, smallest first; when they have met all, one class is left.
-        few = now.join(mixed, "bucket").filter(F.col("class") != F.col("most")).join(shares, ["bucket", "class"])
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("size", F.desc("fame"), "u"))
-        lead = few.withColumn("rank", rank).filter(F.col("rank") <= leaders).select("bucket", F.col("u").alias("b"), F.col("n").alias("m"), F.col("class").alias("own"))
-        lead = scratch.write(lead.join(known.select(F.col("u").alias("b"), F.col("sketches").alias("t"), F.col("bins").alias("bins_b")), "b"), f"lead{round_}")
-        others = scratch.write(now.join(mixed.select("bucket"), "bucket", "left_semi").join(known.withColumnsRenamed({"sketches": "s", "bins": "bins_a"}), "u"), f"others{round_}")
-        # A pair is made in the first bucket that the two share and in no other. A pair of leaders would come twice.
-        pairs = others.join(lead, "bucket").filter((F.col("class") != F.col("own")) & fits(F.col("n"), F.col("m")) & (F.col("j") == earliest))
-        pairs = _possible(pairs.withColumnRenamed("u", "a"), threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        # Leaders come from all classes of a k-mer but its largest, smallest first; when they have met all, one class is left.
+        sizes = now.groupBy("kmer", "class").agg(F.count(F.lit(1)).alias("size"))
+        few = _merge(_merge(now, mixed, "kmer").filter(F.col("class") != F.col("most")), sizes, ["kmer", "class"])
+        rank = F.row_number().over(Window.partitionBy("kmer").orderBy("size", "u"))
+        lead = few.withColumn("rank", rank).filter(F.col("rank") <= leaders)
+        lead = scratch.write(lead.select("kmer", F.col("u").alias("b"), F.col("n").alias("m"), F.col("class").alias("own"), F.col("left").alias("left_b")), f"lead{round_}")
+        others = scratch.write(_merge(now, mixed, "kmer", "left_semi"), f"others{round_}")
+        # A pair of leaders would come twice, and one of texts that share several rare k-mers more than once.
+        can = F.least("left", "left_b") >= _needed(F.col("n") + F.col("m"), threshold)
+        pairs = _merge(others, lead, "kmer").filter((F.col("class") != F.col("own")) & fits & can)
+        pairs = pairs.select(F.least("u", "b").alias("a"), F.greatest("u", "b").alias("b")).distinct()
         links.append(_linked(scratch, pairs, texts, threshold, round_))
-        active = others.join(lead.select("bucket", F.col("b").alias("u")), ["bucket", "u"], "left_anti").select("bucket", "j", "u", "n", "fame")
+        roots = components(_union(links), scratch, f"classes{round_}")
+        active = _merge(others, lead.select("kmer", F.col("b").alias("u")), ["kmer", "u"], "left_anti").drop("class")
         round_, leaders = round_ + 1, leaders * 4
 
-    whole = nodes.select("u", "h1", "h2", F.col("_id").alias("_least"))
-    if roots is not None:
-        whole = whole.join(roots.withColumnRenamed("node", "u"), "u", "left")
-        whole = whole.withColumn("root", F.coalesce("root", "u"))
-    else:
-        whole = whole.withColumn("root", F.col("u"))
-    whole = scratch.write(whole, "whole")
-    least = whole.groupBy("root").agg(F.min("_least").alias("class_id"))
-    named = scratch.write(whole.join(least, "root").select("h1", "h2", "class_id"), "named")
-    return rows.select(key, "h1", "h2").join(named, ["h1", "h2"]).select(key, "class_id")
+    whole = nodes.select("u", "h1", "h2")
+    whole = whole.withColumn("root", F.col("u")) if roots is None else _merge(whole, roots.withColumnRenamed("node", "u"), "u", "left").withColumn("root", F.coalesce("root", "u"))
+    return rows.select(key, "h1", "h2"), scratch.write(whole.drop("u"), "whole")
+
+
+def _with_class(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``entries`` with the class of u."""
+    if roots is None:
+        return entries.withColumn("class", F.col("u"))
+    return _merge(entries, roots.withColumnRenamed("node", "u"), "u", "left").withColumn("class", F.coalesce("root", "u")).drop("root")
+
+
+def _mixed(entries: DataFrame, by: str) -> DataFrame:
+    """``by`` and its largest class, of those values in (by, class) that several classes have."""
+    sizes = entries.groupBy(by, "class").agg(F.count(F.lit(1)).alias("size"))
+    return sizes.groupBy(by).agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("size", "class")).alias("f")).filter("k > 1").select(by, F.col("f.class").alias("most"))
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
+    """key and class_id of every row of ``docs``."""
+    rows, nodes = _grouped(docs, key, text, threshold)
+    each = _merge(rows, nodes, ["h1", "h2"])
+    least = each.groupBy("root").agg(F.min(key).alias("class_id"))
+    return _merge(each, least, "root").select(key, "class_id")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -314,14 +397,11 @@ def _texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, h1, h2, t = (batch.column(i) for i in range(4))
-            good = []
-            for i in range(len(batch)):
-                got = blake2b(" ".join(words_of(t[i].as_py())).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                good.append(np.frombuffer(got, np.int64).tolist() == [h1[i].as_py(), h2[i].as_py()])
+            good = [words_hash(words_of(t[i].as_py())) == [h1[i].as_py(), h2[i].as_py()] for i in range(len(batch))]
             yield pa.RecordBatch.from_arrays([u, t], names=["u", "text"]).filter(pa.array(good, pa.bool_()))
 
     # Ids can repeat with other texts, and rows with both; any row with the right words will do.
-    joined = texts.join(wanted, texts["_id"].eqNullSafe(wanted["_id"])).select("u", "h1", "h2", "_text")
+    joined = _merge(texts, wanted, texts["_id"].eqNullSafe(wanted["_id"])).select("u", "h1", "h2", "_text")
     return joined.mapInArrow(run, schema)
 
 
@@ -329,10 +409,35 @@ def _linked(scratch: Scratch, pairs: DataFrame, texts: DataFrame, threshold: flo
     pairs = scratch.write(pairs, f"pairs{round_}")
     a = texts.select(F.col("u").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("u").alias("b"), F.col("text").alias("text_b"))
-    return scratch.write(_verified(pairs.join(a, "a").join(b, "b"), threshold), f"links{round_}")
+    return scratch.write(_verified(_merge(_merge(pairs, a, "a"), b, "b"), threshold), f"links{round_}")
+
+
+def _hashed(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with _h1 and _h2, the hash of a text's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index(text))
+            made = [words_hash(words_of(column[i].as_py())) for i in range(len(column))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([m[k] for m in made], pa.int64()) for k in (0, 1))], names=[*batch.schema.names, "_h1", "_h2"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_h1", T.LongType()), T.StructField("_h2", T.LongType())]))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """The document of least id of each class; columns as they were. Documents without an id can't be told apart and stay."""
-    least = classes(docs, key, text, threshold).select("class_id").distinct()
-    return docs.join(least, docs[key] == least["class_id"], "left_semi").unionByName(docs.filter(docs[key].isNull()))
+    """One row of each class, of its least id (null is the largest); columns as they were.
+
+    Where several rows have that id, the class keeps one of those with the words of least hash.
+    """
+    rows, nodes = _grouped(docs, key, text, threshold)
+    each = _merge(rows.groupBy(key, "h1", "h2").agg(F.count(F.lit(1)).alias("_rows")), nodes, ["h1", "h2"])
+    chosen = each.groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("_none"), F.col(key).alias("_key"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))).alias("_c")).select("_c._key", "_c._h1", "_c._h2")
+    # Ids of one row need no look at the text.
+    often = each.groupBy(F.col(key).alias("_often")).agg(F.sum("_rows").alias("_n"))
+    chosen = Scratch(docs.sparkSession, "one").write(_merge(chosen, often, F.col("_key").eqNullSafe(F.col("_often"))).drop("_often"), "chosen")
+    lone = _merge(docs, chosen.filter("_n = 1"), docs[key].eqNullSafe(chosen["_key"]), "left_semi")
+    keys = chosen.filter("_n > 1").select("_key").distinct()
+    shared = _hashed(_merge(docs, keys, docs[key].eqNullSafe(keys["_key"]), "left_semi"), text)
+    more = chosen.filter("_n > 1").select("_key", F.col("_h1").alias("_g1"), F.col("_h2").alias("_g2"))
+    found = _merge(shared, more, shared[key].eqNullSafe(more["_key"]) & (F.col("_h1") == F.col("_g1")) & (F.col("_h2") == F.col("_g2")), "left_semi")
+    return lone.unionByName(found.dropDuplicates([key, "_h1", "_h2"]).drop("_h1", "_h2"))

@@ -331,6 +331,34 @@ def test_near_duplicates_few_shared_sketches(spark):
     assert got == brute_classes(rows) and len({c for _, c in got}) == pairs
 
 
+def test_near_duplicates_hot_group(spark):
+    """Copies with few and many edits of few kinds: many are linked to another copy alone, not to the text they come from."""
+    rng, rows = random.Random(8), []
+    text = [f"b{i}" for i in range(90)]
+    for i in range(260):
+        copy = list(text)
+        for _ in range(rng.randrange(7)):
+            copy[10 * rng.randrange(9)] = rng.choice("xyz")
+        if rng.random() < 0.3:
+            del copy[: rng.randrange(12)]
+        rows.append((i, " ".join(copy)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got, want = classes(frame), brute_classes(rows)
+    assert got == want
+    assert len({c for _, c in want}) > 10 and any(sum(c == k for _, c in want) > 20 for _, k in want)
+    assert sorted(r.doc_id for r in minhash.one_of_each(frame).collect()) == sorted({c for _, c in want})
+
+
+def test_one_of_each_repeated(spark):
+    a, b = "one text of some words that is held by two rows", "quite another text under the number of the first"
+    rows = [(1, a, 1), (1, a, 1), (1, b, 2), (2, a, 3), (None, "no id", 4), (None, "no id", 4), (None, a, 5), (3, None, 6), (4, " ", 7)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, u int")
+    kept = minhash.one_of_each(frame)
+    assert kept.columns == frame.columns
+    assert key(map(tuple, kept.collect())) == key([(1, a, 1), (1, b, 2), (None, "no id", 4), (3, None, 6)])
+    assert minhash.one_of_each(frame.filter("u > 9")).count() == 0
+
+
 def test_bound_of_common():
     rng = random.Random(6)
     for size in (3, 2000):

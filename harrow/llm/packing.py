@@ -4,8 +4,8 @@ Token counts alone decide where a piece goes, so the ids never leave the Python
 rows (key, piece, start, length, crc of the ids). Pieces are dealt by their row number into groups of at most
 GROUP pieces; in a group, best-fit decreasing places them and a local search then moves documents, or exchanges
 one for one or two for one, between underfull bins so that the sum of squared fills rises and the emptiest
-bins vanish. The bins that stay least full in each group are opened again and packed together in further
-rounds, until one group is left or nothing more can be saved.
+bins vanish. The bins that stay least full in each group, with a bounded share of its pieces, are opened again and packed
+together in further rounds, each of fewer groups of at most GROUP pieces, until one group is left or none is opened.
 
 Defined cases: a null text is the empty text, which is the end token alone; a document longer than a sequence
 is cut into full pieces and a rest; repeated rows are documents of their own; the order among equal lengths
@@ -31,10 +31,12 @@ from harrow.llm.bpe import chunks
 CAPACITY = 2048
 #: Pieces that one task packs.
 GROUP = 20_000
-#: Bins of each group that later rounds open again.
-REOPENED = 64
+#: Bins of each group that later rounds open again, and the share of its pieces that they hold at most, one of so many.
+REOPENED, AGAIN = 64, 8
 #: Emptiest bins that the local search tries in vain before it ends.
 PATIENCE = 40
+#: Pairs of bins that the local search of a group looks at.
+TRIES = 400_000
 
 
 def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = 0, ids: str | None = None) -> DataFrame:
@@ -89,41 +91,42 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], capacity: int, patience: int = PATIENCE) -> list[list[int]]:
+def improve(bins: list[list[int]], lengths: list[int], capacity: int, patience: int = PATIENCE, tries: int = TRIES) -> list[list[int]]:
     """Local search: drain the emptiest bin into fuller ones by the exchange that fills the other bin most.
 
-    Each step takes from a bin and gives to a fuller one, so the sum of squared fills rises and the search ends.
+    Each step takes from a bin and gives to a fuller one, so the sum of squared fills rises and the search ends: when
+    no more bin can vanish, when ``patience`` bins were tried in vain, or after ``tries`` pairs of bins.
     """
     fill = [sum(lengths[i] for i in b) for b in bins]
     least = -(-sum(fill) // capacity)
     open_bins = sorted((b for b in range(len(bins)) if fill[b] < capacity), key=lambda b: fill[b])
+    sizes = {b: {lengths[i] for i in bins[b]} for b in open_bins}
     count, vain, failed = len(bins), 0, set()
-    while count > least and vain < patience:
+    while count > least and vain < patience and tries > 0:
         donor = next((b for b in open_bins if b not in failed and fill[b]), None)
         if donor is None:
             break
         moved = True
-        while moved and bins[donor]:
+        while moved and bins[donor] and tries > 0:
             moved = False
+            ones, sums = _sums(bins[donor], lengths)
             for target in reversed(open_bins):
                 free = capacity - fill[target]
                 if target == donor or not free or fill[target] < fill[donor]:
                     continue
-                best = _exchange(bins[donor], bins[target], lengths, free)
+                tries -= 1
+                best = _exchange(ones, sums, sizes[target], free)
                 if best:
-                    out, back, gain = best
-                    for i in out:
-                        bins[donor].remove(i)
-                        bins[target].append(i)
-                    for i in back:
-                        bins[target].remove(i)
-                        bins[donor].append(i)
-                    fill[donor] -= gain
-                    fill[target] += gain
+                    _apply(bins[donor], bins[target], lengths, *best)
+                    fill[donor] -= best[0]
+                    fill[target] += best[0]
+                    sizes[target] = {lengths[i] for i in bins[target]}
                     moved = True
                     if not bins[donor]:
                         break
+                    ones, sums = _sums(bins[donor], lengths)
         if bins[donor]:
+            sizes[donor] = {lengths[i] for i in bins[donor]}
             failed.add(donor)
             vain += 1
         else:
@@ -133,20 +136,47 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int, patience:
     return [b for b in bins if b]
 
 
-def _exchange(donor: list[int], target: list[int], lengths: list[int], free: int) -> tuple[list[int], list[int], int] | None:
-    """What of the donor goes to the target, what comes back, and the tokens gained: a move, one for one, two for one."""
-    best, gain = None, 0
-    for x, d in enumerate(donor):
-        n = lengths[d]
-        if gain < n <= free:
-            best, gain = ([d], []), n
-        for t in target:
-            if gain < n - lengths[t] <= free:
-                best, gain = ([d], [t]), n - lengths[t]
-            for d2 in donor[x + 1 :]:
-                if gain < (g := n + lengths[d2] - lengths[t]) <= free:
-                    best, gain = ([d, d2], [t]), g
-    return (*best, gain) if best else None
+def _sums(items: list[int], lengths: list[int]) -> tuple[int, int]:
+    """The lengths of one item, and those of one or two, as bits of a number."""
+    ones = twos = 0
+    for i in items:
+        twos |= ones << lengths[i]
+        ones |= 1 << lengths[i]
+    return ones, ones | twos
+
+
+def _exchange(ones: int, sums: int, sizes: set[int], free: int) -> tuple[int, int] | None:
+    """Most tokens that a target with items of ``sizes`` and ``free`` room can gain, and the length it gives back: 0 for
+    a move, else that of one item for one or two. A shift of the donor's sums by that length has the gains as its bits."""
+    mask = (2 << free) - 2
+    gain, back = (ones & mask).bit_length() - 1, 0
+    for size in sizes:
+        got = ((sums >> size) & mask).bit_length() - 1
+        if got > gain:
+            gain, back = got, size
+        if gain == free:
+            break
+    return (gain, back) if gain > 0 else None
+
+
+def _apply(donor: list[int], target: list[int], lengths: list[int], gain: int, back: int) -> None:
+    """Give items of ``gain + back`` tokens, one if there is one and else two, for one of ``back``."""
+    need = gain + back
+    out = next(([i] for i in donor if lengths[i] == need), None)
+    if out is None:
+        at: dict[int, int] = {}
+        for i in donor:
+            if need - lengths[i] in at:
+                out = [at[need - lengths[i]], i]
+                break
+            at[lengths[i]] = i
+    returned = [next(i for i in target if lengths[i] == back)] if back else []
+    for i in out:
+        donor.remove(i)
+    for i in returned:
+        target.remove(i)
+    target.extend(out)
+    donor.extend(returned)
 
 
 def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
@@ -168,7 +198,8 @@ def pack(table: DataFrame, length: str = "length", capacity: int = CAPACITY, gro
     placed, waiting, round_ = None, slim, 0
     while True:
         groups = max(1, -(-total // group))
-        made = waiting.withColumn("_group", F.pmod("_salt", F.lit(groups))).groupBy("_group").applyInPandas(_packer(capacity, reopened if groups > 1 else 0), _PLACED)
+        packer = _packer(capacity, reopened if groups > 1 else 0, group // AGAIN)
+        made = waiting.withColumn("_group", F.pmod("_salt", F.lit(groups))).groupBy("_group").applyInPandas(packer, _PLACED)
         made = scratch.write(made.withColumn("_round", F.lit(round_)), f"round{round_}")
         done = made.filter("NOT _again")
         placed = done if placed is None else placed.unionByName(done)
@@ -179,7 +210,6 @@ def pack(table: DataFrame, length: str = "length", capacity: int = CAPACITY, gro
         waiting = left.select("_row", "_len", F.xxhash64(F.lit(round_), "_row").alias("_salt"))
         if not total:
             break
-        group = max(group, -(-total // max(1, groups // 8)))
     # A number of its own for each (round, group, bin): rounds are few, a group has at most GROUP bins.
     number = (F.col("_round").cast("long") * F.lit(1 << 56)) + F.col("_group") * F.lit(1 << 24) + F.col("_bin")
     return at.join(placed.select("_row", number.alias("sequence_id"), F.col("_offset").alias("offset")), "_row").drop("_row")
@@ -188,7 +218,7 @@ def pack(table: DataFrame, length: str = "length", capacity: int = CAPACITY, gro
 _PLACED = "_row long, _len long, _group long, _bin long, _offset long, _again boolean"
 
 
-def _packer(capacity: int, reopened: int):
+def _packer(capacity: int, reopened: int, most: int):
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("_row", ignore_index=True)
         lengths = frame["_len"].tolist()
@@ -196,7 +226,12 @@ def _packer(capacity: int, reopened: int):
             raise ValueError(f"a piece of {max(lengths)} tokens in sequences of {capacity}")
         bins = pack_lengths(lengths, capacity)
         free = [capacity - sum(lengths[i] for i in b) for b in bins]
-        emptiest = {b for b in sorted(range(len(bins)), key=lambda b: -free[b])[:reopened] if free[b]}
+        # At most ``most`` pieces go on, so the next round has fewer groups of the same size.
+        emptiest, room = set(), most
+        for b in sorted(range(len(bins)), key=lambda b: -free[b])[:reopened]:
+            if free[b] and len(bins[b]) <= room:
+                emptiest.add(b)
+                room -= len(bins[b])
         which, offset, again = np.zeros(len(lengths), int), np.zeros(len(lengths), int), np.zeros(len(lengths), bool)
         for b, items in enumerate(bins):
             run_ = 0

@@ -1,18 +1,21 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 A batch of documents becomes a run: one row for each line key (two 64-bit hashes) with the number of documents
-that hold it and the largest of their ids, sorted by hash. New runs form level 0; when a level holds FANOUT
-runs, they are merged into one of the next level, so a key is rewritten once a level. A new batch can be
-merge-anti-joined with the runs for the lines that no earlier batch had (``fresh``), and then adds its own run.
-When all batches are in, the keys that enough documents hold are merge-joined with the lines of the documents,
-which lose those lines everywhere but in the largest id.
+that hold it and the largest of their ids, sorted by hash. Before it is added, a new batch is merge-anti-joined with
+the runs: a key that one of them has in enough documents, with an id at least as large as the batch's largest, is
+settled, and the batch adds nothing for it. New runs form level 0; when a level holds FANOUT runs, they are merged into
+one of the next level, so a key is rewritten once a level. When all batches are in, the keys that enough
+documents hold are merge-joined with the lines of the documents, which lose those lines everywhere but in the largest id.
+
+A whole table is dealt to batches by the hash of the id, so all rows of an id are in one batch, whatever files or plan the
+table comes from. Two keys are taken for one if both hashes agree, by chance once in 2 ** 128 pairs of keys.
 
 Everything is DataFrame operations. Counting is combined before the shuffle, so a line of every document is one
 row a task; the joins are plain sort-merge joins that adaptive execution can split.
 
 Defined cases: a null or empty text is one empty line; a key is the line without [\\x20\\x09-\\x0D] at its ends,
-A-Z lower-cased; every row counts as a document, and all rows of the largest id keep the line; a null id is
-below all others; repeated rows are treated alike; other columns
+A-Z lower-cased; rows that share an id count as one document, as do all rows without one, and all rows of the largest id
+keep the line; a null id is below all others; repeated rows are treated alike; other columns
 pass through, but for those of RESERVED names. An empty table gives no rows.
 """
 
@@ -25,12 +28,12 @@ from harrow.llm._storage import Scratch
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Runs of a level that are merged into one of the next.
-FANOUT = 4
-#: Batches that a whole table is read in.
+FANOUT = 2
+#: Batches that a whole table is dealt to.
 BATCHES = 4
 WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
 #: Columns of these names are replaced.
-RESERVED = ("_id", "_text", "_text2", "_gone", "_lines", "_kept", "_n_lines", "_n_dropped")
+RESERVED = ("_id", "_batch", "_text", "_text2", "_gone", "_lines", "_kept", "_n_lines", "_n_dropped")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -58,18 +61,21 @@ def _hashes(text: Column, min_chars: int) -> Column:
 class LineRuns:
     """The runs of one job, in a shared folder."""
 
-    def __init__(self, spark: SparkSession, min_chars: int = MIN_CHARS, fanout: int = FANOUT, scratch: Scratch | None = None):
-        self.spark, self.min_chars, self.fanout = spark, min_chars, fanout
+    def __init__(self, spark: SparkSession, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, fanout: int = FANOUT, scratch: Scratch | None = None):
+        self.spark, self.min_chars, self.min_docs, self.fanout = spark, min_chars, min_docs, fanout
         self.scratch = scratch or Scratch(spark, "line-runs")
         self.levels: list[list[str]] = []
         self.made = 0
 
-    def _keys(self, batch: DataFrame, key: str, text: str) -> DataFrame:
-        each = batch.select(F.col(key).alias("_id"), _hashes(F.col(text), self.min_chars).alias("_all"))
-        once = each.select("_id", F.filter("_all", lambda x, i: (i == 0) | (x != F.get("_all", i - 1))).alias("_all"))
+    def counted(self, docs: DataFrame, key: str = "doc_id", text: str = "text", *by: str) -> DataFrame:
+        """(by, h1, h2, n, last): in how many documents each key is, and the largest of their ids."""
+        each = docs.select(*by, F.col(key).alias("_id"), _hashes(F.col(text), self.min_chars).alias("_all"))
+        once = each.select(*by, "_id", F.filter("_all", lambda x, i: (i == 0) | (x != F.get("_all", i - 1))).alias("_all"))
         # An outer explode: for an inner one the optimizer tests beforehand that the array has elements, which
         # would compute it twice.
-        return once.select("_id", F.explode_outer("_all").alias("_h")).filter(F.col("_h").isNotNull()).select("_id", "_h.h1", "_h.h2")
+        rows = once.select(*by, "_id", F.explode_outer("_all").alias("_h")).filter(F.col("_h").isNotNull())
+        # Rows that share an id are one document. Counts are combined before the shuffle, so a frequent key is a row a task.
+        return rows.select(*by, "_h.h1", "_h.h2", "_id").distinct().groupBy(*by, "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("_id").alias("last"))
 
     def _store(self, run: DataFrame, level: int) -> None:
         label = f"run{self.made}"
@@ -80,13 +86,24 @@ class LineRuns:
         self.levels[level].append(label)
 
     def add(self, batch: DataFrame, key: str = "doc_id", text: str = "text") -> None:
-        """Add the run of a batch, then merge levels that are full."""
-        self._store(self._keys(batch, key, text).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("_id").alias("last")), 0)
+        """Add the run of a batch of documents. No id may stand in two batches."""
+        self.add_counted(self.counted(batch, key, text))
+
+    def add_counted(self, batch: DataFrame) -> None:
+        """Add the keys of a batch that no run has settled, then merge levels that are full."""
+        self._store(self.unsettled(batch), 0)
         level = 0
         while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
             self._merge(level)
             level += 1
 
+    def unsettled(self, batch: DataFrame) -> DataFrame:
+        """The rows (h1, h2, n, last) of ``batch`` that can still change what is kept: a merge anti-join with each run."""
+        for label in (x for level in self.levels for x in level):
+            run = self.spark.read.parquet(self.scratch.path(label)).filter(F.col("n") >= self.min_docs).select(F.col("h1").alias("_r1"), F.col("h2").alias("_r2"), F.col("last").alias("_last"))
+            batch = batch.join(run.hint("merge"), (F.col("h1") == F.col("_r1")) & (F.col("h2") == F.col("_r2")) & (F.col("_last") >= F.col("last")), "left_anti")
+        return batch
+
     def _merge(self, level: int) -> None:
         old, self.levels[level] = self.levels[level], []
         self._store(self._resolved(old), level + 1)
@@ -98,29 +115,14 @@ class LineRuns:
         return runs if len(labels) == 1 else runs.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
 
     def keys(self) -> DataFrame | None:
-        """All keys so far: h1, h2, n, last; None without a run."""
+        """All keys so far: h1, h2, n, last; None without a run. Of settled keys, n may leave out later documents."""
         labels = [x for level in self.levels for x in level]
         return self._resolved(labels) if labels else None
 
-    def fresh(self, batch: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-        """(id, h1, h2) of the batch's lines that no run has: a merge anti-join with each run."""
-        left = self._keys(batch, key, text)
-        for label in (x for level in self.levels for x in level):
-            left = left.join(self.spark.read.parquet(self.scratch.path(label)).select("h1", "h2"), ["h1", "h2"], "left_anti")
-        return left.select(F.col("_id").alias(key), "h1", "h2")
-
-    def repeated(self, min_docs: int = MIN_DOCS) -> DataFrame | None:
+    def repeated(self) -> DataFrame | None:
         """The keys that at least ``min_docs`` documents hold, written once."""
         keys = self.keys()
-        return None if keys is None else self.scratch.write(keys.filter(F.col("n") >= min_docs).select("h1", "h2", "last"), "repeated")
-
-
-def batches_of(table: DataFrame, n: int = BATCHES) -> list[DataFrame]:
-    """A Parquet table in ``n`` parts by its files, or whole if it has fewer."""
-    files = sorted(table.inputFiles())
-    if len(files) < n:
-        return [table]
-    return [table.sparkSession.read.schema(table.schema).parquet(*files[i::n]) for i in range(n)]
+        return None if keys is None else self.scratch.write(keys.filter(F.col("n") >= self.min_docs).select("h1", "h2", "last"), "repeated")
 
 
 def drop_repeated(docs: DataFrame, repeated: DataFrame | None, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -150,8 +152,13 @@ def drop_repeated(docs: DataFrame, repeated: DataFrame | None, key: str = "doc_i
 
 
 def dedup_table(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
-    """All batches of a Parquet table through the runs, then ``drop_repeated``."""
-    runs = LineRuns(docs.sparkSession, min_chars)
-    for batch in batches_of(docs, batches):
-        runs.add(batch, key, text)
-    return drop_repeated(docs, runs.repeated(min_docs), key, text, min_chars)
+    """All batches of a table through the runs, then ``drop_repeated``. The lines are hashed and counted in one pass."""
+    runs = LineRuns(docs.sparkSession, min_chars, min_docs)
+    dealt = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"), F.pmod(F.xxhash64(key), F.lit(batches)).cast("int").alias("_batch"))
+    counted = runs.counted(dealt, "_id", "_text", "_batch")
+    path = runs.scratch.path("counted")
+    counted.write.partitionBy("_batch").parquet(path)
+    whole = docs.sparkSession.read.schema(counted.schema).parquet(path)
+    for batch in range(batches):
+        runs.add_counted(whole.filter(F.col("_batch") == batch).drop("_batch"))
+    return drop_repeated(docs, runs.repeated(), key, text, min_chars)

@@ -151,15 +151,16 @@ SELECT page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes,
     array_to_string(list_transform(range(32), lambda k: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substring(s, CAST(10 * (k // 8) + 1 AS BIGINT), 10) AS BIGINT) >> CAST(35 - 5 * (k % 8) AS BIGINT)) & 31 AS INT), 1)), '') AS payload_digest,
     CASE WHEN page_id = first OR first IS NULL THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
 FROM p JOIN f ON p.h = f.h""",
-    "op5_chat_perspectives": """
-WITH t AS (SELECT conv_id, turn, coalesce(CAST(floor(turn / 64) AS BIGINT), -1) AS block, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+    "op5_chat_perspectives": r"""
+WITH t AS (SELECT conv_id, turn, coalesce(CAST(floor(turn / 64) AS BIGINT), -1) AS block, regexp_replace(replace(coalesce(role, 'unknown'), '<|', '<\|'), '[\x09-\x0D]', ' ', 'g') AS speaker, replace(coalesce(text, ''), '<|', '<\|') AS text FROM conversations),
+u AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, block ORDER BY turn NULLS FIRST, speaker, text) - 1) // 64 AS piece FROM t),
 s AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
-p AS (SELECT t.*, perspective, speaker = perspective AS own,
+p AS (SELECT u.*, perspective, speaker = perspective AS own,
     '<|im_start|>' || CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user name=' || speaker END || chr(10) AS lead
-    FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
-q AS (SELECT *, lead || text || '<|im_end|>' || chr(10) AS part, row_number() OVER (PARTITION BY conv_id, perspective, block ORDER BY turn NULLS FIRST, speaker, text) AS n FROM p),
-w AS (SELECT *, sum(length(part)) OVER (PARTITION BY conv_id, perspective, block ORDER BY n) AS upto FROM q)
-SELECT conv_id, perspective, block, count(*) AS n_turns, string_agg(part, '' ORDER BY n) AS rendered,
+    FROM u JOIN s ON u.conv_id IS NOT DISTINCT FROM s.conv_id),
+q AS (SELECT *, lead || text || '<|im_end|>' || chr(10) AS part, row_number() OVER (PARTITION BY conv_id, perspective, block, piece ORDER BY turn NULLS FIRST, speaker, text) AS n FROM p),
+w AS (SELECT *, sum(length(part)) OVER (PARTITION BY conv_id, perspective, block, piece ORDER BY n) AS upto FROM q)
+SELECT conv_id, perspective, block, piece, count(*) AS n_turns, string_agg(part, '' ORDER BY n) AS rendered,
     coalesce(string_agg(CAST(CAST(upto - length(part) + length(lead) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(upto - 1 AS BIGINT) AS VARCHAR), ',' ORDER BY n) FILTER (WHERE own), '') AS mask
-FROM w GROUP BY conv_id, perspective, block""",
+FROM w GROUP BY conv_id, perspective, block, piece""",
 }

@@ -5,7 +5,10 @@ another try. A base pattern can swallow neighbours (a phone number that runs int
 whole), so generators of high recall propose further spans, which may overlap. Their format and context become
 features; boosted trees of depth two give a margin, Platt scaling a probability, and a threshold for each kind
 selects. The trees are trained on generated sentences whose answers are known (SYNTHETIC of them), with the
-features computed by the same columns, and compiled to CASE expressions, so scoring stays in the JVM.
+features computed by the same columns, and compiled to CASE expressions, so scoring stays in the JVM. Scaling and
+thresholds come from sentences of other phrases than the trees were fitted to. Phrases are dealt to right and wrong
+candidates alike (a card number that fails its check digit follows "visa", a phone number follows none of the words
+that the features know), so no word decides alone.
 
 Offsets are code points, ends exclusive. Defined cases: a null text is the empty text, with no spans; equal
 spans of one kind count once; repeated rows are treated alike; other columns pass through, but _base and _spans are
@@ -33,18 +36,23 @@ BASE = {
 }
 #: What a text must hold for a pattern to be worth a try.
 SIGN = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
+DOT = r"(?:[\x20]?(?:\(dot\)|\[dot\]|[\x20]dot[\x20])[\x20]?|\.)"
+AT = r"(?:[\x20]?(?:\(at\)|\[at\])[\x20]?|[\x20]at[\x20]|[\x20]@[\x20]?|@[\x20]?)"
 #: Generators of candidates: kind, pattern, sign.
 GENERATORS = (
-    ("email", rf"(?<![{LOCAL}])[{LOCAL}]{{1,64}}+ ?(?:\(at\)|\[at\]| at |@) ?[A-Za-z0-9-]{{1,63}}+(?:(?: ?(?:\(dot\)|\[dot\]| dot ) ?|\.)[A-Za-z0-9-]{{2,24}}+){{1,4}}+", r"[(\[]at[)\]]| at [A-Za-z0-9-]+ ?(?:dot|[(\[]dot)"),
+    ("email", rf"(?<![{LOCAL}])[A-Za-z0-9_%+-]{{1,64}}+(?:{DOT}[A-Za-z0-9_%+-]{{1,64}}+){{0,3}}+{AT}[A-Za-z0-9-]{{1,63}}+(?:{DOT}[A-Za-z0-9-]{{2,24}}+){{1,4}}+", r"[(\[]at[)\]]| at [A-Za-z0-9-]+ ?(?:dot |[(\[]dot)| @|@ |@[A-Za-z0-9-]+ ?(?:dot |[(\[]dot)"),
     ("ip", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}+[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])", r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"),
+    ("ip", r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}+::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}+)?+(?![0-9A-Za-z:])", r"[0-9A-Fa-f]::"),
     ("card", r"(?<![0-9])(?:[0-9]{14,19}+|[0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{2,4}+)(?![0-9])", r"[0-9]{4}[\x20-]?[0-9]{4}"),
     ("phone", r"\+[0-9]{1,3}+[\x20.-]?(?:\([0-9]{1,4}\)[\x20.-]?)?[0-9]{2,4}+(?:[\x20.-][0-9]{2,4}+(?![0-9])){1,3}+", r"\+[0-9]"),
     ("phone", r"(?<![0-9+.(-])(?:\([0-9]{3}\)[\x20.-]?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])", r"[0-9]{3}[\x20.-][0-9]{4}"),
+    ("phone", r"(?<![0-9+.(/-])0[1-9][0-9]{1,3}[\x20/-][0-9]{5,8}(?![0-9.-])", r"0[0-9]{2,4}[\x20/-][0-9]{5}"),
 )
-FEATURES = ("kind", "digits", "separators", "luhn", "plus", "brackets", "glued_before", "glued_after", "word_near", "distinct", "length", "dots")
-NEAR = {"email": "mail|contact|write|reach", "ip": "ip|host|server|addr|from|connect", "card": "card|visa|pay|charg|debit|credit|account", "phone": "tel|phone|call|fax|mobile|ring|text|contact|reach"}
+FEATURES = ("kind", "digits", "separators", "luhn", "plus", "brackets", "glued_before", "glued_after", "word_next", "word_near", "other_near", "distinct", "length", "dots", "ending", "letters", "zero")
+NEAR = {"email": "mail|contact|write|reach", "ip": "ip|host|server|addr|from|connect", "card": "card|visa|pay|charg|debit|credit|account", "phone": "tel|phone|call|fax|mobile|ring|text|contact|reach|number|whatsapp"}
 NOT_NEAR = "order|serial|isbn|version|ticket|part|model|id|hash|code|ref"
-SYNTHETIC, ROUNDS, SHRINK, SEED = 3_000, 30, 0.3, 11
+ENDINGS = "com|org|net|edu|gov|info|io|co|de|fr|uk|es|it|eu|us|ca|nl|ch|at|pl|be|se|au|jp|br|ru|in"
+SYNTHETIC, ROUNDS, SHRINK, SEED = 6_000, 40, 0.3, 11
 #: Share of selected candidates that must be right, on generated sentences that the trees were not fitted to.
 PRECISION = 0.98
 
@@ -117,7 +125,7 @@ def features(text: Column, c: Column) -> Column:
     found = c["found"]
     before = F.lower(F.substring(text, F.greatest(c["start"] - 23, F.lit(1)), F.least(c["start"], F.lit(24))))
     prior, after = F.substring(text, c["start"], F.when(c["start"] > 0, 1).otherwise(0)), F.substring(text, c["end"] + 1, F.lit(1))
-    near = reduce(lambda a, k: F.when(c["kind"] == KINDS.index(k), before.rlike(rf"(?:{NEAR[k]})[a-z]*[^a-z]*$").cast("int")).otherwise(a), KINDS, F.lit(0))
+    by_kind = lambda end: reduce(lambda a, k: F.when(c["kind"] == KINDS.index(k), before.rlike(rf"(?<![a-z])(?:{NEAR[k]}){end}").cast("int")).otherwise(a), KINDS, F.lit(0))
     far = before.rlike(rf"(?:{NOT_NEAR})[a-z]*[^a-z]*$").cast("int")
     digits = digits_of(found)
     values = [
@@ -129,47 +137,79 @@ def features(text: Column, c: Column) -> Column:
         found.rlike(r"[(\[]").cast("int"),
         prior.rlike("[A-Za-z0-9]").cast("int"),
         after.rlike("[A-Za-z0-9]").cast("int"),
-        near - far,
+        by_kind(r"[a-z]*[^a-z]*$"),
+        by_kind(""),
+        far,
         F.size(F.array_distinct(F.split(digits, ""))),
         c["end"] - c["start"],
         F.length(F.regexp_replace(found, r"[^.]|\.$", "")) + F.regexp_count(found, F.lit("dot")),
+        F.lower(found).rlike(rf"(?:\.|dot[\])]?\x20?)(?:{ENDINGS})$").cast("int"),
+        F.length(F.regexp_replace(found, "[^A-Za-z]", "")),
+        F.startswith(found, F.lit("0")).cast("int"),
     ]
     return F.array(*[v.cast("double") for v in values])
 
 
-def _sentences(n: int) -> list[tuple[str, list[str]]]:
-    """Generated sentences and the personal data in each."""
-    rng = random.Random(SEED)
-    words = "lorem the report river stone of and plan over under green table light wind for with das und le por que".split()
+#: Phrases before a candidate, for the sentences that trees are fitted to and for those that scale and choose. What is
+#: said before right ones is said before wrong ones too, in other shares.
+LEADS = (
+    {"email": ("drop a line to", "you find her under", "mail", "e-mail:", "send it over to", "contact"), "ip": ("ping", "the machine at", "host", "blocked traffic from", "listening on"),
+     "card": ("visa", "please bill", "card number", "the plastic says", "paid with", "debit card"), "phone": ("call me on", "dial", "tel.", "my number is", "we talk under", "mobile"),
+     "other": ("order", "the part", "item", "we saw", "as in", "serial no", "ticket", "chapter", "it says")},
+    {"email": ("write to", "reach him via", "his address is", "e-mail", "questions go to"), "ip": ("server", "connect to", "address", "the router answers on", "from"),
+     "card": ("charge it to my", "mastercard", "credit card", "account", "number on the front:"), "phone": ("ring", "phone", "fax", "text me at", "get hold of us on", "telephone number"),
+     "other": ("reference", "model", "version", "see", "code", "in total", "the id", "line")},
+)
+
+
+def _sentences(n: int, part: int, seed: int = SEED) -> list[tuple[str, list[str]]]:
+    """Generated sentences with the phrases of a part of LEADS, and the personal data in each."""
+    rng = random.Random(seed * 1000 + part)
+    words = ("lorem the report river stone of and plan over under green table light wind for with das und le por que".split(), "some more about house water old road to by near ein nicht dans pour una los time add bad face cafe".split())[part]
     prose = lambda k: " ".join(rng.choice(words) for _ in range(k))
     number = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    hexes = lambda k: ":".join(f"{rng.randrange(65536):x}" for _ in range(k))
+    ending = lambda: rng.choice(ENDINGS.split("|"))
 
-    def card(good: bool, sep: str) -> str:
-        head = rng.choice("456") + number(14)
+    def card(good: bool) -> str:
+        head = rng.choice("3456") + number(rng.choice((14, 14, 14, 13, 17)))
         total = sum((2 * int(d)) % 10 + (2 * int(d)) // 10 if i % 2 == 0 else int(d) for i, d in enumerate(reversed(head)))
         last = (10 - total % 10) % 10
-        whole = head + str(last if good else (last + rng.randrange(1, 10)) % 10)
-        return sep.join(whole[i : i + 4] for i in range(0, 16, 4)) if sep else whole
+        whole, sep = head + str(last if good else (last + rng.randrange(1, 10)) % 10), rng.choice(("", " ", "-"))
+        return sep.join(whole[i : i + 4] for i in range(0, 16, 4)) if sep and len(whole) == 16 else whole
 
-    def phone(style: int) -> str:
+    def phone() -> str:
+        a, b, c = number(3), number(3), number(4)
+        return rng.choice((f"+1 ({a}) {b}-{c}", f"+{rng.randrange(20, 99)} {number(3)} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+1 {a}.{b}.{c}", f"{a} {b} {c}", f"0{rng.randrange(20, 999)}{rng.choice(' /-')}{number(rng.randrange(5, 9))}"))
+
+    def email() -> str:
+        at, dot = rng.choice((("(at)", "(dot)"), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" at ", " dot "), (" @ ", "."), ("@", " (dot) "), (" [at] ", ".")))
+        name = rng.choice((rng.choice(words), f"{rng.choice(words)}.{number(2)}", f"{rng.choice(words)}{dot}{rng.choice(words)}"))
+        return f"{name}{at}{rng.choice(words)}{dot if rng.random() < 0.8 else '.'}{ending()}"
+
+    def wrong(kind: str) -> str:
+        if kind == "email":
+            return rng.choice((f"{prose(1)} at {prose(1)} dot {prose(1)}", f"{prose(1)} @ {number(1)}.{number(2)}", f"{prose(1)} @ {prose(1)}.{prose(1)}", f"{prose(1)} at {prose(1)} dot {ending()}ly"))
+        if kind == "ip":
+            return rng.choice((":".join(number(2) for _ in range(8)), f"{rng.choice(('add', 'bad', 'face', 'cafe', 'a', 'b'))}::{rng.choice(('add', 'bad', 'dead', 'beef', 'f'))}", f"{number(1)}::{number(1)}"))
+        if kind == "card":
+            # A number that passes by chance within a longer code is no card.
+            return card(False) if rng.random() < 0.7 else f"{hexes(2).replace(':', '')}{rng.choice('abcdef')}{card(True)}{rng.choice('abcdef')}{hexes(1)}"
         a, b, c = number(3), number(3), number(4)
-        return (f"+1 ({a}) {b}-{c}", f"+{rng.randrange(20, 99)} {number(3)} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+1 {a}.{b}.{c}")[style]
+        return rng.choice((f"{a} {b} {c}", f"{a}.{b}.{c}", f"{a}-{b}-{c}", f"+{number(2)} {b}", f"+{number(1)}.{number(2)} {number(2)}", f"0{number(3)}-{number(6)}"))
 
     out = []
     for _ in range(n):
-        kind, good = rng.randrange(4), rng.random() < 0.5
-        lead = rng.choice(NEAR[KINDS[kind]].split("|")) if good else rng.choice(NOT_NEAR.split("|"))
-        lead = lead if rng.random() < 0.6 else prose(1)
-        if kind == 0:
-            name, host = f"{rng.choice(words)}.{number(2)}", f"{rng.choice(words)}"
-            what = rng.choice((f"{name} (at) {host} (dot) com", f"{name}[at]{host}[dot]org", f"{name} at {host} dot net")) if good else f"{prose(1)} at {prose(1)} dot {prose(1)}"
-        elif kind == 1:
-            what = ":".join(f"{rng.randrange(65536):x}" for _ in range(8)) if good else ":".join(number(2) for _ in range(8))
-        elif kind == 2:
-            what = card(good, rng.choice(("", " ", "-")))
-        else:
-            what = phone(rng.randrange(5)) if good else rng.choice((f"{number(3)} {number(3)} {number(4)}", f"+{number(2)} {number(3)}", f"+{number(1)}.{number(2)} {number(2)}", f"{number(3)}.{number(3)}.{number(4)}"))
-        more = card(True, "") if kind == 3 and good and rng.random() < 0.25 else ""
+        kind, good = rng.choice(KINDS), rng.random() < 0.5
+        said = LEADS[part]
+        # Hard cases: the right words before wrong ones, and none of them before right ones.
+        at = rng.random()
+        lead = rng.choice(said[kind]) if at < (0.7 if good else 0.25) else rng.choice(said["other"]) if not good and at < 0.8 else prose(2)
+        if kind == "phone" and not good and at < 0.25:
+            lead = rng.choice(said["other"])
+        right = {"email": email, "phone": phone, "card": lambda: card(True), "ip": lambda: rng.choice((hexes(8), f"2001:{hexes(1)}::{hexes(1)}", f"fe80::{hexes(4)}", f"{hexes(3)}::{hexes(2)}"))}
+        what = right[kind]() if good else wrong(kind)
+        more = card(True) if kind == "phone" and good and rng.random() < 0.25 else ""
         tail = f" {more}" if more else rng.choice(("", ".", ","))
         out.append((f"{prose(5)} {lead} {what}{tail} {prose(4)}", [x for x in (what, more) if good and x]))
     return out
@@ -178,9 +218,10 @@ def _sentences(n: int) -> list[tuple[str, list[str]]]:
 class Trees:
     """Boosted trees of depth two by logistic loss, with Platt scaling and a threshold for each kind."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray):
-        part = np.arange(len(y)) % 3
-        fit, scale, choose = part == 0, part == 1, part == 2
+    def __init__(self, x: np.ndarray, y: np.ndarray, other: np.ndarray):
+        """``other`` marks the rows of other phrases: one half scales, the other chooses thresholds."""
+        fit, half = ~other, np.cumsum(other) % 2 == 0
+        scale, choose = other & half, other & ~half
         self.bias = float(np.log((y[fit].mean() + 1e-3) / (1 - y[fit].mean() + 1e-3)))
         self.trees: list[tuple] = []
         margin = np.full(fit.sum(), self.bias)
@@ -252,14 +293,19 @@ _TRAINED: dict[str, Trees] = {}
 def trees(spark: SparkSession) -> Trees:
     """The trained trees, once for each driver."""
     if "trees" not in _TRAINED:
-        frame = spark.createDataFrame(_sentences(SYNTHETIC), "text string, what array<string>")
-        each = frame.select("text", "what", F.explode_outer(candidates(F.col("text"))).alias("c")).filter(F.col("c").isNotNull())
-        rows = each.select("text", "c.start", features(F.col("text"), F.col("c")).alias("x"), F.array_contains("what", F.trim("c.found")).cast("int").alias("y")).collect()
-        rows.sort(key=lambda r: (r["text"], r["start"], r["x"]))
-        _TRAINED["trees"] = Trees(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows]))
+        rows = examples(spark, [(*x, part) for part in (0, 1) for x in _sentences(SYNTHETIC // 2, part)])
+        _TRAINED["trees"] = Trees(*(np.array([r[c] for r in rows]) for c in ("x", "y")), np.array([r["part"] == 1 for r in rows]))
     return _TRAINED["trees"]
 
 
+def examples(spark: SparkSession, sentences: list[tuple[str, list[str], int]]) -> list:
+    """part, x (FEATURES) and y (whether it is personal data) of each candidate in generated sentences (text, what, part): as many rows at most as those hold."""
+    frame = spark.createDataFrame(sentences, "text string, what array<string>, part int")
+    each = frame.select("text", "what", "part", F.explode_outer(candidates(F.col("text"))).alias("c")).filter(F.col("c").isNotNull())
+    rows = each.select("part", "text", "c.start", features(F.col("text"), F.col("c")).alias("x"), F.array_contains("what", F.trim("c.found")).cast("int").alias("y")).collect()
+    return sorted(rows, key=lambda r: (r["part"], r["text"], r["start"], r["x"]))
+
+
 def added_spans(text: Column, base: Column, model: Trees) -> Column:
     """Candidates that the trees select and that no base span of their kind overlaps: array<struct<start,kind,end>>."""
     clear = F.filter(candidates(text), lambda c: ~F.exists(base, lambda b: (b["kind"] == c["kind"]) & (b["start"] < c["end"]) & (c["start"] < b["end"])))
@@ -277,7 +323,7 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     model = trees(docs.sparkSession)
     t = F.coalesce(F.col(text), F.lit(""))
     # Most texts hold none of the signs: one look tells.
-    some = t.rlike(r"[0-9@]|[(\[]at[)\]]| dot ")
+    some = t.rlike(r"[0-9@]|[(\[]at[)\]]|::| dot ")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     based = docs.drop("_base", "_spans").withColumn("_base", F.when(some, base_spans(t)).otherwise(none))
     return based.withColumn("_spans", F.when(some, F.array_sort(F.concat("_base", added_spans(t, F.col("_base"), model)))).otherwise(none))

@@ -1,7 +1,8 @@
 """Quality classifier: supervised subword embeddings, averaged per document, with a softmax output.
 
-A document is the average of learned vectors: one for each hashed word and one for each hashed character
-n-gram of its words. Vectors and output weights are trained by stochastic gradient descent in numpy on a bounded
+A document is the average of learned vectors: one for each hashed word, one for each hashed character
+n-gram of its words and one for each hashed pair of words that follow each other, where a word that follows itself is
+the same pair whatever the word. Vectors and output weights are trained by stochastic gradient descent in numpy on a bounded
 sample of labelled rows (SAMPLE documents and SAMPLE_CHARS characters, filled in the order of the hash of their id, so
 that any size of input gives a sample of the same kind; a document that does not fit is passed over, and a class that
 would be left out has one document in it, whatever its length). Because the output is linear in the average, a word adds one number and one
@@ -21,7 +22,6 @@ import pickle
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,8 @@ from pyspark.sql import types as T
 #: Labelled documents to learn from at most, and the characters of text they may hold together.
 SAMPLE = 4_000
 SAMPLE_CHARS = 12_000_000
-BUCKETS, DIM, EPOCHS, RATE, SEED = 1 << 15, 8, 4, 0.25, 7
+#: Buckets of words and character n-grams, then PAIRS buckets of word pairs, the last of them for a word after itself.
+BUCKETS, PAIRS, DIM, EPOCHS, RATE, SEED = 1 << 15, 1 << 14, 8, 4, 0.25, 7
 NGRAMS = (2, 3, 4)
 THRESHOLD = 0.3
 #: Folds by crc32 of the id's text; fold 0 is held out.
@@ -53,29 +54,25 @@ def features(word: str) -> list[int]:
     return out
 
 
-def mark_bucket(mark: str) -> int:
-    return zlib.crc32(mark.encode()) % BUCKETS
+def pairs(h: np.ndarray) -> np.ndarray:
+    """Buckets of the pairs of words that follow each other, from the words' hashes."""
+    one, two = h[:-1].astype(np.int64), h[1:].astype(np.int64)
+    return np.where(one == two, BUCKETS + PAIRS - 1, BUCKETS + (one * 31 + two) % (PAIRS - 1))
 
 
-def marks(words: list[str]) -> list[tuple[str, int]]:
-    """Pseudo-words of the whole text and their weights: words that repeat the one before, and the share of distinct words.
-
-    A single word's n-grams can't tell a text that says one word over and over from one that says it once.
-    """
-    same = sum(map(eq, words, words[1:]))
-    level = int(16 * len(set(words)) / len(words))
-    return [("\0same", 8 * same), (f"\0distinct{level}", 4 * len(words))]
+def word_hash(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
 
 
 class WordSums(dict):
-    """Word to the sum of its features' weights and their number, as two doubles in bytes."""
+    """Word to the sum of its features' weights, their number and the word's hash, as three doubles in bytes."""
 
     def __init__(self, weights: np.ndarray):
         self.weights = weights
 
     def __missing__(self, word: str) -> bytes:
         at = features(word)
-        got = np.array((self.weights[at].sum(), len(at))).tobytes()
+        got = np.array((self.weights[at].sum(), len(at), word_hash(word))).tobytes()
         if len(word) <= KNOWN_CHARS and len(self) < KNOWN:
             self[word] = got
         return got
@@ -100,10 +97,9 @@ class Model:
         words = text.split()
         if not words:
             return self.bias
-        total, count = np.frombuffer(b"".join(map(self.known.__getitem__, words))).reshape(-1, 2).sum(axis=0)
-        for mark, weight in marks(words):
-            total += weight * self.weights[mark_bucket(mark)]
-            count += weight
+        sums, counts, h = np.frombuffer(b"".join(map(self.known.__getitem__, words))).reshape(-1, 3).T
+        total = sums.sum() + self.weights[pairs(h)].sum()
+        count = counts.sum() + len(words) - 1
         return float(total / count) + self.bias
 
     def score(self, text: str | None) -> float:
@@ -116,7 +112,7 @@ def train(texts: list[str], labels: list[int]) -> Model:
     y = np.array(labels, int)
     if len(set(labels)) < 2:
         share = float(y.mean()) if len(y) else 1.0
-        return Model(np.zeros(BUCKETS), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
+        return Model(np.zeros(BUCKETS + PAIRS), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
     rng = np.random.default_rng(SEED)
     known: dict[str, bytes] = {}
     bags = []
@@ -126,12 +122,11 @@ def train(texts: list[str], labels: list[int]) -> Model:
             if w not in known:
                 known[w] = np.array(features(w), np.uint16).tobytes()
         at = np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint16)
-        for mark, weight_ in marks(words) if words else ():
-            at = np.append(at, np.full(weight_, mark_bucket(mark), np.uint16))
+        at = np.append(at, pairs(np.fromiter(map(word_hash, words), np.int64, len(words))))
         ids, counts = np.unique(at, return_counts=True)
         bags.append((ids.astype(np.int32), (counts / max(len(at), 1)).astype(np.float32)))
     known.clear()
-    vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
+    vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS + PAIRS, DIM)).astype(np.float32)
     out, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
     weight = len(y) / (2 * np.bincount(y, minlength=2))
     fit_part = rng.random(len(y)) >= 0.1  # the rest calibrates

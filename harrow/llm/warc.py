@@ -2,25 +2,28 @@
 
 Writing gives each task one archive, a gzip member for each record. A member's extra field "sl" holds its compressed
 and plain length, so a reader can go on to the next record without inflating this one. A task's file counts once
-the driver's commit lists it in _records.json, so files of failed or repeated attempts are never read.
+the driver's commit lists it in _records.json, so files of failed or repeated attempts are never read. The list has a
+place to start at for every PART_BYTES of a file too.
 
-Reading plans partitions of whole files by size. Equality and IN predicates on record_type and on header columns
-are taken over; a record's headers are inflated first, and its payload only if the record passes and the schema
-asks for the payload or ``verify`` asks for its digest. Archives of other writers, without "sl", are inflated
-member by member.
+Reading plans partitions of about PART_BYTES: several small files, or a stretch of a large one. Equality and IN predicates on
+record_type and on header columns are taken over; a record's headers are inflated first, and its payload only if the
+record passes and the schema asks for the payload or ``verify`` asks for its digest. Archives of other writers are
+one partition a file; those of gzip members without "sl" are inflated piece by piece to find where a member ends,
+and what is not wanted is thrown away as it comes.
 
 Paths are URIs that pyarrow.fs knows (file, hdfs, s3 and so on); the folder must be shared by all executors.
 
 Defined cases: null html is an empty payload; a null id is an empty record id, and null again when read; line breaks
-in a URL are percent-encoded; of equal payloads the least id is the response, all rows of that id are, and
-payloads of null ids alone are all responses; other columns are dropped. An empty table gives an empty archive.
+in a URL are percent-encoded; of equal payloads (equal SHA-1 and length) the least id is the response, all rows of that id
+are, and payloads of null ids alone are all responses; other columns are dropped. An empty table gives an empty archive. The payload
+of an HTTP record is what follows the HTTP header, that of any other record its whole block, and a revisit has none. An archive
+that ends within a record loses that record, or fails under ``verify``.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import io
 import json
 import struct
 import uuid
@@ -43,7 +46,7 @@ SCHEMA = "record_id string, record_type string, target_uri string, date string,
 #: Header of each column that a predicate can be pushed to.
 HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "date": "warc-date", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
 DATE, PROFILE = "1970-01-01T00:00:00Z", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-PART_BYTES, BATCH = 128 << 20, 512
+PART_BYTES, BATCH, BATCH_BYTES, CHUNK = 128 << 20, 512, 32 << 20, 1 << 16
 LEVEL = 1
 
 
@@ -82,7 +85,7 @@ SAFE = "%/:=&?~#+!$,;'@()*[]|"
 class Written(WriterCommitMessage):
     name: str
     size: int
-    rows: int
+    starts: list[int]
 
 
 class WarcWriter(DataSourceArrowWriter):
@@ -92,21 +95,23 @@ class WarcWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, root = _open(self.path)
         fs.create_dir(root, recursive=True)
-        name, rows = f"part-{uuid.uuid4().hex}.warc.gz", 0
+        name, starts, at = f"part-{uuid.uuid4().hex}.warc.gz", [0], 0
         with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
             for batch in iterator:
                 for r in batch.to_pylist():
                     payload = (r["payload"] or b"") if r["record_type"] == "response" else b""
-                    out.write(member(record_bytes(r["record_id"] or "", r["record_type"], r["target_uri"] or "", r["payload_digest"], payload, r["payload_length"], r["refers_to"])))
-                    rows += 1
-            size = out.tell()
-        return Written(name, size, rows)
+                    made = member(record_bytes(r["record_id"] or "", r["record_type"], r["target_uri"] or "", r["payload_digest"], payload, r["payload_length"], r["refers_to"]))
+                    if at - starts[-1] >= PART_BYTES:
+                        starts.append(at)
+                    out.write(made)
+                    at += len(made)
+        return Written(name, at, starts)
 
     def commit(self, messages: list[Written | None]) -> None:
         fs, root = _open(self.path)
         fs.create_dir(root, recursive=True)
         old = [] if self.overwrite else listed(self.path)
-        files = old + [[m.name, m.size] for m in messages if m is not None]
+        files = old + [[m.name, m.size, m.starts] for m in messages if m is not None]
         with fs.open_output_stream(f"{root}/{MANIFEST}") as out:
             out.write(json.dumps(files).encode())
 
@@ -118,19 +123,20 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 def listed(path: str) -> list[list]:
-    """[name, size] of the archives in a folder: those of the manifest, or all .warc and .warc.gz files without one."""
+    """[name, size, starts] of the archives in a folder: those of the manifest, or all .warc and .warc.gz files without one."""
     fs, root = _open(path)
     try:
         with fs.open_input_stream(f"{root}/{MANIFEST}") as f:
             return json.loads(f.read())
     except FileNotFoundError:
         found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
-        return sorted([x.base_name, x.size] for x in found if x.base_name.endswith((".warc", ".warc.gz")))
+        return sorted([x.base_name, x.size, [0]] for x in found if x.base_name.endswith((".warc", ".warc.gz")))
 
 
 @dataclass
 class Files(InputPartition):
-    names: list[str]
+    #: Name, first byte and the byte to end before.
+    stretches: list[tuple[str, int, int]]
 
 
 class WarcReader(DataSourceReader):
@@ -148,12 +154,13 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Files]:
         parts, some, total = [], [], 0
-        for name, size in listed(self.path):
-            if some and total + size > PART_BYTES:
-                parts.append(Files(some))
-                some, total = [], 0
-            some.append(name)
-            total += size
+        for name, size, starts in listed(self.path):
+            for start, end in zip(starts, [*starts[1:], size], strict=True):
+                if some and total + end - start > PART_BYTES:
+                    parts.append(Files(some))
+                    some, total = [], 0
+                some.append((name, start, end))
+                total += end - start
         return [*parts, Files(some)]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
@@ -162,56 +169,93 @@ class WarcReader(DataSourceReader):
         types = pa.schema([(f.name, arrow[f.dataType.simpleString()]) for f in self.schema])
         full = self.verify or "payload" in types.names
         rows: list[dict] = []
-        for name in partition.names:
+        held = 0
+        for name, start, end in partition.stretches:
             with fs.open_input_file(f"{root}/{name}") as f:
-                for row in records(f, self.wanted, full, self.verify):
+                for row in records(f, self.wanted, full, self.verify, start, end):
                     rows.append({k: row.get(k) for k in types.names})
-                    if len(rows) >= BATCH:
+                    held += len(rows[-1].get("payload") or b"")
+                    if len(rows) >= BATCH or held >= BATCH_BYTES:
                         yield pa.RecordBatch.from_pylist(rows, types)
-                        rows = []
+                        rows, held = [], 0
         yield pa.RecordBatch.from_pylist(rows, types)
 
 
-def records(f, wanted: dict[str, set], full: bool, verify: bool) -> Iterator[dict]:
-    """The records of an archive that pass, with their payload if ``full``."""
-    start, end = 0, f.size()
-    while start < end:
+class Record:
+    """A record whose plain bytes come into ``data`` as they are asked for."""
+
+    def __init__(self, f, start: int, end: int):
+        self.f, self.start, self.data = f, start, b""
         f.seek(start)
         head = f.read(24)
-        if head[:2] == b"\x1f\x8b" and head[3] & 4 and head[12:14] == b"sl":
-            size = struct.unpack("<I", head[16:20])[0]
-            # Headers first: a stretch of the member is enough for most.
-            rest, inflate = f.read(min(size - 24, 2048)), zlib.decompressobj(-15)
-            data = inflate.decompress(rest)
-            while b"\r\n\r\n" not in data and (more := f.read(min(65536, start + size - f.tell()))):
-                data += inflate.decompress(more)
-            fields = header(data)
-            if keep(fields, wanted):
-                if full and fields.get("warc-type") == "response":
-                    data += inflate.decompress(f.read(start + size - f.tell())) + inflate.flush()
-                yield row(fields, data, full, verify)
-            start += size
-        elif head[:2] == b"\x1f\x8b":
-            f.seek(start)
-            inflate, data = zlib.decompressobj(31), io.BytesIO()
-            while not inflate.eof and (more := f.read(65536)):
-                data.write(inflate.decompress(more))
-            start = f.tell() - len(inflate.unused_data)
-            fields = header(data.getvalue())
-            if keep(fields, wanted):
-                yield row(fields, data.getvalue(), full, verify)
-        else:
-            data = head
-            while b"\r\n\r\n" not in data and (more := f.read(4096)):
-                data += more
-            fields = header(data)
-            size = data.index(b"\r\n\r\n") + 4 + int(fields.get("content-length", 0)) + 4
-            if keep(fields, wanted):
-                if full:
-                    f.seek(start)
-                    data = f.read(size)
-                yield row(fields, data, full, verify)
-            start += size
+        self.inflate, self.size = None, None
+        if head[:2] == b"\x1f\x8b":
+            self.inflate = zlib.decompressobj(31)
+            if len(head) == 24 and head[3] & 4 and head[12:14] == b"sl":
+                self.size = struct.unpack("<I", head[16:20])[0]
+                if start + self.size > end:
+                    raise EOFError
+        f.seek(start)
+        self.next = 2048
+
+    def more(self) -> bool:
+        """Take in another stretch; False at the record's or the file's end."""
+        if self.inflate is not None and self.inflate.eof:
+            return False
+        room = self.next if self.size is None else min(self.next, self.start + self.size - self.f.tell())
+        got = self.f.read(room)
+        self.next = CHUNK
+        self.data += self.inflate.decompress(got) if self.inflate is not None else got
+        return bool(got)
+
+    def after(self, mark: bytes, at: int = 0) -> int:
+        """The place after the first ``mark`` from ``at`` on."""
+        while (k := self.data.find(mark, at)) < 0:
+            if not self.more():
+                raise EOFError
+        return k + len(mark)
+
+    def upto(self, size: int) -> None:
+        parts = [self.data]
+        have = len(self.data)
+        while have < size:
+            self.data = b""
+            if not self.more():
+                raise EOFError
+            parts.append(self.data)
+            have += len(self.data)
+        self.data = b"".join(parts)
+
+    def end(self, plain: int) -> int:
+        """Where the next record starts; ``plain`` is this one's length as it stands in a file that is not compressed."""
+        if self.inflate is None:
+            return self.start + plain
+        if self.size is not None:
+            return self.start + self.size
+        while not self.inflate.eof:
+            self.data = b""
+            if not self.more():
+                raise EOFError
+        return self.f.tell() - len(self.inflate.unused_data)
+
+
+def records(f, wanted: dict[str, set], full: bool, verify: bool, start: int = 0, end: int | None = None) -> Iterator[dict]:
+    """The records of a stretch of an archive that pass, with their payload if ``full``."""
+    end = f.size() if end is None else end
+    while start < end:
+        try:
+            record = Record(f, start, end)
+            at = record.after(b"\r\n\r\n")
+            fields = header(record.data[:at])
+            length = int(fields.get("content-length") or 0)
+            made = row(fields, record, at, length, full, verify) if keep(fields, wanted) else None
+            start = record.end(at + length + 4)
+        except (EOFError, zlib.error) as error:
+            if verify:
+                raise ValueError(f"the archive breaks off in the record at byte {start}") from error
+            return
+        if made is not None:
+            yield made
 
 
 def header(data: bytes) -> dict[str, str]:
@@ -230,19 +274,26 @@ def keep(fields: dict[str, str], wanted: dict[str, set]) -> bool:
     return all(value(fields, column) in values for column, values in wanted.items())
 
 
-def row(fields: dict[str, str], data: bytes, full: bool, verify: bool) -> dict:
+def row(fields: dict[str, str], record: Record, at: int, length: int, full: bool, verify: bool) -> dict:
+    """The columns of a record whose block of ``length`` bytes starts at ``at``."""
     out = {column: value(fields, column) for column in HEADERS}
-    at = data.index(b"\r\n\r\n") + 4
-    block = data[at : at + int(fields.get("content-length", 0))]
-    if not full and b"\r\n\r\n" not in block:
-        block += b"\r\n\r\n"  # the HTTP header was cut; its fields are not needed to the last
-    http, _, payload = block.partition(b"\r\n\r\n")
-    told = header(http + b"\r\n\r\n").get("content-length")
-    out["payload_length"] = int(told) if told and told.isdigit() else len(payload)
-    out["payload"] = payload if full and out["record_type"] != "revisit" else None
+    http = fields.get("content-type", "").lower().startswith("application/http") or out["record_type"] == "response"
+    if full:
+        record.upto(at + length)
+    begin, told = at, None
+    if http:
+        try:
+            begin = min(record.after(b"\r\n\r\n", at), at + length)
+            told = header(record.data[at:begin]).get("content-length")
+        except (EOFError, ValueError):
+            begin = at + length  # a header alone, without the empty line
+    revisit = out["record_type"] == "revisit"
+    out["payload_length"] = int(told) if revisit and told and told.isdigit() else at + length - begin
+    payload = record.data[begin : at + length] if full and not revisit else None
+    out["payload"] = payload
     if verify and out["record_type"] == "response":
         got = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-        if got != out["payload_digest"] or len(payload) != out["payload_length"]:
+        if got != (out["payload_digest"] or got) or (told or str(len(payload))) != str(len(payload)):
             raise ValueError(f"record {out['record_id']}: the payload has digest {got} and {len(payload)} bytes")
     return out
 

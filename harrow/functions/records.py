@@ -5,54 +5,77 @@ from __future__ import annotations
 import difflib
 import json
 from functools import reduce
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Names under which providers report counts: fixed values.
-INPUT = ("input_tokens", "prompt_tokens", "inputTokens", "promptTokens", "inputTokenCount")
-OUTPUT = ("output_tokens", "completion_tokens", "outputTokens", "completionTokens", "outputTokenCount")
-CACHED = ("cached_tokens", "cache_read_input_tokens", "cachedInputTokens")
+#: Names under which logs hold usage, and providers report counts: fixed values, the first that is there counts.
+USAGE = ("usage", "token_usage", "tokenUsage")
+INPUT = ("input_tokens", "inputTokens", "prompt_tokens", "promptTokens", "prompt_token_count", "promptTokenCount")
+OUTPUT = ("output_tokens", "outputTokens", "completion_tokens", "completionTokens", "candidates_token_count", "candidatesTokenCount")
+CACHED = ("cached_input_tokens", "cachedInputTokens", "cache_read_input_tokens", "cacheReadInputTokens", "cached_tokens", "cachedTokens", "cached_content_token_count", "cachedContentTokenCount")
+CREATED = ("cache_creation_input_tokens", "cacheCreationInputTokens")
+REASONED = ("reasoning_tokens", "reasoningTokens")
+FIELDS = ("input", "output", "total", "cached", "cache_creation", "reasoning")
 BLOCK_TYPES = ("captcha", "login-wall", "bot-detection", "rate-limit", "paywall", "geo-block", "other")
 
 
-def _usage(value) -> tuple | None:
-    """The first object, depth first, that reports input or output tokens."""
+def _first(value, names: tuple[str, ...]):
+    """What the first object that has one of ``names`` holds under it: an object before its parts, later parts before earlier ones."""
     if isinstance(value, dict):
-        pick = lambda names: next((int(value[n]) for n in names if isinstance(value.get(n), (int, float)) and not isinstance(value.get(n), bool)), None)
-        i, o = pick(INPUT), pick(OUTPUT)
-        if i is not None or o is not None:
-            return i or 0, o or 0, (i or 0) + (o or 0), pick(CACHED)
-    for v in value.values() if isinstance(value, dict) else value if isinstance(value, list) else ():
-        if (got := _usage(v)) is not None:
-            return got
+        name = next((n for n in names if n in value), None)
+        if name is not None:
+            return value[name]
+        value = list(value.values())
+    if isinstance(value, list):
+        for part in reversed(value):
+            if (got := _first(part, names)) is not None:
+                return got
     return None
 
 
+def _usage(value) -> tuple | None:
+    block = _first(value, USAGE) if isinstance(value, dict) else None
+    if not isinstance(block, dict):
+        return None
+    pick = lambda names: next((block[n] for n in names if block.get(n)), next((0 for n in names[-1:] if block.get(n) is not None), None))
+    i, o = pick(INPUT), pick(OUTPUT)
+    if i is None and o is None:
+        return None
+    i, o = int(i or 0), int(o or 0)
+    more = (_first(block, names) for names in (CACHED, CREATED, REASONED))
+    return i, o, i + o, *(None if m is None else int(m or 0) for m in more)
+
+
 def usage(body: Column) -> Column:
-    """Token usage (input, output, total, cached) of a JSON text at any depth; nulls where there is none, or no JSON."""
+    """Token usage (FIELDS) of the usage block of a JSON text at any depth; nulls where there is none, or no JSON."""
 
     def one(s: str | None) -> tuple:
         try:
-            return _usage(json.loads(s)) or (None,) * 4
-        except (TypeError, ValueError):
-            return (None,) * 4
+            return _usage(json.loads(s)) or (None,) * 6
+        except (TypeError, ValueError, AttributeError):
+            return (None,) * 6
 
-    @F.pandas_udf("input long, output long, total long, cached long")
+    @F.pandas_udf(", ".join(f"{f} long" for f in FIELDS))
     def run(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(x) for x in s], columns=["input", "output", "total", "cached"]).astype("Int64")
+        return pd.DataFrame([one(x) for x in s], columns=list(FIELDS)).astype("Int64")
 
     return run(body)
 
 
-def unified_diff(a: Column, b: Column) -> Column:
-    """A line diff with three lines of context; empty for equal texts."""
+#: Lines of a diff that are shown.
+DIFF_LINES = 500
+
+
+def unified_diff(a: Column, b: Column, most: int = DIFF_LINES) -> Column:
+    """A line diff with three lines of context, its first ``most`` lines; empty for equal texts."""
 
     @F.pandas_udf("string")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         lines = lambda s: (s or "").split("\n")
-        return pd.Series(["\n".join(difflib.unified_diff(lines(p), lines(q), "a", "b", lineterm="", n=3)) for p, q in zip(x, y, strict=True)])
+        return pd.Series(["\n".join(islice(difflib.unified_diff(lines(p), lines(q), "a", "b", lineterm="", n=3), most)) for p, q in zip(x, y, strict=True)])
 
     return run(a, b)
 

@@ -30,6 +30,31 @@ def merge_options(default, given):
     return given if same else default
 
 
+def load_overrides(defaults: dict, given: dict, path: str = "") -> tuple[dict, list[str]]:
+    """``defaults`` with what ``given`` changes, and the issues: unknown keys and leaves of another type, each by its whole path.
+
+    A switch alone stands for {"enabled": switch} where the default has such a switch. With any issue the defaults stand.
+    """
+    out, issues = dict(defaults), []
+    for key, value in given.items():
+        at, default = f"{path}{key}", defaults.get(key)
+        if key not in defaults:
+            issues.append(f"{at}: unknown key")
+        elif isinstance(default, dict):
+            if isinstance(value, bool) and isinstance(default.get("enabled"), bool):
+                out[key] = default | {"enabled": value}
+            elif isinstance(value, dict):
+                out[key], more = load_overrides(default, value, f"{at}.")
+                issues += more
+            else:
+                issues.append(f"{at}: no object{' or switch' if isinstance(default.get('enabled'), bool) else ''}")
+        elif isinstance(value, bool) != isinstance(default, bool) or not isinstance(value, (type(default), int) if isinstance(default, float) else type(default)):
+            issues.append(f"{at}: not a {'switch' if isinstance(default, bool) else 'number' if isinstance(default, (int, float)) else 'text'}")
+        else:
+            out[key] = value
+    return (dict(defaults), issues) if issues else (out, [])
+
+
 def parse_config(config: dict) -> tuple[dict[str, bool], list[str]]:
     """States of rules and the errors of a configuration; with any error no state is taken."""
     errors, known = [], {r.rule_id for r in RULES}

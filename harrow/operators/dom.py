@@ -52,7 +52,7 @@ def has_class(name: str) -> Column:
 def selector(text: str) -> Column:
     """A list of simple selectors (tag, #id, .class, [attr], [attr=v], ^=, $=, *=, and joins of them) as a predicate.
 
-    Combinators are not taken; they raise.
+    Combinators are not taken; they raise. ``select`` takes them.
     """
     import re
 
@@ -80,6 +80,40 @@ def selector(text: str) -> Column:
     return F.coalesce(reduce(lambda a, b: a | b, [simple(s) for s in text.split(",")]), F.lit(False))
 
 
+def select(nodes: DataFrame, text: str) -> DataFrame:
+    """Nodes that a list of selectors names, with descendant ("a b") and child ("a > b") combinators."""
+    import re
+
+    made = []
+    for one in re.split(r",(?![^\[]*\])", text):
+        steps = [x for x in re.split(r"\s*(>)\s*|\s+(?![^\[]*\])", one.strip()) if x]
+        found, child = None, False
+        for part in steps:
+            if part == ">":
+                child = True
+                continue
+            here = nodes.filter(selector(part))
+            if found is not None and child:
+                here = here.join(found.select(F.col("page_id").alias("_page"), F.col("node_id").alias("_up")), (F.col("page_id") == F.col("_page")) & (F.col("parent_id") == F.col("_up")), "left_semi")
+            elif found is not None:
+                here = inside(here, found)
+            found, child = here, False
+        made.append(found)
+    return reduce(DataFrame.unionByName, made).dropDuplicates(["page_id", "node_id"])
+
+
+def trigger_tokens(selectors: list[str]) -> list[tuple[str, str]]:
+    """The (kind, token) pairs, each once, that can make one of the selectors match: the ids, classes and attributes of its last step."""
+    import re
+
+    out = []
+    for text in selectors:
+        for one in re.split(r",(?![^\[]*\])", text):
+            last = re.split(r"\s*>\s*|\s+(?![^\[]*\])", one.strip())[-1]
+            out += [("id", m) for m in re.findall(r"#([\w-]+)", re.sub(r"\[[^\]]*\]", "", last))] + [("class", m) for m in re.findall(r"\.([\w-]+)", re.sub(r"\[[^\]]*\]", "", last))] + [("attribute", m) for m in re.findall(r"\[([\w-]+)", last)]
+    return list(dict.fromkeys(out))
+
+
 def token_selectors(nodes: DataFrame, selectors: DataFrame) -> DataFrame:
     """Nodes that any of many plain #id and .class selectors (kind, token) names: an equality join on tokens."""
     ids = F.when(attr("id").isNotNull(), F.array(F.struct(F.lit("id").alias("kind"), attr("id").alias("token"))))

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from harrow.functions import colour as C
 from harrow.functions import text as X
 from harrow.functions import urls as U
 from harrow.operators import dom as D
@@ -24,6 +25,23 @@ from harrow.operators import text_rules as R
 FORMS = "text|email|search|tel|url|number|password"
 
 
+@dataclass(frozen=True)
+class Local:
+    """A rule that looks at one node at a time: ``hit`` gives predicate and evidence; of hits within each other, ``post``
+    keeps the outermost or the innermost. ``detect`` looks at each node once for all such rules."""
+
+    hit: Callable[[], tuple[Column, Column | str]]
+    post: str = ""
+
+    def __call__(self, n: DataFrame) -> DataFrame:
+        found = _found(n, *self.hit())
+        return {"outermost": D.outermost, "innermost": D.innermost}[self.post](found, "page_id") if self.post else found
+
+
+def local(post: str = "") -> Callable[[Callable], Local]:
+    return lambda hit: Local(hit, post)
+
+
 def _found(nodes: DataFrame, where: Column, evidence: Column | str) -> DataFrame:
     e = F.lit(evidence) if isinstance(evidence, str) else evidence
     return nodes.filter(where).select("page_id", "node_id", "pre", "end", e.cast("string").alias("evidence"))
@@ -50,20 +68,26 @@ def style(name: str) -> Column:
 def personal_data(n: DataFrame) -> DataFrame:
     g = D.inline_groups(n, 9)
     g = g.withColumn("s", F.explode_outer(R.personal_spans(F.col("text")))).filter("s IS NOT NULL")
-    return g.select("page_id", F.col("parts")[0]["node_id"].alias("node_id"), F.col("parts")[0]["pre"].alias("pre"), F.col("parts")[0]["pre"].alias("end"), F.col("s.label").alias("evidence"))
+    # The node in which the span begins.
+    seek = F.aggregate("parts", F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("node_id"), F.lit(None).cast("int").alias("pre")), lambda a, p: F.struct((a["at"] + F.length(p["text"])).alias("at"), F.when(a["at"] <= F.col("s.start"), p["node_id"]).otherwise(a["node_id"]).alias("node_id"), F.when(a["at"] <= F.col("s.start"), p["pre"]).otherwise(a["pre"]).alias("pre")))
+    g = g.withColumn("_n", seek)
+    return g.select("page_id", "_n.node_id", "_n.pre", F.col("_n.pre").alias("end"), F.col("s.label").alias("evidence"))
 
 
-def secrets(n: DataFrame) -> DataFrame:
-    return _found(n, (F.col("kind") == "text") & ~F.col("in_non_content") & R.any_of(F.col("text"), R.SECRETS.values()), "secret")
+@local()
+def secrets():
+    return ((F.col("kind") == "text") & ~F.col("in_non_content") & R.any_of(F.col("text"), R.SECRETS.values()), "secret")
 
 
-def encoded(n: DataFrame) -> DataFrame:
-    return _found(n, (F.col("kind") == "text") & ~F.col("in_non_content") & (F.length("text") >= 40) & (F.size(R.encoded_spans(F.col("text"))) > 0), "encoded")
+@local()
+def encoded():
+    return ((F.col("kind") == "text") & ~F.col("in_non_content") & (F.length("text") >= 40) & (F.size(R.encoded_spans(F.col("text"))) > 0), "encoded")
 
 
-def invisible(n: DataFrame) -> DataFrame:
+@local()
+def invisible():
     seen = lambda s: s.rlike(X.INVISIBLE_CLASS)
-    return _found(n, F.coalesce(seen(F.col("text")), F.lit(False)) | F.exists(F.map_values(F.coalesce("attrs", F.create_map().cast("map<string,string>"))), seen), "invisible")
+    return (F.coalesce(seen(F.col("text")), F.lit(False)) | F.exists(F.map_values(F.coalesce("attrs", F.create_map().cast("map<string,string>"))), seen), "invisible")
 
 
 def prompt_injection(n: DataFrame) -> DataFrame:
@@ -73,20 +97,24 @@ def prompt_injection(n: DataFrame) -> DataFrame:
     return held.groupBy("page_id", F.col("nearest_block").alias("node_id"), F.col("b_pre").alias("pre"), F.col("b_end").alias("end")).agg(F.min("text").alias("evidence"))
 
 
-def comments_injected(n: DataFrame) -> DataFrame:
-    return _found(n, (F.col("kind") == "comment") & ~F.col("in_non_content") & R.injected(F.col("text")), F.col("text"))
+@local()
+def comments_injected():
+    return ((F.col("kind") == "comment") & ~F.col("in_non_content") & R.injected(F.col("text")), F.col("text"))
 
 
-def noscript(n: DataFrame) -> DataFrame:
-    return _found(n, _element("noscript") & (F.col("end") > F.col("pre")), "noscript")
+@local()
+def noscript():
+    return (_element("noscript") & (F.col("end") > F.col("pre")), "noscript")
 
 
-def svg_text(n: DataFrame) -> DataFrame:
-    return _found(n, _element("title", "desc", "text") & F.col("in_svg") & R.injected(F.col("whole_text")), F.col("tag"))
+@local()
+def svg_text():
+    return (_element("title", "desc", "text") & F.col("in_svg") & R.injected(F.col("whole_text")), F.col("tag"))
 
 
-def meta_injected(n: DataFrame) -> DataFrame:
-    return _found(n, (_element("meta") & F.coalesce(R.injected(D.attr("content")), F.lit(False))) | (_element("title") & ~F.col("in_svg") & R.injected(F.col("whole_text"))), F.col("tag"))
+@local()
+def meta_injected():
+    return ((_element("meta") & F.coalesce(R.injected(D.attr("content")), F.lit(False))) | (_element("title") & ~F.col("in_svg") & R.injected(F.col("whole_text"))), F.col("tag"))
 
 
 #: Attributes that carry text a reader does not see at once.
@@ -97,11 +125,12 @@ def bad_attributes(attrs: Column) -> Column:
     return F.map_filter(attrs, lambda k, v: k.isin(*CARRIERS) & R.injected(v))
 
 
-def attributes_injected(n: DataFrame) -> DataFrame:
-    e = n.filter("kind = 'element' AND tag <> 'meta'")
+@local()
+def attributes_injected():
+    e = (F.col("kind") == "element") & (F.col("tag") != "meta")
     hidden = _element("input") & ((D.attr("type") == "hidden") | D.attr("disabled").isNotNull()) & R.injected(D.attr("value"))
     bad = F.array_sort(F.map_keys(bad_attributes(F.col("attrs"))))
-    return _found(e, (F.size(bad) > 0) | F.coalesce(hidden, F.lit(False)), F.array_join(bad, ","))
+    return e & ((F.size(bad) > 0) | F.coalesce(hidden, F.lit(False))), F.array_join(bad, ",")
 
 
 def _blank(value, test: Callable[[str], bool]):
@@ -150,21 +179,40 @@ def schema_trust(n: DataFrame) -> DataFrame:
     return j.filter(U.registrable(U.host(F.col("evidence"))) != U.registrable(U.host(F.col("url")))).select("page_id", "node_id", "pre", "end", "evidence")
 
 
+#: Colours that are nearer to each other can't be told apart: a fixed value.
+COLOUR_DISTANCE = 24
+
+
+def grounded(styled_: DataFrame, n: DataFrame) -> DataFrame:
+    """Styled elements with _own_text (whether text stands in them itself) and _ground, the colour behind it.
+
+    That is the nearest inline background of the element or an ancestor that isn't clear, white where there is none; a
+    background that is no plain colour is itself, so it matches nothing.
+    """
+    back = F.coalesce(style("background-color"), style("background"))
+    opaque = F.coalesce(C.parse(back)["a"] >= 0.999, back.isNotNull())
+    holders = styled(n.filter((F.col("kind") == "element") & D.attr("style").isNotNull())).withColumn("_back", back).filter(opaque)
+    coloured = styled_.filter(style("color").isNotNull())
+    held = D.closest(coloured.select("page_id", "node_id", "pre", "end"), holders)
+    found = held.join(holders.select("page_id", F.col("node_id").alias("holder_id"), "_back"), ["page_id", "holder_id"], "left").select("page_id", "node_id", F.coalesce("_back", F.lit("#ffffff")).alias("_ground"))
+    own = n.filter((F.col("kind") == "text") & (F.length(F.btrim("text")) > 0)).select("page_id", F.col("parent_id").alias("node_id")).distinct().withColumn("_own", F.lit(True))
+    return styled_.join(found, ["page_id", "node_id"], "left").join(own, ["page_id", "node_id"], "left").withColumn("_own_text", F.coalesce("_own", F.lit(False))).drop("_own")
+
+
 #: Reason and predicate of hidden text, first match wins; approximation from inline style.
 def hidden_reason() -> Column:
     px = lambda p: F.regexp_extract(style(p), r"^(-?[0-9.]+)px", 1).try_cast("double")
     live = D.attr("aria-live").isNotNull() | D.attr("role").isin("alert", "status", "log", "timer", "marquee")
     away = style("position").isin("absolute", "fixed")
     animated = style("animation").isNotNull() | style("transition").isNotNull()
-    colour, ground = F.regexp_replace(style("color"), r"\s", ""), F.regexp_replace(F.coalesce(style("background-color"), style("background")), r"\s", "")
     reasons = [
         ("display-none-live-region", (style("display") == "none") & live), ("visibility-hidden", style("visibility") == "hidden"), ("visibility-collapse", style("visibility") == "collapse"),
-        ("opacity-0", (style("opacity").try_cast("double") == 0) & ~animated), ("font-size-0", style("font-size").rlike(r"^0(?:px|em|rem|%)?\s*$")),
+        ("opacity-0", (style("opacity").try_cast("double") == 0) & ~animated), ("font-size-0", F.col("_own_text") & style("font-size").rlike(r"^0(?:px|em|rem|%)?\s*$")),
         ("offscreen-left", away & (px("left") <= -9999)), ("offscreen-top", away & (px("top") <= -9999)), ("text-indent", px("text-indent") <= -9999),
-        ("clip-to-zero", style("clip-path").rlike(r"inset\((?:50|100)%") | style("clip").rlike(r"rect\(0(?:px)?[, ]+0(?:px)?[, ]+0")), ("text-fill-transparent", style("-webkit-text-fill-color") == "transparent"),
+        ("clip-to-zero", style("clip-path").rlike(r"inset\((?:50|100)%") | style("clip").rlike(r"rect\(0(?:px)?[, ]+0(?:px)?[, ]+0")), ("text-fill-transparent", F.col("_own_text") & (style("-webkit-text-fill-color") == "transparent")),
         ("filter-opacity-0", style("filter").rlike(r"opacity\(0%?\)") & ~animated), ("mask-transparent", style("mask-image").rlike(r"gradient\(\s*transparent\s*,\s*transparent")),
         ("transform-collapsed", style("transform").rlike(r"scale[xy]?\(0\)|scale\(0[, ]") & ~animated), ("content-visibility-hidden", style("content-visibility") == "hidden"),
-        ("max-height-collapsed", style("max-height").rlike("^0") & (style("overflow") == "hidden") & ~animated), ("color-match", colour == ground),
+        ("max-height-collapsed", style("max-height").rlike("^0") & (style("overflow") == "hidden") & ~animated), ("color-match", F.col("_own_text") & (C.parse(style("color"))["a"] > 0) & (C.distance(C.parse(style("color")), C.parse(F.col("_ground"))) <= COLOUR_DISTANCE)),
     ]
     return F.coalesce(*[F.when(F.coalesce(p, F.lit(False)), F.lit(r)) for r, p in reasons])
 
@@ -178,14 +226,15 @@ def not_exempt(hit: Column) -> Column:
 
 
 def hidden_text(n: DataFrame) -> DataFrame:
-    e = styled(n.filter((F.col("kind") == "element") & ~F.col("in_non_content") & D.attr("style").isNotNull() & (F.length("text_content") > 0))).withColumn("_hit", hidden_reason()).filter("_hit IS NOT NULL").withColumn("evidence", not_exempt(F.col("_hit")))
+    e = grounded(styled(n.filter((F.col("kind") == "element") & ~F.col("in_non_content") & D.attr("style").isNotNull() & (F.length("text_content") > 0))), n).withColumn("_hit", hidden_reason()).filter("_hit IS NOT NULL").withColumn("evidence", not_exempt(F.col("_hit")))
     return D.outermost(e.filter("evidence IS NOT NULL").select("page_id", "node_id", "pre", "end", "evidence"), "page_id")
 
 
-def cross_origin_frames(n: DataFrame) -> DataFrame:
+@local()
+def cross_origin_frames():
     src = F.when(_element("iframe") & D.attr("srcdoc").isNull(), D.attr("src")).when(_element("object"), D.attr("data")).when(_element("embed"), D.attr("src"))
     there = U.origin(U.resolve(src, F.col("url")))
-    return _found(n, F.coalesce(there.rlike("^https?:") & (there != U.origin(F.col("url"))), F.lit(False)), there)
+    return (F.coalesce(there.rlike("^https?:") & (there != U.origin(F.col("url"))), F.lit(False)), there)
 
 
 def links(n: DataFrame) -> DataFrame:
@@ -203,10 +252,11 @@ def link_spoof(n: DataFrame) -> DataFrame:
     return a.withColumn("evidence", reason).filter("evidence IS NOT NULL").select("page_id", "node_id", "pre", "end", "evidence")
 
 
-def trust_badges(n: DataFrame) -> DataFrame:
+@local()
+def trust_badges():
     name = F.coalesce(D.attr("aria-label"), D.attr("alt"), D.attr("title"), F.col("text_content"))
     image = _element("img", "svg") | (D.attr("role") == "img")
-    return _found(n, F.coalesce(image & (F.length(name) <= 120) & F.lower(name).rlike("secure checkout|ssl (?:secured|encrypted)|verified (?:seller|by)|money.?back guarantee|trusted (?:shop|store|site)|mcafee secure|norton secured|bbb accredited"), F.lit(False)), name)
+    return (F.coalesce(image & (F.length(name) <= 120) & F.lower(name).rlike("secure checkout|ssl (?:secured|encrypted)|verified (?:seller|by)|money.?back guarantee|trusted (?:shop|store|site)|mcafee secure|norton secured|bbb accredited"), F.lit(False)), name)
 
 
 def webdriver_probe(n: DataFrame) -> DataFrame:
@@ -216,19 +266,41 @@ def webdriver_probe(n: DataFrame) -> DataFrame:
     return s.join(t, ["page_id", "node_id"], "left_semi").withColumn("evidence", F.lit("navigator.webdriver"))
 
 
-def closed_shadow(n: DataFrame) -> DataFrame:
+@local()
+def closed_shadow():
     """Approximation: a declared closed root, or a custom element without content."""
-    return _found(n, (_element("template") & (D.attr("shadowrootmode") == "closed")) | ((F.col("kind") == "element") & F.contains("tag", F.lit("-")) & (F.col("end") == F.col("pre"))), F.col("tag"))
-
-
-def _selected(selector: str, evidence: str, extra: Column | None = None) -> Callable[[DataFrame], DataFrame]:
-    def rule(n: DataFrame) -> DataFrame:
-        where = D.selector(selector)
-        return D.outermost(_found(n, where if extra is None else where & F.coalesce(extra, F.lit(False)), evidence), "page_id")
-
-    return rule
-
-
+    return ((_element("template") & (D.attr("shadowrootmode") == "closed")) | ((F.col("kind") == "element") & F.contains("tag", F.lit("-")) & (F.col("end") == F.col("pre"))), F.col("tag"))
+
+
+def _selected(selector: str, evidence: str) -> Local:
+    return Local(lambda: (D.selector(selector), evidence), "outermost")
+
+
+def by_site(n: DataFrame, sites: DataFrame) -> DataFrame:
+    """Nodes that the selectors of their page's site name: page_id, rule_id, node_id, pre, end, evidence (the selector).
+
+    ``sites`` (rule_id, host_pattern, path_pattern, selector) is a curated list; its rows become predicates of the plan, so it is
+    read to the driver and refused beyond SITE_RULES rows. A selector is tried on the pages of its site alone.
+    """
+    rows = sites.limit(SITE_RULES + 1).collect()
+    if len(rows) > SITE_RULES:
+        raise ValueError(f"more than {SITE_RULES} selectors of sites; plain ids and classes go through dom.token_selectors")
+    by_pattern: dict[tuple, list] = {}
+    for r in rows:
+        by_pattern.setdefault((r["host_pattern"], r["path_pattern"]), []).append((r["rule_id"], r["selector"]))
+    hits = []
+    for (host, path), some in by_pattern.items():
+        everywhere = F.coalesce(U.path(F.col("url")).rlike(U.pattern_regex(host, path)[1]), F.lit(False)) if path else F.lit(True)
+        here = everywhere if host == "*" else U.matches(F.col("url"), host, path)
+        hits += [F.when(here & D.selector(text), F.struct(F.lit(rule).alias("rule_id"), F.lit(text).alias("evidence"))) for rule, text in some]
+    if not hits:
+        return n.select("page_id", F.lit("").alias("rule_id"), "node_id", "pre", "end", F.lit("").alias("evidence")).limit(0)
+    each = n.filter("kind = 'element'").select("page_id", "node_id", "pre", "end", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("page_id", "node_id", "pre", "end", "h.*")
+    return D.outermost(each, "page_id", "rule_id").select("page_id", "rule_id", "node_id", "pre", "end", "evidence")
+
+
+#: Selectors of sites that a plan takes.
+SITE_RULES = 2000
 COMMENTS = "#comments, #comment-section, .comments, .comment-list, .comments-area, #disqus_thread, [data-component=comments]"
 REVIEWS = "[itemtype*=schema.org/Review], #reviews, .customer-reviews, .review-list"
 SOCIAL = ".twitter-tweet, .instagram-media, .fb-post, .tiktok-embed, iframe[src*=youtube.com/embed], iframe[src*=twitter.com]"
@@ -239,8 +311,9 @@ NEWSLETTER = "[role=dialog], .modal, .popup, [class*=newsletter]"
 FOOTER = "footer, #footer, .site-footer, [role=contentinfo]"
 
 
-def footer(n: DataFrame) -> DataFrame:
-    return D.outermost(_found(n, D.selector(FOOTER) & ~F.col("in_article"), "footer"), "page_id")
+@local("outermost")
+def footer():
+    return (D.selector(FOOTER) & ~F.col("in_article"), "footer")
 
 
 def newsletter(n: DataFrame) -> DataFrame:
@@ -250,12 +323,14 @@ def newsletter(n: DataFrame) -> DataFrame:
     return D.outermost(has, "page_id")
 
 
-def scarcity(n: DataFrame) -> DataFrame:
-    return D.innermost(_found(n, _small(80, 20) & R.scarce(F.col("text_content")), F.col("text_content")), "page_id")
+@local("innermost")
+def scarcity():
+    return (_small(80, 20) & R.scarce(F.col("text_content")), F.col("text_content"))
 
 
-def timers(n: DataFrame) -> DataFrame:
-    return D.innermost(_found(n, _small(64, 20) & F.col("text_content").rlike("[0-9]{1,2}:[0-9]{2}|[0-9]+ ?(?:hours?|hrs?|min|sec)") & X.timer_seconds(F.col("text_content")).isNotNull(), X.timer_seconds(F.col("text_content"))), "page_id")
+@local("innermost")
+def timers():
+    return (_small(64, 20) & F.col("text_content").rlike("[0-9]{1,2}:[0-9]{2}|[0-9]+ ?(?:hours?|hrs?|min|sec)") & X.timer_seconds(F.col("text_content")).isNotNull(), X.timer_seconds(F.col("text_content")))
 
 
 def counting_down(snapshots: DataFrame) -> DataFrame:
@@ -265,23 +340,26 @@ def counting_down(snapshots: DataFrame) -> DataFrame:
     return s.filter(F.col("seconds") < F.col("before")).select("page_id", "node_id").distinct()
 
 
-def confirmshame(n: DataFrame) -> DataFrame:
+@local()
+def confirmshame():
     said = F.coalesce(F.nullif(F.col("text_content"), F.lit("")), D.attr("value"), F.lit(""))
     button = _element("button", "a") | (_element("input") & D.attr("type").isin("button", "submit")) | (D.attr("role") == "button")
-    return _found(n, F.coalesce(button & (F.length(said) <= 240) & F.lower(said).rlike("no,? ?(?:thanks|thank you),? i|i (?:don.t|do not) (?:want|like|care|need)|i(?:.d| would) rather (?:pay|miss)|i hate (?:saving|money|deals)|i.ll (?:pay full|stay|miss)"), F.lit(False)), said)
+    return (F.coalesce(button & (F.length(said) <= 240) & F.lower(said).rlike("no,? ?(?:thanks|thank you),? i|i (?:don.t|do not) (?:want|like|care|need)|i(?:.d| would) rather (?:pay|miss)|i hate (?:saving|money|deals)|i.ll (?:pay full|stay|miss)"), F.lit(False)), said)
 
 
-def checkout_boxes(n: DataFrame) -> DataFrame:
-    return _found(n.filter(U.is_checkout(F.col("url"))), _element("input") & (D.attr("type") == "checkbox") & D.attr("checked").isNotNull() & D.attr("disabled").isNull(), D.attr("name"))
+@local()
+def checkout_boxes():
+    return _element("input") & (D.attr("type") == "checkbox") & D.attr("checked").isNotNull() & D.attr("disabled").isNull() & U.is_checkout(F.col("url")), D.attr("name")
 
 
 ADDONS = {"warranty": "warranty|protection plan", "insurance": "insurance|cover(?:age)? for", "donation": "donat", "gift wrap": "gift ?wrap", "priority": "priority (?:boarding|processing|shipping)", "subscription": "auto.?renew|subscri"}
 
 
-def cart_addons(n: DataFrame) -> DataFrame:
+@local("innermost")
+def cart_addons():
     low = F.lower("text_content")
     label = F.coalesce(*[F.when(low.rlike(p), F.lit(k)) for k, p in ADDONS.items()])
-    return D.innermost(_found(n.filter(U.is_checkout(F.col("url"))), _small(200, 40) & label.isNotNull(), label), "page_id")
+    return _small(200, 40) & label.isNotNull() & U.is_checkout(F.col("url")), label
 
 
 MONEY = r"[$€£] ?[0-9]+(?:[.,][0-9]{2})?"
@@ -311,11 +389,12 @@ def form_prefill(n: DataFrame) -> DataFrame:
     return held.withColumn("_n", F.row_number().over(w)).filter("_n <= 8").select("page_id", "node_id", "pre", "end", "evidence")
 
 
-def hidden_affiliate(n: DataFrame) -> DataFrame:
+@local()
+def hidden_affiliate():
     name = F.lower(D.attr("name"))
     hit = name.rlike("^(?:utm_.*|aff(?:iliate)?(?:_?id)?|ref(?:erral|errer)?(?:_?(?:id|code))?|gclid|fbclid|msclkid|click_?id|partner_?id|subid)$") & ~name.rlike("csrf|token|nonce|session")
     outcome = F.when(F.coalesce(D.attr("value"), F.lit("")) == "", "already-empty").otherwise("cleared")
-    return _found(n.filter(U.is_checkout(F.col("url"))), _element("input") & (D.attr("type") == "hidden") & F.col("in_form") & hit, F.concat(name, F.lit(":"), outcome))
+    return _element("input") & (D.attr("type") == "hidden") & F.col("in_form") & hit & U.is_checkout(F.col("url")), F.concat(name, F.lit(":"), outcome)
 
 
 def disguised_ads(n: DataFrame) -> DataFrame:
@@ -370,7 +449,22 @@ RULES = [
 
 
 def detect(nodes: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """page_id, rule_id, node_id, evidence of all given rules (all that are on by default)."""
+    """page_id, rule_id, node_id, evidence of all given rules (all that are on by default).
+
+    Rules that look at one node are told by one array for each node; a plan reads the nodes once for all of them, and
+    once more for each other rule.
+    """
     chosen = [r for r in (RULES if rules is None else rules) if r.run and (rules is not None or r.default_on)]
-    parts = [r.run(nodes).select("page_id", F.lit(r.rule_id).alias("rule_id"), "node_id", "evidence") for r in chosen]
+    one = [r for r in chosen if isinstance(r.run, Local)]
+    parts = [r.run(nodes).select("page_id", F.lit(r.rule_id).alias("rule_id"), "node_id", "evidence") for r in chosen if r not in one]
+    if one:
+        hits = []
+        for r in one:
+            where, e = r.run.hit()
+            hits.append(F.when(where, F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.run.post).alias("post"), (F.lit(e) if isinstance(e, str) else e).cast("string").alias("evidence"))))
+        each = nodes.select("page_id", "node_id", "pre", "end", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("page_id", "node_id", "pre", "end", "h.*")
+        for post, keep in (("outermost", D.outermost), ("innermost", D.innermost), ("", None)):
+            some = each.filter(F.col("post") == post)
+            some = some if keep is None else keep(some, "page_id", "rule_id")
+            parts.append(some.select("page_id", "rule_id", "node_id", "evidence"))
     return reduce(DataFrame.unionByName, parts)

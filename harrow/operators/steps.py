@@ -1,44 +1,36 @@
-"""Operators over ordered event logs: pairing of steps and calls, elapsed time, segments, retention and counts.
+"""Operators over trace entries (tab_id, frame_id, seq, type, rule_id, n), projected from an events table: retention, segments and counts.
 
-The tables are steps of two sides (side, idx, kind, url), calls (run, call, at) and results, and trace entries
-(tab, frame, seq, type, rule), all projected from an events table (event_id, ts, user_id, event_type, value).
+Each is SQL over the trace, with parameters in braces: ``KEEP`` is the number of entries kept for each tab.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-STEPS = """SELECT user_id % 2 AS side, event_id AS idx, event_type AS kind, user_id AS run, CAST(event_id % 3 AS INT) AS tree FROM {events} WHERE user_id < 40"""
+#: Entries of a tab that the store keeps, and the rules whose counts are taken in a report.
+KEEP, KNOWN = 2000, ("rule-1", "rule-2", "rule-3")
 TRACE = """SELECT user_id % 20 AS tab_id, event_id % 3 AS frame_id, event_id AS seq, CASE WHEN event_type = 'error' THEN 'segment' WHEN event_type = 'view' THEN 'navigation' ELSE 'rule-application' END AS type,
-    concat('rule-', CAST(event_id % 6 AS VARCHAR(9))) AS rule_id, CAST(floor(value) AS BIGINT) AS n FROM {events}"""
+    concat('rule-', CAST(event_id % 6 AS VARCHAR(9))) AS rule_id, CAST(floor(value) AS BIGINT) AS n,
+    CASE WHEN event_id % 9 = 0 THEN CAST('Infinity' AS DOUBLE) WHEN event_id % 9 = 1 THEN CAST('NaN' AS DOUBLE) WHEN event_id % 9 = 2 THEN -value WHEN event_id % 9 > 3 THEN value + 0.5e0 END AS raw FROM {events}"""
 
 OPERATORS: dict[str, str] = {
-    # The n-th step of a kind and tree on the one side with the n-th on the other.
-    "step_pairing": """SELECT a.kind, a.tree, a.nth, a.idx AS idx_a, b.idx AS idx_b FROM
-    (SELECT *, row_number() OVER (PARTITION BY kind, tree ORDER BY idx) AS nth FROM {steps} WHERE side = 0) a JOIN
-    (SELECT *, row_number() OVER (PARTITION BY kind, tree ORDER BY idx) AS nth FROM {steps} WHERE side = 1) b ON a.kind = b.kind AND a.tree = b.tree AND a.nth = b.nth""",
-    # A call with the first later entry of its run that answers it.
-    "tool_call_join": """SELECT c.run, c.idx AS call_idx, min(r.idx) AS result_idx FROM (SELECT * FROM {steps} WHERE tree = 0) c
-    LEFT JOIN (SELECT * FROM {steps} WHERE tree = 1) r ON c.run = r.run AND c.kind = r.kind AND r.idx > c.idx GROUP BY c.run, c.idx""",
-    "seq_since_start": "SELECT run, idx, idx - min(idx) OVER (PARTITION BY run) AS since_start FROM {steps}",
-    # The first step that is no probe.
-    "direct_goto": """SELECT run, kind AS first_kind FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY idx) AS place FROM {steps} WHERE kind <> 'view') x WHERE place = 1""",
-    "latest_state": "SELECT run, max(idx) AS last_idx, max_by(kind, idx) AS last_kind, count(*) AS n FROM {steps} GROUP BY run",
-    "token_backfill": "SELECT tab_id, CAST(sum(n) AS BIGINT) AS tokens FROM {trace} GROUP BY tab_id",
     "tab_rule_counts": "SELECT tab_id, rule_id, count(*) AS n FROM {trace} WHERE type = 'rule-application' GROUP BY tab_id, rule_id",
-    "trace_stats": "SELECT tab_id, CAST(sum(CASE WHEN type = 'rule-application' THEN 1 ELSE 0 END) AS BIGINT) AS events, CAST(sum(length(type) + length(rule_id)) AS BIGINT) AS chars FROM {trace} GROUP BY tab_id",
-    "trace_prune": "SELECT tab_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY tab_id ORDER BY seq DESC) AS place FROM {trace}) x WHERE place <= 20",
+    "trace_prune": "SELECT tab_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY tab_id ORDER BY seq DESC) AS place FROM {trace}) x WHERE place <= {keep}",
     "segment_attribution": "SELECT tab_id, seq, CAST(sum(CASE WHEN type = 'segment' THEN 1 ELSE 0 END) OVER (PARTITION BY tab_id ORDER BY seq) AS BIGINT) AS segment FROM {trace}",
     "badge_text": "SELECT tab_id, CASE WHEN c <= 0 THEN '' WHEN c > 999 THEN '999+' ELSE CAST(c AS VARCHAR(9)) END AS badge FROM (SELECT tab_id, CAST(sum(CASE WHEN type = 'rule-application' THEN 1 ELSE 0 END) AS BIGINT) AS c FROM {trace} GROUP BY tab_id) x",
-    "count_sanitize": "SELECT tab_id, rule_id, n FROM {trace} WHERE rule_id IN ('rule-1', 'rule-2', 'rule-3') AND n > 0",
+    # Counts as reported: what is no number, not finite or not positive is dropped, others lose their fraction.
+    "count_sanitize": "SELECT tab_id, seq, rule_id, CAST(floor(raw) AS BIGINT) AS n FROM {trace} WHERE rule_id IN {known} AND raw > 0 AND raw < CAST('Infinity' AS DOUBLE)",
 }
 
 
-def apply(name: str, events: DataFrame) -> DataFrame:
-    spark, sql = events.sparkSession, OPERATORS[name]
-    have = {"steps": STEPS, "trace": TRACE}
-    return spark.sql(sql, **{k: spark.sql(v, events=events) for k, v in have.items() if f"{{{k}}}" in sql})
+def _parameters(sql: str, keep: int, known: tuple[str, ...]) -> str:
+    return sql.replace("{keep}", str(keep)).replace("{known}", "(" + ", ".join(f"'{k}'" for k in known) + ")")
 
 
-def oracle(name: str) -> str:
-    return f"WITH steps AS ({STEPS.format(events='events')}), trace AS ({TRACE.format(events='events')}) {OPERATORS[name].format(steps='steps', trace='trace')}"
+def apply(name: str, events: DataFrame, keep: int = KEEP, known: tuple[str, ...] = KNOWN) -> DataFrame:
+    spark = events.sparkSession
+    return spark.sql(_parameters(OPERATORS[name], keep, known), trace=spark.sql(TRACE, events=events))
+
+
+def oracle(name: str, keep: int = KEEP, known: tuple[str, ...] = KNOWN) -> str:
+    return f"WITH trace AS ({TRACE.format(events='events')}) {_parameters(OPERATORS[name], keep, known).format(trace='trace')}"

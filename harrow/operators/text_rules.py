@@ -133,11 +133,31 @@ def percent_spans(text: Column) -> Column:
     return S.find(text, "%[0-9A-Fa-f]{2}(?:[^%]{0,8}%[0-9A-Fa-f]{2})++", "[encoded payload hidden]", good)
 
 
+#: What a text says in a cipher shows in the text itself: its function words in the same cipher, so nothing is decoded.
+CIPHERS = {
+    "rot13": [w.translate(str.maketrans(X.LOWER, X.LOWER[13:] + X.LOWER[:13])) for w in X.ENGLISH],
+    "atbash": [w.translate(str.maketrans(X.LOWER, X.LOWER[::-1])) for w in X.ENGLISH],
+    "reversed": [w[::-1] for w in X.ENGLISH],
+}
+
+
 def cipher_of(text: Column) -> Column:
     """The first of rot13, atbash and reversed that turns a text that is not English into English; null for none."""
-    plain = X.english_words(text) >= ENGLISH_MIN
-    says = lambda s: X.english_words(s) >= ENGLISH_MIN
-    return F.when((F.length(text) < CIPHER_MIN) | plain, None).when(says(X.rot13(text)), "rot13").when(says(X.atbash(text)), "atbash").when(says(F.reverse(text)), "reversed")
+    no = (F.length(text) < CIPHER_MIN) | (X.english_words(text) >= ENGLISH_MIN)
+    out = F.when(no, None)
+    for name, words in CIPHERS.items():
+        out = out.when(X.words_in(text, words) >= ENGLISH_MIN, name)
+    return out
+
+
+def cipher_spans(text: Column) -> Column:
+    """Runs of letters, white space and marks that are in a cipher."""
+    return S.find(text, r"""[A-Za-z](?:[\s.,'"!?:;-]*+[A-Za-z]++)*+""", "[encoded payload hidden]", lambda run: cipher_of(run).isNotNull())
+
+
+def leet_spans(text: Column) -> Column:
+    """Runs of letters, digits, signs, white space and marks that read as English once signs are letters."""
+    return S.find(text, r"""[A-Za-z0-9@$!](?:[\s.,'"?:;-]*+[A-Za-z0-9@$!]++)*+""", "[encoded payload hidden]", leet)
 
 
 def leet(text: Column) -> Column:
@@ -175,4 +195,4 @@ def morse_spans(text: Column) -> Column:
 
 
 def encoded_spans(text: Column) -> Column:
-    return S.merge(base64_spans(text), hex_spans(text), percent_spans(text), nato_spans(text), morse_spans(text))
+    return S.merge(base64_spans(text), hex_spans(text), percent_spans(text), nato_spans(text), morse_spans(text), cipher_spans(text), leet_spans(text))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harrow.functions import urls as U
-from harrow.operators import catalog, dom, page_rules, site_rules
+from harrow.operators import catalog, cleaning, dom, page_rules, site_rules
 from harrow.session import shared_table
 from harrow.sources import html
 
@@ -46,12 +46,16 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_url(p: DataFrame) -> DataFrame:
-    """Nodes with the url of their page: one shuffle of node rows, or none where the pages are small."""
-    return html.nodes(p).join(p.select("page_id", "url"), "page_id")
+    """Nodes with the url of their page, which the parser carries along."""
+    return html.nodes(p, url="url")
+
+
+def fixture_pages(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(FIXTURE, "page_id long, url string, html string")
 
 
 def fixture(spark: SparkSession) -> DataFrame:
-    return with_url(spark.createDataFrame(FIXTURE, "page_id long, url string, html string"))
+    return with_url(fixture_pages(spark))
 
 
 def nodes_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,11 +167,24 @@ def page_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_rules.page_trees(html.nodes(pages(spark, sf_dir)))
 
 
+def cleaned_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inline text of pages without personal data, secrets and encoded payloads: page_id, n_spans and the text that is left."""
+    groups = shared_table(dom.inline_groups(html.nodes(pages(spark, sf_dir))), "groups")
+    made = cleaning.clean(groups, cleaning.detections(groups))
+    return made.groupBy("page_id").agg(F.sum("n_spans").alias("n_spans"), F.sum(F.length("text")).alias("chars"))
+
+
+def cleaned_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of FIXTURE that change."""
+    groups = dom.inline_groups(html.nodes(fixture_pages(spark)))
+    return cleaning.clean(groups, cleaning.detections(groups)).filter("n_spans > 0").select("page_id", "text")
+
+
 QUERIES = {
     f.__name__ if not n else n: f
     for f, n in (
         (nodes_by_tag, "page_nodes_by_tag"), (page_comments, ""), (page_titles, ""), (page_links, ""), (footer_regions, ""), (ad_regions, ""), (inline_groups, ""), (rule_counts_by_page, ""), (rule_fixture, ""), (json_ld_cleaned, ""), (outermost, ""), (innermost, ""),
-        (url_parts, ""), (denylist_pages, ""), (rule_catalog, ""), (applicable_rules, ""), (roach_motel, ""), (url_recipe, ""), (roach_motel_pages, ""), (url_recipe_pages, ""), (json_ld_pages, ""), (page_trees, ""),
+        (url_parts, ""), (denylist_pages, ""), (rule_catalog, ""), (applicable_rules, ""), (roach_motel, ""), (url_recipe, ""), (roach_motel_pages, ""), (url_recipe_pages, ""), (json_ld_pages, ""), (page_trees, ""), (cleaned_groups, ""), (cleaned_fixture, ""),
     )
 }
 
@@ -175,7 +192,13 @@ _VALUES = ", ".join(map(str, TREE))
 _ON = [r for r in page_rules.RULES if r.default_on and r.run]
 _HOST = r"lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1))"
 _PATH = r"coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), ''), '/')"
+#: What the parser does not look into.
+_BARE = "regexp_replace(regexp_replace(html, '<script>.*?</script>', '<script>', 'gs'), '<!--.*?-->', '', 'gs')"
 ORACLES = {
+    "page_nodes_by_tag": f"SELECT tag, count(*) AS n FROM (SELECT lower(unnest(regexp_extract_all({_BARE}, '<([a-zA-Z][a-zA-Z0-9]*)', 1))) AS tag FROM pages) GROUP BY tag",
+    "page_titles": "SELECT page_id, CAST(length(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS BIGINT) AS n_chars FROM pages WHERE html LIKE '%<title>%'",
+    "page_links": f"SELECT host, count(*) AS n FROM (SELECT {_HOST} AS host, unnest(regexp_extract_all({_BARE}, '<a href=\"/[^\"]*\"')) FROM pages) GROUP BY host",
+    "cleaned_fixture": "SELECT CAST(1 AS BIGINT) AS page_id, 'Card [card hidden] end' AS text",
     "page_comments": "SELECT page_id, count(*) AS n, CAST(sum(length(c)) AS BIGINT) AS chars FROM (SELECT page_id, unnest(regexp_extract_all(html, '<!--((?s:.*?))-->', 1)) AS c FROM pages) GROUP BY page_id",
     "footer_regions": "SELECT page_id, CAST(len(regexp_extract_all(html, '<footer[ >]')) AS BIGINT) AS n FROM pages WHERE html LIKE '%<footer%'",
     "ad_regions": "SELECT page_id, CAST(len(regexp_extract_all(html, '<div class=\"ad\">')) AS BIGINT) AS n FROM pages WHERE html LIKE '%<div class=\"ad\">%'",

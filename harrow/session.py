@@ -27,13 +27,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
-def shared_table(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once as Parquet to the folder in ``spark.checkpoint.dir`` and read back.
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder in ``spark.checkpoint.dir``, removed when the driver ends.
 
-    For what many branches of a plan read, such as parsed pages. Only a local session may go without the setting;
-    it then gets a temporary folder. The table is removed when the driver ends.
+    Only a local session may go without the setting; it then gets a temporary folder.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
@@ -41,7 +39,6 @@ def shared_table(df: DataFrame, label: str) -> DataFrame:
         root = f"file://{tempfile.mkdtemp(prefix='harrow-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
 
     def remove() -> None:
         with contextlib.suppress(Exception):
@@ -49,4 +46,11 @@ def shared_table(df: DataFrame, label: str) -> DataFrame:
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
     atexit.register(remove)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def shared_table(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once as Parquet to the shared folder and read back, for what many branches of a plan read, such as parsed pages."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

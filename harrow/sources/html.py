@@ -4,6 +4,9 @@
 The tree builder closes p, li, dd, dt, option, td and tr where HTML implies it, knows void elements, and drops open
 elements down to the one an end tag names. It is no browser: malformed pages can give other trees.
 
+The content of an open shadow root (<template shadowrootmode="open">) is a group of its own, and no other element's text
+holds what scripts, styles, other templates and noscript hold.
+
 ``text_content`` is the first TEXT_CAP characters of an element's text, ``text_len`` the length of all of it. Elements that
 rules judge by their text at any length (``read_whole``) have all of it in ``whole_text``; it is null for others.
 """
@@ -46,8 +49,8 @@ class Tree(HTMLParser):
         up = self.stack[-1] if self.stack else None
         node = {
             "node_id": len(self.nodes), "parent_id": up and up["node_id"], "pre": len(self.nodes), "end": len(self.nodes), "depth": len(self.stack), "n_children": 0, "kind": kind, "tag": tag, "attrs": list((attrs or {}).items()), "text": text, "grp": None,
-            "in_non_content": bool(up and (up["in_non_content"] or up["tag"] in NON_CONTENT)), "in_svg": bool(up and (up["in_svg"] or up["tag"] == "svg")), "in_form": bool(up and (up["in_form"] or up["tag"] == "form")),
-            "in_article": bool(up and (up["in_article"] or up["tag"] in ("article", "section", "aside", "nav"))), "nearest_block": up and (up["node_id"] if up["tag"] in BLOCK else up["nearest_block"]), "_text": [], "_len": 0, "_said": 0, "_whole": [] if kind == "element" and read_whole(tag, attrs) else None,
+            "in_non_content": bool(up and (up["in_non_content"] or (up["tag"] in NON_CONTENT and not up["_open"]))), "in_svg": bool(up and (up["in_svg"] or up["tag"] == "svg")), "in_form": bool(up and (up["in_form"] or up["tag"] == "form")),
+            "in_article": bool(up and (up["in_article"] or up["tag"] in ("article", "section", "aside", "nav"))), "nearest_block": up and (up["node_id"] if up["tag"] in BLOCK else up["nearest_block"]), "_text": [], "_len": 0, "_said": 0, "_open": tag == "template" and (attrs or {}).get("shadowrootmode") == "open", "_whole": [] if kind == "element" and read_whole(tag, attrs) else None,
         }
         self.nodes.append(node)
         if up and kind == "element":
@@ -68,7 +71,7 @@ class Tree(HTMLParser):
             open_p = [i for i, n in enumerate(self.stack) if n["tag"] == "p"]
             if open_p:
                 del self.stack[open_p[-1] :]
-        if tag in BLOCK:
+        if tag in BLOCK or tag == "template":
             self.grp += 1
         node = self._add("element", tag, {k: v or "" for k, v in reversed(attrs)}, None)
         if tag not in VOID:
@@ -84,13 +87,16 @@ class Tree(HTMLParser):
             if self.stack[i]["tag"] == tag:
                 del self.stack[i:]
                 break
-        if tag in BLOCK:
+        if tag in BLOCK or tag == "template":
             self.grp += 1
 
     def handle_data(self, data: str) -> None:
         node = self._add("text", None, None, data)
         node["grp"] = self.grp
-        for up in self.stack:
+        zone = next((i for i, up in enumerate(self.stack) if up["tag"] in NON_CONTENT and not up["_open"]), len(self.stack))
+        for i, up in enumerate(self.stack):
+            if i < zone < len(self.stack):
+                continue  # what a script or style holds is no text of what stands around it
             if up["_said"] < TEXT_CAP + 16:
                 piece = data if up["_said"] else data.lstrip()
                 up["_text"].append(piece[: TEXT_CAP + 16])
@@ -110,6 +116,7 @@ class Tree(HTMLParser):
         for node in self.nodes:
             said, length = "".join(node.pop("_text")).strip(), node.pop("_len")
             node.pop("_said")
+            node.pop("_open")
             whole = node.pop("_whole")
             node["whole_text"] = None if whole is None else "".join(whole).strip()
             element = node["kind"] == "element"
@@ -131,17 +138,22 @@ _ARROW = pa.schema([
 ])
 
 
-def nodes(pages: DataFrame, key: str = "page_id", html: str = "html", batch: int = 4096) -> DataFrame:
-    """The node table of ``pages``; filter pages before, as nothing is pushed through the parser. Null html has no nodes."""
+def nodes(pages: DataFrame, key: str = "page_id", html: str = "html", batch: int = 4096, url: str | None = None) -> DataFrame:
+    """The node table of ``pages``, with the page's url on each node if ``url`` names its column.
+
+    Filter pages before, as nothing is pushed through the parser. Null html has no nodes.
+    """
+    schema = _ARROW.append(pa.field("url", pa.string())) if url else _ARROW
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
         for some in batches:
-            for page, text in zip(some.column(0).to_pylist(), some.column(1), strict=True):
-                rows.extend({"page_id": page} | n for n in parse(text.as_py() or ""))
+            for i, (page, text) in enumerate(zip(some.column(0).to_pylist(), some.column(1), strict=True)):
+                more = {"page_id": page} | ({"url": some.column(2)[i].as_py()} if url else {})
+                rows.extend(more | n for n in parse(text.as_py() or ""))
                 if len(rows) >= batch:
-                    yield pa.RecordBatch.from_pylist(rows, _ARROW)
+                    yield pa.RecordBatch.from_pylist(rows, schema)
                     rows = []
-        yield pa.RecordBatch.from_pylist(rows, _ARROW)
+        yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return pages.select(key, html).mapInArrow(run, NODES)
+    return pages.select(key, html, *([url] if url else [])).mapInArrow(run, NODES + (", url string" if url else ""))

@@ -15,9 +15,67 @@ RUN = (
 TRUE, FALSE = ("true", "1", "yes", "y", "on", "t"), ("false", "0", "no", "n", "off", "f")
 
 
+def _placed(lines: DataFrame) -> DataFrame:
+    """``lines`` with seq, their order: by file name, then by place in the file, whatever partition reads it."""
+    return lines.withColumn("seq", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row")))
+
+
+def event_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Event rows (scenario_id, task_id, repetition, type, body, seq) of a folder of JSONL files, one a run, and the malformed lines.
+
+    A file is named scenario_task_rN.jsonl; the task is what stands between the last two underscores. Blank lines are skipped.
+    """
+    lines = _placed(spark.read.text(path)).filter(F.length(F.btrim("value")) > 0)
+    name = F.regexp_extract(F.url_decode(F.col("seq.file")), r"([^/]+)\.jsonl$", 1)
+    part = lambda k: F.regexp_extract(name, r"^(.+)_([^_]+)_r([0-9]+)$", k)
+    typed = lines.withColumn("_v", F.try_parse_json("value"))
+    bad = typed.filter("_v IS NULL").select("value", "seq")
+    return typed.filter("_v IS NOT NULL").select(part(1).alias("scenario_id"), part(2).alias("task_id"), part(3).try_cast("int").alias("repetition"), F.get_json_object("value", "$.type").alias("type"), F.col("value").alias("body"), "seq"), bad
+
+
+def proxy_log(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a model proxy's JSONL log: kind (stream, reply or unhandled), endpoint, model, status, request, response and seq; bad lines are left out."""
+    lines = _placed(spark.read.text(path)).filter(F.try_parse_json("value").isNotNull())
+    of = lambda *names: F.coalesce(*[F.get_json_object("value", f"$.{n}") for n in names])
+    kind = F.when(of("unhandled") == "true", "unhandled").when(of("stream") == "true", "stream").otherwise("reply")
+    return lines.select(kind.alias("kind"), of("endpoint", "path").alias("endpoint"), of("request.model").alias("model"), of("status").try_cast("int").alias("status"), of("request", "body").alias("request"), of("response", "response_raw").alias("response"), "seq")
+
+
+def external_tasks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """id and task of a task set as one JSON array or as JSON lines, and the ids in error with the reason. Encrypted sets must be decrypted before."""
+    first = spark.read.text(path).filter(F.length(F.btrim("value")) > 0).limit(1).collect()
+    raw = spark.read.schema("task_id string, confirmed_task string, category string, answer string").json(path, multiLine=bool(first) and first[0][0].lstrip().startswith("["))
+    t = raw.select(F.btrim("task_id").alias("id"), F.btrim("confirmed_task").alias("task"), "category", "answer")
+    twice = t.groupBy("id").count().filter("count > 1").select("id", F.lit(True).alias("_twice"))
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    t = t.join(twice, "id", "left").withColumn("reason", F.when(empty("id"), "missing task_id").when(empty("task"), "missing confirmed_task").when(F.col("_twice"), "duplicate task_id"))
+    return t.filter("reason IS NULL").select("id", "task", "category", "answer"), t.filter("reason IS NOT NULL").select("id", "reason")
+
+
+def append_rows(rows: DataFrame, path: str) -> None:
+    """Append rows to a JSONL log; the commit of Spark's writer makes all of them visible, or none."""
+    rows.write.mode("append").json(path)
+
+
+def replace_rows(rows: DataFrame, path: str) -> None:
+    """Write rows beside the log and put them in its place when all are there; the old ones stay until then."""
+    spark = rows.sparkSession
+    new, old = (spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}{end}") for end in (".new", ".old"))
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    rows.write.mode("overwrite").json(new.toString())
+    fs.delete(old, True)
+    if fs.exists(place) and not fs.rename(place, old):
+        raise OSError(f"{path} can't be moved")
+    if not fs.rename(new, place):
+        fs.rename(old, place)
+        raise OSError(f"{new.toString()} can't be moved to {path}")
+    fs.delete(old, True)
+
+
 def results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Rows of a JSONL run log with seq, and its malformed lines. Blank lines are skipped."""
-    lines = spark.read.text(path).filter(F.length(F.btrim("value")) > 0).withColumn("seq", F.monotonically_increasing_id())
+    lines = _placed(spark.read.text(path)).filter(F.length(F.btrim("value")) > 0)
     parsed = lines.withColumn("r", F.from_json("value", RUN + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     return parsed.filter("r._bad IS NULL").select("r.*", "seq").drop("_bad"), parsed.filter("r._bad IS NOT NULL").select("value", "seq")
 
@@ -65,7 +123,7 @@ def pricing(spark: SparkSession, path: str) -> DataFrame:
 
 def selector_list(spark: SparkSession, path: str) -> DataFrame:
     """kind, token and place of the plain hiding rules of a filter list: comments, exceptions and extended selectors left out, first seen kept."""
-    lines = spark.read.text(path).withColumn("place", F.monotonically_increasing_id())
+    lines = _placed(spark.read.text(path)).withColumnRenamed("seq", "place")
     raw = lines.filter(~F.col("value").rlike(r"^\s*(?:!|\[)") & F.startswith("value", F.lit("##"))).select(F.substring("value", 3, 1_000_000).alias("raw"), "place").filter(~F.col("raw").rlike(r":(?:has|contains|upward|matches|xpath|style|remove)"))
     once = raw.groupBy("raw").agg(F.min("place").alias("place"))
     kind = F.when(F.col("raw").rlike(r"^#[\w-]+$"), "id").when(F.col("raw").rlike(r"^\.[\w-]+$"), "class").otherwise("complex")
@@ -81,6 +139,52 @@ def deletion_list(spark: SparkSession, path: str) -> DataFrame:
     return e.select("host", "name", "difficulty", F.col("notes") if "notes" in m.columns else F.lit(None).cast("string").alias("notes")).dropDuplicates(["host"])
 
 
+def site_rules(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """selectors, recipes and warnings of a folder of YAML files, one a site, read in the order of their names.
+
+    A file holds lists of entries by rule id under ``selectors``, and lists under ``recipes`` and ``warnings``, each with
+    hostnames and pathnames (none: everywhere). All errors are gathered before they are raised.
+    """
+    import yaml
+
+    rows, errors = {"selectors": [], "recipes": [], "warnings": []}, []
+    grades = ("hard", "very-hard", "impossible")
+    for name, text in sorted((r.name, r.value) for r in spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value").collect()):
+        try:
+            site = yaml.safe_load(text) or {}
+        except yaml.YAMLError as error:
+            errors.append(f"{name}: {error}")
+            continue
+        entries = [("selectors", rule, e) for rule, some in (site.get("selectors") or {}).items() for e in some] + [(kind, "", e) for kind in ("recipes", "warnings") for e in site.get(kind) or []]
+        for kind, rule, e in entries:
+            said = {"selectors": "selectors", "recipes": "recipe", "warnings": "difficulty"}[kind]
+            unknown = set(e) - {"hostnames", "pathnames", said, *(("cancellation_url", "notes") if kind == "warnings" else ())}
+            if unknown or not e.get(said) or (kind == "warnings" and e[said] not in grades):
+                errors.append(f"{name}: bad entry of {kind}: {sorted(unknown) or e.get(said)!r}")
+                continue
+            for host in e.get("hostnames") or ["*"]:
+                for at in e.get("pathnames") or [None]:
+                    if kind == "selectors":
+                        rows[kind] += [(rule, host, at, s) for s in e["selectors"]]
+                    else:
+                        rows[kind].append((host, at, e[said], *((e.get("cancellation_url"), e.get("notes")) if kind == "warnings" else ())))
+    if errors:
+        raise ValueError("\n".join(errors))
+    fields = {"selectors": "rule_id string, host_pattern string, path_pattern string, selector string", "recipes": "host_pattern string, path_pattern string, recipe string", "warnings": "host_pattern string, path_pattern string, difficulty string, cancellation_url string, notes string"}
+    return {kind: spark.createDataFrame(some, fields[kind]) for kind, some in rows.items()}
+
+
+def read_trace(spark: SparkSession, path: str, schema: str, tab_id: int | None = None) -> DataFrame:
+    """Entries of a stored trace (``store_trace``) in the order of seq, of one tab alone if it is given: only its folder is read."""
+    entries = spark.read.schema(schema).json(path)
+    return (entries if tab_id is None else entries.filter(F.col("tab_id") == tab_id)).orderBy("seq")
+
+
+def store_trace(entries: DataFrame, path: str) -> None:
+    """Entries by tab, a folder each."""
+    entries.write.mode("append").partitionBy("tab_id").json(path)
+
+
 def export_trace(entries: DataFrame, path: str) -> None:
     """One JSON line for each entry."""
     entries.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)

@@ -4,9 +4,9 @@ from harrow.functions import records as R
 
 
 def test_usage(spark):
-    bodies = ['{"a": [{"usage": {"prompt_tokens": 3, "completion_tokens": 4, "cached_tokens": 1}}]}', '{"usage": {"input_tokens": 5, "output_tokens": 0}}', '{"x": 1}', "no", None]
+    bodies = ['{"a": [{"usage": {"prompt_tokens": 3, "completion_tokens": 4, "prompt_tokens_details": {"cached_tokens": 1}, "completion_tokens_details": {"reasoning_tokens": 2}}}]}', '{"usage": {"input_tokens": 5, "output_tokens": 7, "cache_creation_input_tokens": 6}}', '{"prompt_tokens": 1}', "no", None, '{"payload": {"tokenUsage": {"promptTokenCount": 8, "cachedContentTokenCount": 3}}}', '{"usage": {"reasoning_tokens": 1}}', "[1]"]
     rows = spark.createDataFrame(list(enumerate(bodies)), "i int, b string").select("i", R.usage("b").alias("u")).orderBy("i").collect()
-    assert [tuple(r.u) for r in rows] == [(3, 4, 7, 1), (5, 0, 5, None), (None,) * 4, (None,) * 4, (None,) * 4]
+    assert [tuple(r.u) for r in rows] == [(3, 4, 7, 1, None, 2), (5, 7, 12, None, 6, None), (None,) * 6, (None,) * 6, (None,) * 6, (8, 0, 8, 3, None, None), (None,) * 6, (None,) * 6]
 
 
 def test_diff_and_kind(spark):

@@ -45,7 +45,8 @@ LEADERS = 256
 #: One of so many k-mers tells most of the nodes that are out of reach before all k-mers are looked at.
 SHARE = 4
 KNOWN, KNOWN_CHARS = 400_000, 48
-_MASK = (1 << 64) - 1
+#: Columns of these names must not be in the rows that ``one_of_each`` is given.
+RESERVED = ("_h1", "_h2", "_g1", "_g2", "_key", "_n")
 
 
 class WordHashes(dict):

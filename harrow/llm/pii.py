@@ -25,6 +25,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Columns of these names are replaced by ``find``.
+RESERVED = ("_base", "_spans")
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "A-Za-z0-9._%+-"
 #: The base patterns; a start inside a run of the first class can't match where the run's start doesn't, unless a match ended there.
@@ -325,7 +327,7 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     # Most texts hold none of the signs: one look tells.
     some = t.rlike(r"[0-9@]|[(\[]at[)\]]|::| dot ")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    based = docs.drop("_base", "_spans").withColumn("_base", F.when(some, base_spans(t)).otherwise(none))
+    based = docs.drop(*RESERVED).withColumn("_base", F.when(some, base_spans(t)).otherwise(none))
     return based.withColumn("_spans", F.when(some, F.array_sort(F.concat("_base", added_spans(t, F.col("_base"), model)))).otherwise(none))
 
 

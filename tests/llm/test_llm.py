@@ -844,3 +844,31 @@ def test_pipeline(spark, tmp_path):
         docs = made
     assert before.count() > 0
     assert key(tuple(r) for r in corpus_pipeline.run(spark, sf).select("doc_id", "piece", "ids_crc32").collect()) == key(tuple(r) for r in docs.select("doc_id", "piece", "ids_crc32").collect())
+
+
+def test_pipeline_odd(spark, tmp_path, none):
+    """Nulls, empty and very long texts, ties, repeated rows, columns of the names used inside, and an empty table, stage by stage."""
+    import corpus_pipeline
+
+    odd_columns = ("_kept", "_quality", "_spans", "_h1", "_id", "u", "piece")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in odd_columns)
+    base = spark.read.parquet(f"{DIR}/documents.parquet").filter("doc_id < 40").collect()
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, *range(7)) for r in base]
+    rows += [(i, t, None, None, len(t or ""), *range(7)) for i, t in ODD] + rows[:3]
+    for given in (rows, []):
+        docs = spark.createDataFrame(given, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = str(tmp_path / f"{name}{len(given)}")
+            stage(spark, docs, DIR).write.parquet(out)
+            made = spark.read.parquet(out)
+            if name != "packing":
+                assert made.columns == docs.columns
+                for r in made.collect():
+                    assert [r[c] for c in odd_columns] == list(range(7)) and r.n_chars == len(r.text or "")
+            if name == "near_dedup":
+                assert made.count() == len({minhash.words_hash(minhash.words_of(r.text))[0] for r in made.collect()})
+            if name in ("pii", "line_dedup"):
+                assert made.count() == docs.count()
+            if name == "packing":
+                assert made.filter("piece = 0").count() == docs.count()
+            docs = made

@@ -22,6 +22,18 @@ def vocabulary(name: str) -> str:
         return f"{TOKENIZERS}/{name}"
 
 
+def split_pattern() -> str:
+    """The split pattern of the byte-level vocabulary: of the installed public_tokenizers, else the usual one."""
+    try:
+        import public_tokenizers
+
+        return public_tokenizers.PATTERN
+    except ImportError:
+        from harrow.llm import bpe
+
+        return bpe.SPACED_PATTERN
+
+
 def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from harrow.llm import embedding_neardup
 
@@ -66,7 +78,7 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from harrow.llm import bpe
 
-    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), bpe.SPACED_PATTERN)
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), split_pattern())
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

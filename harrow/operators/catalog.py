@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +79,35 @@ def denied(url: Column, patterns: list[tuple[str, str | None]]) -> Column:
     return out
 
 
+def masked(enforced_: Column, enabled: Column) -> Column:
+    """A rule's state where protection is off: off."""
+    return F.when(enforced_, enabled).otherwise(False)
+
+
+def matching(patterns: list[tuple[str, str | None]], host: str, path: str = "/") -> list[tuple[str, str | None]]:
+    """The patterns of a denylist that a page matches; those that can't be read match nothing."""
+    out = []
+    for pattern in patterns:
+        h, p = U.pattern_regex(*pattern)
+        try:
+            if re.search(h, host.lower()) and re.search(p, path or "/"):
+                out.append(pattern)
+        except re.error:
+            continue
+    return out
+
+
+def with_host(patterns: list[tuple[str, str | None]], host: str) -> list[tuple[str, str | None]]:
+    """A denylist with all pages of a host, unless it has them."""
+    return patterns if matching(patterns, host) else [*patterns, (host.lower(), None)]
+
+
+def without_page(patterns: list[tuple[str, str | None]], host: str, path: str = "/") -> list[tuple[str, str | None]]:
+    """A denylist without the patterns that a page matches."""
+    gone = matching(patterns, host, path)
+    return [p for p in patterns if p not in gone]
+
+
 def enforced(globally: Column, paused: Column, url: Column, patterns: list[tuple[str, str | None]]) -> Column:
     """On unless switched off, paused or denied; an unknown URL is enforced."""
     return globally & ~paused & (url.isNull() | ~denied(url, patterns))

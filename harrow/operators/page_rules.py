@@ -117,6 +117,11 @@ def meta_injected():
     return ((_element("meta") & F.coalesce(R.injected(D.attr("content")), F.lit(False))) | (_element("title") & ~F.col("in_svg") & R.injected(F.col("whole_text"))), F.col("tag"))
 
 
+def visible_attributes(attrs: Column) -> Column:
+    """Attributes without characters that show nothing."""
+    return F.transform_values(attrs, lambda k, v: X.strip_invisible(v))
+
+
 #: Attributes that carry text a reader does not see at once.
 CARRIERS = ("alt", "title", "placeholder", "aria-label", "aria-description", "aria-valuetext", "summary", "label", "data-description", "content")
 
@@ -272,8 +277,9 @@ def closed_shadow():
     return ((_element("template") & (D.attr("shadowrootmode") == "closed")) | ((F.col("kind") == "element") & F.contains("tag", F.lit("-")) & (F.col("end") == F.col("pre"))), F.col("tag"))
 
 
-def _selected(selector: str, evidence: str) -> Local:
-    return Local(lambda: (D.selector(selector), evidence), "outermost")
+def _selected(selector: str, evidence: str, but: tuple[str, ...] = ()) -> Local:
+    """Elements that a selector names, on pages of other sites than ``but``."""
+    return Local(lambda: (D.selector(selector) & (~F.coalesce(U.registrable(U.host(F.col("url"))).isin(*but), F.lit(False)) if but else F.lit(True)), evidence), "outermost")
 
 
 def by_site(n: DataFrame, sites: DataFrame) -> DataFrame:
@@ -301,11 +307,25 @@ def by_site(n: DataFrame, sites: DataFrame) -> DataFrame:
 
 #: Selectors of sites that a plan takes.
 SITE_RULES = 2000
-COMMENTS = "#comments, #comment-section, .comments, .comment-list, .comments-area, #disqus_thread, [data-component=comments]"
-REVIEWS = "[itemtype*=schema.org/Review], #reviews, .customer-reviews, .review-list"
-SOCIAL = ".twitter-tweet, .instagram-media, .fb-post, .tiktok-embed, iframe[src*=youtube.com/embed], iframe[src*=twitter.com]"
-COOKIES = "#onetrust-banner-sdk, #CybotCookiebotDialog, .cc-window, #cookie-banner, .cookie-banner, .cookie-consent, #cookie-notice"
-CHAT = "#intercom-container, .intercom-lightweight-app, #drift-widget, .zEWidget-launcher, #hubspot-messages-iframe-container, .crisp-client, #chat-widget"
+COMMENTS = ", ".join((
+    "#comments", "#comment-section", "#comments-section", "#commentsection", "#comment-list", "#comments-area", "#disqus_thread", "#respond", ".comments", ".comment-list", ".commentlist", ".comments-area", ".comments-section", ".comment-section", ".comment-thread",
+    ".fb-comments", ".js-discussion", "#coral_talk_stream", "#livefyre-comments", "#hyvor-talk-view", "#remark42", "#commento", "#giscus", ".giscus", ".utterances", "#isso-thread", "#graphcomment", "#spot-im-frame-inpage", "[data-spot-im-module]", "[data-component=comments]", "[data-testid=comments]", "section[aria-label=Comments]", "[itemtype*=schema.org/Comment]",
+))
+REVIEWS = "[itemtype*=schema.org/Review], #reviews, #customer-reviews, .customer-reviews, .review-list, .reviews-list, [data-hook=review], .yotpo-reviews, .bv-content-list"
+SOCIAL = ", ".join((
+    ".twitter-tweet", ".twitter-timeline", ".twitter-video", ".instagram-media", ".fb-post", ".fb-video", ".fb-page", ".tiktok-embed", ".reddit-embed", ".reddit-card", ".bluesky-embed", ".mastodon-embed", ".pinterest-embed", "[data-pin-do]",
+    *(f"iframe[src*={h}]" for h in ("youtube.com/embed", "youtube-nocookie.com/embed", "player.vimeo.com", "twitter.com", "platform.x.com", "facebook.com/plugins", "instagram.com", "tiktok.com/embed", "open.spotify.com/embed", "w.soundcloud.com", "linkedin.com/embed")),
+))
+#: Sites whose own pages are made of such embeds: there they are content.
+SOCIAL_HOSTS = ("twitter.com", "x.com", "instagram.com", "facebook.com", "tiktok.com", "reddit.com", "bsky.app", "youtube.com", "vimeo.com", "pinterest.com", "spotify.com", "soundcloud.com", "linkedin.com")
+COOKIES = ", ".join((
+    "#onetrust-banner-sdk", "#onetrust-consent-sdk", "#CybotCookiebotDialog", ".cc-window", ".cc-banner", "#cookie-banner", "#cookiebanner", ".cookie-banner", ".cookie-consent", "#cookie-consent", "#cookie-notice", ".cookie-notice", "#cookie-law-info-bar",
+    "#didomi-host", "#qc-cmp2-container", "#usercentrics-root", "#truste-consent-track", "#iubenda-cs-banner", "[id^=sp_message_container]", ".osano-cm-window", ".cky-consent-container", "#axeptio_overlay", ".fc-consent-root", "#hs-eu-cookie-confirmation", ".termly-styles-root",
+))
+CHAT = ", ".join((
+    "#intercom-container", "#intercom-frame", ".intercom-lightweight-app", "#drift-widget", "#drift-frame-controller", ".zEWidget-launcher", "#launcher[title*=chat]", "#hubspot-messages-iframe-container", ".crisp-client", "#crisp-chatbox", "#chat-widget", "#chat-widget-container", "#tawkchat-container",
+    "[id^=tawk_]", "#livechat-compact-container", "#olark-wrapper", "#tidio-chat", "#freshworks-container", "#fc_frame", ".fb_dialog", ".fb-customerchat", "#gorgias-chat-container", "#userlike", "#smooch-container", "#kommunicate-widget-iframe",
+))
 ADS = "ins.adsbygoogle, [data-ad-slot], [id^=google_ads_], [class*=sponsored-ad], .ad, .ads, .advert, .advertisement"
 NEWSLETTER = "[role=dialog], .modal, .popup, [class*=newsletter]"
 FOOTER = "footer, #footer, .site-footer, [role=contentinfo]"
@@ -340,11 +360,20 @@ def counting_down(snapshots: DataFrame) -> DataFrame:
     return s.filter(F.col("seconds") < F.col("before")).select("page_id", "node_id").distinct()
 
 
+#: What makes a refusal shameful; families of phrases.
+SHAMING = (
+    r"\bno,? ?(?:thanks|thank you),? ?i\b", r"\bno,? i (?:don.?t|do not|hate|prefer|enjoy)\b", r"\bi (?:don.?t|do not) (?:want|like|care|need)\b", r"\bi(?:.d|.ll| would| will)? rather (?:pay|miss|not)\b", r"\bi hate (?:saving|money|deals|discounts|free)\b",
+    r"\bi.?ll (?:pay (?:full|more)|stay|miss|pass on|risk)\b", r"\bi (?:like|love|enjoy|prefer) (?:paying|spending|to pay|missing|being)\b", r"\bpay(?:ing)? (?:full price|more)\b", r"\bi.?m (?:not interested in|fine (?:with|paying|without)|happy (?:paying|to pay)|too)\b", r"\bi (?:already know|know) everything\b",
+    r"\bcontinue without (?:saving|protection|my|the)\b", r"\b(?:miss|missing) out\b", r"\bi (?:accept|understand|take) the risk\b", r"\bleave (?:me|my \w+) (?:unprotected|exposed|at risk)\b", r"\bremain (?:unprotected|uninformed|ignorant)\b", r"\bi don.?t (?:value|deserve|believe|trust)\b",
+    r"\bgive up (?:my|the|this)\b", r"\bi (?:choose|want) to (?:stay|remain|lose|miss)\b", r"\bno,? (?:my|our) \w+ (?:doesn.?t|don.?t|is|are)\b",
+)
+
+
 @local()
 def confirmshame():
     said = F.coalesce(F.nullif(F.col("text_content"), F.lit("")), D.attr("value"), F.lit(""))
     button = _element("button", "a") | (_element("input") & D.attr("type").isin("button", "submit")) | (D.attr("role") == "button")
-    return (F.coalesce(button & (F.length(said) <= 240) & F.lower(said).rlike("no,? ?(?:thanks|thank you),? i|i (?:don.t|do not) (?:want|like|care|need)|i(?:.d| would) rather (?:pay|miss)|i hate (?:saving|money|deals)|i.ll (?:pay full|stay|miss)"), F.lit(False)), said)
+    return (F.coalesce(button & (F.length(said) <= 240) & F.lower(said).rlike("|".join(SHAMING)), F.lit(False)), said)
 
 
 @local()
@@ -352,7 +381,12 @@ def checkout_boxes():
     return _element("input") & (D.attr("type") == "checkbox") & D.attr("checked").isNotNull() & D.attr("disabled").isNull() & U.is_checkout(F.col("url")), D.attr("name")
 
 
-ADDONS = {"warranty": "warranty|protection plan", "insurance": "insurance|cover(?:age)? for", "donation": "donat", "gift wrap": "gift ?wrap", "priority": "priority (?:boarding|processing|shipping)", "subscription": "auto.?renew|subscri"}
+#: Labels of what is added to a cart; the first that fits counts.
+ADDONS = {
+    "warranty": "warranty|protection plan|service plan", "insurance": "insurance|cover(?:age)? for|travel protection", "donation": "donat|round up for|charity", "gift wrap": "gift ?(?:wrap|box|bag)", "priority": "priority (?:boarding|processing|shipping|support)", "subscription": "auto.?renew|subscri|autoship",
+    "seat": "seat selection|extra leg ?room|preferred seat", "baggage": "(?:checked|extra) (?:bag|luggage|baggage)", "tip": r"\badd (?:a )?tip\b|gratuity", "membership": r"\bmembership\b|\bvip\b|plus plan", "carbon": "carbon (?:offset|neutral)", "fast shipping": "express (?:shipping|delivery)|next.?day",
+    "installation": "install(?:ation)? service|assembly service", "accessory": "frequently bought|add (?:a )?(?:case|charger|cable)", "cancellation": "(?:free|flexible) cancellation|refund protection", "support": "premium support|tech support", "sample": r"\badd (?:a )?sample",
+}
 
 
 @local("innermost")
@@ -376,15 +410,26 @@ def hidden_fees(n: DataFrame) -> DataFrame:
     return _found(priced, fee & (F.col("_rows") >= 2), F.regexp_extract("text_content", MONEY, 0))
 
 
+#: Names of fields whose default is a guess at the place or the language, not a choice made for the user.
+PLACES = "country|state|province|region|city|county|locale|lang|currency|time.?zone"
+
+
 def form_prefill(n: DataFrame) -> DataFrame:
-    """Filled inputs without an autofill token and pre-checked radios, at most eight in a form."""
+    """Filled inputs without an autofill token, selects whose default is not the first option, and pre-checked radios, one for each
+    group; at most eight in a form."""
     c = n.filter(U.is_checkout(F.col("url")) & F.col("in_form"))
-    kind = F.coalesce(F.lower(D.attr("type")), F.lit("text"))
+    free = D.attr("disabled").isNull() & D.attr("readonly").isNull()
+    kind, name = F.coalesce(F.lower(D.attr("type")), F.lit("text")), F.coalesce(D.attr("name"), F.lit(""))
     filled = _element("input") & kind.rlike(f"^(?:{FORMS})$") & (F.coalesce(D.attr("value"), F.lit("")) != "") & ~F.coalesce(D.attr("autocomplete"), F.lit("")).rlike("name|email|tel|address|postal|country|cc-")
-    radio = _element("input") & (kind == "radio") & D.attr("checked").isNotNull()
-    chosen = _found(c, (filled | radio) & D.attr("disabled").isNull() & D.attr("readonly").isNull(), F.concat(kind, F.lit(":"), F.coalesce(D.attr("name"), F.lit(""))))
+    text = _found(c, filled & free, F.concat(kind, F.lit(":"), name))
     forms = n.filter(_element("form")).select("page_id", "node_id", "pre", "end")
-    held = D.closest(chosen, forms)
+    radio = D.closest(_found(c, _element("input") & (kind == "radio") & D.attr("checked").isNotNull() & free, F.concat(kind, F.lit(":"), name)), forms)
+    first = Window.partitionBy("page_id", "holder_id", "evidence").orderBy("pre")
+    radio = radio.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "holder_id")
+    selects = c.filter(_element("select") & free & ~F.lower(F.concat(name, F.lit(" "), F.coalesce(D.attr("id"), F.lit("")))).rlike(PLACES)).select("page_id", "node_id", "pre", "end", F.concat(F.lit("select:"), name).alias("evidence"))
+    options = D.closest(c.filter(_element("option")).select("page_id", "node_id", "pre", "end", D.attr("selected").isNotNull().alias("_on")), selects).filter("holder_id IS NOT NULL")
+    chosen = options.groupBy("page_id", F.col("holder_id").alias("node_id")).agg(F.min("pre").alias("_first"), F.min(F.when(F.col("_on"), F.col("pre"))).alias("_at")).filter("_at > _first").select("page_id", "node_id")
+    held = D.closest(text.unionByName(radio).unionByName(selects.join(chosen, ["page_id", "node_id"], "left_semi")), forms)
     w = Window.partitionBy("page_id", "holder_id").orderBy("pre")
     return held.withColumn("_n", F.row_number().over(w)).filter("_n <= 8").select("page_id", "node_id", "pre", "end", "evidence")
 
@@ -440,7 +485,7 @@ RULES = [
     Rule("footer-redact", "pollution", True, footer, True), Rule("checkout-checkbox-sanitize", "dark patterns", True, checkout_boxes), Rule("cookie-banner-hide", "pollution", True, _selected(COOKIES, "cookies"), True), Rule("chat-widget-hide", "pollution", True, _selected(CHAT, "chat"), True),
     Rule("html-comment-strip", "injection", True, comments_injected), Rule("hidden-text-strip", "injection", True, hidden_text, approximate=True), Rule("unicode-invisibles-strip", "injection", True, invisible), Rule("noscript-strip", "injection", True, noscript),
     Rule("json-ld-sanitize", "injection", True, json_ld), Rule("meta-injection-strip", "injection", True, meta_injected), Rule("attribute-injection-sanitize", "injection", True, attributes_injected), Rule("newsletter-modal-hide", "dark patterns", True, newsletter, True, True),
-    Rule("svg-sprite-strip", "pollution", True, svg_sprites), Rule("svg-text-strip", "injection", True, svg_text), Rule("social-embed-redact", "injection", True, _selected(SOCIAL, "social")), Rule("ads-hide", "pollution", True, _selected(ADS, "ad")),
+    Rule("svg-sprite-strip", "pollution", True, svg_sprites), Rule("svg-text-strip", "injection", True, svg_text), Rule("social-embed-redact", "injection", True, _selected(SOCIAL, "social", SOCIAL_HOSTS)), Rule("ads-hide", "pollution", True, _selected(ADS, "ad")),
     Rule("cart-addon-annotate", "dark patterns", True, cart_addons), Rule("link-spoof-annotate", "injection", True, link_spoof), Rule("trust-badge-annotate", "injection", False, trust_badges), Rule("search-url-helper", "shortcuts", True, None, True),
     Rule("roach-motel-annotate", "dark patterns", True, None, True), Rule("irrelevant-sections-redact", "pollution", False, None, True), Rule("cross-origin-frame-redact", "injection", False, cross_origin_frames), Rule("schema-trust-sanitize", "injection", False, schema_trust),
     Rule("disguised-ad-flag", "pollution", True, disguised_ads), Rule("encoded-payload-redact", "sensitive", True, encoded), Rule("webdriver-probe-annotate", "injection", False, webdriver_probe, True, True), Rule("closed-shadow-root-annotate", "injection", False, closed_shadow, True, True),

@@ -24,7 +24,7 @@ NORM = r"nullif(lower(regexp_replace(regexp_replace(answer, '\s+', '', 'g'), '^[
 
 #: Tokens and cost of a run; null tokens give null cost, a model without a price costs nothing.
 TOKENS = "input_tokens + output_tokens"
-PARAMETERS = {"a": "s0", "b": "s1", "guarded": ("s1", "s3"), "repetitions": 3, "keep": 5, "always": ("t0",)}
+PARAMETERS = {"a": "s0", "b": "s1", "guarded": ("s1", "s3"), "repetitions": 3, "keep": 5, "always": ("t0",), "force": False}
 
 OPERATORS: dict[str, str] = {
     "dedupe_last_wins": "SELECT scenario_id, task_id, repetition, seq, first_seen FROM {latest}",
@@ -75,6 +75,9 @@ OPERATORS: dict[str, str] = {
     WHERE r.seq IS NULL""",
     "pending_counts": """SELECT CAST(sum(CASE WHEN error IS NULL AND answer IS NOT NULL AND passed IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS to_judge, CAST(sum(CASE WHEN error IS NULL AND answer IS NOT NULL AND extractable IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS to_extract,
     CAST(sum(CASE WHEN blocked IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS to_block_check FROM {latest}""",
+    "pending_judge": "SELECT scenario_id, task_id, repetition FROM {latest} WHERE error IS NULL AND answer IS NOT NULL AND (<force> OR passed IS NULL)",
+    "pending_extract": "SELECT scenario_id, task_id, repetition FROM {latest} WHERE error IS NULL AND answer IS NOT NULL AND (<force> OR extractable IS NULL)",
+    "pending_block": "SELECT scenario_id, task_id, repetition FROM {latest} WHERE error IS NULL AND (<force> OR blocked IS NULL)",
     "error_rows": "SELECT scenario_id, task_id, repetition, error FROM {latest} WHERE error IS NOT NULL",
     "all_rows": "SELECT scenario_id, task_id, repetition, steps, passed FROM {latest} ORDER BY scenario_id, task_id, repetition",
     "retention_keep": "SELECT scenario_id, seq, place <= <keep> OR task_id IN <always> AS keep FROM (SELECT *, row_number() OVER (PARTITION BY scenario_id ORDER BY seq DESC) AS place FROM {latest}) x",
@@ -95,7 +98,7 @@ COSTS = """SELECT r.*, CASE WHEN input_tokens IS NULL OR output_tokens IS NULL T
 
 def _bound(sql: str, parameters: dict, spark: bool) -> str:
     """The SQL with its parameters as literals."""
-    literal = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    literal = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v).upper()
     for name, value in (PARAMETERS | parameters).items():
         if name == "repetitions":
             said = f"explode(sequence(1, {value}))" if spark else f"CAST(unnest(range(1, {value + 1})) AS INTEGER)"

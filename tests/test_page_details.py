@@ -104,3 +104,30 @@ def test_reports_and_trace_store(spark, tmp_path):
     d = spark.createDataFrame([("", long)], "a string, b string").select(records.unified_diff("a", "b").alias("d")).first().d
     assert len(d.split("\n")) == records.DIFF_LINES
     assert json.loads(json.dumps(text))
+
+
+def test_form_prefill(spark):
+    form = """<form><input type=text name=a value=x><input type=radio name=g checked><input type=radio name=g checked><select name=plan><option>1<option selected>2</select>
+    <select name=country><option>A<option selected>B</select><select name=first><option selected>1<option>2</select><input type=text name=b value=y disabled></form>"""
+    pages = spark.createDataFrame([(1, "https://shop.example.com/checkout", form), (2, "https://shop.example.com/blog", form)], "page_id long, url string, html string")
+    got = page_rules.form_prefill(html.nodes(pages, url="url")).collect()
+    assert sorted((r.page_id, r.evidence) for r in got) == [(1, "radio:g"), (1, "select:plan"), (1, "text:a")]
+
+
+def test_shaming_and_embeds(spark):
+    said = ["No thanks, I hate saving", "I'd rather pay full price", "No, I don't want protection", "I'll risk it", "Leave my bags unprotected", "No thanks", "Close", "Continue without saving"]
+    body = "".join(f"<button>{t}</button>" for t in said) + '<div class="twitter-tweet">t</div>'
+    pages = spark.createDataFrame([(1, "https://a.example.com/", body), (2, "https://mobile.twitter.com/x", body)], "page_id long, url string, html string")
+    nodes = html.nodes(pages, url="url").cache()
+    assert sorted(r.evidence for r in page_rules.confirmshame(nodes.filter("page_id = 1")).collect()) == sorted(t for t in said if t not in ("No thanks", "Close"))
+    social = next(r for r in page_rules.RULES if r.rule_id == "social-embed-redact")
+    assert [r.page_id for r in social.run(nodes).collect()] == [1]
+
+
+def test_denylist_edits(spark):
+    some = [("*.example.com", None), ("[", None), ("b.example.org", "/x/*")]
+    assert catalog.matching(some, "A.example.com", "/y") == [("*.example.com", None)]
+    assert catalog.with_host(some, "a.example.com") == some and catalog.with_host(some, "C.net")[-1] == ("c.net", None)
+    assert catalog.without_page(some, "b.example.org", "/x/1") == some[:2]
+    r = spark.sql("SELECT true AS e, false AS f").select(catalog.masked(F.col("e"), F.col("e")).alias("x"), catalog.masked(F.col("f"), F.col("e")).alias("y")).first()
+    assert (r.x, r.y) == (True, False)

@@ -44,7 +44,8 @@ BINS, FULL = 256, 255
 LEADERS = 256
 #: One of so many k-mers tells most of the nodes that are out of reach before all k-mers are looked at.
 SHARE = 4
-KNOWN, KNOWN_CHARS = 400_000, 48
+#: Words that a worker remembers, and k-mers that it hands over at once.
+KNOWN, KNOWN_CHARS, KMERS = 200_000, 48, 1 << 16
 #: Columns of these names must not be in the rows that ``one_of_each`` is given.
 RESERVED = ("_h1", "_h2", "_g1", "_g2", "_key", "_n")
 
@@ -258,12 +259,15 @@ def _labelled_kmers(texts: DataFrame, share: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(2)
-            made = [labelled(kmers(words_of(column[i].as_py()))) for i in range(len(column))]
-            made = [h[h % np.uint64(share) == 0] for h in made]
-            which = pa.array(np.repeat(np.arange(len(made)), [len(h) for h in made]))
-            whole = np.concatenate([np.empty(0, np.uint64), *made])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), pa.array(whole.view(np.int64))], names=schema.names)
+            column, made, start, held = batch.column(2), [], 0, 0
+            for i in range(len(column)):
+                h = labelled(kmers(words_of(column[i].as_py())))
+                made.append(h[h % np.uint64(share) == 0])
+                held += len(made[-1])
+                if held >= KMERS or i == len(column) - 1:
+                    which = pa.array(np.repeat(np.arange(start, i + 1), [len(h) for h in made]))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), pa.array(np.concatenate(made).view(np.int64))], names=schema.names)
+                    made, start, held = [], i + 1, 0
 
     return texts.select("u", "class", "text").mapInArrow(run, schema)
 

@@ -107,6 +107,19 @@ class Model:
         return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
 
 
+#: The model that this worker scores with.
+_SCORING: list[Model] = []
+
+
+def _scoring_with(model: Model) -> Model:
+    """``model``; a worker lives on and forgets the words of the model before."""
+    for old in _SCORING:
+        if old is not model:
+            old.known.clear()
+    _SCORING[:] = [model]
+    return model
+
+
 def train(texts: list[str], labels: list[int]) -> Model:
     """Fit by stochastic gradient descent, one document a step; the classes weigh the same."""
     y = np.array(labels, int)
@@ -223,7 +236,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = _scoring_with(shared.value)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             made = [own.score(column[i].as_py()) for i in range(len(column))]

@@ -123,8 +123,9 @@ def tables(parameters: dict, **given: DataFrame) -> dict[str, DataFrame]:
         out[name] = spark.sql(OPERATORS[of], answers=out["answers"])
     if "scenarios" in out and "tasks" in out:
         out["grid"] = spark.sql(_bound(OPERATORS["work_grid"], parameters, True), scenarios=out["scenarios"], tasks=out["tasks"])
-    if "pricing" in out:
-        out["costs"] = spark.sql(COSTS, latest=out["latest"], pricing=out["pricing"])
+    if "pricing" not in out:
+        out["pricing"] = spark.createDataFrame([], "model string, input_per_mtok double, output_per_mtok double")
+    out["costs"] = spark.sql(COSTS, latest=out["latest"], pricing=out["pricing"])
     return out
 
 

@@ -42,15 +42,19 @@ def skeleton(s: Column) -> Column:
     return F.lower(F.translate(s, "".join(CONFUSABLES), "".join(CONFUSABLES.values())))
 
 
-def words_in(s: Column, words) -> Column:
-    """How many different ones of ``words`` stand in a text, as runs of ASCII letters in any case."""
-    found = F.regexp_extract_all(s, F.lit("(?i)(?<![A-Za-z])(?:" + "|".join(words) + ")(?![A-Za-z])"), F.lit(0))
-    return F.size(F.array_distinct(F.transform(found, F.lower)))
+def words_of(s: Column) -> Column:
+    """Runs of ASCII letters, lower case."""
+    return F.regexp_extract_all(F.lower(s), F.lit("[a-z]+"), F.lit(0))
+
+
+def how_many(found: Column, words) -> Column:
+    """How many different ones of ``words`` are in an array."""
+    return F.size(F.array_intersect(found, F.array(*map(F.lit, words))))
 
 
 def english_words(s: Column) -> Column:
     """Number of different function words."""
-    return words_in(s, ENGLISH)
+    return how_many(words_of(s), ENGLISH)
 
 
 def rot13(s: Column) -> Column:

@@ -508,8 +508,9 @@ def detect(nodes: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
             where, e = r.run.hit()
             hits.append(F.when(where, F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.run.post).alias("post"), (F.lit(e) if isinstance(e, str) else e).cast("string").alias("evidence"))))
         each = nodes.select("page_id", "node_id", "pre", "end", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("page_id", "node_id", "pre", "end", "h.*")
-        for post, keep in (("outermost", D.outermost), ("innermost", D.innermost), ("", None)):
-            some = each.filter(F.col("post") == post)
-            some = some if keep is None else keep(some, "page_id", "rule_id")
-            parts.append(some.select("page_id", "rule_id", "node_id", "evidence"))
+        w = Window.partitionBy("page_id", "rule_id").orderBy("pre")
+        reach, follows = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lead("pre").over(w)
+        each = each.withColumns({"_reach": reach, "_next": follows})
+        kept = F.when(F.col("post") == "outermost", F.col("_reach").isNull() | (F.col("_reach") < F.col("pre"))).when(F.col("post") == "innermost", F.col("_next").isNull() | (F.col("_next") > F.col("end"))).otherwise(True)
+        parts.append(each.filter(kept).select("page_id", "rule_id", "node_id", "evidence"))
     return reduce(DataFrame.unionByName, parts)

@@ -143,11 +143,15 @@ CIPHERS = {
 
 def cipher_of(text: Column) -> Column:
     """The first of rot13, atbash and reversed that turns a text that is not English into English; null for none."""
-    no = (F.length(text) < CIPHER_MIN) | (X.english_words(text) >= ENGLISH_MIN)
-    out = F.when(no, None)
-    for name, words in CIPHERS.items():
-        out = out.when(X.words_in(text, words) >= ENGLISH_MIN, name)
-    return out
+
+    def of(words: Column) -> Column:
+        out = F.when(X.how_many(words, X.ENGLISH) >= ENGLISH_MIN, None)
+        for name, said in CIPHERS.items():
+            out = out.when(X.how_many(words, said) >= ENGLISH_MIN, name)
+        return out
+
+    # The words are found once, for all four looks.
+    return F.when(F.length(text) >= CIPHER_MIN, F.get(F.transform(F.array(X.words_of(text)), of), F.lit(0)))
 
 
 def cipher_spans(text: Column) -> Column:

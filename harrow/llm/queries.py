@@ -102,6 +102,26 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from harrow.llm import hard_negatives
+
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_level_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from harrow.llm import level_packing
+
+    return level_packing.pack_online(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from harrow.llm import vector_codes
+
+    return vector_codes.codes(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -119,12 +139,37 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_level_packing": op12_level_packing,
+    "op13_vector_codes": op13_vector_codes,
     "pipeline": pipeline,
 }
 
 #: The white space and the letters of a line key, for SQL.
 _WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+#: Vectors that count, for SQL.
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Lloyd over four parts, one common table for the entries and one for the assignment of each round."""
+    parts = [f"""v AS (SELECT row_number() OVER (ORDER BY vec_id) AS u, vec_id, label, CAST(len(embedding) // 4 AS BIGINT) AS w, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings WHERE {_FINITE}),
+s AS (SELECT u, part, q[part * w + 1 : part * w + w] AS x FROM v, range(4) t(part)),
+b0 AS (SELECT part, u - 1 AS entry, x AS c FROM s WHERE u <= 256)"""]
+    for k in range(rounds + 1):
+        parts.append(f"""a{k} AS (SELECT s.u, s.part, min_by(entry, (d, entry)) AS entry, min(d) AS d FROM s JOIN (SELECT * FROM b{k}) b ON s.part = b.part,
+LATERAL (SELECT CAST(list_sum(list_transform(list_zip(s.x, b.c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d) GROUP BY s.u, s.part)""")
+        if k < rounds:
+            parts.append(f"""m{k} AS (SELECT part, entry, pos, CAST(floor(sum(y) / count(*)) AS BIGINT) AS y FROM (SELECT a{k}.part, a{k}.entry, unnest(x) AS y, generate_subscripts(x, 1) AS pos FROM a{k} JOIN s ON a{k}.u = s.u AND a{k}.part = s.part) GROUP BY part, entry, pos),
+n{k} AS (SELECT part, entry, list(y ORDER BY pos) AS c FROM m{k} GROUP BY part, entry),
+b{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(n{k}.c, b{k}.c) AS c FROM b{k} LEFT JOIN n{k} USING (part, entry))""")
+    last = rounds
+    parts.append(f"""e AS (SELECT u, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{last} GROUP BY u),
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{last})""")
+    return f"WITH {(','  + chr(10)).join(parts)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN e USING (u), h"
+
+
 ORACLES: dict[str, str] = {
     "op1_embedding_neardup": """
 WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
@@ -175,4 +220,12 @@ w AS (SELECT *, sum(length(part)) OVER (PARTITION BY conv_id, perspective, block
 SELECT conv_id, perspective, block, piece, count(*) AS n_turns, string_agg(part, '' ORDER BY n) AS rendered,
     coalesce(string_agg(CAST(CAST(upto - length(part) + length(lead) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(upto - 1 AS BIGINT) AS VARCHAR), ',' ORDER BY n) FILTER (WHERE own), '') AS mask
 FROM w GROUP BY conv_id, perspective, block, piece""",
+    "op11_hard_negatives": f"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings WHERE label IS NOT NULL AND {_FINITE}),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+n AS (SELECT anchor_id, positive_id, other AS negative_id, positive_score, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS rank
+    FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
+    "op13_vector_codes": _codes_sql(),
 }

@@ -20,17 +20,79 @@ def innermost(found: DataFrame, *by: str) -> DataFrame:
     return found.withColumn("_next", F.lead("pre").over(w)).filter(F.col("_next").isNull() | (F.col("_next") > F.col("end"))).drop("_next")
 
 
-def inside(found: DataFrame, holders: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Found nodes with (left_semi) or without (left_anti) an ancestor among the holders."""
-    h = holders.select(F.col("page_id").alias("_page"), F.col("pre").alias("_pre"), F.col("end").alias("_end"))
-    return found.join(h, (F.col("page_id") == F.col("_page")) & (F.col("pre") > F.col("_pre")) & (F.col("pre") <= F.col("_end")), how)
+def _beside(found: DataFrame, holders: DataFrame, by: tuple[str, ...], payload: Column) -> DataFrame:
+    """Found nodes (in _f) and holders (their payload in _h) as rows of one table, with their place in _at."""
+    f = found.select(*by, F.col("pre").alias("_at"), F.struct(*[F.col(f"`{c}`") for c in found.columns]).alias("_f"))
+    h = holders.select(*by, F.col("pre").alias("_at"), payload.alias("_h"))
+    return f.withColumn("_h", F.lit(None).cast(h.schema["_h"].dataType)).unionByName(h.withColumn("_f", F.lit(None).cast(f.schema["_f"].dataType)))
+
+
+def inside(found: DataFrame, holders: DataFrame, how: str = "left_semi", by: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """Found nodes with (left_semi) or without (left_anti) an ancestor among the holders of the same ``by``.
+
+    Intervals of a tree lie within or beside each other, so an ancestor is there if what began before reaches as far: a
+    running maximum, one sort for each page.
+    """
+    w = Window.partitionBy(*by).orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
+    both = _beside(found, holders, by, F.col("end")).withColumn("_reach", F.max("_h").over(w)).filter("_f IS NOT NULL")
+    held = F.coalesce(F.col("_reach") >= F.col("_at"), F.lit(False))
+    return both.filter(held if how == "left_semi" else ~held).select("_f.*")
+
+
+def nearest(found: DataFrame, holders: DataFrame, name: str, payload: Column, strict: bool = False, by: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """Found nodes with ``payload`` of the nearest holder that is the node itself (unless ``strict``) or an ancestor, null for none.
+
+    The number of holders around a place is a running sum over where they begin and end. Of the holders that lie in as many
+    others, the last that began is the one around a node, as intervals of a tree never cross. So it takes two sorts for each
+    page and no row for each pair of node and ancestor. Each holder must be given once.
+    """
+    both = _beside(found, holders, by, F.struct(payload.alias("v"))).withColumn("_d", F.lit(0))
+    none = [F.lit(None).cast(both.schema[c].dataType).alias(c) for c in ("_f", "_h")]
+    begin = holders.select(*by, (F.col("pre") + int(strict)).alias("_at"), *none, F.lit(1).alias("_d"))
+    end = holders.select(*by, (F.col("end") + 1).alias("_at"), *none, F.lit(-1).alias("_d"))
+    around = F.sum("_d").over(Window.partitionBy(*by).orderBy("_at").rangeBetween(Window.unboundedPreceding, 0))
+    placed = both.unionByName(begin).unionByName(end).withColumn("_around", around).filter("_f IS NOT NULL OR _h IS NOT NULL")
+    level = F.when(F.col("_h").isNotNull() & F.lit(strict), F.col("_around")).otherwise(F.col("_around") - 1)
+    last = Window.partitionBy(*by, "_level").orderBy("_at").rangeBetween(Window.unboundedPreceding, -1 if strict else 0)
+    held = placed.withColumn("_level", level).withColumn("_held", F.last("_h", ignorenulls=True).over(last)).filter("_f IS NOT NULL")
+    return held.select("_f.*", F.col("_held")["v"].alias(name))
 
 
 def closest(found: DataFrame, holders: DataFrame) -> DataFrame:
     """Found nodes with holder_id, the nearest node among the holders that is the node or an ancestor; null for none."""
-    h = holders.select(F.col("page_id").alias("_page"), F.col("node_id").alias("_id"), F.col("pre").alias("_pre"), F.col("end").alias("_end"))
-    near = found.join(h, (F.col("page_id") == F.col("_page")) & F.col("pre").between(F.col("_pre"), F.col("_end"))).groupBy("page_id", "node_id").agg(F.max_by("_id", "_pre").alias("holder_id"))
-    return found.join(near, ["page_id", "node_id"], "left")
+    return nearest(found, holders, "holder_id", F.col("node_id"))
+
+
+def climb(found: DataFrame, holders: DataFrame, barriers: DataFrame, hops: int, name: str = "holder_id", strict: bool = False) -> DataFrame:
+    """Found nodes with the nearest holder at most ``hops`` steps above (0 is the node itself, which ``strict`` leaves out) and no
+    barrier from the node's parent up to it, the holder itself included; null where there is none. All three tables need depth."""
+    one = nearest(found, holders, "_h", F.struct("node_id", "pre", "depth"), strict)
+    both = nearest(one, barriers, "_b", F.col("pre"), strict=True)
+    free = F.col("_b").isNull() | (F.col("_b") < F.col("_h.pre")) | (F.col("_h.pre") == F.col("pre"))
+    reached = (F.col("depth") - F.col("_h.depth") <= hops) & free
+    return both.withColumn(name, F.when(reached, F.col("_h.node_id"))).drop("_h", "_b")
+
+
+def whole_text(nodes: DataFrame, of: DataFrame) -> DataFrame:
+    """page_id, node_id and the whole text of the nodes ``of``, white space at its ends left out, and what scripts and styles in them hold left in. For few
+    nodes of a page: each meets the texts of its page."""
+    t = nodes.filter("kind = 'text'").select(F.col("page_id").alias("_p"), F.col("pre").alias("_t"), "text")
+    held = of.select("page_id", "node_id", "pre", "end").join(t, (F.col("page_id") == F.col("_p")) & (F.col("_t") > F.col("pre")) & (F.col("_t") <= F.col("end")))
+    said = F.array_join(F.array_sort(F.collect_list(F.struct("_t", "text")))["text"], "")
+    return held.groupBy("page_id", "node_id").agg(F.regexp_replace(said, r"^\s+|\s+$", "").alias("said"))
+
+
+def labelled_by(nodes: DataFrame, of: DataFrame) -> DataFrame:
+    """page_id, node_id and the name that the elements in aria-labelledby give, in the order of the attribute, joined by a space. An id
+    stands for the first element that has it; ids of none, and empty texts, are left out."""
+    ids = F.split(F.btrim(attr("aria-labelledby")), r"\s+")
+    asked = of.filter(attr("aria-labelledby").isNotNull()).select("page_id", "node_id", F.posexplode(ids).alias("_n", "_id")).filter("_id <> ''")
+    # Each page's elements meet the ids that are asked for there alone.
+    named = nodes.filter((F.col("kind") == "element") & attr("id").isNotNull()).select("page_id", attr("id").alias("_id"), F.struct("pre", "node_id", "end").alias("_e"))
+    first = named.join(asked.select("page_id", "_id").distinct(), ["page_id", "_id"], "left_semi").groupBy("page_id", "_id").agg(F.min("_e").alias("_e")).select("page_id", "_id", "_e.*")
+    said = whole_text(nodes, first.dropDuplicates(["page_id", "node_id"])).withColumnRenamed("node_id", "_there")
+    met = asked.join(first.select("page_id", "_id", F.col("node_id").alias("_there")), ["page_id", "_id"]).join(said, ["page_id", "_there"]).filter("said <> ''")
+    return met.groupBy("page_id", "node_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("_n", "said")))["said"], " ").alias("label"))
 
 
 def inline_groups(nodes: DataFrame, min_length: int = 1) -> DataFrame:

@@ -17,10 +17,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.functions import colour as C
+from harrow.functions import hosts as H
 from harrow.functions import text as X
 from harrow.functions import urls as U
+from harrow.operators import cascade as K
 from harrow.operators import dom as D
+from harrow.operators import selectors as S
+from harrow.operators import site_patterns as P
 from harrow.operators import text_rules as R
+from harrow.session import shared_table
 
 FORMS = "text|email|search|tel|url|number|password"
 
@@ -188,23 +193,35 @@ def schema_trust(n: DataFrame) -> DataFrame:
 COLOUR_DISTANCE = 24
 
 
-def grounded(styled_: DataFrame, n: DataFrame) -> DataFrame:
-    """Styled elements with _own_text (whether text stands in them itself) and _ground, the colour behind it.
+#: Properties by which text is hidden.
+HIDING = (
+    "display", "visibility", "opacity", "font-size", "position", "left", "top", "text-indent", "clip-path", "clip", "-webkit-text-fill-color", "background-clip", "filter", "mask-image", "transform", "content-visibility", "max-height", "overflow",
+    "overflow-y", "color", "background-color", "background", "animation", "transition",
+)
+
 
-    That is the nearest inline background of the element or an ancestor that isn't clear, white where there is none; a
+def cascaded(n: DataFrame) -> DataFrame:
+    """Elements with text that a declaration of HIDING reaches, by a style sheet, the style attribute or inheritance: _style
+    (what ``style`` reads), _own_text (whether text stands in them itself) and _ground, the colour behind it.
+
+    That is the nearest background of the element or an ancestor that isn't clear, white where there is none; a
     background that is no plain colour is itself, so it matches nothing.
     """
-    back = F.coalesce(style("background-color"), style("background"))
-    opaque = F.coalesce(C.parse(back)["a"] >= 0.999, back.isNotNull())
-    holders = styled(n.filter((F.col("kind") == "element") & D.attr("style").isNotNull())).withColumn("_back", back).filter(opaque)
-    coloured = styled_.filter(style("color").isNotNull())
-    held = D.closest(coloured.select("page_id", "node_id", "pre", "end"), holders)
-    found = held.join(holders.select("page_id", F.col("node_id").alias("holder_id"), "_back"), ["page_id", "holder_id"], "left").select("page_id", "node_id", F.coalesce("_back", F.lit("#ffffff")).alias("_ground"))
+    won = shared_table(K.winners(n, HIDING), "winners")
+    element = n.filter((F.col("kind") == "element") & ~F.col("in_non_content") & (F.length("text_content") > 0))
+    # Pages without such declarations are left out.
+    some = K.computed(n, won, element.join(won.select("page_id").distinct(), "page_id", "left_semi")).filter(F.size("css") > 0)
+    said = F.array_join(F.transform(F.map_entries("css"), lambda e: F.concat(e["key"], F.lit(":"), e["value"])), ";")
+    some = some.withColumn("_style", F.regexp_replace(said, r"\s*([:;,])\s*", "$1"))
+    pictures = won.filter("name IN ('background', 'background-color')").groupBy("page_id", "node_id").agg(F.coalesce(F.max(F.when(F.col("name") == "background", F.col("value"))), F.max("value")).alias("_back"))
+    opaque = F.coalesce(C.parse(F.col("_back"))["a"] >= 0.999, F.lit(True))
+    grounds = pictures.filter(opaque).join(n.select("page_id", "node_id", "pre", "end"), ["page_id", "node_id"])
+    held = D.nearest(some, grounds, "_ground", F.col("_back")).withColumn("_ground", F.coalesce("_ground", F.lit("#ffffff")))
     own = n.filter((F.col("kind") == "text") & (F.length(F.btrim("text")) > 0)).select("page_id", F.col("parent_id").alias("node_id")).distinct().withColumn("_own", F.lit(True))
-    return styled_.join(found, ["page_id", "node_id"], "left").join(own, ["page_id", "node_id"], "left").withColumn("_own_text", F.coalesce("_own", F.lit(False))).drop("_own")
+    return held.join(own, ["page_id", "node_id"], "left").withColumn("_own_text", F.coalesce("_own", F.lit(False))).drop("_own")
 
 
-#: Reason and predicate of hidden text, first match wins; approximation from inline style.
+#: Reason and predicate of hidden text, first match wins; what style sheets and inline style say.
 def hidden_reason() -> Column:
     px = lambda p: F.regexp_extract(style(p), r"^(-?[0-9.]+)px", 1).try_cast("double")
     live = D.attr("aria-live").isNotNull() | D.attr("role").isin("alert", "status", "log", "timer", "marquee")
@@ -214,10 +231,10 @@ def hidden_reason() -> Column:
         ("display-none-live-region", (style("display") == "none") & live), ("visibility-hidden", style("visibility") == "hidden"), ("visibility-collapse", style("visibility") == "collapse"),
         ("opacity-0", (style("opacity").try_cast("double") == 0) & ~animated), ("font-size-0", F.col("_own_text") & style("font-size").rlike(r"^0(?:px|em|rem|%)?\s*$")),
         ("offscreen-left", away & (px("left") <= -9999)), ("offscreen-top", away & (px("top") <= -9999)), ("text-indent", px("text-indent") <= -9999),
-        ("clip-to-zero", style("clip-path").rlike(r"inset\((?:50|100)%") | style("clip").rlike(r"rect\(0(?:px)?[, ]+0(?:px)?[, ]+0")), ("text-fill-transparent", F.col("_own_text") & (style("-webkit-text-fill-color") == "transparent")),
+        ("clip-to-zero", style("clip-path").rlike(r"inset\((?:50|100)%") | style("clip").rlike(r"rect\(0(?:px)?[, ]+0(?:px)?[, ]+0")), ("text-fill-transparent", F.col("_own_text") & (C.parse(style("-webkit-text-fill-color"))["a"] == 0) & ~(F.coalesce(style("background-clip"), F.lit("")) == "text")),
         ("filter-opacity-0", style("filter").rlike(r"opacity\(0%?\)") & ~animated), ("mask-transparent", style("mask-image").rlike(r"gradient\(\s*transparent\s*,\s*transparent")),
         ("transform-collapsed", style("transform").rlike(r"scale[xy]?\(0\)|scale\(0[, ]") & ~animated), ("content-visibility-hidden", style("content-visibility") == "hidden"),
-        ("max-height-collapsed", style("max-height").rlike("^0") & (style("overflow") == "hidden") & ~animated), ("color-match", F.col("_own_text") & (C.parse(style("color"))["a"] > 0) & (C.distance(C.parse(style("color")), C.parse(F.col("_ground"))) <= COLOUR_DISTANCE)),
+        ("max-height-collapsed", style("max-height").rlike(r"^0(?:px|em|rem|%)?\s*$") & (F.coalesce(style("overflow") == "hidden", F.lit(False)) | (style("overflow-y") == "hidden")) & ~animated), ("color-match", F.col("_own_text") & (C.parse(style("color"))["a"] > 0) & (C.distance(C.parse(style("color")), C.parse(F.col("_ground"))) <= COLOUR_DISTANCE)),
     ]
     return F.coalesce(*[F.when(F.coalesce(p, F.lit(False)), F.lit(r)) for r, p in reasons])
 
@@ -231,7 +248,7 @@ def not_exempt(hit: Column) -> Column:
 
 
 def hidden_text(n: DataFrame) -> DataFrame:
-    e = grounded(styled(n.filter((F.col("kind") == "element") & ~F.col("in_non_content") & D.attr("style").isNotNull() & (F.length("text_content") > 0))), n).withColumn("_hit", hidden_reason()).filter("_hit IS NOT NULL").withColumn("evidence", not_exempt(F.col("_hit")))
+    e = cascaded(n).withColumn("_hit", hidden_reason()).filter("_hit IS NOT NULL").withColumn("evidence", not_exempt(F.col("_hit")))
     return D.outermost(e.filter("evidence IS NOT NULL").select("page_id", "node_id", "pre", "end", "evidence"), "page_id")
 
 
@@ -247,21 +264,53 @@ def links(n: DataFrame) -> DataFrame:
     return n.filter(_element("a") & D.attr("href").isNotNull()).select("page_id", "node_id", "pre", "end", "url", U.resolve(D.attr("href"), F.col("url")).alias("href"), F.col("whole_text").alias("said"))
 
 
-def link_spoof(n: DataFrame) -> DataFrame:
-    a = links(n)
-    said = F.regexp_extract(F.lower("said"), r"(?:^|[\s(])(?:https?://)?((?:[\p{L}\p{N}-]+\.)+[\p{L}]{2,})(?:[/\s)]|$)", 1)
-    mixed = F.col("said").rlike(r"[A-Za-z][Ͱ-ϿЀ-ӿ]|[Ͱ-ϿЀ-ӿ][A-Za-z]")
-    alike = (said != "") & (X.skeleton(said) != said) & X.skeleton(said).rlike("^[a-z0-9.-]+$")
-    other = (said != "") & said.rlike("^[a-z0-9.-]+$") & F.col("href").rlike("^https?:") & (U.registrable(said) != U.registrable(U.host(F.col("href"))))
-    reason = F.when(mixed, "mixed script").when(alike, "look-alike").when(other, "other domain")
+def link_spoof(n: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """Links whose text mixes scripts, looks like another domain or names another one than they lead to. International names
+    are compared in their ASCII form. ``suffixes`` (rule) is a list of public suffixes; without one U.SUFFIXES count."""
+    domain = r"(?:^|[\s(])(?:https?://)?((?:[\p{L}\p{N}-]+\.)+(?:\p{L}{2,24}|xn--[a-z0-9-]+))(?:[/\s)]|$)"
+    mixed = F.col("said").rlike(r"[A-Za-z][Ͱ-ϿЀ-ӿ԰-֏Ꭰ-᏿]|[Ͱ-ϿЀ-ӿ԰-֏Ꭰ-᏿][A-Za-z]")
+    a = links(n).withColumns({"_said": F.regexp_extract(F.lower("said"), domain, 1), "_mixed": mixed}).filter((F.col("_said") != "") | F.col("_mixed"))
+    web = F.col("href").rlike("(?i)^https?:")
+    a = a.withColumns({"_shown": H.to_unicode(F.col("_said")), "_from": H.to_ascii(F.nullif("_said", F.lit(""))), "_to": H.to_ascii(F.when(web, U.host(F.col("href"))))})
+    if suffixes is None:
+        a = a.withColumns({"_from": U.registrable(F.col("_from")), "_to": U.registrable(F.col("_to"))})
+    else:
+        a = H.registrable(H.registrable(a, suffixes, "_from", "_a"), suffixes, "_to", "_b").drop("_from", "_to").withColumnsRenamed({"_a": "_from", "_b": "_to"})
+    alike = (F.col("_said") != "") & (X.skeleton(F.col("_shown")) != F.col("_shown")) & X.skeleton(F.col("_shown")).rlike("^[a-z0-9.-]+$")
+    reason = F.when(F.col("_mixed"), "mixed script").when(alike, "look-alike").when(F.col("_from") != F.col("_to"), "other domain")
     return a.withColumn("evidence", reason).filter("evidence IS NOT NULL").select("page_id", "node_id", "pre", "end", "evidence")
 
 
-@local()
-def trust_badges():
-    name = F.coalesce(D.attr("aria-label"), D.attr("alt"), D.attr("title"), F.col("text_content"))
-    image = _element("img", "svg") | (D.attr("role") == "img")
-    return (F.coalesce(image & (F.length(name) <= 120) & F.lower(name).rlike("secure checkout|ssl (?:secured|encrypted)|verified (?:seller|by)|money.?back guarantee|trusted (?:shop|store|site)|mcafee secure|norton secured|bbb accredited"), F.lit(False)), name)
+#: Who gives a badge, by what it says, and what badges say that no one gives: fixed values.
+ISSUERS = {
+    "bbb accredited": "bbb.org", "better business bureau": "bbb.org", "norton secured": "norton.com", "norton by symantec": "norton.com", "mcafee secure": "mcafee.com", "trustpilot": "trustpilot.com", "trustwave": "trustwave.com",
+    "godaddy verified": "godaddy.com", "godaddy secured": "godaddy.com", "digicert": "digicert.com", "comodo secure": "comodo.com", "geotrust": "geotrust.com", "symantec secured": "symantec.com", "verisign secured": "verisign.com",
+    "sectigo": "sectigo.com", "truste certified": "truste.com", "globalsign": "globalsign.com", "authorize.net": "authorize.net", "paypal verified": "paypal.com", "shopify secure": "shopify.com",
+}
+GENERIC_BADGES = ("verified seller", "trusted seller", "verified store", "trusted store", "certified seller", "official store", "verified merchant", "trusted merchant", "secure checkout", "ssl secured", "100% secure", "safe shopping guarantee")
+NAME_CAP = 120
+
+
+def accessible_names(n: DataFrame, of: DataFrame) -> DataFrame:
+    """Elements ``of`` with name: the first of aria-label, the texts that aria-labelledby names, an svg's title or an image's alt, and
+    the title attribute that says something; null for none."""
+    said = lambda c: F.nullif(F.btrim(c), F.lit(""))
+    by_id = D.labelled_by(n, of)
+    title = n.filter(_element("title") & F.col("in_svg")).groupBy("page_id", F.col("parent_id").alias("node_id")).agg(F.min_by("whole_text", "pre").alias("_title"))
+    out = of.join(by_id, ["page_id", "node_id"], "left").join(title, ["page_id", "node_id"], "left")
+    own = F.when(F.col("tag") == "svg", said(F.col("_title"))).when(F.col("tag") == "img", said(D.attr("alt")))
+    return out.withColumn("name", F.coalesce(said(D.attr("aria-label")), said(F.col("label")), own, said(D.attr("title")))).drop("label", "_title")
+
+
+def trust_badges(n: DataFrame) -> DataFrame:
+    """Images that say they are a seal or that a shop is safe, but for a named issuer's on its own pages."""
+    image = _element("img", "svg") | ((F.col("kind") == "element") & (D.attr("role") == "img"))
+    named = accessible_names(n, n.filter(image & ~F.col("in_non_content"))).filter(F.length("name") <= NAME_CAP)
+    quoted = "|".join(p.replace(".", r"\.") for p in (*ISSUERS, *GENERIC_BADGES))
+    phrase = F.regexp_extract(F.lower("name"), rf"(?<![a-z0-9_])({quoted})(?![a-z0-9_])", 1)
+    issuer = F.try_element_at(F.create_map(*[F.lit(x) for pair in ISSUERS.items() for x in pair]), phrase)
+    own = F.coalesce(issuer == U.registrable(U.host(F.col("url"))), F.lit(False))
+    return _found(named, (phrase != "") & ~own, F.col("name"))
 
 
 def webdriver_probe(n: DataFrame) -> DataFrame:
@@ -285,28 +334,21 @@ def _selected(selector: str, evidence: str, but: tuple[str, ...] = ()) -> Local:
 def by_site(n: DataFrame, sites: DataFrame) -> DataFrame:
     """Nodes that the selectors of their page's site name: page_id, rule_id, node_id, pre, end, evidence (the selector).
 
-    ``sites`` (rule_id, host_pattern, path_pattern, selector) is a curated list; its rows become predicates of the plan, so it is
-    read to the driver and refused beyond SITE_RULES rows. A selector is tried on the pages of its site alone.
+    ``sites`` (rule_id, host_pattern, path_pattern, selector) may be of any length: selectors are tried by their tokens, and
+    what they name meets the sites by selector and host suffix.
     """
-    rows = sites.limit(SITE_RULES + 1).collect()
-    if len(rows) > SITE_RULES:
-        raise ValueError(f"more than {SITE_RULES} selectors of sites; plain ids and classes go through dom.token_selectors")
-    by_pattern: dict[tuple, list] = {}
-    for r in rows:
-        by_pattern.setdefault((r["host_pattern"], r["path_pattern"]), []).append((r["rule_id"], r["selector"]))
-    hits = []
-    for (host, path), some in by_pattern.items():
-        everywhere = F.coalesce(U.path(F.col("url")).rlike(U.pattern_regex(host, path)[1]), F.lit(False)) if path else F.lit(True)
-        here = everywhere if host == "*" else U.matches(F.col("url"), host, path)
-        hits += [F.when(here & D.selector(text), F.struct(F.lit(rule).alias("rule_id"), F.lit(text).alias("evidence"))) for rule, text in some]
-    if not hits:
-        return n.select("page_id", F.lit("").alias("rule_id"), "node_id", "pre", "end", F.lit("").alias("evidence")).limit(0)
-    each = n.filter("kind = 'element'").select("page_id", "node_id", "pre", "end", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("page_id", "node_id", "pre", "end", "h.*")
-    return D.outermost(each, "page_id", "rule_id").select("page_id", "rule_id", "node_id", "pre", "end", "evidence")
-
-
-#: Selectors of sites that a plan takes.
-SITE_RULES = 2000
+    named = S.match(n, sites.select("selector"))
+    pages = n.select("page_id", "url").distinct().select("page_id", U.host(F.col("url")).alias("_host"), U.path(F.col("url")).alias("_path"))
+    keyed = sites.select("rule_id", "host_pattern", "path_pattern", "selector", P.key(F.col("host_pattern")).alias("_key")).distinct()
+    each = named.join(pages, "page_id").withColumn("_key", F.explode(P.suffixes(F.coalesce("_host", F.lit("")))))
+    # A page without a host has the empty suffix alone, twice.
+    each = each.drop("specificity").distinct()
+    everywhere = (F.col("host_pattern") == "*") & P.path_fits(F.col("_path"), F.col("path_pattern"))
+    here = each.join(keyed, ["selector", "_key"]).filter(P.fits(F.col("_host"), F.col("_path"), F.col("host_pattern"), F.col("path_pattern")) | F.coalesce(everywhere, F.lit(False)))
+    best = here.groupBy("page_id", "rule_id", "node_id").agg(F.min("pre").alias("pre"), F.min("end").alias("end"), F.min("selector").alias("evidence"))
+    return D.outermost(best, "page_id", "rule_id").select("page_id", "rule_id", "node_id", "pre", "end", "evidence")
+
+
 COMMENTS = ", ".join((
     "#comments", "#comment-section", "#comments-section", "#commentsection", "#comment-list", "#comments-area", "#disqus_thread", "#respond", ".comments", ".comment-list", ".commentlist", ".comments-area", ".comments-section", ".comment-section", ".comment-thread",
     ".fb-comments", ".js-discussion", "#coral_talk_stream", "#livefyre-comments", "#hyvor-talk-view", "#remark42", "#commento", "#giscus", ".giscus", ".utterances", "#isso-thread", "#graphcomment", "#spot-im-frame-inpage", "[data-spot-im-module]", "[data-component=comments]", "[data-testid=comments]", "section[aria-label=Comments]", "[itemtype*=schema.org/Comment]",
@@ -360,20 +402,34 @@ def counting_down(snapshots: DataFrame) -> DataFrame:
     return s.filter(F.col("seconds") < F.col("before")).select("page_id", "node_id").distinct()
 
 
-#: What makes a refusal shameful; families of phrases.
+#: What a refusal is made to give up, what it is made to neglect, and what it is made to take.
+BENEFIT = r"(?:discounts?|deals?|offers?|sav(?:e|ings?)|saving|coupons?|rewards?|bargains?|free|money|cash|perks?|benefits?|promotions?|updates?|news|good prices|protection|insurance|coverage)"
+CARED_FOR = r"(?:famil(?:y|ies)|kids?|child(?:ren)?|safety|security|privacy|health|future|home|identity|data|accounts?|passwords?|finances?)"
+EXPOSED = r"(?:unsafe|unprotected|exposed|vulnerable|at risk|in danger|hacked|breached|uninformed|ignorant)"
+DEARER = r"(?:full|more|extra|retail|the full|\$[0-9]|[0-9]+ ?%)"
+EARNED = r"(?:streak|progress|xp|points?|coins?|gems?|rank|level|score|badges?|achievements?|stats|gold|silver|platinum|vip|pro|premium|plus|elite|membership|benefits|perks|status|rewards)"
+_NOT, _AM = "(?:don.?t|do not)", "i(?:.?m| am)"
+#: What makes a refusal shameful; families of phrases. A plain refusal names none of the above.
 SHAMING = (
-    r"\bno,? ?(?:thanks|thank you),? ?i\b", r"\bno,? i (?:don.?t|do not|hate|prefer|enjoy)\b", r"\bi (?:don.?t|do not) (?:want|like|care|need)\b", r"\bi(?:.d|.ll| would| will)? rather (?:pay|miss|not)\b", r"\bi hate (?:saving|money|deals|discounts|free)\b",
-    r"\bi.?ll (?:pay (?:full|more)|stay|miss|pass on|risk)\b", r"\bi (?:like|love|enjoy|prefer) (?:paying|spending|to pay|missing|being)\b", r"\bpay(?:ing)? (?:full price|more)\b", r"\bi.?m (?:not interested in|fine (?:with|paying|without)|happy (?:paying|to pay)|too)\b", r"\bi (?:already know|know) everything\b",
-    r"\bcontinue without (?:saving|protection|my|the)\b", r"\b(?:miss|missing) out\b", r"\bi (?:accept|understand|take) the risk\b", r"\bleave (?:me|my \w+) (?:unprotected|exposed|at risk)\b", r"\bremain (?:unprotected|uninformed|ignorant)\b", r"\bi don.?t (?:value|deserve|believe|trust)\b",
-    r"\bgive up (?:my|the|this)\b", r"\bi (?:choose|want) to (?:stay|remain|lose|miss)\b", r"\bno,? (?:my|our) \w+ (?:doesn.?t|don.?t|is|are)\b",
+    rf"\bi {_NOT} (?:want|like|love|need|value|care (?:about|for))\b.{{0,40}}\b{BENEFIT}\b", rf"\bi {_NOT} (?:care about|(?:want|need) to protect) (?:my |our |the )?{CARED_FOR}\b", rf"\bi {_NOT} deserve\b", rf"\bi (?:hate|dislike) {BENEFIT}\b",
+    rf"\bi(?:.?d| would|.ll| will)? (?:rather|prefer(?: to)?) (?:keep )?(?:pay(?:ing)? {DEARER}|miss|not sav|be {EXPOSED})", rf"\b{_AM} (?:fine|ok(?:ay)?|happy|good) (?:with )?(?:paying|spending) {DEARER}", rf"\b{_AM} (?:fine|ok(?:ay)?|happy|good) without (?:the |my |any )?{BENEFIT}\b",
+    rf"\b{_AM} (?:fine|ok(?:ay)?|happy) (?:with )?being {EXPOSED}\b", rf"\b{_AM} (?:not smart|not frugal|too (?:rich|smart|good) )|\b{_AM} not interested in {BENEFIT}\b", r"\bi (?:already )?know everything\b", rf"\bi (?:like|love|enjoy) (?:to )?(?:overpay|pay(?:ing)? {DEARER}|spending {DEARER}|missing out)",
+    rf"\bi.?ll (?:pay {DEARER}|stay {EXPOSED}|miss out|pass on|risk)\b", rf"\b(?:skip|continue|proceed|go on|order)\b.{{0,40}}\b(?:and (?:miss|lose|pay {DEARER})|without (?:my |the )?{BENEFIT})\b", r"\bmaybe never\b", r"\bi (?:accept|take) the risk\b",
+    rf"\b(?:leave|stay|remain|be) (?:(?:me|my|our) ?\w* )?{EXPOSED}\b", r"\bdowngrade (?:to|me|my)\b", rf"\b(?:lose|forfeit|give up|drop|remove|abandon|sacrifice|throw away) (?:all )?(?:of )?my (?:\w+ )?{EARNED}\b", rf"\byes,? (?:lose|reset|forfeit|sacrifice)\b.{{0,20}}\b(?:{EARNED}|days?|months?|years?)\b",
+    rf"\b(?:make|let|force) me (?:to )?pay {DEARER}\b", rf"\bcharge me {DEARER}", r"\b(?:stop (?:trying to )?help(?:ing)?|don.?t help) me (?:save|win|earn|find|get|protect|with)\b", r"\b(?:sure|whatever|fine|alright|of course),? (?:charge me|take my (?:money|cash)|i love (?:spam|junk mail|paying|overpaying))",
+    rf"\byes,? (?:skip|forfeit|lose|take away|remove|cancel|reject) (?:my|the) (?:{BENEFIT}|{EARNED})\b", rf"\byes,? (?:pay|charge me|spend) {DEARER}", rf"\bconfirm ?[:—-]? ?(?:pay|skip|forfeit|lose|charge) (?:{DEARER}|my|the)", r"\bi (?:choose|want) to (?:lose|miss)\b",
 )
+#: Characters of a label at most; what is longer is no label.
+LABEL_CAP = 240
 
 
 @local()
 def confirmshame():
-    said = F.coalesce(F.nullif(F.col("text_content"), F.lit("")), D.attr("value"), F.lit(""))
-    button = _element("button", "a") | (_element("input") & D.attr("type").isin("button", "submit")) | (D.attr("role") == "button")
-    return (F.coalesce(button & (F.length(said) <= 240) & F.lower(said).rlike("|".join(SHAMING)), F.lit(False)), said)
+    whole = F.col("text_len") <= LABEL_CAP
+    said = F.btrim(F.coalesce(F.when(_element("input"), D.attr("value")).otherwise(F.when(whole, F.col("text_content"))), F.lit("")))
+    button = _element("button", "a") | (_element("input") & D.attr("type").isin("button", "submit", "reset")) | ((F.col("kind") == "element") & (D.attr("role") == "button"))
+    plain = F.lower(F.regexp_replace(said, r"\s+", " "))
+    return (F.coalesce(button & (F.length(said) <= LABEL_CAP) & plain.rlike("|".join(SHAMING)), F.lit(False)), said)
 
 
 @local()
@@ -381,11 +437,12 @@ def checkout_boxes():
     return _element("input") & (D.attr("type") == "checkbox") & D.attr("checked").isNotNull() & D.attr("disabled").isNull() & U.is_checkout(F.col("url")), D.attr("name")
 
 
-#: Labels of what is added to a cart; the first that fits counts.
+#: Labels of what is added to a cart, in order of precedence: fixed values. The expressions, and the labels after the tip's, are this repository's own.
 ADDONS = {
-    "warranty": "warranty|protection plan|service plan", "insurance": "insurance|cover(?:age)? for|travel protection", "donation": "donat|round up for|charity", "gift wrap": "gift ?(?:wrap|box|bag)", "priority": "priority (?:boarding|processing|shipping|support)", "subscription": "auto.?renew|subscri|autoship",
-    "seat": "seat selection|extra leg ?room|preferred seat", "baggage": "(?:checked|extra) (?:bag|luggage|baggage)", "tip": r"\badd (?:a )?tip\b|gratuity", "membership": r"\bmembership\b|\bvip\b|plus plan", "carbon": "carbon (?:offset|neutral)", "fast shipping": "express (?:shipping|delivery)|next.?day",
-    "installation": "install(?:ation)? service|assembly service", "accessory": "frequently bought|add (?:a )?(?:case|charger|cable)", "cancellation": "(?:free|flexible) cancellation|refund protection", "support": "premium support|tech support", "sample": r"\badd (?:a )?sample",
+    "protection plan": r"\bprotection plan\b", "warranty": r"\bwarrant(?:y|ies)\b", "service / care plan": r"\b(?:service|care) (?:plan|contract)s?\b", "SquareTrade": "square ?trade", "AppleCare": "apple ?care", "Asurion": r"\basurion\b", "insurance": r"\binsurance\b",
+    "donation": r"\bdonat(?:e|ions?)\b", "round-up": r"\bround[ -]?up\b", "gift wrap": "gift ?(?:wrap|box)", "gift message": r"\bgift message\b", "carbon offset": "carbon[ -](?:offset|neutral)", "Route protection": r"\broute(?:\+| (?:package )?protection\b)", "Seel protection": r"\bseel (?:protection|assurance)\b",
+    "Navidium protection": r"\bnavidium\b", "shipping / package protection": r"\b(?:package|shipping|order|delivery) protection\b", "driver / courier tip": r"\b(?:driver|courier) tip\b",
+    "tip": r"\badd (?:a )?tip\b|gratuity", "subscription": "auto.?renew|autoship", "priority": "priority (?:boarding|processing|shipping|support)",
 }
 
 
@@ -396,18 +453,78 @@ def cart_addons():
     return _small(200, 40) & label.isNotNull() & U.is_checkout(F.col("url")), label
 
 
-MONEY = r"[$€£] ?[0-9]+(?:[.,][0-9]{2})?"
+#: Fees that are told late, and how far up the summary of an order is looked for: fixed values.
+FEES = ("service fee", "convenience fee", "processing fee", "resort fee", "destination fee", "facility fee", "handling fee", "venue fee", "delivery surcharge")
+FEE_HOPS, PRICED_ROWS, AMOUNT_CAP, COUSINS, ROW_CAP = 8, 2, 40, 8, 100
+MONEY = r"[$£€¥¢₹₩] ?[0-9][0-9,]*(?:\.[0-9]{1,2})?"
+NO_FEE = r"\b(?:(?:sales )?tax|vat|gst|tip|gratuity|(?:shipping|delivery)(?! surcharge))\b"
+TOTAL = r"\b(?:sub ?total|(?:grand |order )?total|amount due|balance|due now)\b"
 
 
-def hidden_fees(n: DataFrame) -> DataFrame:
-    """A fee row in a summary of at least two priced rows that are no totals; a row is a tr or li or a direct child div."""
+def _money_alone(text: Column) -> Column:
+    return text.rlike(rf"(?i)^{MONEY} ?(?:usd|eur|gbp|jpy|cad|aud)?$")
+
+
+def fee_outcomes(n: DataFrame) -> DataFrame:
+    """Fee labels on checkout pages with outcome and amount: page_id, node_id, pre, end, evidence (the amount), outcome.
+
+    ``no-summary-ancestor``: no order summary within FEE_HOPS steps above, or something to use, to navigate by or that bounds the page stands
+    between; ``no-adjacent-amount``: no amount in the label, beside it or beside its parent; ``single-item-cart``: the summary has
+    fewer than PRICED_ROWS rows with a price that are no totals; else ``flagged``.
+    """
     c = n.filter(U.is_checkout(F.col("url")))
-    row = c.filter(_element("tr", "li", "div") & (F.col("text_len") <= 80) & F.col("text_content").rlike(MONEY) & (F.col("n_children") <= 3))
-    row = D.innermost(row, "page_id")
-    total = F.lower("text_content").rlike(r"\b(?:sub)?total\b")
-    priced = row.withColumn("_rows", F.sum((~total).cast("int")).over(Window.partitionBy("page_id", "parent_id")))
-    fee = F.lower("text_content").rlike("(?:service|processing|convenience|handling|booking|resort|platform|admin\\w*) (?:fee|charge)") & ~F.lower("text_content").rlike("tax|tip|shipping|delivery")
-    return _found(priced, fee & (F.col("_rows") >= 2), F.regexp_extract("text_content", MONEY, 0))
+    e = c.filter((F.col("kind") == "element") & ~F.col("in_non_content"))
+    text, role = F.regexp_replace("text_content", r"\s+", " "), F.coalesce(D.attr("role"), F.lit(""))
+    low = F.lower(text)
+    fee = rf"^(?:{'|'.join(FEES)})(?:(?: ?[:—–|·(-] ?.{{0,60}})|(?: {MONEY}(?: .{{0,30}})?))?$"
+    labels = D.innermost(c.filter(_small(80, 3) & low.rlike(fee) & ~low.rlike(NO_FEE)).select("page_id", "node_id", "parent_id", "pre", "end", "depth", F.nullif(F.regexp_extract(text, MONEY, 0), F.lit("")).alias("_in")), "page_id")
+    live = labels.select("page_id").distinct()
+    e = e.join(live, "page_id", "left_semi")
+    named = D.labelled_by(c, e.filter(role == "region"))
+    words = r"(?i)cart|order|checkout|basket|bag|summary|totals?|fees?|price-?details|billing"
+    region = F.coalesce(F.nullif(D.attr("aria-label"), F.lit("")), F.col("label"), F.lit("")).rlike(r"(?i)\b(?:(?:order|cart|checkout|payment|billing) summary|fee breakdown|price details|order total)\b")
+    kept = e.join(named, ["page_id", "node_id"], "left")
+    summary = (F.col("tag") == "table") | ((role == "region") & region) | (F.col("tag").isin("aside", "section", "div", "ul", "ol") & F.concat_ws(" ", D.attr("class"), D.attr("id")).rlike(words)) | F.coalesce(D.attr("itemtype").rlike(r"(?i)\bOrder\b"), F.lit(False))
+    barrier = F.col("tag").isin("button", "select", "option", "input", "textarea", "label", "nav", "header", "footer", "main", "body", "html") | role.isin("button", "tab", "menuitem", "option", "checkbox", "radio", "switch", "navigation", "banner", "contentinfo", "main")
+    place = ("page_id", "node_id", "pre", "end", "depth")
+    found = D.climb(labels, kept.filter(summary).select(*place), e.filter(barrier).select(*place), FEE_HOPS, "_box", strict=True)
+    # Amounts that stand alone, beside the label or beside its parent.
+    amount = e.filter((F.col("text_len") > 0) & (F.col("text_len") < AMOUNT_CAP) & _money_alone(text)).select("page_id", F.col("parent_id").alias("_up"), F.col("node_id").alias("_n"), F.struct(F.col("pre").alias("at"), F.col("text_content").alias("said")).alias("_a"))
+    parents = e.select("page_id", F.col("node_id").alias("parent_id"), F.col("parent_id").alias("_grand"))
+    grand = e.select("page_id", F.col("node_id").alias("_grand"), F.col("n_children").alias("_kids"))
+    up = labels.select("page_id", "node_id", "parent_id").join(parents, ["page_id", "parent_id"]).join(grand, ["page_id", "_grand"], "left")
+    beside = up.join(amount, (up["page_id"] == amount["page_id"]) & (F.col("parent_id") == F.col("_up")) & (F.col("_n") != F.col("node_id"))).groupBy(up["page_id"], "node_id").agg(F.min("_a")["said"].alias("_beside"))
+    cousin = up.filter(F.col("_kids") <= COUSINS).join(amount, (up["page_id"] == amount["page_id"]) & (F.col("_grand") == F.col("_up")) & (F.col("_n") != F.col("parent_id"))).groupBy(up["page_id"], "node_id").agg(F.min("_a")["said"].alias("_cousin"))
+    found = found.join(beside, ["page_id", "node_id"], "left").join(cousin, ["page_id", "node_id"], "left").withColumn("evidence", F.coalesce("_in", "_beside", "_cousin"))
+    boxes = found.filter("_box IS NOT NULL").select("page_id", F.col("_box").alias("node_id")).distinct().join(e.select("page_id", "node_id", "pre", "end"), ["page_id", "node_id"])
+    out = found.join(priced_rows(c, e, boxes).withColumnRenamed("node_id", "_box"), ["page_id", "_box"], "left")
+    outcome = F.when(F.col("_box").isNull(), "no-summary-ancestor").when(F.col("evidence").isNull(), "no-adjacent-amount").when(F.coalesce("n_rows", F.lit(0)) < PRICED_ROWS, "single-item-cart").otherwise("flagged")
+    return out.select("page_id", "node_id", "pre", "end", "evidence", outcome.alias("outcome"))
+
+
+def priced_rows(n: DataFrame, e: DataFrame, boxes: DataFrame) -> DataFrame:
+    """page_id, node_id and n_rows of containers (page_id, node_id, pre, end): rows with a price that are no totals. The row of
+    an amount that stands alone is the nearest element around it in which something else is said."""
+    text = F.regexp_replace("text_content", r"\s+", " ")
+    alone = _money_alone(text)
+    leaf = e.filter((F.col("n_children") == 0) & F.col("text_len").between(1, ROW_CAP) & text.rlike(MONEY)).withColumn("_alone", alone)
+    # A child is part of a row if its parent has another child that says something and is no amount.
+    says = (F.col("text_len") > 0) & ~((F.col("text_len") < ROW_CAP) & alone)
+    w = Window.partitionBy("page_id", "parent_id")
+    part = e.withColumn("_says", says.cast("int")).withColumn("_others", F.sum("_says").over(w) - F.col("_says")).filter("_others > 0 AND parent_id IS NOT NULL").select("page_id", "pre", "end", "parent_id")
+    held = D.nearest(leaf.select("page_id", "node_id", "pre", "end", "_alone"), part, "_row", F.col("parent_id"))
+    row = F.when(F.col("_alone"), F.col("_row")).otherwise(F.col("node_id"))
+    rows = held.select("page_id", row.alias("node_id"), F.col("node_id").alias("_leaf"), F.col("pre").alias("_at")).filter("node_id IS NOT NULL").join(e.select("page_id", "node_id", "pre", "end"), ["page_id", "node_id"])
+    b = boxes.select(F.col("page_id").alias("_p"), F.col("node_id").alias("_box"), F.col("pre").alias("_b"), F.col("end").alias("_e"))
+    within = rows.join(b, (F.col("page_id") == F.col("_p")) & (F.col("pre") > F.col("_b")) & (F.col("pre") <= F.col("_e"))).select("page_id", "_box", "node_id", "pre", "end").distinct()
+    said = D.whole_text(n, within.select("page_id", "node_id", "pre", "end").distinct())
+    good = within.join(said, ["page_id", "node_id"]).filter(~F.lower(F.regexp_replace("said", r"\s+", " ")).rlike(TOTAL))
+    return good.groupBy("page_id", F.col("_box").alias("node_id")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def hidden_fees(n: DataFrame) -> DataFrame:
+    """Fees in the summary of an order of several rows, with their amount."""
+    return fee_outcomes(n).filter("outcome = 'flagged'").drop("outcome")
 
 
 #: Names of fields whose default is a guess at the place or the language, not a choice made for the user.
@@ -493,6 +610,25 @@ RULES = [
 ]
 
 
+def local_hits(nodes: DataFrame, rules: list[Rule], *keep: str) -> DataFrame:
+    """rule_id, post and evidence of what ``rules``, all of one node each, say of single nodes, with the columns ``keep``: one
+    array for each node."""
+    hits = []
+    for r in rules:
+        where, e = r.run.hit()
+        hits.append(F.when(where, F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.run.post).alias("post"), (F.lit(e) if isinstance(e, str) else e).cast("string").alias("evidence"))))
+    return nodes.select(*keep, F.explode(F.array_compact(F.array(*hits))).alias("h")).select(*keep, "h.*")
+
+
+def settled(each: DataFrame) -> DataFrame:
+    """Of local hits (page_id, rule_id, pre, end, post) the outermost, the innermost or all, as their rule asks."""
+    w = Window.partitionBy("page_id", "rule_id").orderBy("pre")
+    reach, follows = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lead("pre").over(w)
+    each = each.withColumns({"_reach": reach, "_next": follows})
+    kept = F.when(F.col("post") == "outermost", F.col("_reach").isNull() | (F.col("_reach") < F.col("pre"))).when(F.col("post") == "innermost", F.col("_next").isNull() | (F.col("_next") > F.col("end"))).otherwise(True)
+    return each.filter(kept).drop("_reach", "_next")
+
+
 def detect(nodes: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """page_id, rule_id, node_id, evidence of all given rules (all that are on by default).
 
@@ -503,14 +639,5 @@ def detect(nodes: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     one = [r for r in chosen if isinstance(r.run, Local)]
     parts = [r.run(nodes).select("page_id", F.lit(r.rule_id).alias("rule_id"), "node_id", "evidence") for r in chosen if r not in one]
     if one:
-        hits = []
-        for r in one:
-            where, e = r.run.hit()
-            hits.append(F.when(where, F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.run.post).alias("post"), (F.lit(e) if isinstance(e, str) else e).cast("string").alias("evidence"))))
-        each = nodes.select("page_id", "node_id", "pre", "end", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("page_id", "node_id", "pre", "end", "h.*")
-        w = Window.partitionBy("page_id", "rule_id").orderBy("pre")
-        reach, follows = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lead("pre").over(w)
-        each = each.withColumns({"_reach": reach, "_next": follows})
-        kept = F.when(F.col("post") == "outermost", F.col("_reach").isNull() | (F.col("_reach") < F.col("pre"))).when(F.col("post") == "innermost", F.col("_next").isNull() | (F.col("_next") > F.col("end"))).otherwise(True)
-        parts.append(each.filter(kept).select("page_id", "rule_id", "node_id", "evidence"))
+        parts.append(settled(local_hits(nodes, one, "page_id", "node_id", "pre", "end")).select("page_id", "rule_id", "node_id", "evidence"))
     return reduce(DataFrame.unionByName, parts)

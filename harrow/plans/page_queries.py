@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harrow.functions import hosts as H
 from harrow.functions import urls as U
-from harrow.operators import catalog, cleaning, dom, page_rules, site_rules
+from harrow.operators import cascade, catalog, cleaning, dom, page_rules, selectors, site_patterns, site_rules
 from harrow.session import shared_table
 from harrow.sources import html
 
@@ -180,11 +181,84 @@ def cleaned_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.clean(groups, cleaning.detections(groups)).filter("n_spans > 0").select("page_id", "text")
 
 
+def style_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many elements of each page get each declaration of its style sheets."""
+    n = shared_table(html.nodes(pages(spark, sf_dir)), "nodes")
+    return cascade.winners(n).groupBy("page_id", "name", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Style sheets that hide text, one for each remainder of the page's number, each with rules that lose and rules that win.
+SHEETS = (
+    ".ad{opacity:0} .ad{opacity:1} h1{opacity:0 !important} article h1{opacity:.5}",
+    "div.ad{visibility:hidden} .ad{visibility:visible} article > h1{color:#333}",
+    "nav + .ad{font-size:0} h1, .none{color:#fff} @media print{footer{opacity:0}}",
+    "@media screen{nav ~ article h1{text-indent:-9999px} h1{text-indent:0}} h1:not(.x):hover{opacity:0}",
+    "article{color:white} article p, article b{color:black} nav{max-height:0;overflow:hidden;transition:none}",
+)
+
+
+def styled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given pages with one of SHEETS before their own style sheet."""
+    sheet = F.get(F.array(*map(F.lit, SHEETS)), (F.col("page_id") % len(SHEETS)).cast("int"))
+    return pages(spark, sf_dir).withColumn("html", F.replace(F.col("html"), F.lit("<style>"), F.concat(F.lit("<style>"), sheet, F.lit("</style><style>"))))
+
+
+def hidden_by_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = shared_table(html.nodes(styled_pages(spark, sf_dir)), "nodes")
+    found = page_rules.hidden_text(n).join(n.select("page_id", "node_id", "tag"), ["page_id", "node_id"])
+    return found.groupBy("page_id", "tag", F.col("evidence").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Selectors with and without combinators that name something, among many that don't.
+SELECTORS = ("nav li > a", "article b", "div.ad", "nav ~ article h1", "div.ad + article", "p:not(.ad)", "ul > a", "li a[href^='/']", "html > body footer", "meta[charset='UTF-8' i], title")
+FILLERS = 13_000
+
+
+def selector_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many nodes of the pages each of SELECTORS and FILLERS others names."""
+    k = F.col("id").cast("string")
+    made = F.when(F.col("id") % 3 == 0, F.concat(F.lit(".banner-"), k)).when(F.col("id") % 3 == 1, F.concat(F.lit("#slot-"), k, F.lit(" > a"))).otherwise(F.concat(F.lit("div[data-ad='"), k, F.lit("'] p")))
+    listed = spark.createDataFrame([(s,) for s in SELECTORS], "selector string").unionByName(spark.range(FILLERS).select(made.alias("selector")))
+    return selectors.match(html.nodes(pages(spark, sf_dir)), listed).groupBy("selector").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Rules of sites over the hosts of the pages.
+SITES = [("ads-hide", "*.example.net", None, ".ad"), ("footer-redact", "blog.*.example.com", "/en/*", "footer"), ("comments-redact", "*", "/fr/*", "nav ~ article > h1"), ("ads-hide", "m.*.example.net", "/de/*", "body > nav")]
+
+
+def site_selector_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.createDataFrame(SITES, "rule_id string, host_pattern string, path_pattern string, selector string")
+    found = page_rules.by_site(shared_table(with_url(pages(spark, sf_dir)), "nodes"), listed)
+    return found.groupBy("page_id", "rule_id", F.col("evidence").alias("selector")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def pattern_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pages each of many patterns fits: one for the sites of every tenth page, one for each host by path, and 100,000 others."""
+    p = pages(spark, sf_dir)
+    host = U.host(F.col("url"))
+    sites = p.filter("page_id % 10 = 0").select(F.concat(F.lit("*."), U.registrable(host)).alias("host_pattern"), F.lit(None).cast("string").alias("path_pattern"))
+    hosts = p.select(host.alias("host_pattern"), F.lit("/en/*").alias("path_pattern"))
+    others = spark.range(100_000).select(F.concat(F.lit("*.n"), F.col("id").cast("string"), F.lit(".example.com")).alias("host_pattern"), F.lit(None).cast("string").alias("path_pattern"))
+    listed = sites.unionByName(hosts).unionByName(others).filter("host_pattern IS NOT NULL").distinct()
+    return site_patterns.match(p.select("page_id", "url"), listed).groupBy("host_pattern", "path_pattern").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Rules of public suffixes of each kind, for the hosts of the pages.
+SUFFIX_RULES = ("com", "net", "org", "*.example.com", "!ththhe.example.com", "example.net", "*.blog.example.org", "uk", "co.uk")
+
+
+def suffix_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registrable name of each page's host by SUFFIX_RULES."""
+    hosts = pages(spark, sf_dir).select("page_id", U.host(F.col("url")).alias("host"))
+    return H.registrable(hosts, spark.createDataFrame([(r,) for r in SUFFIX_RULES], "rule string"))
+
+
 QUERIES = {
     f.__name__ if not n else n: f
     for f, n in (
         (nodes_by_tag, "page_nodes_by_tag"), (page_comments, ""), (page_titles, ""), (page_links, ""), (footer_regions, ""), (ad_regions, ""), (inline_groups, ""), (rule_counts_by_page, ""), (rule_fixture, ""), (json_ld_cleaned, ""), (outermost, ""), (innermost, ""),
         (url_parts, ""), (denylist_pages, ""), (rule_catalog, ""), (applicable_rules, ""), (roach_motel, ""), (url_recipe, ""), (roach_motel_pages, ""), (url_recipe_pages, ""), (json_ld_pages, ""), (page_trees, ""), (cleaned_groups, ""), (cleaned_fixture, ""),
+        (style_winners, ""), (hidden_by_sheets, ""), (selector_hits, ""), (site_selector_hits, ""), (pattern_matches, ""), (suffix_sites, ""),
     )
 }
 
@@ -211,6 +285,30 @@ ORACLES = {
     "denylist_pages": f"SELECT page_id FROM (SELECT page_id, {_HOST} AS h, {_PATH} AS p FROM pages) WHERE " + " OR ".join(f"(regexp_matches(h, '{a}') AND regexp_matches(p, '{b}'))" for a, b in (U.pattern_regex(*d) for d in DENIED)),
     "rule_catalog": "SELECT verb, count(*) AS n, count(*) FILTER (WHERE d) AS n_on FROM (VALUES " + ", ".join(f"('{r.verb}', {r.default_on})" for r in page_rules.RULES) + ") v(verb, d) GROUP BY verb",
     "applicable_rules": f"SELECT page_id, CAST(CASE WHEN page_id % 2 = 0 THEN {len(_ON)} ELSE {sum(not r.top_frame_only for r in _ON)} END AS BIGINT) AS n FROM pages",
+    "style_winners": f"SELECT page_id, 'margin' AS name, '0' AS value, n FROM (SELECT page_id, CAST(len(regexp_extract_all({_BARE}, '<p[ >]')) AS BIGINT) AS n FROM pages) WHERE n > 0",
+    "hidden_by_sheets": f"""WITH c AS (SELECT page_id, len(regexp_extract_all(b, '<div class="ad">[^<]*[^<[:space:]]')) AS ads, len(regexp_extract_all(b, '<h1[ >][^<]*[^<[:space:]>]')) AS heads, len(regexp_extract_all(b, '<nav[ >]')) AS navs FROM (SELECT page_id, {_BARE} AS b FROM pages)),
+f AS (SELECT page_id, 'h1' AS tag, CASE page_id % 5 WHEN 0 THEN 'opacity-0' WHEN 2 THEN 'color-match' WHEN 3 THEN 'text-indent' END AS reason, heads AS n FROM c
+UNION ALL SELECT page_id, 'div', CASE page_id % 5 WHEN 1 THEN 'visibility-hidden' WHEN 2 THEN 'font-size-0' END, ads FROM c
+UNION ALL SELECT page_id, CASE WHEN page_id % 5 = 4 THEN 'h1' END, 'color-match', heads FROM c)
+SELECT page_id, tag, reason, CAST(n AS BIGINT) AS n FROM f WHERE tag IS NOT NULL AND reason IS NOT NULL AND n > 0""",
+    "selector_hits": f"""WITH p AS (SELECT {_BARE} AS b FROM pages), c AS (SELECT sum(len(regexp_extract_all(b, '<li><a '))) AS links, sum(len(regexp_extract_all(b, '<b>'))) AS bolds, sum(len(regexp_extract_all(b, '<div class="ad">'))) AS ads, sum(len(regexp_extract_all(b, '<h1[ >]'))) AS heads,
+sum(len(regexp_extract_all(b, '<p[ >]'))) AS paras, sum(len(regexp_extract_all(b, '<footer[ >]'))) AS footers, sum(len(regexp_extract_all(b, '<div class="ad">[^<]*</div><article'))) AS after, sum(len(regexp_extract_all(b, '<meta charset="utf-8">'))) + sum(len(regexp_extract_all(b, '<title>'))) AS heads2 FROM p)
+SELECT selector, CAST(n AS BIGINT) AS n FROM (SELECT unnest(['nav li > a', 'article b', 'div.ad', 'nav ~ article h1', 'div.ad + article', 'p:not(.ad)', 'li a[href^=''/'']', 'html > body footer', 'meta[charset=''UTF-8'' i], title']) AS selector,
+unnest([links, bolds, ads, heads, after, paras, links, footers, heads2]) AS n FROM c) WHERE n > 0""",
+    "suffix_sites": f"""WITH h AS (SELECT page_id, {_HOST} AS host FROM pages), l AS (SELECT page_id, host, string_split(host, '.') AS a FROM h),
+n AS (SELECT page_id, host, a, CASE WHEN list_contains(['ththhe.example.com'], array_to_string(a[-3:], '.')) THEN 2 WHEN array_to_string(a[-2:], '.') = 'example.com' AND len(a) > 2 THEN 3 WHEN array_to_string(a[-3:], '.') = 'blog.example.org' AND len(a) > 3 THEN 4
+WHEN array_to_string(a[-2:], '.') IN ('example.net', 'co.uk') THEN 2 ELSE 1 END AS k FROM l)
+SELECT page_id, host, CASE WHEN host = '' THEN NULL WHEN len(a) > k THEN array_to_string(a[len(a) - k:], '.') END AS site FROM n""",
+    "site_selector_hits": rf"""WITH p AS (SELECT page_id, {_HOST} AS h, {_PATH} AS p, {_BARE} AS b FROM pages),
+f AS (SELECT page_id, 'ads-hide' AS rule_id, '.ad' AS selector, len(regexp_extract_all(b, '<div class="ad">')) AS n FROM p WHERE regexp_matches(h, '(^|\.)example\.net$')
+UNION ALL SELECT page_id, 'footer-redact', 'footer', len(regexp_extract_all(b, '<footer[ >]')) FROM p WHERE regexp_matches(h, '^blog\.[^.]*\.example\.com$') AND p LIKE '/en/%'
+UNION ALL SELECT page_id, 'comments-redact', 'nav ~ article > h1', len(regexp_extract_all(b, '<article><h1[ >]')) FROM p WHERE p LIKE '/fr/%'
+UNION ALL SELECT page_id, 'ads-hide', 'body > nav', len(regexp_extract_all(b, '<nav[ >]')) FROM p WHERE regexp_matches(h, '^m\.[^.]*\.example\.net$') AND p LIKE '/de/%')
+SELECT page_id, rule_id, selector, CAST(n AS BIGINT) AS n FROM f WHERE n > 0""",
+    "pattern_matches": f"""WITH p AS (SELECT page_id, {_HOST} AS h, {_PATH} AS p FROM pages),
+s AS (SELECT DISTINCT CASE WHEN list_contains({list(U.SUFFIXES)}, array_to_string(string_split(h, '.')[-2:], '.')) THEN array_to_string(string_split(h, '.')[-3:], '.') ELSE array_to_string(string_split(h, '.')[-2:], '.') END AS site FROM p WHERE page_id % 10 = 0)
+SELECT '*.' || site AS host_pattern, CAST(NULL AS VARCHAR) AS path_pattern, count(*) AS n FROM s JOIN p ON h = site OR suffix(h, '.' || site) GROUP BY site
+UNION ALL SELECT h, '/en/*', count(*) FROM p WHERE p LIKE '/en/%' GROUP BY h""",
     "roach_motel": site_rules.ROACH_SQL,
     "url_recipe": site_rules.RECIPE_SQL,
 }

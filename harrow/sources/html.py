@@ -7,8 +7,9 @@ elements down to the one an end tag names. It is no browser: malformed pages can
 The content of an open shadow root (<template shadowrootmode="open">) is a group of its own, and no other element's text
 holds what scripts, styles, other templates and noscript hold.
 
-``text_content`` is the first TEXT_CAP characters of an element's text, ``text_len`` the length of all of it. Elements that
-rules judge by their text at any length (``read_whole``) have all of it in ``whole_text``; it is null for others.
+``text_content`` is the first TEXT_CAP characters of an element's text. ``text_len`` is the length of all of it without white
+space at its ends, and with what scripts and styles in the element hold. Elements that rules judge by their text at
+any length (``read_whole``) have all of it in ``whole_text``; it is null for others.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ class Tree(HTMLParser):
         node = {
             "node_id": len(self.nodes), "parent_id": up and up["node_id"], "pre": len(self.nodes), "end": len(self.nodes), "depth": len(self.stack), "n_children": 0, "kind": kind, "tag": tag, "attrs": list((attrs or {}).items()), "text": text, "grp": None,
             "in_non_content": bool(up and (up["in_non_content"] or (up["tag"] in NON_CONTENT and not up["_open"]))), "in_svg": bool(up and (up["in_svg"] or up["tag"] == "svg")), "in_form": bool(up and (up["in_form"] or up["tag"] == "form")),
-            "in_article": bool(up and (up["in_article"] or up["tag"] in ("article", "section", "aside", "nav"))), "nearest_block": up and (up["node_id"] if up["tag"] in BLOCK else up["nearest_block"]), "_text": [], "_len": 0, "_said": 0, "_open": tag == "template" and (attrs or {}).get("shadowrootmode") == "open", "_whole": [] if kind == "element" and read_whole(tag, attrs) else None,
+            "in_article": bool(up and (up["in_article"] or up["tag"] in ("article", "section", "aside", "nav"))), "nearest_block": up and (up["node_id"] if up["tag"] in BLOCK else up["nearest_block"]), "_text": [], "_len": 0, "_gap": 0, "_said": 0, "_open": tag == "template" and (attrs or {}).get("shadowrootmode") == "open", "_whole": [] if kind == "element" and read_whole(tag, attrs) else None,
         }
         self.nodes.append(node)
         if up and kind == "element":
@@ -93,15 +94,21 @@ class Tree(HTMLParser):
     def handle_data(self, data: str) -> None:
         node = self._add("text", None, None, data)
         node["grp"] = self.grp
+        # White space counts once something follows it.
+        first, last = len(data) - len(data.lstrip()), len(data) - len(data.rstrip())
         zone = next((i for i, up in enumerate(self.stack) if up["tag"] in NON_CONTENT and not up["_open"]), len(self.stack))
         for i, up in enumerate(self.stack):
+            if last == len(data):
+                up["_gap"] += len(data) * (up["_len"] > 0)
+            else:
+                up["_len"] += (up["_gap"] + len(data) if up["_len"] else len(data) - first) - last
+                up["_gap"] = last
             if i < zone < len(self.stack):
                 continue  # what a script or style holds is no text of what stands around it
             if up["_said"] < TEXT_CAP + 16:
                 piece = data if up["_said"] else data.lstrip()
                 up["_text"].append(piece[: TEXT_CAP + 16])
                 up["_said"] += len(piece)
-            up["_len"] += len(data)
             if up["_whole"] is not None:
                 up["_whole"].append(data)
 
@@ -115,8 +122,8 @@ class Tree(HTMLParser):
                 up["end"] = max(up["end"], node["end"])
         for node in self.nodes:
             said, length = "".join(node.pop("_text")).strip(), node.pop("_len")
-            node.pop("_said")
-            node.pop("_open")
+            for name in ("_said", "_open", "_gap"):
+                node.pop(name)
             whole = node.pop("_whole")
             node["whole_text"] = None if whole is None else "".join(whole).strip()
             element = node["kind"] == "element"

@@ -131,6 +131,19 @@ def test_online_packing_odd(spark):
     assert level_packing.pack_online(spark.createDataFrame([], schema), BYTES).collect() == []
 
 
+def test_ids_equal_those_of_the_tokenizers_library():
+    """Every code point beside letters, digits, spaces and itself, and a file that is no rank file."""
+    encoder, tokenizer = level_packing.ByteLevelIds(BYTES), Tokenizer.from_file(BYTES)
+    assert encoder.fast is not None
+    points = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000] + [chr(c) for c in range(0xE0000, 0xE0200)]
+    texts = ["".join(f"a{c}b {c}{c}1 {c}\n" for c in points[i : i + 64]) for i in range(0, len(points), 64)]
+    texts += ["x" * 3_000, "don't can't we'll'", "  a  \n\n b\t ", "'s 'S"]
+    for text, want in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(encoder.of(text), "<u4").tolist() == want.ids
+    other = level_packing.ByteLevelIds(vocabulary("word_bpe_49k.json"))
+    assert other.fast is None and len(other.of("Some words")) == 8
+
+
 def naive_level(counts, size, capacity):
     """The placement by its definition: the sum of squares after each possible one."""
     def after(level):

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import difflib
-import json
 from functools import reduce
 from itertools import islice
 
@@ -11,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from harrow.functions import spans as S
+
 #: Names under which logs hold usage, and providers report counts: fixed values, the first that is there counts.
 USAGE = ("usage", "token_usage", "tokenUsage")
 INPUT = ("input_tokens", "inputTokens", "prompt_tokens", "promptTokens", "prompt_token_count", "promptTokenCount")
@@ -22,47 +23,52 @@ FIELDS = ("input", "output", "total", "cached", "cache_creation", "reasoning")
 BLOCK_TYPES = ("captcha", "login-wall", "bot-detection", "rate-limit", "paywall", "geo-block", "other")
 
 
-def _first(value, names: tuple[str, ...]):
-    """What the first object that has one of ``names`` holds under it: an object before its parts, later parts before earlier ones."""
-    if isinstance(value, dict):
-        name = next((n for n in names if n in value), None)
-        if name is not None:
-            return value[name]
-        value = list(value.values())
-    if isinstance(value, list):
-        for part in reversed(value):
-            if (got := _first(part, names)) is not None:
-                return got
-    return None
-
-
-def _usage(value) -> tuple | None:
-    block = _first(value, USAGE) if isinstance(value, dict) else None
-    if not isinstance(block, dict):
-        return None
-    pick = lambda names: next((block[n] for n in names if block.get(n)), next((0 for n in names[-1:] if block.get(n) is not None), None))
-    i, o = pick(INPUT), pick(OUTPUT)
-    if i is None and o is None:
-        return None
-    i, o = int(i or 0), int(o or 0)
-    more = (_first(block, names) for names in (CACHED, CREATED, REASONED))
-    return i, o, i + o, *(None if m is None else int(m or 0) for m in more)
-
-
-def usage(body: Column) -> Column:
-    """Token usage (FIELDS) of the usage block of a JSON text at any depth; nulls where there is none, or no JSON."""
-
-    def one(s: str | None) -> tuple:
-        try:
-            return _usage(json.loads(s)) or (None,) * 6
-        except (TypeError, ValueError, AttributeError):
-            return (None,) * 6
-
-    @F.pandas_udf(", ".join(f"{f} long" for f in FIELDS))
-    def run(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(x) for x in s], columns=list(FIELDS)).astype("Int64")
-
-    return run(body)
+#: A key of USAGE with its object, which may hold objects of two more levels; and a JSON string.
+_BLOCK = r"""(?<!\\)"(?:""" + "|".join(USAGE) + r""")"\s*:\s*\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}"""
+_STRING = r"\"(?:[^\"\\]|\\.)*\""
+
+
+def _block(body: Column) -> Column:
+    """The usage object of a JSON text that lies least deep, the last of equals; null for none."""
+    spans = S.find(body, _BLOCK, "usage")
+
+    def placed(s: Column) -> Column:
+        before = F.regexp_replace(F.substring(body, F.lit(1), s["start"]), _STRING, "")
+        depth = F.length(F.regexp_replace(before, r"[^{\[]", "")) - F.length(F.regexp_replace(before, r"[^}\]]", ""))
+        said = F.substring(body, s["start"] + 1, s["end"] - s["start"])
+        return F.struct(depth.alias("depth"), (-s["start"]).alias("back"), F.regexp_extract(said, r"(?s)\{.*", 0).alias("said"))
+
+    return F.get(F.array_sort(F.transform(spans, placed)), F.lit(0))["said"]
+
+
+def _named(name: str):
+    return lambda entry: entry["key"] == name
+
+
+def usage(body: Column | str) -> Column:
+    """Token usage (FIELDS) of the usage object of a JSON text, at any depth; nulls where there is none, or no JSON.
+
+    Of the names of a count the first in the list that the object has as a number counts, of input and output the first above
+    zero; cached, created and reasoning tokens may also stand in an object within it. Of input and output one may be missing or
+    zero; an object without either counts for nothing.
+    """
+    body = F.col(body) if isinstance(body, str) else body
+    strings = lambda c: F.from_json(c, "map<string,string>")
+
+    def counted(block: Column) -> Column:
+        own = F.map_entries(strings(block))
+        inner = F.flatten(F.transform(F.filter(F.map_values(strings(block)), lambda v: F.startswith(v, F.lit("{"))), lambda v: F.coalesce(F.map_entries(strings(v)), F.array().cast("array<struct<key:string,value:string>>"))))
+        pick = lambda entries, names: F.coalesce(*[F.get(F.filter(entries, _named(n)), F.lit(0))["value"].try_cast("double").try_cast("long") for n in names])
+        i, o = (pick(F.filter(own, lambda e: e["value"].try_cast("double") > 0), names) for names in (INPUT, OUTPUT))
+        known = i.isNotNull() | o.isNotNull()
+        i, o = F.coalesce(i, F.lit(0)), F.coalesce(o, F.lit(0))
+        more = [pick(F.concat(own, inner), names) for names in (CACHED, CREATED, REASONED)]
+        values = [i, o, i + o, *more]
+        return F.struct(*[F.when(known, v).cast("long").alias(f) for f, v in zip(FIELDS, values, strict=True)])
+
+    found = F.when(F.try_parse_json(body).isNotNull(), _block(body))
+    none = F.struct(*[F.lit(None).cast("long").alias(f) for f in FIELDS])
+    return F.coalesce(F.get(F.transform(F.array(found), lambda b: F.when(b.isNotNull(), counted(b))), F.lit(0)), none)
 
 
 #: Lines of a diff that are shown.

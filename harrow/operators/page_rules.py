@@ -442,7 +442,7 @@ ADDONS = {
     "protection plan": r"\bprotection plan\b", "warranty": r"\bwarrant(?:y|ies)\b", "service / care plan": r"\b(?:service|care) (?:plan|contract)s?\b", "SquareTrade": "square ?trade", "AppleCare": "apple ?care", "Asurion": r"\basurion\b", "insurance": r"\binsurance\b",
     "donation": r"\bdonat(?:e|ions?)\b", "round-up": r"\bround[ -]?up\b", "gift wrap": "gift ?(?:wrap|box)", "gift message": r"\bgift message\b", "carbon offset": "carbon[ -](?:offset|neutral)", "Route protection": r"\broute(?:\+| (?:package )?protection\b)", "Seel protection": r"\bseel (?:protection|assurance)\b",
     "Navidium protection": r"\bnavidium\b", "shipping / package protection": r"\b(?:package|shipping|order|delivery) protection\b", "driver / courier tip": r"\b(?:driver|courier) tip\b",
-    "tip": r"\badd (?:a )?tip\b|gratuity", "subscription": "auto.?renew|autoship", "priority": "priority (?:boarding|processing|shipping|support)",
+    "tip": r"\badd (?:a )?tip\b|gratuity", "subscription": "auto.?renew|subscri|autoship", "priority": "priority (?:boarding|processing|shipping|support)",
 }
 
 

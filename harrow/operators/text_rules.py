@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -70,6 +71,41 @@ def secret_spans(text: Column) -> Column:
     return S.merge(*[S.find(text, p, f"[{kind} hidden]") for kind, p in SECRETS.items()])
 
 
+#: Windows of a run in which keys are looked for, how far they are apart, the bits of each character that a key has at least,
+#: and how many of each class of characters.
+WINDOW, STRIDE, BITS, EACH_CLASS = 24, 8, 3.9, 2
+#: Runs in which a key can stand; those that follow marks of a URL are names and hashes of its own.
+KEY_RUN = f"(?<![A-Za-z0-9_+=/?&.%-])[A-Za-z0-9_+=-]{{{WINDOW},}}+"
+
+
+def key_like(window: Column) -> Column:
+    """Whether the characters of a window are as mixed and as evenly used as those of a random key."""
+    many = lambda c: F.length(F.regexp_replace(window, f"[^{c}]", "")) >= EACH_CLASS
+    return many("A-Z") & many("a-z") & many("0-9") & (X.shannon_entropy(window) >= BITS)
+
+
+def entropy_spans(text: Column) -> Column:
+    """The maximal stretches of runs of which every window, STRIDE characters apart, is key-like: secrets of no known shape."""
+    runs = S.find(text, KEY_RUN, "[secret hidden]")
+
+    def stretches(run: Column) -> Column:
+        n = run["end"] - run["start"]
+        # The last window ends with the run.
+        starts = F.array_distinct(F.concat(F.sequence(F.lit(0), n - WINDOW, F.lit(STRIDE)), F.array(n - WINDOW)))
+        good = F.filter(starts, lambda i: key_like(F.substring(text, run["start"] + i + 1, F.lit(WINDOW))))
+        first = F.array().cast("array<struct<start:int,end:int>>")
+
+        def step(out: Column, i: Column) -> Column:
+            start = run["start"] + i
+            last = F.try_element_at(out, F.lit(-1))
+            grown = F.array_append(F.slice(out, 1, F.size(out) - 1), F.struct(last["start"].alias("start"), (start + WINDOW).alias("end")))
+            return F.when((F.size(out) > 0) & (start <= last["end"]), grown).otherwise(F.array_append(out, F.struct(start.alias("start"), (start + WINDOW).alias("end"))))
+
+        return F.transform(F.aggregate(good, first, step), lambda s: F.struct(s["start"], s["end"], run["label"]))
+
+    return F.flatten(F.transform(runs, stretches))
+
+
 def mask(docs: DataFrame, text: str = "text", *, secrets: bool = False) -> DataFrame:
     """``docs`` with spans and masked, which are computed after one look for digits."""
     t = F.col(text)
@@ -141,6 +177,21 @@ CIPHERS = {
 }
 
 
+def _among(words: Column, *groups: list[str]) -> Column:
+    """The different words of an array that are in any of the groups: one look into a set for each word."""
+    return F.array_distinct(F.filter(words, lambda w: w.isin(*sorted({w for g in groups for w in g}))))
+
+
+def _plain_words(text: Column) -> Column:
+    """Runs of ASCII letters in lower case, those of any part of the text that is cut between letters and others."""
+    return F.regexp_extract_all(F.translate(text, X.UPPER, X.LOWER), F.lit("[a-z]+"), F.lit(0))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def cipher_of(text: Column) -> Column:
     """The first of rot13, atbash and reversed that turns a text that is not English into English; null for none."""
 
@@ -151,23 +202,31 @@ def cipher_of(text: Column) -> Column:
         return out
 
     # The words are found once, for all four looks.
-    return F.when(F.length(text) >= CIPHER_MIN, F.get(F.transform(F.array(X.words_of(text)), of), F.lit(0)))
+    return F.when(F.length(text) >= CIPHER_MIN, _once(_among(X.words_of(text), X.ENGLISH, *CIPHERS.values()), of))
 
 
 def cipher_spans(text: Column) -> Column:
-    """Runs of letters, white space and marks that are in a cipher."""
-    return S.find(text, r"""[A-Za-z](?:[\s.,'"!?:;-]*+[A-Za-z]++)*+""", "[encoded payload hidden]", lambda run: cipher_of(run).isNotNull())
+    """Runs of letters, white space and marks that are in a cipher. A text that has too few words of each cipher has no such run."""
+    enough = lambda words: reduce(lambda a, b: a | b, [X.how_many(words, said) >= ENGLISH_MIN for said in CIPHERS.values()])
+    some = (F.length(text) >= CIPHER_MIN) & _once(_among(_plain_words(text), *CIPHERS.values()), enough)
+    found = S.find(text, r"""[A-Za-z](?:[\s.,'"!?:;-]*+[A-Za-z]++)*+""", "[encoded payload hidden]", lambda run: cipher_of(run).isNotNull())
+    return F.when(some, found).otherwise(F.array().cast(S.SPAN))
 
 
 def leet_spans(text: Column) -> Column:
-    """Runs of letters, digits, signs, white space and marks that read as English once signs are letters."""
-    return S.find(text, r"""[A-Za-z0-9@$!](?:[\s.,'"?:;-]*+[A-Za-z0-9@$!]++)*+""", "[encoded payload hidden]", leet)
+    """Runs of letters, digits, signs, white space and marks that read as English once signs are letters. A text with too few signs, or
+    too few words once they are letters, has no such run."""
+    signs = F.length(F.regexp_replace(text, "[^0134578@$!]", "")) >= LEET_SIGNS
+    some = (F.length(text) >= LEET_MIN) & signs & (F.size(_among(_plain_words(X.unleet(text)), X.ENGLISH)) >= ENGLISH_MIN)
+    found = S.find(text, r"""[A-Za-z0-9@$!](?:[\s.,'"?:;-]*+[A-Za-z0-9@$!]++)*+""", "[encoded payload hidden]", leet)
+    return F.when(some, found).otherwise(F.array().cast(S.SPAN))
 
 
 def leet(text: Column) -> Column:
     """Whether a text reads as English once signs are letters."""
     signs = F.length(F.regexp_replace(text, "[^0134578@$!]", ""))
-    return (F.length(text) >= LEET_MIN) & (signs >= LEET_SIGNS) & (X.english_words(text) < ENGLISH_MIN) & (X.english_words(X.unleet(F.lower(text))) >= ENGLISH_MIN)
+    english = lambda t: F.size(_among(X.words_of(t), X.ENGLISH))
+    return (F.length(text) >= LEET_MIN) & (signs >= LEET_SIGNS) & (english(text) < ENGLISH_MIN) & (english(X.unleet(F.lower(text))) >= ENGLISH_MIN)
 
 
 def nato_spans(text: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Run analytics over a run log that is projected from the events table, alike in Spark and in the check SQL."""
+"""Run analytics over a run log that is projected from the events table."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from harrow.operators import runs, steps
+from harrow.plans import run_oracles
 
 #: A run for each event; the odd arithmetic gives nulls, ties and errors.
 RUNS = """
@@ -29,23 +30,33 @@ PRICING = "SELECT 'small' AS model, 0.25 AS input_per_mtok, 2.0 AS output_per_mt
 DIMENSIONS = {"scenarios": SCENARIOS, "tasks": TASKS, "pricing": PRICING}
 
 
+#: Entries of a tab that the query keeps: few enough that the tabs of the smallest tables have more.
+KEEP = 20
+
+
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(RUNS.replace("FROM events", "FROM {events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
+def dimensions(name: str) -> dict[str, str]:
+    """The tables beside the runs. For the orphans a scenario that has runs is not on the list."""
+    return DIMENSIONS | ({"scenarios": SCENARIOS.replace(" UNION ALL SELECT 's3', 20", "")} if name == "orphan_scenarios" else {})
+
+
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return runs.apply(name, runs=run_log(spark, sf_dir), **{k: spark.sql(v) for k, v in DIMENSIONS.items()})
+        return runs.apply(name, runs=run_log(spark, sf_dir), **{k: spark.sql(v) for k, v in dimensions(name).items()})
 
     return query
 
 
 def _step_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return steps.apply(name, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+        return steps.apply(name, events=spark.read.parquet(f"{sf_dir}/events.parquet"), keep=KEEP)
 
     return query
 
 
 QUERIES = {name: _query(name) for name in runs.OPERATORS} | {name: _step_query(name) for name in steps.OPERATORS}
-ORACLES = {name: runs.oracle(name, runs=RUNS, **DIMENSIONS) for name in runs.OPERATORS} | {name: steps.oracle(name) for name in steps.OPERATORS}
+#: SQL of its own wording, not that of the operators.
+ORACLES = {name: run_oracles.run_sql(name, runs=RUNS, **dimensions(name)) for name in runs.OPERATORS} | {name: run_oracles.step_sql(name, KEEP) for name in steps.OPERATORS}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.streaming import tabs
+from harrow.streaming import registers, tabs
 
 
 def source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,33 @@ def stream_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tabs.replay(spark, m, lambda x: tabs.segments(x, {"mutation-burst": 43_200_000}), "append", "segments").groupBy("tab_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _registered(spark: SparkSession, messages: DataFrame, plan: Callable[[DataFrame], DataFrame], name: str, *keys: str) -> DataFrame:
+    """The last row of each key that a stream of registers tells; the session's state store is as before."""
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting, None)
+    try:
+        return tabs.replay(spark, messages, plan, "update", name, keys)
+    finally:
+        spark.conf.set(setting, before) if before else spark.conf.unset(setting)
+
+
+def stream_standing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands for each tab and kind, by registers: rows count by their stamps, in whatever order they come."""
+    event = F.when(F.col("event_type") == "error", "load").when(F.col("event_id") % 7 == 0, "off").otherwise("found")
+    m = _of(spark, sf_dir, event.alias("event"), F.concat(F.lit("k"), (F.col("event_id") % 3).cast("string")).alias("kind"), F.floor("value").cast("string").alias("payload"))
+    return _registered(spark, m, registers.standing, "standing", "tab_id", "kind").filter("payload IS NOT NULL")
+
+
+def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The total of each tab that has one above zero, by registers."""
+    counts = F.to_json(F.create_map(F.lit("rule-1"), F.floor("value") % 3, F.lit("rule-2"), F.floor("value") % 5 - 2))
+    m = _of(spark, sf_dir, (F.col("event_id") % 4).cast("string").alias("frame_id"), counts.alias("counts"), (F.col("event_type") == "error").alias("load"))
+    return _registered(spark, m, registers.totals, "totals", "tab_id").filter("total > 0")
+
+
 QUERIES = {
+    "stream_standing": stream_standing,
+    "stream_totals": stream_totals,
     "stream_frame_totals": stream_frame_totals,
     "stream_detections": stream_detections,
     "stream_segments": stream_segments,
@@ -89,3 +115,5 @@ SELECT tab_id, 'mutation-burst' AS kind, count(*) AS n FROM r GROUP BY tab_id UN
     FROM (SELECT *, lag("at") OVER (PARTITION BY tab_id ORDER BY "at", event_id) AS before FROM ({_TRACE}))) GROUP BY tab_id, burst""",
     "stream_falling_timers": """SELECT DISTINCT key FROM (SELECT user_id % 50 AS key, CAST(floor(value) AS BIGINT) % 60 AS s, lag(CAST(floor(value) AS BIGINT) % 60) OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) AS b FROM events) WHERE s < b""",
 }
+ORACLES["stream_standing"] = ORACLES["stream_detections"]
+ORACLES["stream_totals"] = f"SELECT tab_id, total FROM ({ORACLES['stream_frame_totals']}) WHERE total > 0"

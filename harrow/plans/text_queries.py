@@ -87,6 +87,12 @@ def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", X.middle_truncate(t, 60).alias("cut"), F.sha2(X.safe_filename(t), 256).alias("name_sha256"), F.length(X.collapse_space(t)).cast("long").alias("n_collapsed"))
 
 
+def entropy_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of each document that look like keys of no known shape, and their characters."""
+    found = docs(spark, sf_dir).select("doc_id", F.explode(R.entropy_spans(F.col("text"))).alias("s"))
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("s.end") - F.col("s.start")).alias("chars"))
+
+
 _PLAIN = "please read all of the rules and then send what they have to the people of this town, for it is now the time to go"
 _INVERSE = {v: k for k, v in R.MORSE.items()}
 #: id, text and the label that is expected, null for none.
@@ -124,6 +130,7 @@ QUERIES = {
     "english_share": english_share,
     "encoded_docs": _counts(R.encoded_spans),
     "encoded_payloads": encoded_payloads,
+    "entropy_docs": entropy_docs,
     "injection_docs": injection_docs,
     "injection_turns": injection_turns,
     "scarcity_text": scarcity_text,
@@ -174,6 +181,11 @@ ORACLES = {
     "leet_candidates": f"""SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents) WHERE length(t) >= {R.LEET_MIN} AND length(regexp_replace(t, '[^0134578@$!]', '', 'g')) >= {R.LEET_SIGNS}
     AND {_ENGLISH.format('t')} < 3 AND {_ENGLISH.format("translate(lower(t), '0134578@$!', 'oieastbasi')")} >= 3 GROUP BY doc_id""",
     "english_share": f"SELECT lang, count(*) FILTER (WHERE {_ENGLISH.format('text')} >= 3) AS n_english, count(*) AS n FROM documents GROUP BY lang",
+    "entropy_docs": rf"""WITH r AS (SELECT doc_id, row_number() OVER () AS k, run FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_+=/?&.%-])([A-Za-z0-9_+=-]{{{R.WINDOW},}})', 1)) AS run FROM documents)),
+w AS (SELECT doc_id, k, i, substring(run, i + 1, {R.WINDOW}) AS x FROM (SELECT doc_id, k, run, unnest(list_distinct(list_append(range(0, len(run) - {R.WINDOW} + 1, {R.STRIDE}), len(run) - {R.WINDOW}))) AS i FROM r)),
+g AS (SELECT *, i - lag(i) OVER (PARTITION BY k ORDER BY i) AS gap FROM w WHERE len(regexp_extract_all(x, '[A-Z]')) >= {R.EACH_CLASS} AND len(regexp_extract_all(x, '[a-z]')) >= {R.EACH_CLASS} AND len(regexp_extract_all(x, '[0-9]')) >= {R.EACH_CLASS} AND list_entropy(string_split(x, '')) >= {R.BITS}),
+s AS (SELECT *, count(*) FILTER (gap IS NULL OR gap > {R.WINDOW}) OVER (PARTITION BY k ORDER BY i) AS part FROM g)
+SELECT doc_id, count(*) AS n, CAST(sum(chars) AS BIGINT) AS chars FROM (SELECT doc_id, k, part, max(i) + {R.WINDOW} - min(i) AS chars FROM s GROUP BY ALL) GROUP BY doc_id""",
     "encoded_payloads": f"SELECT id, label FROM (VALUES {_values([(i, e) for i, _, e in ENCODED])}) v(id, label)",
     "injection_docs": f"SELECT source, count(*) FILTER (WHERE {_INJECTED}) AS n_injected, count(*) AS n FROM documents GROUP BY source",
     "injection_turns": f"SELECT role, count(*) FILTER (WHERE {_INJECTED}) AS n_injected, count(*) AS n FROM conversations GROUP BY role",

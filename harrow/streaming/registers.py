@@ -186,9 +186,11 @@ class _Runs(StatefulProcessor):
         pass
 
 
-def _run(rows: DataFrame, key: str, processor: StatefulProcessor, out: str, time_mode: str = "ProcessingTime") -> DataFrame:
+def _run(rows: DataFrame, key: str, processor: StatefulProcessor, out: str, time_mode: str | None = None) -> DataFrame:
+    """Without a time to live no batch is run for the clock alone, so a stream over what is there ends."""
     use_store(rows.sparkSession)
-    return rows.groupBy(key).transformWithStateInPandas(processor, out, "Update", time_mode)
+    mode = time_mode or ("ProcessingTime" if getattr(processor, "ttl_ms", None) else "None")
+    return rows.groupBy(key).transformWithStateInPandas(processor, out, "Update", mode)
 
 
 def totals(messages: DataFrame, ttl_ms: int | None = None) -> DataFrame:

@@ -132,3 +132,72 @@ def test_denylist_edits(spark):
     assert catalog.without_page(some, "b.example.org", "/x/1") == some[:2]
     r = spark.sql("SELECT true AS e, false AS f").select(catalog.masked(F.col("e"), F.col("e")).alias("x"), catalog.masked(F.col("f"), F.col("e")).alias("y")).first()
     assert (r.x, r.y) == (True, False)
+
+
+def _nodes(spark, *bodies, url="https://shop.example.com/checkout"):
+    return html.nodes(spark.createDataFrame([(i, url, b) for i, b in enumerate(bodies, 1)], "page_id long, url string, html string"), url="url").cache()
+
+
+def test_length_gates_count_trimmed_text(spark):
+    """Indentation counts for nothing, and a label is judged by its whole length."""
+    gap = " \n" * 60
+    n = _nodes(spark, f"<span>{gap}Only 2 left{gap}</span><div>{gap}Add the protection plan{gap}</div><button>{gap}No thanks, I hate saving{gap}</button>", f"<button>No thanks, I hate saving {'very ' * 60}much</button><span>Only 2 left {'really ' * 12}</span>")
+    for rule in (page_rules.scarcity, page_rules.cart_addons, page_rules.confirmshame):
+        assert [r.page_id for r in rule(n).collect()] == [1], rule
+
+
+def test_plain_refusals_are_left_alone(spark):
+    plain = ["I don't need an account", "I do not want this", "No thanks, I already have one", "No, thank you", "Maybe later", "Skip", "Continue without an account", "Remove my item"]
+    shame = ["I don't want to save money", "I don't care about my family's safety", "No, I prefer paying full price", "I'm fine without the discount", "Yes, lose my 30 day streak", "Charge me 20% more", "Downgrade to basic", "Whatever, take my money", "Skip and lose my discount", "Maybe never", "Forfeit my XP"]
+    n = _nodes(spark, "".join(f"<button>{t}</button>" for t in plain + shame) + '<input type="submit" value="I don\'t deserve a discount"><div role="button">I\'d rather be unprotected</div>')
+    got = {r.evidence for r in page_rules.confirmshame(n).collect()}
+    assert got == {*shame, "I don't deserve a discount", "I'd rather be unprotected"}
+
+
+def test_fee_outcomes(spark):
+    rows = "<li>Socks $5.00</li><li>Shoes $40.00</li><li>Total $45.00</li>"
+    n = _nodes(
+        spark,
+        f'<div class="order-summary"><ul>{rows}<li><span>Service fee</span><b>$3.00</b></li></ul></div>',  # beside
+        f'<aside id="cart"><div><p><i>Resort fee:</i></p><p>€9</p></div>{rows}</aside>',  # beside its parent
+        "<p>Service fee $3.00</p>",  # no summary
+        f'<div class="totals">{rows}<nav><span>Service fee $3.00</span></nav></div>',  # a barrier between
+        f'<div class="cart">{rows}<p>Handling fee</p></div>',  # no amount
+        '<div class="cart"><p>Socks $5.00</p><p>Total $8.00</p></div><section class="fees"><p>Venue fee $3.00</p></section>',  # one row
+        f'<div class="cart">{rows}<p>Service fee and sales tax $3.00</p><p>Our service fee policy</p></div>',  # no fee
+        f'<table>{"<tr><td>Hat</td><td>$1</td></tr>" * 2}<tr><td>Convenience fee</td><td>£2.50</td></tr></table>',
+        f'<div class="cart">{rows}{"<div>" * 9}<p>Service fee $3.00</p></div>',  # too far up
+        f'<span id="t">Order</span><span id="u"> summary </span><p role="region" aria-labelledby="t u"><b>Service fee $3.00</b><b>Hat $4</b></p>',
+    )
+    got = {r.page_id: (r.outcome, r.evidence) for r in page_rules.fee_outcomes(n).collect()}
+    assert got == {
+        1: ("flagged", "$3.00"), 2: ("flagged", "€9"), 3: ("no-summary-ancestor", "$3.00"), 4: ("no-summary-ancestor", "$3.00"), 5: ("no-adjacent-amount", None), 6: ("single-item-cart", "$3.00"),
+        8: ("flagged", "£2.50"), 9: ("no-summary-ancestor", "$3.00"), 10: ("flagged", "$3.00"),
+    }
+    assert page_rules.fee_outcomes(_nodes(spark, "<p>Service fee $3.00</p>", url="https://shop.example.com/blog")).count() == 0
+
+
+def test_names_and_badges(spark):
+    body = """<i id=a> Norton </i><i id=b>Secured<b> seal</b></i><i id=a>other</i><img id=p aria-labelledby="a  none b"><img id=q aria-label=" own " alt=x aria-labelledby=a><svg id=r><title>DigiCert</title><title>second</title></svg>
+<img id=s alt=" " title="Secure checkout"><img id=t><div role=img id=u title="BBB Accredited business"></div><div id=v title="Norton secured"></div>"""
+    n = _nodes(spark, body)
+    of = n.filter("kind = 'element' AND tag IN ('img', 'svg', 'div')")
+    assert {r.attrs["id"]: r.name for r in page_rules.accessible_names(n, of).collect()} == {"p": "Norton Secured seal", "q": "own", "r": "DigiCert", "s": "Secure checkout", "t": None, "u": "BBB Accredited business", "v": "Norton secured"}
+    assert sorted(r.evidence for r in page_rules.trust_badges(n).collect()) == ["BBB Accredited business", "DigiCert", "Norton Secured seal", "Secure checkout"]
+    assert sorted(r.evidence for r in page_rules.trust_badges(_nodes(spark, body, url="https://www.norton.com/")).collect()) == ["BBB Accredited business", "DigiCert", "Secure checkout"]
+
+
+def test_keys_of_no_known_shape(spark):
+    from harrow.operators import text_rules as R
+
+    key = "x9Kf2LmQ7ZpT4vWc8RbN1sYd6HgJ3u"
+    cases = {
+        f"key {key} end": [(4, 34)], f"{key}": [(0, 30)], "an internationalization of counterrevolutionaries": [], "d41d8cd98f00b204e9800998ecf8427e" * 2: [], f"https://x.example/{key}": [], f"https://x.example/a?t={key}": [], "A1b" * 20: [], "": [],
+        f"{'a' * 40}{key}": [(40, 70)], "camelCaseNamesThatGoOnAndOn2Times1": [],
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "i int, t string").select("i", R.entropy_spans(F.col("t")).alias("s")).orderBy("i").collect()
+    for (text, want), r in zip(cases.items(), rows, strict=True):
+        got = [(s.start, s.end) for s in r.s]
+        assert len(got) == len(want), (text, got)
+        # A stretch is known to a window's stride at its start.
+        assert all(abs(a - c) <= R.STRIDE and b == d for (a, b), (c, d) in zip(got, want, strict=True)), (text, got)

@@ -22,6 +22,7 @@ from harrow.functions import text as X
 from harrow.functions import urls as U
 from harrow.operators import cascade as K
 from harrow.operators import dom as D
+from harrow.operators import entities as N
 from harrow.operators import selectors as S
 from harrow.operators import site_patterns as P
 from harrow.operators import text_rules as R
@@ -151,17 +152,20 @@ def _blank(value, test: Callable[[str], bool]):
     return {k: _blank(v, test) for k, v in value.items()} if isinstance(value, dict) else value
 
 
-def clean_json(text: Column) -> Column:
-    """JSON with every string value that matches an injection family blanked; null where it is no JSON. Keys stay."""
+def clean_json(text: Column, changed: bool = False) -> Column:
+    """JSON with every string value that matches an injection family, once it is decoded, blanked; null where it is no JSON, and with
+    ``changed`` where none does. Keys stay."""
     import re
 
     loose, cased = re.compile("(?i)(?:" + "|".join(R.INJECTION.values()) + ")"), re.compile("|".join(R.INJECTION_CASED.values()))
 
     def one(s: str | None) -> str | None:
         try:
-            return None if s is None else json.dumps(_blank(json.loads(s), lambda v: bool(loose.search(v) or cased.search(v))), ensure_ascii=False)
+            value = None if s is None else json.loads(s)
         except ValueError:
             return None
+        blank = _blank(value, lambda v: bool(loose.search(v) or cased.search(v)))
+        return None if s is None or (changed and blank == value) else json.dumps(blank, ensure_ascii=False)
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
@@ -177,16 +181,14 @@ def _ld_json(n: DataFrame) -> DataFrame:
 
 
 def json_ld(n: DataFrame) -> DataFrame:
-    made = _ld_json(n).filter(R.injected(F.col("json"))).withColumn("evidence", clean_json(F.col("json")))
+    made = _ld_json(n).withColumn("evidence", clean_json(F.col("json"), changed=True))
     return made.filter("evidence IS NOT NULL").select("page_id", "node_id", "pre", "end", "evidence")
 
 
 def schema_trust(n: DataFrame) -> DataFrame:
-    """Structured data that names an authority under another registrable domain than the page's."""
-    of = F.coalesce(F.get_json_object("json", "$.publisher.url"), F.get_json_object("json", "$.url"), F.get_json_object("json", "$.@id"))
-    kind = F.get_json_object("json", "$.@type")
-    j = _ld_json(n).withColumn("evidence", of).filter(kind.isin("Organization", "GovernmentOrganization", "NewsMediaOrganization", "MedicalOrganization", "CollegeOrUniversity") | F.get_json_object("json", "$.publisher.url").isNotNull())
-    return j.filter(U.registrable(U.host(F.col("evidence"))) != U.registrable(U.host(F.col("url")))).select("page_id", "node_id", "pre", "end", "evidence")
+    """Structured data that names an authority, or a person in the place of one, under another registrable domain than the page's."""
+    found = N.untrusted(N.entities(n))
+    return found.groupBy("page_id", "node_id").agg(F.min("pre").alias("pre"), F.min("end").alias("end"), F.min("claim").alias("evidence"))
 
 
 #: Colours that are nearer to each other can't be told apart: a fixed value.

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from harrow.functions import hosts as H
 from harrow.functions import urls as U
-from harrow.operators import cascade, catalog, cleaning, dom, incremental, page_rules, selectors, site_patterns, site_rules
+from harrow.operators import cascade, catalog, cleaning, dom, entities, incremental, page_rules, selectors, site_patterns, site_rules
 from harrow.session import shared_path, shared_table
 from harrow.sources import html
 
@@ -245,6 +245,16 @@ def pattern_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_patterns.match(p.select("page_id", "url"), listed).groupBy("host_pattern", "path_pattern").agg(F.count(F.lit(1)).alias("n"))
 
 
+def untrusted_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities whose claim is another site's, in the given pages with structured data about three sites put before their first paragraph."""
+    k = (F.col("page_id") % 3).cast("string")
+    graph = F.concat(F.lit('<script type="application/ld+json">{"@graph":[{"@type":"NewsMediaOrganization","name":"n","url":"https:\\/\\/press.example.'), F.get(F.array(*map(F.lit, ("com", "net", "org"))), F.col("page_id") % 3), F.lit('/"},{"@type":"Article","editor":[{"@type":"Person","@id":"https://who.example.com/'), k, F.lit('"}]}]}</script>'))
+    items = F.lit('<div itemscope itemtype="https://schema.org/Organization"><i itemprop="name">x</i><div itemprop="member" itemscope itemtype="https://schema.org/Person"><a itemprop="url" href="https://a.example.com/">a</a></div><b itemprop="url"> https://b.example.net/<i>x</i></b></div>')
+    p = pages(spark, sf_dir).withColumn("html", F.regexp_replace("html", F.lit("<article>"), F.concat(F.regexp_replace(F.concat(graph, items), F.lit(r"\\"), F.lit(r"\\\\")), F.lit("<article>"))))
+    found = entities.untrusted(entities.entities(shared_table(with_url(p), "nodes")))
+    return found.groupBy("page_id", "source", "outcome", "claim").agg(F.count(F.lit(1)).alias("n"))
+
+
 def incremental_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Advertisements and footers after all pages were judged and every third one, without its advertisement, was judged again."""
     rules, state, p = [r for r in page_rules.RULES if r.rule_id in ("ads-hide", "footer-redact")], shared_path(spark, "regions"), pages(spark, sf_dir).select("page_id", "url", "html")
@@ -268,7 +278,7 @@ QUERIES = {
     for f, n in (
         (nodes_by_tag, "page_nodes_by_tag"), (page_comments, ""), (page_titles, ""), (page_links, ""), (footer_regions, ""), (ad_regions, ""), (inline_groups, ""), (rule_counts_by_page, ""), (rule_fixture, ""), (json_ld_cleaned, ""), (outermost, ""), (innermost, ""),
         (url_parts, ""), (denylist_pages, ""), (rule_catalog, ""), (applicable_rules, ""), (roach_motel, ""), (url_recipe, ""), (roach_motel_pages, ""), (url_recipe_pages, ""), (json_ld_pages, ""), (page_trees, ""), (cleaned_groups, ""), (cleaned_fixture, ""),
-        (style_winners, ""), (hidden_by_sheets, ""), (selector_hits, ""), (site_selector_hits, ""), (pattern_matches, ""), (suffix_sites, ""), (incremental_regions, ""),
+        (style_winners, ""), (hidden_by_sheets, ""), (selector_hits, ""), (site_selector_hits, ""), (pattern_matches, ""), (suffix_sites, ""), (incremental_regions, ""), (untrusted_entities, ""),
     )
 }
 
@@ -305,6 +315,10 @@ SELECT page_id, tag, reason, CAST(n AS BIGINT) AS n FROM f WHERE tag IS NOT NULL
 sum(len(regexp_extract_all(b, '<p[ >]'))) AS paras, sum(len(regexp_extract_all(b, '<footer[ >]'))) AS footers, sum(len(regexp_extract_all(b, '<div class="ad">[^<]*</div><article'))) AS after, sum(len(regexp_extract_all(b, '<meta charset="utf-8">'))) + sum(len(regexp_extract_all(b, '<title>'))) AS heads2 FROM p)
 SELECT selector, CAST(n AS BIGINT) AS n FROM (SELECT unnest(['nav li > a', 'article b', 'div.ad', 'nav ~ article h1', 'div.ad + article', 'p:not(.ad)', 'li a[href^=''/'']', 'html > body footer', 'meta[charset=''UTF-8'' i], title']) AS selector,
 unnest([links, bolds, ads, heads, after, paras, links, footers, heads2]) AS n FROM c) WHERE n > 0""",
+    "untrusted_entities": f"""WITH p AS (SELECT page_id, array_to_string(string_split({_HOST}, '.')[-2:], '.') AS site, len(regexp_extract_all(html, '<article>')) AS k FROM pages),
+c AS (SELECT page_id, site, k, unnest([{{'source': 'json-ld', 'outcome': 'sanitize', 'claim': 'https://press.example.' || ['com', 'net', 'org'][page_id % 3 + 1] || '/', 'at': 'example.' || ['com', 'net', 'org'][page_id % 3 + 1]}},
+    {{'source': 'json-ld', 'outcome': 'annotate', 'claim': 'https://who.example.com/' || (page_id % 3), 'at': 'example.com'}}, {{'source': 'microdata', 'outcome': 'sanitize', 'claim': 'https://b.example.net/x', 'at': 'example.net'}}]) AS e FROM p WHERE k > 0)
+SELECT page_id, e.source AS source, e.outcome AS outcome, e.claim AS claim, CAST(k AS BIGINT) AS n FROM c WHERE e.at <> site""",
     "incremental_regions": """SELECT page_id, rule_id, CAST(n AS BIGINT) AS n FROM (SELECT page_id, 'footer-redact' AS rule_id, len(regexp_extract_all(html, '<footer[ >]')) AS n FROM pages UNION ALL
     SELECT page_id, 'ads-hide', len(regexp_extract_all(html, '<div class="ad">')) FROM pages WHERE page_id % 3 <> 0) WHERE n > 0""",
     "suffix_sites": f"""WITH h AS (SELECT page_id, {_HOST} AS host FROM pages), l AS (SELECT page_id, host, string_split(host, '.') AS a FROM h),

@@ -9,7 +9,7 @@ import pytest
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-MODULES = [f"harrow.plans.{m}_queries" for m in ("text", "page", "run", "trace", "stream")]
+MODULES = [f"harrow.plans.{m}_queries" for m in ("text", "page", "run", "trace", "stream", "source")]
 QUERIES = {n: q for m in MODULES for n, q in importlib.import_module(m).QUERIES.items()}
 SQL = {n: q for m in MODULES for n, q in importlib.import_module(m).ORACLES.items()}
 

@@ -1,6 +1,6 @@
 """Rules that need the URL of a page alone, and the compressed tree of a page for a model.
 
-Site tables are small and fixed, so they are joined by host, with the path as a residual test.
+Site tables are joined by host, with the path as a residual test.
 """
 
 from __future__ import annotations
@@ -25,20 +25,27 @@ VISITS = [(1, "https://www.gym.example.com/join/now"), (2, "https://gym.example.
 SIGNUP = "sign-?up|register|join|subscribe|create-account|trial"
 
 
-def roach_motel(visits: DataFrame) -> DataFrame:
-    """page_id, difficulty, source: a curated warning, else a listed host on a page for signing up."""
-    spark = visits.sparkSession
+def _listed(visits: DataFrame, given: DataFrame | None, rows: list[tuple], schema: str) -> DataFrame:
+    return visits.sparkSession.createDataFrame(rows, schema) if given is None else given
+
+
+def roach_motel(visits: DataFrame, warnings: DataFrame | None = None, deletions: DataFrame | None = None) -> DataFrame:
+    """page_id, difficulty, source: a curated warning, else a listed host on a page for signing up.
+
+    ``warnings`` (host, at, warned) and ``deletions`` (host, closing) are lists of any length, each host once; without them WARNINGS and DELETIONS count.
+    """
     v = visits.withColumns({"host": U.bare_host(F.col("url")), "path": U.path(F.col("url"))})
-    curated = spark.createDataFrame([w[:3] for w in WARNINGS], "host string, at string, warned string")
-    listed = spark.createDataFrame(DELETIONS, "host string, closing string")
-    w = v.join(F.broadcast(curated), "host", "left").withColumn("warned", F.when(F.expr("path rlike at"), F.col("warned")))
-    w = w.join(F.broadcast(listed), "host", "left").withColumn("closing", F.when(F.lower("path").rlike(f"/(?:{SIGNUP})"), F.col("closing")))
+    curated = _listed(visits, warnings, [w[:3] for w in WARNINGS], "host string, at string, warned string")
+    listed = _listed(visits, deletions, DELETIONS, "host string, closing string")
+    w = v.join(curated, "host", "left").withColumn("warned", F.when(F.expr("path rlike at"), F.col("warned")))
+    w = w.join(listed, "host", "left").withColumn("closing", F.when(F.lower("path").rlike(f"/(?:{SIGNUP})"), F.col("closing")))
     return w.filter(F.coalesce("warned", "closing").isNotNull()).select("page_id", F.coalesce("warned", "closing").alias("difficulty"), F.when(F.col("warned").isNotNull(), "curated").otherwise("list").alias("source"))
 
 
-def recipes(visits: DataFrame) -> DataFrame:
-    listed = visits.sparkSession.createDataFrame(RECIPES, "host string, recipe string")
-    return visits.withColumn("host", U.bare_host(F.col("url"))).join(F.broadcast(listed), "host").select("page_id", "recipe")
+def recipes(visits: DataFrame, given: DataFrame | None = None) -> DataFrame:
+    """page_id and recipe of pages whose host is in ``given`` (host, recipe; RECIPES without one)."""
+    listed = _listed(visits, given, RECIPES, "host string, recipe string")
+    return visits.withColumn("host", U.bare_host(F.col("url"))).join(listed, "host").select("page_id", "recipe")
 
 
 ROACH_SQL = "SELECT CAST(page_id AS BIGINT) AS page_id, difficulty, source FROM (VALUES (1, 'hard', 'curated'), (3, 'impossible', 'list'), (6, 'very-hard', 'curated')) v(page_id, difficulty, source)"

@@ -255,6 +255,33 @@ def untrusted_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("page_id", "source", "outcome", "claim").agg(F.count(F.lit(1)).alias("n"))
 
 
+def site_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warnings for the hosts of every tenth page in its English part, and for those of every tenth page but one where one signs up;
+    every second page is one for signing up."""
+    p = pages(spark, sf_dir)
+    host, lists = U.bare_host(F.col("url")), lambda k, name: p.filter(F.col("page_id") % 10 == k).select(U.bare_host(F.col("url")).alias("host")).distinct()
+    visits = p.select("page_id", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("https://www."), host, F.lit("/signup/now"))).otherwise(F.col("url")).alias("url"))
+    warned = lists(0, "warned").select("host", F.lit("^/en/").alias("at"), F.lit("hard").alias("warned"))
+    return site_rules.roach_motel(visits, warned, lists(1, "closing").select("host", F.lit("impossible").alias("closing")))
+
+
+def search_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recipes for the hosts of every fifth page."""
+    p = pages(spark, sf_dir)
+    host = U.bare_host(F.col("url"))
+    listed = p.filter("page_id % 5 = 0").select(host.alias("host")).distinct().select("host", F.concat(F.lit("https://"), F.col("host"), F.lit("/search?q={terms}")).alias("recipe"))
+    return site_rules.recipes(p.select("page_id", "url"), listed)
+
+
+def json_ld_blanked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of structured data in which every third page's says what a model must not read."""
+    said = F.when(F.col("page_id") % 3 == 0, BAD.replace("i", "\\u0069")).when(F.col("page_id") % 3 == 1, "plain name")
+    script = F.concat(F.lit('</title><script type="application/ld+json">{"name":"'), said, F.lit('","url":"u'), F.col("page_id").cast("string"), F.lit('"}</script>'))
+    p = pages(spark, sf_dir).withColumn("html", F.replace("html", F.lit("</title>"), F.coalesce(script, F.lit("</title>"))))
+    made = page_rules.json_ld(html.nodes(p))
+    return made.select("page_id", F.get_json_object("evidence", "$.name").alias("name"), F.get_json_object("evidence", "$.url").alias("url"))
+
+
 def incremental_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Advertisements and footers after all pages were judged and every third one, without its advertisement, was judged again."""
     rules, state, p = [r for r in page_rules.RULES if r.rule_id in ("ads-hide", "footer-redact")], shared_path(spark, "regions"), pages(spark, sf_dir).select("page_id", "url", "html")
@@ -278,7 +305,7 @@ QUERIES = {
     for f, n in (
         (nodes_by_tag, "page_nodes_by_tag"), (page_comments, ""), (page_titles, ""), (page_links, ""), (footer_regions, ""), (ad_regions, ""), (inline_groups, ""), (rule_counts_by_page, ""), (rule_fixture, ""), (json_ld_cleaned, ""), (outermost, ""), (innermost, ""),
         (url_parts, ""), (denylist_pages, ""), (rule_catalog, ""), (applicable_rules, ""), (roach_motel, ""), (url_recipe, ""), (roach_motel_pages, ""), (url_recipe_pages, ""), (json_ld_pages, ""), (page_trees, ""), (cleaned_groups, ""), (cleaned_fixture, ""),
-        (style_winners, ""), (hidden_by_sheets, ""), (selector_hits, ""), (site_selector_hits, ""), (pattern_matches, ""), (suffix_sites, ""), (incremental_regions, ""), (untrusted_entities, ""),
+        (style_winners, ""), (hidden_by_sheets, ""), (selector_hits, ""), (site_selector_hits, ""), (pattern_matches, ""), (suffix_sites, ""), (incremental_regions, ""), (untrusted_entities, ""), (site_warnings, ""), (search_recipes, ""), (json_ld_blanked, ""),
     )
 }
 
@@ -315,6 +342,14 @@ SELECT page_id, tag, reason, CAST(n AS BIGINT) AS n FROM f WHERE tag IS NOT NULL
 sum(len(regexp_extract_all(b, '<p[ >]'))) AS paras, sum(len(regexp_extract_all(b, '<footer[ >]'))) AS footers, sum(len(regexp_extract_all(b, '<div class="ad">[^<]*</div><article'))) AS after, sum(len(regexp_extract_all(b, '<meta charset="utf-8">'))) + sum(len(regexp_extract_all(b, '<title>'))) AS heads2 FROM p)
 SELECT selector, CAST(n AS BIGINT) AS n FROM (SELECT unnest(['nav li > a', 'article b', 'div.ad', 'nav ~ article h1', 'div.ad + article', 'p:not(.ad)', 'li a[href^=''/'']', 'html > body footer', 'meta[charset=''UTF-8'' i], title']) AS selector,
 unnest([links, bolds, ads, heads, after, paras, links, footers, heads2]) AS n FROM c) WHERE n > 0""",
+    "site_warnings": f"""WITH p AS (SELECT page_id, regexp_replace({_HOST}, '^www\\.', '') AS h, {_PATH} AS p FROM pages), w AS (SELECT DISTINCT h FROM p WHERE page_id % 10 = 0), d AS (SELECT DISTINCT h FROM p WHERE page_id % 10 = 1),
+f AS (SELECT page_id, CASE WHEN page_id % 2 = 1 AND h IN (FROM w) AND p LIKE '/en/%' THEN 'curated' WHEN page_id % 2 = 0 AND h IN (FROM d) THEN 'list' END AS source FROM p)
+SELECT page_id, CASE source WHEN 'curated' THEN 'hard' ELSE 'impossible' END AS difficulty, source FROM f WHERE source IS NOT NULL""",
+    "search_recipes": f"WITH p AS (SELECT page_id, regexp_replace({_HOST}, '^www\\.', '') AS h FROM pages) SELECT page_id, 'https://' || h || '/search?q={{terms}}' AS recipe FROM p WHERE h IN (SELECT h FROM p WHERE page_id % 5 = 0)",
+    "json_ld_blanked": "SELECT page_id, '' AS name, 'u' || page_id AS url FROM pages WHERE page_id % 3 = 0 AND html LIKE '%</title>%'",
+    "inline_groups": f"""WITH t AS (SELECT page_id, string_split_regex(regexp_replace(regexp_replace(html, '<!DOCTYPE[^>]*>|<!--.*?-->', '', 'gs'), '<(?:script|style)>.*?</(?:script|style)>', '', 'gs'), '</?(?:{'|'.join(sorted(html.BLOCK))})(?:[ /][^>]*)?>') AS parts FROM pages),
+g AS (SELECT page_id, unnest(list_filter(list_transform(parts, lambda x: replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&')), lambda x: x <> '')) AS said FROM t)
+SELECT page_id, count(*) AS n_groups, CAST(sum(length(said)) AS BIGINT) AS chars FROM g GROUP BY page_id""",
     "untrusted_entities": f"""WITH p AS (SELECT page_id, array_to_string(string_split({_HOST}, '.')[-2:], '.') AS site, len(regexp_extract_all(html, '<article>')) AS k FROM pages),
 c AS (SELECT page_id, site, k, unnest([{{'source': 'json-ld', 'outcome': 'sanitize', 'claim': 'https://press.example.' || ['com', 'net', 'org'][page_id % 3 + 1] || '/', 'at': 'example.' || ['com', 'net', 'org'][page_id % 3 + 1]}},
     {{'source': 'json-ld', 'outcome': 'annotate', 'claim': 'https://who.example.com/' || (page_id % 3), 'at': 'example.com'}}, {{'source': 'microdata', 'outcome': 'sanitize', 'claim': 'https://b.example.net/x', 'at': 'example.net'}}]) AS e FROM p WHERE k > 0)

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from harrow.llm import _memory
 from harrow.llm._components import components
 from harrow.llm._storage import Scratch
 
@@ -204,6 +205,7 @@ def sketched(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     fields = [base.schema[key], *(T.StructField(n, T.LongType()) for n in ("h1", "h2", "n")), T.StructField("sketches", T.ArrayType(T.LongType())), T.StructField("bins", T.BinaryType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _memory.enter("minhash", _HASHES.clear)
         for batch in batches:
             column, rows = batch.column(1), []
             for i in range(len(column)):
@@ -236,6 +238,7 @@ def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, seen = None, np.empty(0, np.uint64)
+        _memory.enter("minhash", _HASHES.clear)
         for batch in batches:
             x, y, good = batch.column(2), batch.column(3), []
             for i in range(len(batch)):
@@ -258,6 +261,7 @@ def _labelled_kmers(texts: DataFrame, share: int) -> DataFrame:
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("u", "class", "kmer")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _memory.enter("minhash", _HASHES.clear)
         for batch in batches:
             column, made, start, held = batch.column(2), [], 0, 0
             for i in range(len(column)):

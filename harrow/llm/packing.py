@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from harrow.llm import _memory
 from harrow.llm._storage import Scratch
 from harrow.llm._words import word_ids
 from harrow.llm.bpe import chunks
@@ -48,6 +49,7 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _memory.enter("packing", word_ids.cache_clear)
         words = word_ids(path)
         for batch in batches:
             rows: list[tuple] = []

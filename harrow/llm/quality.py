@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from harrow.llm import _memory
+
 #: Labelled documents to learn from at most, and the characters of text they may hold together.
 SAMPLE = 4_000
 SAMPLE_CHARS = 12_000_000
@@ -111,6 +113,12 @@ class Model:
 _SCORING: list[Model] = []
 
 
+def _forget() -> None:
+    for old in _SCORING:
+        old.known.clear()
+    _SCORING.clear()
+
+
 def _scoring_with(model: Model) -> Model:
     """``model``; a worker lives on and forgets the words of the model before."""
     for old in _SCORING:
@@ -190,14 +198,15 @@ def fold(key: str):
 
 
 def fill(rows: Iterable[tuple], chars: int) -> list[tuple]:
-    """Of (key, label, text), in the order given, those that fit into ``chars`` together; of a class without one, its shortest."""
+    """Of (key, label, text or its length, ...), in the order given, those that fit into ``chars`` together; of a class without one, its shortest."""
     out, room, short = [], chars, {}
+    length = lambda row: row[2] if isinstance(row[2], int) else len(row[2])
     for row in rows:
-        mark, size = row[1], len(row[2])
+        mark, size = row[1], length(row)
         if size <= room:
             out.append(row)
             room -= size
-        elif mark not in short or size < len(short[mark][2]):
+        elif mark not in short or size < length(short[mark]):
             short[mark] = row
     there = {row[1] for row in out}
     return out + [row for mark, row in sorted(short.items()) if mark not in there]
@@ -206,7 +215,8 @@ def fill(rows: Iterable[tuple], chars: int) -> list[tuple]:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Model:
     """Train on at most ``sample`` labelled documents outside the held-out fold, of ``sample_chars`` characters together.
 
-    The sample has a bound, so one task holds it; that task trains and the driver gets the model alone.
+    Which documents these are is told by ids, lengths and hashes, of which the driver sees ``sample`` at most and one; their
+    texts have a bound, so one task holds them; that task trains and the driver gets the model alone.
     """
     marked = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & (fold(key) != 0)).select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y"))
     order = [F.xxhash64("_k"), F.col("_k"), F.col("_y")]
@@ -216,18 +226,29 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     least = marked.groupBy("_y").agg(F.min(F.struct(*order[:2]))["_k"].alias("_k")).select("_k", "_y")
     chosen = chosen.unionByName(least.join(chosen.select("_y").distinct(), "_y", "left_anti"))
     # At most ``sample`` ids and one, so the join's small side has a bound.
-    got = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_t")).join(F.broadcast(chosen), "_k")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    every = docs.select(F.col(key).alias("_k"), F.length(whole).alias("_size"), F.xxhash64(whole).alias("_h"))
+    got = every.join(F.broadcast(chosen), "_k")
+    # The first of each class comes first, so that rows which share an id can't crowd out a class.
+    order = [*order, F.col("_size"), F.col("_h")]
+    got = got.withColumn("_n", F.row_number().over(Window.partitionBy("_y").orderBy(*order))).filter(F.col("_n") <= sample)
+    rows = [tuple(r) for r in got.orderBy(F.col("_n") > 1, *order).limit(sample).select("_k", "_y", "_size", "_h").collect()]
+    marks: dict[tuple, list[int]] = {}
+    for k, y, _, h in fill(rows, sample_chars):
+        marks.setdefault((k, h), []).append(y)
+    if not marks:
+        return train([], [])
+    wanted = docs.sparkSession.createDataFrame([*marks], T.StructType([T.StructField("_k", docs.schema[key].dataType), T.StructField("_h", T.LongType())]))
+    texts = docs.select(F.col(key).alias("_k"), whole.alias("_t")).withColumn("_h", F.xxhash64("_t"))
+    texts = texts.join(F.broadcast(wanted), ["_k", "_h"]).dropDuplicates(["_k", "_h"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (tuple(b.column(n)[i].as_py() for n in ("_k", "_y", "_t")) for b in batches for i in range(len(b)))
-        rows = sorted(fill(rows, sample_chars))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([t for _, _, t in rows], [y for _, y, _ in rows]))], pa.binary())], names=["model"])
+        found = [tuple(b.column(n)[i].as_py() for n in ("_k", "_h", "_t")) for b in batches for i in range(len(b))]
+        some = sorted((k, y, t) for k, h, t in found for y in marks[k, h])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([t for _, _, t in some], [y for _, y, _ in some]))], pa.binary())], names=["model"])
 
-    # The first of each class comes first, so that rows which share an id can't crowd out a class.
-    order = [*order, F.col("_t")]
-    got = got.withColumn("_n", F.row_number().over(Window.partitionBy("_y").orderBy(*order))).filter(F.col("_n") <= sample)
-    found = got.orderBy(F.col("_n") > 1, *order).limit(sample).select("_k", "_y", "_t").mapInArrow(learn, "model binary").collect()
-    return pickle.loads(bytes(found[0]["model"])) if found else train([], [])
+    found = texts.select("_k", "_h", "_t").repartition(1).mapInArrow(learn, "model binary").collect()
+    return pickle.loads(bytes(found[0]["model"]))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
@@ -236,6 +257,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _memory.enter("quality", _forget)
         own = _scoring_with(shared.value)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))

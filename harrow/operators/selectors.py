@@ -3,8 +3,8 @@
 A selector is parsed into steps (compounds joined by descendant, child, next-sibling and later-sibling combinators), and each
 step is filed under one token that a node must have to fit it: an id, else a class, an attribute's name, a tag, or none. Nodes
 are exploded into their tokens and meet the steps filed under them; the rest of the compound, :not included, is tested as a
-Column. Selectors of one step are then done. For the others, pages on which the last step was found look for the steps
-before, and steps are linked from left to right: by a running maximum over (pre, end) for descendants, and by
+Column. Of a selector the step of the rarest kind of token is looked for first. Selectors of one step are then done. For the
+others, pages on which that step was found look for the other steps, and steps are linked from left to right: by a running maximum over (pre, end) for descendants, and by
 equality for children and siblings. Nothing of the lists is in the plan, so their number is free.
 """
 
@@ -150,11 +150,16 @@ def _filed(c: Column) -> Column:
 
 
 def index(selectors: DataFrame, *scope: str) -> DataFrame:
-    """The steps of ``selectors`` (scope, selector): scope, selector, alternative, specificity, step, n_steps, link, compound, kind, token."""
+    """The steps of ``selectors`` (scope, selector): scope, selector, alternative, specificity, step, n_steps, link, compound, kind, token,
+    and first: whether a step is that of the rarest kind of token, the last of equals."""
     each = selectors.select(*scope, "selector").distinct()
     read = each.select("selector").distinct().withColumn("_p", parsed(F.col("selector"))).filter("_p IS NOT NULL")
     each = each.join(read, "selector").select(*scope, "selector", F.posexplode("_p").alias("alternative", "_a"))
-    each = each.select(*scope, "selector", "alternative", F.col("_a.specificity").alias("specificity"), F.size("_a.steps").alias("n_steps"), F.posexplode("_a.steps").alias("step", "compound"))
+    # Kinds in the order of how rare their tokens are.
+    rank = F.transform("_a.steps", lambda c, k: F.struct(F.instr(F.lit("#.[<*"), _filed(c)["kind"]).alias("kind"), (-k).alias("back")))
+    each = each.withColumn("_first", -F.array_min(rank)["back"])
+    each = each.select(*scope, "selector", "alternative", F.col("_a.specificity").alias("specificity"), F.size("_a.steps").alias("n_steps"), "_first", F.posexplode("_a.steps").alias("step", "compound"))
+    each = each.withColumn("first", F.col("step") == F.col("_first")).drop("_first")
     return each.withColumn("_t", _filed(F.col("compound"))).select(*each.columns, F.col("compound.link").alias("link"), "_t.kind", "_t.token")
 
 
@@ -218,14 +223,14 @@ def match(nodes: DataFrame, selectors: DataFrame, *scope: str) -> DataFrame:
     """
     els, steps = elements(nodes), index(selectors, *scope)
     shape = {(r.step, r.link) for r in steps.filter("n_steps > 1 AND step > 0").select("step", "link").distinct().collect()}
-    last = _probe(els, steps.filter("step = n_steps - 1"), *scope)
-    found = last.filter("n_steps = 1")
+    seen = _probe(els, steps.filter("first"), *scope)
+    found = seen.filter("n_steps = 1")
     if shape:
-        last = shared_table(last.filter("n_steps > 1"), "last")
-        live = last.select("page_id", *_SELECTOR).distinct()
-        # Earlier steps are looked for on pages that hold the last one alone.
-        first = _probe(els, steps.filter("step < n_steps - 1").join(live, [*scope, *_SELECTOR]).select("page_id", *[c for c in steps.columns if c != "page_id"]), "page_id")
-        some = shared_table(first, "steps").unionByName(last)
+        seen = shared_table(seen.filter("n_steps > 1"), "first")
+        live = seen.select("page_id", *_SELECTOR).distinct()
+        # The other steps are looked for on pages that hold the first one alone.
+        rest = _probe(els, steps.filter("NOT first").join(live, [*scope, *_SELECTOR]).select("page_id", *[c for c in steps.columns if c != "page_id"]), "page_id")
+        some = shared_table(rest, "steps").unionByName(seen)
         held = some.filter("step = 0")
         for k in range(1, 1 + max(step for step, _ in shape)):
             held = _linked(some.filter(F.col("step") == k), held.filter(F.col("n_steps") > k), {link for step, link in shape if step == k})

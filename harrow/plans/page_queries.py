@@ -282,6 +282,14 @@ def json_ld_blanked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("page_id", F.get_json_object("evidence", "$.name").alias("name"), F.get_json_object("evidence", "$.url").alias("url"))
 
 
+def visible_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of every second page's advertisements, in which a character that shows nothing was put, without it."""
+    p = pages(spark, sf_dir).withColumn("html", F.when(F.col("page_id") % 2 == 0, F.replace("html", F.lit('class="ad"'), F.lit('class="a\u200bd"'))).otherwise(F.col("html")))
+    n = html.nodes(p).filter("kind = 'element' AND size(attrs) > 0")
+    seen = n.withColumn("seen", page_rules.visible_attributes(F.col("attrs"))).filter(F.array_sort(F.map_entries("seen")) != F.array_sort(F.map_entries("attrs")))
+    return seen.groupBy("page_id", F.try_element_at("seen", F.lit("class")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def incremental_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Advertisements and footers after all pages were judged and every third one, without its advertisement, was judged again."""
     rules, state, p = [r for r in page_rules.RULES if r.rule_id in ("ads-hide", "footer-redact")], shared_path(spark, "regions"), pages(spark, sf_dir).select("page_id", "url", "html")
@@ -305,7 +313,7 @@ QUERIES = {
     for f, n in (
         (nodes_by_tag, "page_nodes_by_tag"), (page_comments, ""), (page_titles, ""), (page_links, ""), (footer_regions, ""), (ad_regions, ""), (inline_groups, ""), (rule_counts_by_page, ""), (rule_fixture, ""), (json_ld_cleaned, ""), (outermost, ""), (innermost, ""),
         (url_parts, ""), (denylist_pages, ""), (rule_catalog, ""), (applicable_rules, ""), (roach_motel, ""), (url_recipe, ""), (roach_motel_pages, ""), (url_recipe_pages, ""), (json_ld_pages, ""), (page_trees, ""), (cleaned_groups, ""), (cleaned_fixture, ""),
-        (style_winners, ""), (hidden_by_sheets, ""), (selector_hits, ""), (site_selector_hits, ""), (pattern_matches, ""), (suffix_sites, ""), (incremental_regions, ""), (untrusted_entities, ""), (site_warnings, ""), (search_recipes, ""), (json_ld_blanked, ""),
+        (style_winners, ""), (hidden_by_sheets, ""), (selector_hits, ""), (site_selector_hits, ""), (pattern_matches, ""), (suffix_sites, ""), (incremental_regions, ""), (untrusted_entities, ""), (site_warnings, ""), (search_recipes, ""), (json_ld_blanked, ""), (visible_attributes, ""),
     )
 }
 
@@ -346,6 +354,7 @@ unnest([links, bolds, ads, heads, after, paras, links, footers, heads2]) AS n FR
 f AS (SELECT page_id, CASE WHEN page_id % 2 = 1 AND h IN (FROM w) AND p LIKE '/en/%' THEN 'curated' WHEN page_id % 2 = 0 AND h IN (FROM d) THEN 'list' END AS source FROM p)
 SELECT page_id, CASE source WHEN 'curated' THEN 'hard' ELSE 'impossible' END AS difficulty, source FROM f WHERE source IS NOT NULL""",
     "search_recipes": f"WITH p AS (SELECT page_id, regexp_replace({_HOST}, '^www\\.', '') AS h FROM pages) SELECT page_id, 'https://' || h || '/search?q={{terms}}' AS recipe FROM p WHERE h IN (SELECT h FROM p WHERE page_id % 5 = 0)",
+    "visible_attributes": "SELECT page_id, 'ad' AS class, n FROM (SELECT page_id, CAST(len(regexp_extract_all(html, 'class=\"ad\"')) AS BIGINT) AS n FROM pages WHERE page_id % 2 = 0) WHERE n > 0",
     "json_ld_blanked": "SELECT page_id, '' AS name, 'u' || page_id AS url FROM pages WHERE page_id % 3 = 0 AND html LIKE '%</title>%'",
     "inline_groups": f"""WITH t AS (SELECT page_id, string_split_regex(regexp_replace(regexp_replace(html, '<!DOCTYPE[^>]*>|<!--.*?-->', '', 'gs'), '<(?:script|style)>.*?</(?:script|style)>', '', 'gs'), '</?(?:{'|'.join(sorted(html.BLOCK))})(?:[ /][^>]*)?>') AS parts FROM pages),
 g AS (SELECT page_id, unnest(list_filter(list_transform(parts, lambda x: replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&')), lambda x: x <> '')) AS said FROM t)

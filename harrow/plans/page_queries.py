@@ -323,9 +323,20 @@ _HOST = r"lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1))"
 _PATH = r"coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), ''), '/')"
 #: What the parser does not look into.
 _BARE = "regexp_replace(regexp_replace(html, '<script>.*?</script>', '<script>', 'gs'), '<!--.*?-->', '', 'gs')"
+#: The references that the pages hold. HTML reads these names without a semicolon too, as in a title that is cut off; the ampersand comes last.
+_REFERENCES = {"lt": "<", "gt": ">", "copy": "©", "middot": "·", "quot": '"', "amp": "&"}
+
+
+def _read(said: str) -> str:
+    """SQL of a text with its references read."""
+    for name, char in _REFERENCES.items():
+        said = f"regexp_replace({said}, '&{name};?', '{char}', 'g')"
+    return said
+
+
 ORACLES = {
     "page_nodes_by_tag": f"SELECT tag, count(*) AS n FROM (SELECT lower(unnest(regexp_extract_all({_BARE}, '<([a-zA-Z][a-zA-Z0-9]*)', 1))) AS tag FROM pages) GROUP BY tag",
-    "page_titles": "SELECT page_id, CAST(length(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS BIGINT) AS n_chars FROM pages WHERE html LIKE '%<title>%'",
+    "page_titles": f"SELECT page_id, CAST(length({_read("regexp_extract(html, '<title>([^<]*)</title>', 1)")}) AS BIGINT) AS n_chars FROM pages WHERE html LIKE '%<title>%'",
     "page_links": f"SELECT host, count(*) AS n FROM (SELECT {_HOST} AS host, unnest(regexp_extract_all({_BARE}, '<a href=\"/[^\"]*\"')) FROM pages) GROUP BY host",
     "cleaned_fixture": "SELECT CAST(1 AS BIGINT) AS page_id, 'Card [card hidden] end' AS text",
     "page_comments": "SELECT page_id, count(*) AS n, CAST(sum(length(c)) AS BIGINT) AS chars FROM (SELECT page_id, unnest(regexp_extract_all(html, '<!--((?s:.*?))-->', 1)) AS c FROM pages) GROUP BY page_id",

@@ -368,7 +368,7 @@ SELECT page_id, CASE source WHEN 'curated' THEN 'hard' ELSE 'impossible' END AS
     "visible_attributes": "SELECT page_id, 'ad' AS class, n FROM (SELECT page_id, CAST(len(regexp_extract_all(html, 'class=\"ad\"')) AS BIGINT) AS n FROM pages WHERE page_id % 2 = 0) WHERE n > 0",
     "json_ld_blanked": "SELECT page_id, '' AS name, 'u' || page_id AS url FROM pages WHERE page_id % 3 = 0 AND html LIKE '%</title>%'",
     "inline_groups": f"""WITH t AS (SELECT page_id, string_split_regex(regexp_replace(regexp_replace(html, '<!DOCTYPE[^>]*>|<!--.*?-->', '', 'gs'), '<(?:script|style)>.*?</(?:script|style)>', '', 'gs'), '</?(?:{'|'.join(sorted(html.BLOCK))})(?:[ /][^>]*)?>') AS parts FROM pages),
-g AS (SELECT page_id, unnest(list_filter(list_transform(parts, lambda x: replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&')), lambda x: x <> '')) AS said FROM t)
+g AS (SELECT page_id, unnest(list_filter(list_transform(parts, lambda x: {_read("regexp_replace(x, '<[^>]*>', '', 'g')")}), lambda x: x <> '')) AS said FROM t)
 SELECT page_id, count(*) AS n_groups, CAST(sum(length(said)) AS BIGINT) AS chars FROM g GROUP BY page_id""",
     "untrusted_entities": f"""WITH p AS (SELECT page_id, array_to_string(string_split({_HOST}, '.')[-2:], '.') AS site, len(regexp_extract_all(html, '<article>')) AS k FROM pages),
 c AS (SELECT page_id, site, k, unnest([{{'source': 'json-ld', 'outcome': 'sanitize', 'claim': 'https://press.example.' || ['com', 'net', 'org'][page_id % 3 + 1] || '/', 'at': 'example.' || ['com', 'net', 'org'][page_id % 3 + 1]}},

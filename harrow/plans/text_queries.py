@@ -152,6 +152,31 @@ _CARDS = rf"""list_filter(regexp_extract_all(text, '\b{R.CARD}\b'), lambda m: li
     lambda i: CASE WHEN i % 2 = 1 THEN CAST(regexp_replace(m, '[^0-9]', '', 'g')[-i] AS INT) ELSE (CAST(regexp_replace(m, '[^0-9]', '', 'g')[-i] AS INT) * 2) % 10 + CAST(regexp_replace(m, '[^0-9]', '', 'g')[-i] AS INT) // 5 END)) % 10 = 0)"""
 _SSNS = rf"regexp_extract_all(text, '\b{R.SSN}\b')"
 _PHONES = rf"regexp_extract_all(text, '(?:^|[^0-9.])({R.PHONE})(?:$|[^0-9])', 1)"
+#: A text with a mark after every character that a phone may follow, and one after every run of digits: SQL's expressions do not look around.
+_MAY, _END = "\U0010fffe", "\U0010ffff"
+_MARKED = rf"'{_MAY}' || regexp_replace(regexp_replace(text, '([^0-9.])', '\1{_MAY}', 'g'), '([0-9]+)', '\1{_END}', 'g')"
+_APART = rf"(?:[ -]{_MAY}|\.)"
+_MARKED_PHONE = rf"{_MAY}(?:(?:\+{_MAY})?1{_END}?{_APART}?)?(?:\({_MAY}[0-9]{{3}}{_END}\){_MAY}(?: {_MAY})?|[0-9]{{3}}{_END}{_APART})[0-9]{{3}}{_END}{_APART}[0-9]{{4}}{_END}"
+
+
+def _luhn(m: str) -> str:
+    d = f"regexp_replace({m}, '[^0-9]', '', 'g')"
+    return f"list_sum(list_transform(range(1, len({d}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST({d}[-i] AS INT) ELSE (CAST({d}[-i] AS INT) * 2) % 10 + CAST({d}[-i] AS INT) // 5 END)) % 10 = 0"
+
+
+def _placed(text: str, pattern: str, label: str) -> str:
+    """SQL of the places of a pattern: what lies before the k-th match is k gaps and k - 1 matches, marks apart."""
+    found, gaps = f"regexp_extract_all({text}, '{pattern}')", f"string_split_regex({text}, '{pattern}')"
+    chars = lambda x: f"length(regexp_replace({x}, '[{_MAY}{_END}]', '', 'g'))"
+    start = f"{chars(f"array_to_string({gaps}[:k], '')")} + {chars(f"array_to_string({found}[:k - 1], '')")}"
+    return f"list_transform(range(1, len({found}) + 1), lambda k: {{'start': {start}, 'back': -({start} + {chars(f'{found}[k]')}), 'label': '{label}', 'said': {found}[k]}})"
+
+
+#: All spans by start, the longest first; one that begins before the last one ends is left out.
+_MASKED = f"""WITH p AS (SELECT doc_id, text, list_concat(list_filter({_placed('text', rf'\b{R.CARD}\b', '[card hidden]')}, lambda c: {_luhn('c.said')}), {_placed('text', rf'\b{R.SSN}\b', '[ssn hidden]')}, {_placed(f'({_MARKED})', _MARKED_PHONE, '[phone hidden]')}) AS spans FROM documents),
+r AS (SELECT doc_id, text, list_reduce(list_prepend({{'start': CAST(0 AS BIGINT), 'back': CAST(0 AS BIGINT), 'label': '', 'said': ''}}, list_sort(spans)),
+    lambda a, x: CASE WHEN x.start >= -a.back THEN {{'start': x.start, 'back': x.back, 'label': '', 'said': a.said || substring(text, 1 - a.back, x.start + a.back) || x.label}} ELSE a END) AS last FROM p)
+SELECT doc_id, sha256(last.said || substring(text, 1 - last.back)) AS masked_sha256 FROM r"""
 _FOUND = f"SELECT doc_id, lang, text, {_CARDS} AS cards, {_SSNS} AS ssns, {_PHONES} AS phones FROM documents"
 _ENGLISH = "len(list_filter(list_distinct(regexp_extract_all(lower({0}), '[a-z]+')), lambda w: list_contains([" + ", ".join(map(_lit, X.ENGLISH)) + "], w)))"
 _INJECTED = f"(regexp_matches(text, {_lit('(?i)(?:' + '|'.join(R.INJECTION.values()) + ')')}) OR regexp_matches(text, {_lit('|'.join(R.INJECTION_CASED.values()))}))"
@@ -169,8 +194,7 @@ ORACLES = {
     "pii_card_counts": _count_sql("cards"),
     "pii_ssn_counts": _count_sql("ssns"),
     "pii_phone_counts": _count_sql("phones"),
-    "pii_masked_text": f"""SELECT doc_id, sha256(list_reduce(phones, lambda a, m: replace(a, m, '[phone hidden]'), list_reduce(ssns, lambda a, m: replace(a, m, '[ssn hidden]'),
-    list_reduce(cards, lambda a, m: replace(a, m, '[card hidden]'), text)))) AS masked_sha256 FROM ({_FOUND})""",
+    "pii_masked_text": _MASKED,
     "secrets_by_kind": " UNION ALL ".join(f"SELECT {_lit(k)} AS kind, count(*) AS n_docs FROM documents WHERE regexp_matches(text, {_lit(p)}) HAVING count(*) > 0" for k, p in R.SECRETS.items()),
     "ipv4_counts": r"SELECT lang, CAST(sum(len(regexp_extract_all(text, '\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b'))) AS BIGINT) AS n FROM documents GROUP BY lang",
     "unicode_strip": f"SELECT doc_id, length(regexp_replace(text, '{X.INVISIBLE_CLASS}', '', 'g')) AS n_chars FROM documents",

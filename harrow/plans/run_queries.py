@@ -30,10 +30,6 @@ PRICING = "SELECT 'small' AS model, 0.25 AS input_per_mtok, 2.0 AS output_per_mt
 DIMENSIONS = {"scenarios": SCENARIOS, "tasks": TASKS, "pricing": PRICING}
 
 
-#: Entries of a tab that the query keeps: few enough that the tabs of the smallest tables have more.
-KEEP = 20
-
-
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(RUNS.replace("FROM events", "FROM {events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
 
@@ -52,11 +48,11 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def _step_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return steps.apply(name, events=spark.read.parquet(f"{sf_dir}/events.parquet"), keep=KEEP)
+        return steps.apply(name, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
 
     return query
 
 
 QUERIES = {name: _query(name) for name in runs.OPERATORS} | {name: _step_query(name) for name in steps.OPERATORS}
 #: SQL of its own wording, not that of the operators.
-ORACLES = {name: run_oracles.run_sql(name, runs=RUNS, **dimensions(name)) for name in runs.OPERATORS} | {name: run_oracles.step_sql(name, KEEP) for name in steps.OPERATORS}
+ORACLES = {name: run_oracles.run_sql(name, runs=RUNS, **dimensions(name)) for name in runs.OPERATORS} | {name: run_oracles.step_sql(name, steps.KEEP) for name in steps.OPERATORS}

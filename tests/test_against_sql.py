@@ -45,3 +45,11 @@ def test_mask_of_a_card_of_single_digits(spark):
 
     docs = spark.createDataFrame([("4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1 end",)], "text string")
     assert text_rules.mask(docs).first()["masked"] == "[card hidden] end"
+
+
+def test_the_store_keeps_its_own_number_of_entries(spark, tmp_path):
+    from datetime import datetime
+
+    events = [(i, 40, "view", 1.0, datetime(2024, 1, 1)) for i in range(2005)]
+    got, sql = both(spark, tmp_path, "trace_prune", "events", events, "event_id long, user_id long, event_type string, value double, ts timestamp")
+    assert got == sql and len(got) == 2000 and min(got) == (0, 5)

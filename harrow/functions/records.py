@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from harrow.functions import spans as S
+from harrow.functions import text as X
 
 #: Names under which logs hold usage, and providers report counts: fixed values, the first that is there counts.
 USAGE = ("usage", "token_usage", "tokenUsage")
@@ -53,22 +54,27 @@ def usage(body: Column | str) -> Column:
     zero; an object without either counts for nothing.
     """
     body = F.col(body) if isinstance(body, str) else body
-    strings = lambda c: F.from_json(c, "map<string,string>")
-
-    def counted(block: Column) -> Column:
-        own = F.map_entries(strings(block))
-        inner = F.flatten(F.transform(F.filter(F.map_values(strings(block)), lambda v: F.startswith(v, F.lit("{"))), lambda v: F.coalesce(F.map_entries(strings(v)), F.array().cast("array<struct<key:string,value:string>>"))))
-        pick = lambda entries, names: F.coalesce(*[F.get(F.filter(entries, _named(n)), F.lit(0))["value"].try_cast("double").try_cast("long") for n in names])
-        i, o = (pick(F.filter(own, lambda e: e["value"].try_cast("double") > 0), names) for names in (INPUT, OUTPUT))
-        known = i.isNotNull() | o.isNotNull()
-        i, o = F.coalesce(i, F.lit(0)), F.coalesce(o, F.lit(0))
-        more = [pick(F.concat(own, inner), names) for names in (CACHED, CREATED, REASONED)]
-        values = [i, o, i + o, *more]
-        return F.struct(*[F.when(known, v).cast("long").alias(f) for f, v in zip(FIELDS, values, strict=True)])
-
-    found = F.when(F.try_parse_json(body).isNotNull(), _block(body))
+    entries = lambda c: F.map_entries(F.from_json(c, "map<string,string>"))
+    # Entries of the names that count, with their numbers.
+    numbers = lambda found, names: F.transform(F.filter(found, lambda e: e["key"].isin(*names)), lambda e: F.struct(e["key"].alias("key"), e["value"].try_cast("double").alias("n")))
+    pick = lambda found, names: F.coalesce(*[F.get(F.filter(found, _named(n)), F.lit(0))["n"].try_cast("long") for n in names])
+
+    def placed(own: Column) -> Column:
+        inner = F.flatten(F.transform(F.filter(own, lambda e: F.startswith(e["value"], F.lit("{"))), lambda e: F.coalesce(entries(e["value"]), F.array().cast("array<struct<key:string,value:string>>"))))
+        return F.struct(F.filter(numbers(own, INPUT + OUTPUT), lambda e: e["n"] > 0).alias("io"), numbers(F.concat(own, inner), CACHED + CREATED + REASONED).alias("more"))
+
+    def picked(x: Column) -> Column:
+        return F.struct(pick(x["io"], INPUT).alias("i"), pick(x["io"], OUTPUT).alias("o"), *[pick(x["more"], names).alias(f) for f, names in zip(FIELDS[3:], (CACHED, CREATED, REASONED), strict=True)])
+
+    def counted(x: Column) -> Column:
+        i, o = F.coalesce(x["i"], F.lit(0)), F.coalesce(x["o"], F.lit(0))
+        values = [i, o, i + o, *[x[f] for f in FIELDS[3:]]]
+        return F.when(x["i"].isNotNull() | x["o"].isNotNull(), F.struct(*[v.cast("long").alias(f) for f, v in zip(FIELDS, values, strict=True)]))
+
     none = F.struct(*[F.lit(None).cast("long").alias(f) for f in FIELDS])
-    return F.coalesce(F.get(F.transform(F.array(found), lambda b: F.when(b.isNotNull(), counted(b))), F.lit(0)), none)
+    # Each step is computed once, however often the next one names it.
+    block = X.once(body, lambda text: F.when(F.try_parse_json(text).isNotNull(), _block(text)))
+    return F.coalesce(X.once(block, lambda b: F.when(b.isNotNull(), X.once(X.once(X.once(entries(b), placed), picked), counted))), none)
 
 
 #: Lines of a diff that are shown.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -30,6 +31,11 @@ INVISIBLE = (
 INVISIBLE_CLASS = "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in INVISIBLE) + "]"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def luhn(digits: Column) -> Column:
     """Whether digits have the check digit of a payment card."""
     each = F.filter(F.split(F.reverse(digits), ""), lambda d: d != "")

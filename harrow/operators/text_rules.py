@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -190,11 +189,6 @@ def _plain_words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, X.UPPER, X.LOWER), F.lit("[a-z]+"), F.lit(0))
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once, however often ``use`` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def cipher_of(text: Column) -> Column:
     """The first of rot13, atbash and reversed that turns a text that is not English into English; null for none."""
 
@@ -205,13 +199,13 @@ def cipher_of(text: Column) -> Column:
         return out
 
     # The words are found once, for all four looks.
-    return F.when(F.length(text) >= CIPHER_MIN, _once(_among(X.words_of(text), X.ENGLISH, *CIPHERS.values()), of))
+    return F.when(F.length(text) >= CIPHER_MIN, X.once(_among(X.words_of(text), X.ENGLISH, *CIPHERS.values()), of))
 
 
 def cipher_spans(text: Column) -> Column:
     """Runs of letters, white space and marks that are in a cipher. A text that has too few words of each cipher has no such run."""
     enough = lambda words: reduce(lambda a, b: a | b, [X.how_many(words, said) >= ENGLISH_MIN for said in CIPHERS.values()])
-    some = (F.length(text) >= CIPHER_MIN) & _once(_among(_plain_words(text), *CIPHERS.values()), enough)
+    some = (F.length(text) >= CIPHER_MIN) & X.once(_among(_plain_words(text), *CIPHERS.values()), enough)
     found = S.find(text, r"""[A-Za-z](?:[\s.,'"!?:;-]*+[A-Za-z]++)*+""", "[encoded payload hidden]", lambda run: cipher_of(run).isNotNull())
     return F.when(some, found).otherwise(F.array().cast(S.SPAN))
 

@@ -30,7 +30,18 @@ def use_store(spark: SparkSession) -> None:
 
 
 def _ms(times: pd.Series) -> list[int]:
-    return [int(t.timestamp() * 1000 + 0.5) for t in times]
+    micros = pd.to_datetime(times, utc=True).dt.tz_localize(None).to_numpy("datetime64[us]").astype("int64")
+    return ((micros + 500) // 1000).tolist()
+
+
+def _latest(frame: pd.DataFrame, key: str, loads: pd.Series) -> tuple[tuple | None, pd.DataFrame]:
+    """The stamp of the latest load of a chunk and, of its other rows, the latest of each key, the first of equal ones: no other row
+    can change what stands, so the state is asked once for each key of a chunk."""
+    f = frame.assign(_at=_ms(frame["at"])).sort_values(["_at", "place"], ascending=False, kind="stable")
+    loads = loads.reindex(f.index)
+    ended = f[loads]
+    stamp = (int(ended["_at"].iloc[0]), int(ended["place"].iloc[0])) if len(ended) else None
+    return stamp, f[~loads].drop_duplicates(key)
 
 
 class _Registers(StatefulProcessor):
@@ -79,12 +90,12 @@ class _Totals(_Registers):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         for frame in rows:
-            for at, place, id_, counts, load in zip(_ms(frame["at"]), frame["place"], frame["frame_id"], frame["counts"], frame["load"], strict=True):
-                if load:
-                    self.load_at((at, int(place)))
-                else:
-                    said = json.loads(counts or "{}").values()
-                    self.set_(str(id_), (at, int(place)), sum(int(v) for v in said if isinstance(v, (int, float)) and not isinstance(v, bool) and 0 < v < math.inf))
+            loaded, last = _latest(frame, "frame_id", frame["load"].map(bool))
+            if loaded:
+                self.load_at(loaded)
+            for at, place, id_, counts in zip(last["_at"], last["place"], last["frame_id"], last["counts"], strict=True):
+                said = json.loads(counts or "{}").values()
+                self.set_(str(id_), (int(at), int(place)), sum(int(v) for v in said if isinstance(v, (int, float)) and not isinstance(v, bool) and 0 < v < math.inf))
         total = sum(v[2] for v in list(self.held.values()))
         before = self.told.get()[0] if self.told.exists() else 0
         if total != before:
@@ -98,11 +109,11 @@ class _Standing(_Registers):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         changed: dict[str, str | None] = {}
         for frame in rows:
-            for at, place, event, kind, payload in zip(_ms(frame["at"]), frame["place"], frame["event"], frame["kind"], frame["payload"], strict=True):
-                stamp = (at, int(place))
-                if event == "load":
-                    changed |= dict.fromkeys((k for k, _ in self.load_at(stamp)), None)
-                elif self.set_(kind, stamp, payload if event == "found" else None):
+            loaded, last = _latest(frame, "kind", frame["event"] == "load")
+            if loaded:
+                changed |= dict.fromkeys((k for k, _ in self.load_at(loaded)), None)
+            for at, place, event, kind, payload in zip(last["_at"], last["place"], last["event"], last["kind"], last["payload"], strict=True):
+                if self.set_(kind, (int(at), int(place)), payload if event == "found" else None):
                     changed[kind] = payload if event == "found" else None
         if changed:
             yield pd.DataFrame({"tab_id": key[0], "kind": list(changed), "payload": list(changed.values())})

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from harrow.functions import text as X
 from harrow.functions import urls as U
 from harrow.operators import dom as D
+from harrow.session import shared_table
 
 #: host, path pattern, difficulty, notes: sites that are hard to leave; made-up names.
 WARNINGS = [("gym.example.com", "^/join", "hard", "Cancel by letter"), ("paper.example.org", "^/", "very-hard", "Cancel by phone")]
@@ -82,6 +83,7 @@ def contracted(nodes: DataFrame) -> DataFrame:
     # The next node that is no bare wrapper lies within a wrapper that has anything in it.
     n = n.withColumn("_bare", bare).withColumn("_next", F.min(F.when(~F.col("_bare"), F.col("pre"))).over(w.orderBy("pre").rowsBetween(0, Window.unboundedFollowing)))
     n = n.filter(~F.col("_bare") | (F.col("_next") <= F.col("end")))
+    n = shared_table(n.select("page_id", "node_id", "parent_id", "pre", "end", "kind", "tag", "attrs", "said", "kept", "_bare"), "unwrapped")
     below = n.groupBy("page_id", F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("_below"), F.count_if(F.col("kind") == "text").alias("_texts"))
     n = n.join(below, ["page_id", "node_id"], "left").filter(~F.col("_bare") | (F.col("_below") > 1) | (F.col("_texts") > 0))
     heading = nodes.filter(element & F.col("tag").isin("h1", "h2", "h3")).select("page_id", "parent_id")
@@ -89,8 +91,9 @@ def contracted(nodes: DataFrame) -> DataFrame:
     heads = heading.join(parents, ["page_id", "parent_id"]).select("page_id", F.explode(F.array_distinct(F.array("parent_id", "_above"))).alias("node_id")).filter("node_id IS NOT NULL").distinct().withColumn("_head", F.lit(True))
     usable = D.attr("disabled").isNull() & D.attr("readonly").isNull() & (F.col("tag").isin(*USABLE_TAGS) | D.attr("tabindex").isNotNull() | D.attr("contenteditable").isNotNull() | F.coalesce(D.attr("role").isin(*USABLE_ROLES), F.lit(False)))
     n = n.join(heads, ["page_id", "node_id"], "left").withColumn("ref", element & F.coalesce(usable | F.col("tag").isin(*CONTAINERS) | F.col("_head"), F.lit(False)))
+    # Depth and parent read the shown nodes several times, so they are made once, with what they need of them.
+    n = shared_table(n.select("page_id", "node_id", "pre", "end", "kind", "tag", "kept", "said", "ref"), "shown")
     shown = n.filter(element)
-    n = n.drop("depth")
     # How many shown elements lie around a node: what began before it, less what ended.
     begin, end = shown.select("page_id", (F.col("pre") + 1).alias("_at"), F.lit(1).alias("_d")), shown.select("page_id", (F.col("end") + 1).alias("_at"), F.lit(-1).alias("_d"))
     place = n.select("page_id", F.col("pre").alias("_at"), F.lit(0).alias("_d"), "node_id").unionByName(begin.unionByName(end), allowMissingColumns=True)

@@ -167,7 +167,8 @@ def json_ld_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return site_rules.page_trees(html.nodes(pages(spark, sf_dir)))
+    # The tree reads the nodes several times, so the pages are parsed once.
+    return site_rules.page_trees(shared_table(html.nodes(pages(spark, sf_dir)), "nodes"))
 
 
 def cleaned_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,7 +222,7 @@ def selector_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("id").cast("string")
     made = F.when(F.col("id") % 3 == 0, F.concat(F.lit(".banner-"), k)).when(F.col("id") % 3 == 1, F.concat(F.lit("#slot-"), k, F.lit(" > a"))).otherwise(F.concat(F.lit("div[data-ad='"), k, F.lit("'] p")))
     listed = spark.createDataFrame([(s,) for s in SELECTORS], "selector string").unionByName(spark.range(FILLERS).select(made.alias("selector")))
-    return selectors.match(html.nodes(pages(spark, sf_dir)), listed).groupBy("selector").agg(F.count(F.lit(1)).alias("n"))
+    return selectors.match(shared_table(html.nodes(pages(spark, sf_dir)), "nodes"), listed).groupBy("selector").agg(F.count(F.lit(1)).alias("n"))
 
 
 #: Rules of sites over the hosts of the pages.

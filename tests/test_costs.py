@@ -83,3 +83,20 @@ def test_registers_ask_the_state_once_for_each_key_of_a_chunk(kind):
         assert got.to_dict("records") == [{"tab_id": 7, "total": 6}]
     else:
         assert dict(zip(got["kind"], got["payload"], strict=True)) == {"k0": "498", "k1": "499", "k2": "497"}
+
+
+def test_a_tree_does_not_parse_its_pages_again(spark):
+    from harrow.plans import page_queries
+
+    plan = page_queries.page_trees(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan
+
+
+def test_elements_are_not_sorted_with_what_they_hold(spark):
+    from harrow.operators import selectors
+    from harrow.sources import html
+
+    nodes = html.nodes(spark.createDataFrame([(1, "<p class=a>x")], "page_id long, html string"))
+    els, steps = selectors.elements(nodes), selectors.index(spark.createDataFrame([("p.a",)], "selector string"))
+    said = lambda df: df._jdf.queryExecution().analyzed().toString()
+    assert "Window" not in said(els) and "broadcast" in said(selectors._probe(els, steps))

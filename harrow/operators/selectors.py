@@ -169,7 +169,7 @@ def unread(selectors: DataFrame) -> DataFrame:
 
 
 def elements(nodes: DataFrame) -> DataFrame:
-    """Elements with classes, their tokens and prev_id, the element before them under the same parent."""
+    """Elements with classes and their tokens."""
     attrs = F.coalesce(F.col("attrs"), F.create_map().cast("map<string,string>"))
     classes = F.array_distinct(F.filter(F.split(F.coalesce(F.try_element_at(attrs, F.lit("class")), F.lit("")), r"\s+"), lambda c: c != ""))
     token = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("token"))
@@ -177,19 +177,25 @@ def elements(nodes: DataFrame) -> DataFrame:
         F.transform(F.col("classes"), lambda c: token(".", c)), F.transform(F.map_keys("attrs"), lambda k: token("[", k)),
         F.array_compact(F.array(F.when(F.try_element_at("attrs", F.lit("id")).isNotNull(), token("#", F.try_element_at("attrs", F.lit("id")))))), F.array(token("<", F.col("tag")), token("*", F.lit(""))),
     )
-    before = F.lag("node_id").over(Window.partitionBy("page_id", "parent_id").orderBy("pre"))
-    out = nodes.filter("kind = 'element'").select("page_id", "node_id", "parent_id", "pre", "end", "tag", attrs.alias("attrs"), before.alias("prev_id"))
+    out = nodes.filter("kind = 'element'").select("page_id", "node_id", "parent_id", "pre", "end", "tag", attrs.alias("attrs"))
     return out.withColumn("classes", classes).withColumn("tokens", tokens)
 
 
-_NODE = ("page_id", "node_id", "parent_id", "prev_id", "pre", "end")
+def before(nodes: DataFrame) -> DataFrame:
+    """page_id, node_id and prev_id, the element before it under the same parent: sorted without what elements hold."""
+    last = F.lag("node_id").over(Window.partitionBy("page_id", "parent_id").orderBy("pre"))
+    return nodes.filter("kind = 'element'").select("page_id", "node_id", last.alias("prev_id"))
+
+
+_NODE = ("page_id", "node_id", "parent_id", "pre", "end")
 _SELECTOR = ("selector", "alternative")
 
 
 def _probe(nodes: DataFrame, steps: DataFrame, *scope: str) -> DataFrame:
-    """Nodes that fit steps, found by their tokens."""
+    """Nodes that fit steps, found by their tokens. Steps of no page are a list, which goes to the nodes: a frequent tag is no key
+    that all its nodes are sent to."""
     each = nodes.withColumn("_t", F.explode("tokens")).select(*_NODE, "tag", "attrs", "classes", "_t.kind", "_t.token")
-    met = each.join(steps, [*scope, "kind", "token"])
+    met = each.join(steps if scope else F.broadcast(steps), [*scope, "kind", "token"])
     return met.filter(fits(F.col("compound"), F.col("tag"), F.col("attrs"), F.col("classes"))).select(*_NODE, *_SELECTOR, "specificity", "step", "n_steps", "link")
 
 
@@ -197,10 +203,10 @@ def _linked(candidates: DataFrame, holders: DataFrame, links: set[str]) -> DataF
     """Candidates that stand to a holder of the same page and selector as their link asks."""
     both = holders.withColumn("_holds", F.lit(True)).unionByName(candidates.withColumn("_holds", F.lit(False)))
     by, holds = ("page_id", *_SELECTOR), F.col("_holds")
-    before = lambda w: w.orderBy("pre").rangeBetween(Window.unboundedPreceding, -1)
+    earlier = lambda w: w.orderBy("pre").rangeBetween(Window.unboundedPreceding, -1)
     tests = {}
     if " " in links:
-        tests[" "] = F.max(F.when(holds, F.col("end"))).over(before(Window.partitionBy(*by))) >= F.col("pre")
+        tests[" "] = F.max(F.when(holds, F.col("end"))).over(earlier(Window.partitionBy(*by))) >= F.col("pre")
     if ">" in links:
         tests[">"] = F.max(holds).over(Window.partitionBy(*by, "_up")) & F.col("parent_id").isNotNull()
         both = both.withColumn("_up", F.when(holds, F.col("node_id")).otherwise(F.col("parent_id")))
@@ -208,7 +214,7 @@ def _linked(candidates: DataFrame, holders: DataFrame, links: set[str]) -> DataF
         tests["+"] = F.max(holds).over(Window.partitionBy(*by, "_left")) & F.col("prev_id").isNotNull()
         both = both.withColumn("_left", F.when(holds, F.col("node_id")).otherwise(F.col("prev_id")))
     if "~" in links:
-        tests["~"] = F.max(holds).over(before(Window.partitionBy(*by, "parent_id")))
+        tests["~"] = F.max(holds).over(earlier(Window.partitionBy(*by, "parent_id")))
     for n, (link, test) in enumerate(tests.items()):
         both = both.withColumn(f"_ok{n}", (F.col("link") == link) & test)
     ok = reduce(lambda a, b: a | b, [F.coalesce(F.col(f"_ok{n}"), F.lit(False)) for n in range(len(tests))])
@@ -231,8 +237,10 @@ def match(nodes: DataFrame, selectors: DataFrame, *scope: str) -> DataFrame:
         # The other steps are looked for on pages that hold the first one alone.
         rest = _probe(els, steps.filter("NOT first").join(live, [*scope, *_SELECTOR]).select("page_id", *[c for c in steps.columns if c != "page_id"]), "page_id")
         some = shared_table(rest, "steps").unionByName(seen)
+        beside = any(link == "+" for _, link in shape)
+        some = some.join(before(nodes), ["page_id", "node_id"], "left") if beside else some.withColumn("prev_id", F.lit(None).cast("int"))
         held = some.filter("step = 0")
         for k in range(1, 1 + max(step for step, _ in shape)):
             held = _linked(some.filter(F.col("step") == k), held.filter(F.col("n_steps") > k), {link for step, link in shape if step == k})
-            found = found.unionByName(held.filter(F.col("n_steps") == k + 1))
+            found = found.unionByName(held.filter(F.col("n_steps") == k + 1).drop("prev_id"))
     return found.groupBy("page_id", "node_id", "selector").agg(F.min("pre").alias("pre"), F.min("end").alias("end"), F.max("specificity").alias("specificity"))

@@ -54,7 +54,8 @@ def registrable(host_: Column) -> Column:
 
 
 def is_checkout(url: Column) -> Column:
-    return F.coalesce(F.lower(path(url)).rlike(f"^/(?:{CHECKOUT})(?:/.*)?$"), F.lit(False))
+    # Only a URL that names such a folder is taken apart.
+    return F.coalesce(F.when(F.lower(url).rlike(f"/(?:{CHECKOUT})"), F.lower(path(url)).rlike(f"^/(?:{CHECKOUT})(?:/.*)?$")), F.lit(False))
 
 
 def is_content(url: Column) -> Column:

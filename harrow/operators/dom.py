@@ -46,12 +46,15 @@ def nearest(found: DataFrame, holders: DataFrame, name: str, payload: Column, st
     others, the last that began is the one around a node, as intervals of a tree never cross. So it takes two sorts for each
     page and no row for each pair of node and ancestor. Each holder must be given once.
     """
-    both = _beside(found, holders, by, F.struct(payload.alias("v"))).withColumn("_d", F.lit(0))
-    none = [F.lit(None).cast(both.schema[c].dataType).alias(c) for c in ("_f", "_h")]
-    begin = holders.select(*by, (F.col("pre") + int(strict)).alias("_at"), *none, F.lit(1).alias("_d"))
-    end = holders.select(*by, (F.col("end") + 1).alias("_at"), *none, F.lit(-1).alias("_d"))
+    f = found.select(*by, F.col("pre").alias("_at"), F.struct(*[F.col(f"`{c}`") for c in found.columns]).alias("_f"), F.lit(0).alias("_d"))
+    h = holders.select(*by, "pre", "end", F.struct(payload.alias("v")).alias("_v"))
+    # A holder is made once: a row of its own, one where it begins, which is the same unless ``strict``, and one behind its end.
+    row = lambda at, held, d: F.struct(at.alias("_at"), (F.col("_v") if held else F.lit(None).cast(h.schema["_v"].dataType)).alias("_h"), F.lit(d).alias("_d"))
+    rows = [row(F.col("pre"), True, int(not strict)), row(F.col("end") + 1, False, -1), *([row(F.col("pre") + 1, False, 1)] if strict else [])]
+    h = h.select(*by, F.explode(F.array(*rows)).alias("_r")).select(*by, "_r.*")
+    both = f.withColumn("_h", F.lit(None).cast(h.schema["_h"].dataType)).unionByName(h.withColumn("_f", F.lit(None).cast(f.schema["_f"].dataType)))
     around = F.sum("_d").over(Window.partitionBy(*by).orderBy("_at").rangeBetween(Window.unboundedPreceding, 0))
-    placed = both.unionByName(begin).unionByName(end).withColumn("_around", around).filter("_f IS NOT NULL OR _h IS NOT NULL")
+    placed = both.withColumn("_around", around).filter("_f IS NOT NULL OR _h IS NOT NULL")
     level = F.when(F.col("_h").isNotNull() & F.lit(strict), F.col("_around")).otherwise(F.col("_around") - 1)
     last = Window.partitionBy(*by, "_level").orderBy("_at").rangeBetween(Window.unboundedPreceding, -1 if strict else 0)
     held = placed.withColumn("_level", level).withColumn("_held", F.last("_h", ignorenulls=True).over(last)).filter("_f IS NOT NULL")
@@ -142,6 +145,20 @@ def selector(text: str) -> Column:
     return F.coalesce(reduce(lambda a, b: a | b, [simple(s) for s in text.split(",")]), F.lit(False))
 
 
+def asked_attributes(text: str) -> list[str]:
+    """Attributes of which a node that ``selector`` names has at least one; empty if an alternative asks for none."""
+    import re
+
+    out = set()
+    for one in text.split(","):
+        bare = re.sub(r"\[[^\]]*\]", "", one)
+        asked = {name for mark, name in (("#", "id"), (".", "class")) if mark in bare} | set(re.findall(r"\[([\w-]+)", one))
+        if not asked:
+            return []
+        out |= asked
+    return sorted(out)
+
+
 def select(nodes: DataFrame, text: str) -> DataFrame:
     """Nodes that a list of selectors names, with descendant ("a b") and child ("a > b") combinators."""
     import re

@@ -73,7 +73,8 @@ def style(name: str) -> Column:
 
 def personal_data(n: DataFrame) -> DataFrame:
     g = D.inline_groups(n, 9)
-    g = g.withColumn("s", F.explode_outer(R.personal_spans(F.col("text")))).filter("s IS NOT NULL")
+    # The shortest span has nine digits, no more than three characters apart.
+    g = g.filter(F.col("text").rlike("(?:[0-9][^0-9]{0,3}){9}")).withColumn("s", F.explode_outer(R.personal_spans(F.col("text")))).filter("s IS NOT NULL")
     # The node in which the span begins.
     seek = F.aggregate("parts", F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("node_id"), F.lit(None).cast("int").alias("pre")), lambda a, p: F.struct((a["at"] + F.length(p["text"])).alias("at"), F.when(a["at"] <= F.col("s.start"), p["node_id"]).otherwise(a["node_id"]).alias("node_id"), F.when(a["at"] <= F.col("s.start"), p["pre"]).otherwise(a["pre"]).alias("pre")))
     g = g.withColumn("_n", seek)
@@ -87,12 +88,13 @@ def secrets():
 
 @local()
 def encoded():
-    return ((F.col("kind") == "text") & ~F.col("in_non_content") & (F.length("text") >= 40) & (F.size(R.encoded_spans(F.col("text"))) > 0), "encoded")
+    return ((F.col("kind") == "text") & ~F.col("in_non_content") & (F.length("text") >= 40) & R.any_encoded(F.col("text")), "encoded")
 
 
 @local()
 def invisible():
-    seen = lambda s: s.rlike(X.INVISIBLE_CLASS)
+    # None of these characters is ASCII.
+    seen = lambda s: (F.octet_length(s) > F.length(s)) & s.rlike(X.INVISIBLE_CLASS)
     return (F.coalesce(seen(F.col("text")), F.lit(False)) | F.exists(F.map_values(F.coalesce("attrs", F.create_map().cast("map<string,string>"))), seen), "invisible")
 
 
@@ -256,9 +258,10 @@ def hidden_text(n: DataFrame) -> DataFrame:
 
 @local()
 def cross_origin_frames():
+    frame = _element("iframe", "object", "embed")
     src = F.when(_element("iframe") & D.attr("srcdoc").isNull(), D.attr("src")).when(_element("object"), D.attr("data")).when(_element("embed"), D.attr("src"))
     there = U.origin(U.resolve(src, F.col("url")))
-    return (F.coalesce(there.rlike("^https?:") & (there != U.origin(F.col("url"))), F.lit(False)), there)
+    return (F.coalesce(F.when(frame, there.rlike("^https?:") & (there != U.origin(F.col("url")))), F.lit(False)), F.when(frame, there))
 
 
 def links(n: DataFrame) -> DataFrame:
@@ -330,7 +333,17 @@ def closed_shadow():
 
 def _selected(selector: str, evidence: str, but: tuple[str, ...] = ()) -> Local:
     """Elements that a selector names, on pages of other sites than ``but``."""
-    return Local(lambda: (D.selector(selector) & (~F.coalesce(U.registrable(U.host(F.col("url"))).isin(*but), F.lit(False)) if but else F.lit(True)), evidence), "outermost")
+    asked = D.asked_attributes(selector)
+
+    def hit() -> tuple[Column, str]:
+        some = F.arrays_overlap(F.map_keys("attrs"), F.array(*map(F.lit, asked))) if asked else F.lit(True)
+        here = D.selector(selector)
+        if but:
+            here = here & ~F.coalesce(U.registrable(U.host(F.col("url"))).isin(*but), F.lit(False))
+        # Most elements have none of the attributes that are asked for.
+        return F.coalesce(F.when((F.col("kind") == "element") & some, here), F.lit(False)), evidence
+
+    return Local(hit, "outermost")
 
 
 def by_site(n: DataFrame, sites: DataFrame) -> DataFrame:
@@ -431,7 +444,7 @@ def confirmshame():
     said = F.btrim(F.coalesce(F.when(_element("input"), D.attr("value")).otherwise(F.when(whole, F.col("text_content"))), F.lit("")))
     button = _element("button", "a") | (_element("input") & D.attr("type").isin("button", "submit", "reset")) | ((F.col("kind") == "element") & (D.attr("role") == "button"))
     plain = F.lower(F.regexp_replace(said, r"\s+", " "))
-    return (F.coalesce(button & (F.length(said) <= LABEL_CAP) & plain.rlike("|".join(SHAMING)), F.lit(False)), said)
+    return (F.coalesce(F.when(button, (F.length(said) <= LABEL_CAP) & plain.rlike("|".join(SHAMING))), F.lit(False)), said)
 
 
 @local()
@@ -452,7 +465,7 @@ ADDONS = {
 def cart_addons():
     low = F.lower("text_content")
     label = F.coalesce(*[F.when(low.rlike(p), F.lit(k)) for k, p in ADDONS.items()])
-    return _small(200, 40) & label.isNotNull() & U.is_checkout(F.col("url")), label
+    return F.coalesce(F.when(_small(200, 40) & U.is_checkout(F.col("url")), label.isNotNull()), F.lit(False)), label
 
 
 #: Fees that are told late, and how far up the summary of an order is looked for: fixed values.
@@ -474,7 +487,8 @@ def fee_outcomes(n: DataFrame) -> DataFrame:
     between; ``no-adjacent-amount``: no amount in the label, beside it or beside its parent; ``single-item-cart``: the summary has
     fewer than PRICED_ROWS rows with a price that are no totals; else ``flagged``.
     """
-    c = n.filter(U.is_checkout(F.col("url")))
+    # The pages of checkouts are read some twenty times, the others once.
+    c = shared_table(n.filter(U.is_checkout(F.col("url"))), "checkout")
     e = c.filter((F.col("kind") == "element") & ~F.col("in_non_content"))
     text, role = F.regexp_replace("text_content", r"\s+", " "), F.coalesce(D.attr("role"), F.lit(""))
     low = F.lower(text)
@@ -541,7 +555,7 @@ def form_prefill(n: DataFrame) -> DataFrame:
     kind, name = F.coalesce(F.lower(D.attr("type")), F.lit("text")), F.coalesce(D.attr("name"), F.lit(""))
     filled = _element("input") & kind.rlike(f"^(?:{FORMS})$") & (F.coalesce(D.attr("value"), F.lit("")) != "") & ~F.coalesce(D.attr("autocomplete"), F.lit("")).rlike("name|email|tel|address|postal|country|cc-")
     text = _found(c, filled & free, F.concat(kind, F.lit(":"), name))
-    forms = n.filter(_element("form")).select("page_id", "node_id", "pre", "end")
+    forms = n.filter(_element("form") & U.is_checkout(F.col("url"))).select("page_id", "node_id", "pre", "end")
     radio = D.closest(_found(c, _element("input") & (kind == "radio") & D.attr("checked").isNotNull() & free, F.concat(kind, F.lit(":"), name)), forms)
     first = Window.partitionBy("page_id", "holder_id", "evidence").orderBy("pre")
     radio = radio.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "holder_id")
@@ -558,7 +572,7 @@ def hidden_affiliate():
     name = F.lower(D.attr("name"))
     hit = name.rlike("^(?:utm_.*|aff(?:iliate)?(?:_?id)?|ref(?:erral|errer)?(?:_?(?:id|code))?|gclid|fbclid|msclkid|click_?id|partner_?id|subid)$") & ~name.rlike("csrf|token|nonce|session")
     outcome = F.when(F.coalesce(D.attr("value"), F.lit("")) == "", "already-empty").otherwise("cleared")
-    return _element("input") & (D.attr("type") == "hidden") & F.col("in_form") & hit & U.is_checkout(F.col("url")), F.concat(name, F.lit(":"), outcome)
+    return F.coalesce(F.when(_element("input") & (D.attr("type") == "hidden") & F.col("in_form"), hit & U.is_checkout(F.col("url"))), F.lit(False)), F.concat(name, F.lit(":"), outcome)
 
 
 def disguised_ads(n: DataFrame) -> DataFrame:
@@ -619,7 +633,9 @@ def local_hits(nodes: DataFrame, rules: list[Rule], *keep: str) -> DataFrame:
     for r in rules:
         where, e = r.run.hit()
         hits.append(F.when(where, F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.run.post).alias("post"), (F.lit(e) if isinstance(e, str) else e).cast("string").alias("evidence"))))
-    return nodes.select(*keep, F.explode(F.array_compact(F.array(*hits))).alias("h")).select(*keep, "h.*")
+    # A column of its own is compiled; an array within ``explode`` is not, and is made once more to see whether it is empty.
+    told = nodes.select(*keep, F.array_compact(F.array(*hits)).alias("_hits"))
+    return told.select(*keep, F.explode_outer("_hits").alias("h")).filter("h IS NOT NULL").select(*keep, "h.*")
 
 
 def settled(each: DataFrame) -> DataFrame:

@@ -39,6 +39,13 @@ INJECTION = {
     "system label": r"(?:^|\n) ?system prompt ?:",
     "directive": r"(?:new|updated|revised) (?:instructions?|directives?|task) ?:",
 }
+#: Lower-case text without which a family can't match: one look for plain bytes spares most texts the expressions.
+INJECTION_NEEDS = {
+    "override": ("instruction", "prompt", "rules", "direction"), "bypass": ("bypass ", "disable ", "turn off ", "circumvent "), "persona": ("you are now ",),
+    "persona imperative": ("pretend to be ", "act to be ", "behave to be ", " as if you are ", " as though you were "), "privileged": (" mode enabled", " mode on", " mode activated"),
+    "chat token": ("<|",), "end token": ("<|",), "system label": ("system prompt",), "directive": ("instruction", "directive", "task"),
+}
+INJECTION_CASED_NEEDS = {"instruction bracket": ("inst]",), "system bracket": ("sys>>",)}
 INJECTION_CASED = {"instruction bracket": r"\[/?INST\]", "system bracket": r"<</?SYS>>"}
 SCARCITY = (
     r"only [0-9]+ (?:left|remaining)", r"(?:just|last) [0-9]+ (?:left|items?|rooms?)", r"low stock", r"almost (?:gone|sold out)", r"selling (?:out )?fast", r"limited (?:stock|quantity|availability)",
@@ -120,8 +127,11 @@ def any_of(text: Column, patterns) -> Column:
 
 
 def injected(text: Column) -> Column:
-    """Whether any family matches: one alternation for either case rule."""
-    return text.rlike("(?i)(?:" + "|".join(INJECTION.values()) + ")") | text.rlike("|".join(INJECTION_CASED.values()))
+    """Whether any family matches: one alternation for either case rule, tried on texts that hold what one of them needs."""
+    needs = sorted({s for each in (*INJECTION_NEEDS.values(), *INJECTION_CASED_NEEDS.values()) for s in each})
+    some = X.once(F.lower(text), lambda low: reduce(lambda a, b: a | b, [F.contains(low, F.lit(s)) for s in needs]))
+    found = text.rlike("(?i)(?:" + "|".join(INJECTION.values()) + ")") | text.rlike("|".join(INJECTION_CASED.values()))
+    return F.when(text.isNotNull(), F.coalesce(F.when(some, found), F.lit(False)))
 
 
 def injection_families(text: Column) -> Column:
@@ -150,17 +160,19 @@ def base64_spans(text: Column) -> Column:
         padded = F.rpad(bare, (F.ceil(F.length(bare) / 4) * 4).cast("int"), F.lit("="))
         return (F.length(bare) % 4 != 1) & _decodes(F.try_to_binary(padded, F.lit("base64")))
 
-    runs = S.find(text, f"[A-Za-z0-9+/_-]{{{BASE64_MIN},}}+={{0,2}}", "[encoded payload hidden]", good)
+    runs = S.find(text, f"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{BASE64_MIN},}}+={{0,2}}", "[encoded payload hidden]", good)
     # Runs that overlap a token are left to the rule for secrets.
     apart = lambda tokens: F.filter(runs, lambda s: ~F.exists(tokens, lambda t: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return F.transform(F.array(S.find(text, SECRETS["jwt"], "jwt")), apart)[0]
+    found = F.transform(F.array(S.find(text, SECRETS["jwt"], "jwt")), apart)[0]
+    return F.when(F.length(text) >= BASE64_MIN, found).otherwise(F.array().cast(S.SPAN))
 
 
 def hex_spans(text: Column) -> Column:
     def good(run: Column) -> Column:
         return (F.length(run) % 2 == 0) & run.rlike("[a-fA-F]") & _decodes(F.unhex(run))
 
-    return S.find(text, f"(?<![0-9A-Za-z])[0-9A-Fa-f]{{{HEX_MIN},}}+(?![0-9A-Za-z])", "[encoded payload hidden]", good)
+    found = S.find(text, f"(?<![0-9A-Za-z])[0-9A-Fa-f]{{{HEX_MIN},}}+(?![0-9A-Za-z])", "[encoded payload hidden]", good)
+    return F.when(F.length(text) >= HEX_MIN, found).otherwise(F.array().cast(S.SPAN))
 
 
 def percent_spans(text: Column) -> Column:
@@ -254,5 +266,13 @@ def morse_spans(text: Column) -> Column:
     return S.find(text, r"(?<![.-])[.-]{1,6}+(?:[ /]{1,3}+[.-]{1,6}+){9,}+", "[encoded payload hidden]", good)
 
 
+ENCODED = (base64_spans, hex_spans, percent_spans, nato_spans, morse_spans, cipher_spans, leet_spans)
+
+
 def encoded_spans(text: Column) -> Column:
-    return S.merge(base64_spans(text), hex_spans(text), percent_spans(text), nato_spans(text), morse_spans(text), cipher_spans(text), leet_spans(text))
+    return S.merge(*[spans(text) for spans in ENCODED])
+
+
+def any_encoded(text: Column) -> Column:
+    """Whether a text has a span of ``encoded_spans``: the first kind that is found settles it."""
+    return reduce(lambda a, b: a | b, [F.size(spans(text)) > 0 for spans in ENCODED])

@@ -135,8 +135,9 @@ def winners(nodes: DataFrame, properties: tuple[str, ...] | None = None) -> Data
     named = S.match(nodes, rules.select("page_id", "selector"), "page_id").select("page_id", "node_id", "selector", "specificity")
     ruled = named.join(rules, ["page_id", "selector"]).select("page_id", "node_id", F.lit(False).alias("inline"), "specificity", "sheet", "rule", F.posexplode("declarations").alias("place", "d"))
     own = nodes.filter((F.col("kind") == "element") & D.attr("style").isNotNull())
-    own = own.select("page_id", "node_id", F.lit(True).alias("inline"), F.array(*[F.lit(0)] * 3).alias("specificity"), F.lit(0).alias("sheet"), F.lit(0).alias("rule"), F.posexplode(attribute_declarations(D.attr("style"))).alias("place", "d"))
-    each = ruled.unionByName(own).withColumn("d", F.explode(_longhand(F.col("d"))))
+    own = own.select("page_id", "node_id", F.lit(True).alias("inline"), F.array(*[F.lit(0)] * 3).alias("specificity"), F.lit(0).alias("sheet"), F.lit(0).alias("rule"), F.posexplode_outer(attribute_declarations(D.attr("style"))).alias("place", "d")).filter("d IS NOT NULL")
+    # A plain ``explode`` would make its array once more to see whether it is empty.
+    each = ruled.unionByName(own).withColumn("d", F.explode_outer(_longhand(F.col("d"))))
     each = each.select("page_id", "node_id", F.col("d.name").alias("name"), F.col("d.value").alias("value"), F.struct("d.important", "inline", "specificity", "sheet", "rule", "place").alias("rank"))
     each = each.filter((F.col("name").isin(*properties) if properties is not None else F.lit(True)) & (F.col("value") != ""))
     won = each.groupBy("page_id", "node_id", "name").agg(F.max_by("value", "rank").alias("value"))

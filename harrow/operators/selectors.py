@@ -191,10 +191,12 @@ _NODE = ("page_id", "node_id", "parent_id", "pre", "end")
 _SELECTOR = ("selector", "alternative")
 
 
-def _probe(nodes: DataFrame, steps: DataFrame, *scope: str) -> DataFrame:
-    """Nodes that fit steps, found by their tokens. Steps of no page are a list, which goes to the nodes: a frequent tag is no key
-    that all its nodes are sent to."""
-    each = nodes.withColumn("_t", F.explode("tokens")).select(*_NODE, "tag", "attrs", "classes", "_t.kind", "_t.token")
+def _probe(nodes: DataFrame, steps: DataFrame, *scope: str, kinds: list[str] | None = None) -> DataFrame:
+    """Nodes that fit steps, found by their tokens, of ``kinds`` alone if steps have no others. Steps of no page are a list, which goes
+    to the nodes: a frequent tag is no key that all its nodes are sent to."""
+    tokens = F.col("tokens") if kinds is None else F.filter("tokens", lambda t: t["kind"].isin(*kinds))
+    # A plain ``explode`` makes the tokens once more to see whether there are any.
+    each = nodes.withColumn("tokens", tokens).withColumn("_t", F.explode_outer("tokens")).select(*_NODE, "tag", "attrs", "classes", "_t.kind", "_t.token")
     met = each.join(steps if scope else F.broadcast(steps), [*scope, "kind", "token"])
     return met.filter(fits(F.col("compound"), F.col("tag"), F.col("attrs"), F.col("classes"))).select(*_NODE, *_SELECTOR, "specificity", "step", "n_steps", "link")
 
@@ -228,14 +230,16 @@ def match(nodes: DataFrame, selectors: DataFrame, *scope: str) -> DataFrame:
     specific counts. Selectors that can't be read name nothing; ``unread`` lists them.
     """
     els, steps = elements(nodes), index(selectors, *scope)
-    shape = {(r.step, r.link) for r in steps.filter("n_steps > 1 AND step > 0").select("step", "link").distinct().collect()}
-    seen = _probe(els, steps.filter("first"), *scope)
+    met = steps.select("step", "link", "n_steps", "first", "kind").distinct().collect()
+    shape = {(r.step, r.link) for r in met if r.n_steps > 1 and r.step > 0}
+    kinds = {first: sorted({r.kind for r in met if r.first == first}) for first in (True, False)}
+    seen = _probe(els, steps.filter("first"), *scope, kinds=kinds[True])
     found = seen.filter("n_steps = 1")
     if shape:
         seen = shared_table(seen.filter("n_steps > 1"), "first")
         live = seen.select("page_id", *_SELECTOR).distinct()
         # The other steps are looked for on pages that hold the first one alone.
-        rest = _probe(els, steps.filter("NOT first").join(live, [*scope, *_SELECTOR]).select("page_id", *[c for c in steps.columns if c != "page_id"]), "page_id")
+        rest = _probe(els, steps.filter("NOT first").join(live, [*scope, *_SELECTOR]).select("page_id", *[c for c in steps.columns if c != "page_id"]), "page_id", kinds=kinds[False])
         some = shared_table(rest, "steps").unionByName(seen)
         beside = any(link == "+" for _, link in shape)
         some = some.join(before(nodes), ["page_id", "node_id"], "left") if beside else some.withColumn("prev_id", F.lit(None).cast("int"))

@@ -163,3 +163,26 @@ def test_needs_of_instructions_are_in_what_matches(spark, text, hit):
     needs = R.INJECTION_NEEDS | R.INJECTION_CASED_NEEDS
     assert bool(said) == hit and all(any(s in text.lower() for s in needs[k]) for k in said)
     assert spark.createDataFrame([(text,)], "t string").select(R.injected(F.col("t"))).first()[0] == hit
+
+
+def test_tokens_of_elements_are_made_once(spark):
+    from harrow.operators import selectors
+    from harrow.sources import html
+
+    nodes = html.nodes(spark.createDataFrame([(1, "<p class=a id=b>x")], "page_id long, html string"))
+    els, steps = selectors.elements(nodes), selectors.index(spark.createDataFrame([(1, "p.a")], "page_id long, selector string"), "page_id")
+    met = selectors._probe(els, steps, "page_id")
+    assert met._jdf.queryExecution().optimizedPlan().toString().count("map_keys(") == 1
+    assert [r.selector for r in met.collect()] == ["p.a"]
+
+
+def test_kinds_of_tokens_that_no_step_is_filed_under_are_not_looked_up(spark, monkeypatch):
+    from harrow.operators import selectors
+    from harrow.sources import html
+
+    asked, probe = [], selectors._probe
+    monkeypatch.setattr(selectors, "_probe", lambda *a, kinds=None: asked.append(kinds) or probe(*a, kinds=kinds))
+    nodes = html.nodes(spark.createDataFrame([(1, "<div class=a><p id=b title=c>x</p></div>")], "page_id long, html string"))
+    named = lambda *s: {r.selector for r in selectors.match(nodes, spark.createDataFrame([(x,) for x in s], "selector string")).collect()}
+    assert named(".a p", "div") == {".a p", "div"} and asked == [[".", "<"], ["<"]]
+    assert named("#b", "[title]", "*", "div #b") == {"#b", "[title]", "*", "div #b"} and asked[2:] == [["#", "*", "["], ["<"]]
